@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, token_counts, token_store
+from . import chat_format, exact_dedup, language_id, mixing, token_counts, token_store, warc
 from .common import read
 
 
@@ -30,6 +30,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages")).drop("verified")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,6 +55,8 @@ def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_token_store": op2_token_store,
+        "op3_warc_transactions": op3_warc_transactions,
+        "op4_language_id": op4_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_source_mixing": op10_source_mixing,
@@ -78,6 +88,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM z GROUP BY conv_id
 """
 
+_OP3 = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p
+), e AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS holder,
+         list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS INT), 5) AS INT)) AS v
+  FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((v[CAST(i // 4 + 1 AS INT)] >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM e
+"""
+
 _OP8 = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -110,4 +138,4 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.c < d.u
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op8_exact_dedup": _OP8, "op10_source_mixing": _OP10}
+    return {"op1_chat_formatting": _OP1, "op3_warc_transactions": _OP3, "op8_exact_dedup": _OP8, "op10_source_mixing": _OP10}
