@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, token_counts, token_store, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, token_counts, token_store, warc
 from .common import read
 
 
@@ -38,6 +38,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +66,8 @@ def queries() -> dict:
         "op2_token_store": op2_token_store,
         "op3_warc_transactions": op3_warc_transactions,
         "op4_language_id": op4_language_id,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_decontamination": op6_decontamination,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_source_mixing": op10_source_mixing,
