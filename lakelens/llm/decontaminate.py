@@ -78,11 +78,12 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23) -> DataFrame:
     """doc_id, item_id, similarity, start (shingle of the document) and hamming of the best window of each matching pair."""
-    items = materialize(_hashed(benchmark, "item_id", size).where(F.size("hashes") > 0).select("item_id", F.col("hashes").alias("item")), "items")
+    items = materialize(_hashed(benchmark, "item_id", size).select("item_id", F.col("hashes").alias("item")), "items").where(F.size("item") > 0)
     shingles = items.select("item_id", F.size("item").alias("c"), F.posexplode("item").alias("ipos", "h"))
     small = shingles.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
     side = F.broadcast(shingles) if small else shingles
-    anchors = _hashed(docs, "doc_id", size).select("doc_id", F.posexplode("hashes").alias("pos", "h")).join(side, "h")
+    # An outer explode: for an inner one the optimizer would infer a filter and evaluate the hashes twice below it.
+    anchors = _hashed(docs, "doc_id", size).select("doc_id", F.posexplode_outer("hashes").alias("pos", "h")).join(side, "h")
     pairs = (
         anchors.groupBy("doc_id", "item_id", "c")
         .agg(F.collect_set("ipos").alias("found"), F.array_sort(F.collect_set(F.col("pos") - F.col("ipos"))).alias("offsets"))
