@@ -31,21 +31,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 @contextlib.contextmanager
-def released_shuffles(spark: SparkSession):
-    """Within this block, a finished execution frees its shuffle files at once: its result is already a written table."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    try:
-        spark.conf.set(key, "true")
-    except Exception:  # a Spark release without this setting keeps the files until its cleaner runs
-        before = "unsupported"
+def set_conf(spark: SparkSession, **settings: str):
+    """Holds settings of the session within a block; dots are written as two underscores."""
+    before = {}
+    for k, v in settings.items():
+        key = k.replace("__", ".")
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        elif before != "unsupported":
-            spark.conf.set(key, before)
+        for key, v in before.items():
+            spark.conf.unset(key) if v is None else spark.conf.set(key, v)
+
+
+def released_shuffles(spark: SparkSession):
+    """Within this block, a finished execution frees its shuffle files at once (its result is already a written table),
+    and Arrow batches are small enough for long texts."""
+    return set_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch="2000")
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:

@@ -254,6 +254,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return rows.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text has a language by the model, at that score or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            labels, scores = shared.value.predict(b.column(at).to_pylist())
+            yield b.filter(pa.array([x != "und" and p >= least_score for x, p in zip(labels, scores.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, **params) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row, by a model learnt from the same table."""
     return predict(docs, fit(docs, **params)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -220,3 +220,16 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     out = members.join(named, F.col("cls") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+
+
+def one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """The rows, with all their columns, that stay when one document of each component does: that of the smallest
+    doc_id. Rows without an id count as documents after all others, told apart by their text; of rows that share an id
+    one stays."""
+    far = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 60))
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), far))
+    found = jaccard_components(keyed.select(F.col("__id").alias("doc_id"), "text"), **params)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
+    kept = keyed.join(keep, F.col("__id") == F.col("__keep"), "left_semi").withColumn("__place", first)
+    return kept.where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

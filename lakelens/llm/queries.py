@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, token_counts, token_store, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, suffix_dedup, token_counts, token_store, warc
 from .common import read
 
 
@@ -47,6 +47,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +72,7 @@ def queries() -> dict:
         "op4_language_id": op4_language_id,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_decontamination": op6_decontamination,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_source_mixing": op10_source_mixing,

@@ -34,6 +34,8 @@ DIGEST = 16
 #: Chunks hold between these numbers of ids, and about 1024 between cuts.
 LEAST, MOST, MASK = 256, 8192, np.uint64(1023)
 PACK_BYTES = 2 << 20
+#: Ids that a task holds back to fill packs.
+HELD_BYTES = 32 << 20
 _WINDOW = 8
 
 _STAGED = "is_pack boolean, doc_id bigint, n_tokens bigint, hashes binary, sizes binary, bucket int, payload binary"
@@ -58,25 +60,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of a document's chunks: where the hash of the last eight ids has ten zero bits, within the bounds of length."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the content asks for a cut: the hash of the last eight ids has ten zero bits."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
+    if n < _WINDOW:
+        return np.zeros(0, np.int64)
     v = _mix((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     h = v[_WINDOW - 1 :].copy()
     for j in range(1, _WINDOW):
-        h = h * np.uint64(3) + v[_WINDOW - 1 - j : n - j]
-    marks = np.flatnonzero((_mix(h) & MASK) == 0) + _WINDOW
+        h *= np.uint64(3)
+        h += v[_WINDOW - 1 - j : n - j]
+    return np.flatnonzero((_mix(h) & MASK) == 0) + _WINDOW
+
+
+def chunk_ends(wished: list[int], n: int) -> list[int]:
+    """Ends of a document's chunks within the bounds of length, from the places where its content asks for cuts."""
     ends, last = [], 0
-    for at in [*marks.tolist(), n]:
+    for at in [*wished, n]:
         while at - last > MOST:
             last += MOST
             ends.append(last)
-        if at - last >= LEAST or at == n:
-            if at > last:
-                ends.append(at)
-                last = at
+        if at > last and (at - last >= LEAST or at == n):
+            ends.append(at)
+            last = at
     return ends
 
 
@@ -119,33 +125,48 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     path = path or new_path(spark, "token-store")
     tokenizer = tokenizer or default_tokenizer()
     n = shuffle_partitions(spark)
-    buckets = 4 * n
+    buckets = 2 * n
     schema = pa.schema([("is_pack", pa.bool_()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = "<u2" if max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65536 else "<u4"
         seen: set[bytes] = set()  # of this task: copies in one task leave it once
+        packs = _Packs(PACK_BYTES)
         for batch in batches:
-            packs, rows = _Packs(PACK_BYTES), []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
-                ids = np.append(ids, end_id).astype(kind)
-                last, hashes = 0, []
-                for end in cut_points(ids):
-                    data = ids[last:end].tobytes()
-                    last = end
-                    h = _digest(data)
-                    hashes.append(h)
-                    if h not in seen:
-                        seen.add(h)
-                        full = packs.add(int.from_bytes(h[:4], "little") % buckets, h, data)
-                        if full:
-                            rows.append((True, None, None, full[1], full[2], full[0], full[3]))
-                rows.append((False, doc_id, len(ids), b"".join(hashes), None, None, None))
+            rows, doc_ids = [], iter(batch.column(0).to_pylist())
+            for flat, ends in enc.encode_flat(batch.column(1)):
+                flat = np.insert(flat.astype(kind), ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
+                wished, begin = marks(flat), 0
+                bounds = np.searchsorted(wished, np.concatenate([[0], ends]) + _WINDOW)
+                data = flat.tobytes()
+                width = flat.itemsize
+                for end, a, b in zip(ends.tolist(), bounds, np.append(bounds[1:], len(wished)), strict=False):
+                    own = wished[a:b]
+                    own = (own[own < end] - begin).tolist()
+                    last, hashes = 0, []
+                    for cut in chunk_ends(own, end - begin):
+                        piece = data[(begin + last) * width : (begin + cut) * width]
+                        last = cut
+                        h = _digest(piece)
+                        hashes.append(h)
+                        if h not in seen:
+                            seen.add(h)
+                            if full := packs.add(int.from_bytes(h[:4], "little") % buckets, h, piece):
+                                rows.append((True, None, None, full[1], full[2], full[0], full[3]))
+                    rows.append((False, next(doc_ids), end - begin, b"".join(hashes), None, None, None))
+                    begin = end
             if len(seen) > 500_000:
                 seen.clear()
-            rows += [(True, None, None, h, s, b, p) for b, h, s, p in packs.rest()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            if packs.size() > HELD_BYTES:
+                rows += [(True, None, None, h, s, b, p) for b, h, s, p in packs.rest()]
+            if rows:
+                yield batch_of(rows)
+        if rows := [(True, None, None, h, s, b, p) for b, h, s, p in packs.rest()]:
+            yield batch_of(rows)
 
     staged_path = new_path(spark, "token-stage")
     staged = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, _STAGED), "", staged_path)
@@ -155,7 +176,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         packs = _Packs(PACK_BYTES)
-        batch_of = lambda x: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((x[0], x[1], x[2], merkle_root(x[1]), x[3]), pack_schema, strict=True)], schema=pack_schema)
+        pack_of = lambda x: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((x[0], x[1], x[2], merkle_root(x[1]), x[3]), pack_schema, strict=True)], schema=pack_schema)
         for batch in batches:
             for bucket, hashes, sizes, payload in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for h, data in _unpack(hashes, sizes, payload):
@@ -163,9 +184,9 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
                         seen.add(h)
                         # Packs of a reduce task join its buckets: equal chunks have met here already.
                         if full := packs.add(0, h, data):
-                            yield batch_of((bucket, *full[1:]))
+                            yield pack_of((bucket, *full[1:]))
         for full in packs.rest():
-            yield batch_of(full)
+            yield pack_of(full)
 
     dealt = staged.where("is_pack").select("bucket", "hashes", "sizes", "payload").repartition(n, "bucket")
     materialize(dealt.mapInArrow(unique, _PACK), "", f"{path}/packs")

@@ -148,7 +148,7 @@ class PieceEncoder:
             each.append(len(x))
         return np.concatenate(parts), np.array(each)
 
-    def slices(self, column: pa.Array, most_bytes: int = 16 << 20) -> Iterator[pa.Array]:
+    def slices(self, column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
         """The texts of a column, null as empty, in runs of bounded size."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
         sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // most_bytes
@@ -167,18 +167,23 @@ class PieceEncoder:
             out.append(sums[ends] - sums[ends - n])
         return np.concatenate(out)
 
-    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Ids of each text of a column."""
+    def encode_flat(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each run of texts: all their ids in one array, and where each text's ids end."""
         for part in self.slices(column):
             places, n = self._batch_places(part)
+            lens, starts = self.lens[places].astype(np.int64), self.starts[places]
+            ends = np.cumsum(lens)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = self.ids[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
+            yield ids, np.concatenate([[0], ends])[np.cumsum(n)]
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column."""
+        for ids, ends in self.encode_flat(column):
             at = 0
-            for k in n:
-                here = places[at : at + k]
-                at += k
-                lens, starts = self.lens[here].astype(np.int64), self.starts[here]
-                ends = np.cumsum(lens)
-                total = int(ends[-1]) if k else 0
-                yield self.ids[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
+            for end in ends.tolist():
+                yield ids[at:end]
+                at = end
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
