@@ -208,7 +208,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     dealt = inside.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    held = dealt.join(texts, F.col("least_id").eqNullSafe(F.col("id"))).drop("id", "least_id")
+    # The same plan at every size: families grow with the input, so their side is never broadcast.
+    held = dealt.hint("merge").join(texts, F.col("least_id").eqNullSafe(F.col("id"))).drop("id", "least_id")
     pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "text"
     )
