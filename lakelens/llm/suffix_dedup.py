@@ -39,6 +39,8 @@ from .shingles import _BYTE, _power, mix
 LEAST, GRAM = 50, 18
 SPAN = LEAST - GRAM + 1  # 18-byte strings of a window
 RUN = (1 << 20) - 256
+#: Suffixes that are sorted together, in whole groups of one head.
+SLAB = 100_000
 NO_ID = np.iinfo(np.int64).max
 _PLACE = np.uint64(0xFFFFF)
 
@@ -222,7 +224,8 @@ def _gather(n: int):
                 uniq, first, inverse = np.unique(kk, return_index=True, return_inverse=True)
                 data = b"".join(texts[dd[f]][ss[f, 0] : ss[f, 1]] for f in first.tolist())
                 lens = (ss[first, 1] - ss[first, 0]).astype(np.uint8)
-                out.append((k, _pack(uniq, lens, np.frombuffer(data, np.uint8), inverse.astype(np.uint32), dd, rows, ids)))
+                named, dd = np.unique(dd, return_inverse=True)
+                out.append((k, _pack(uniq, lens, np.frombuffer(data, np.uint8), inverse.astype(np.uint32), dd.astype(np.uint16), rows[named], ids[named])))
             yield _blobs(out)
 
     return run
@@ -232,41 +235,58 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, low:
     """Maximal repeats of at least LEAST bytes among distinct strings of data: length, the least of `low` over the
     strings that hold it, and all its occurrences as (string, offset)."""
     windows = np.maximum(lens - LEAST + 1, 0)
-    owner = np.repeat(np.arange(len(starts)), windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = starts[owner] + offset
-    if not len(place):
+    first = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), windows)
+    if not len(owner):
         return
-    sums, down = _prefix_sums(data)
-    head = _hash_of(sums, down, place, place + LEAST)
+    offset = (np.arange(len(owner)) - np.repeat(first, windows)).astype(np.uint8)
+    head = np.empty(len(owner), np.uint64)
+    begin = 0
+    while begin < len(starts):  # hashes of the first 50 bytes, by runs of strings of a megabyte
+        end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + (1 << 20))))
+        span = slice(int(first[begin]), int(first[end - 1] + windows[end - 1]))
+        base = int(starts[begin])
+        sums, down = _prefix_sums(data[base : int(starts[end - 1] + lens[end - 1])])
+        place = starts[owner[span]] + offset[span] - base
+        head[span] = _hash_of(sums, down, place, place + LEAST)
+        begin = end
     order = np.argsort(head, kind="stable")
     h = head[order]
     same = h[1:] == h[:-1]
-    repeats = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    at = order[repeats]
-    if not len(at):
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    del h, same
+    if not len(order):
         return
-    # The suffix array of what repeats: by the first 50 bytes, then by the rest, whose bytes past the end count as less.
-    more = int(lens.max()) - LEAST
-    rest = lens[owner[at]] - offset[at] - LEAST
-    cols = np.arange(more)
-    tail = np.zeros((len(at), max(1, -(-more // 8)) * 8), np.uint8)
-    used = np.zeros((len(at), tail.shape[1]), bool)
-    if more:
-        inside = cols[None, :] < rest[:, None]
-        source = np.minimum(place[at][:, None] + LEAST + cols[None, :], len(data) - 1)
-        tail[:, :more] = np.where(inside, data[source], 0)
-        used[:, :more] = inside
+    # What repeats, by slabs of whole groups of one head.
+    groups = np.flatnonzero(np.concatenate([[True], head[order][1:] != head[order][:-1]]))
+    cuts = groups[np.flatnonzero(np.diff(groups // SLAB, prepend=-1))].tolist()
+    for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        at = order[a:z]
+        yield from _scan(data, starts, lens, low, owner[at].astype(np.int64), offset[at].astype(np.int64), head[at])
+
+
+def _scan(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, low: np.ndarray, owner: np.ndarray, offset: np.ndarray, head: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """The stack scan over suffixes (owner, offset) whose heads repeat."""
+    # The suffix array: by the first 50 bytes, then by the rest, whose bytes past the end count as less.
+    place = starts[owner] + offset
+    more = int(lens[owner].max()) - LEAST
+    rest = lens[owner] - offset - LEAST
+    tail = np.zeros((len(owner), max(1, -(-more // 8)) * 8), np.uint8)
+    used = np.zeros(tail.shape, bool)
+    for j in range(more):
+        inside = j < rest
+        used[inside, j] = True
+        tail[inside, j] = data[place[inside] + LEAST + j]
     words = tail.view(">u8").astype(np.uint64)
-    suffix = np.lexsort((rest, *[words[:, k] for k in range(words.shape[1] - 1, -1, -1)], head[at]))
-    at, tail, used = at[suffix], tail[suffix], used[suffix]
+    suffix = np.lexsort((rest, *[words[:, k] for k in range(words.shape[1] - 1, -1, -1)], head))
+    owner, offset, head, place, tail, used = owner[suffix], offset[suffix], head[suffix], place[suffix], tail[suffix], used[suffix]
     equal = (tail[1:] == tail[:-1]) & used[1:] & used[:-1]
     common = np.where(equal.all(axis=1), equal.shape[1], equal.argmin(axis=1)) + LEAST
-    common[head[at][1:] != head[at][:-1]] = 0
+    common[head[1:] != head[:-1]] = 0
     lcp = [*common.tolist(), 0]
-    who, off = owner[at].tolist(), offset[at].tolist()
-    before = np.where(offset[at] > 0, data[np.maximum(place[at] - 1, 0)].astype(np.int64), -1).tolist()
-    least = low[owner[at]].tolist()
+    who, off = owner.tolist(), offset.tolist()
+    before = np.where(offset > 0, data[np.maximum(place - 1, 0)].astype(np.int64), -1).tolist()
+    least = low[owner].tolist()
     # Stack scan: (common prefix, first suffix, least document, left byte or None when diverse).
     stack: list[list] = []
     for i, now in enumerate(lcp):

@@ -159,13 +159,18 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: main, request and metadata as structs, and refers_to, the main record that a revisit names."""
-    whole = lambda kind: records.where(F.col("type") == kind).select(F.col("concurrent_to").alias(f"{kind}_key"), F.struct("*").alias(kind))
-    main = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.col("refers_to").alias("refers_key"), F.struct("*").alias("main"))
-    captures = main.join(whole("request"), F.col("record_id") == F.col("request_key"), "left").join(whole("metadata"), F.col("record_id") == F.col("metadata_key"), "left")
-    captures = captures.drop("request_key", "metadata_key")
-    held = captures.where(F.col("main.type") == "response").select(
-        F.col("record_id").alias("held_key"),
-        F.struct(F.col("record_id"), F.col("main.payload_digest").alias("payload_digest"), F.col("main.payload_bytes").alias("payload_bytes"), F.col("metadata.fields").alias("fields")).alias("refers_to"),
+    request = records.where(F.col("type") == "request").select(F.col("concurrent_to").alias("request_key"), F.struct("record_id", "target_uri", "date").alias("request"))
+    metadata = records.where(F.col("type") == "metadata").select(F.col("concurrent_to").alias("metadata_key"), F.struct("record_id", "fields").alias("metadata"))
+    rest = [c for c in records.columns if c not in ("record_id", "concurrent_to", "refers_to", "fields")]
+    main = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.col("refers_to").alias("refers_key"), F.struct(*rest).alias("main"))
+    captures = main.join(request, F.col("record_id") == F.col("request_key"), "left").join(metadata, F.col("record_id") == F.col("metadata_key"), "left").drop("request_key", "metadata_key")
+    # Only responses that some revisit names, each once.
+    asked = main.where("refers_key is not null").select(F.col("refers_key").alias("held_key")).distinct()
+    held = (
+        main.select("record_id", F.col("main.payload_digest").alias("d"), F.col("main.payload_bytes").alias("b"))
+        .join(asked, F.col("record_id") == F.col("held_key"), "left_semi")
+        .join(metadata, F.col("record_id") == F.col("metadata_key"), "left")
+        .select(F.col("record_id").alias("held_key"), F.struct("record_id", F.col("d").alias("payload_digest"), F.col("b").alias("payload_bytes"), F.col("metadata.fields").alias("fields")).alias("refers_to"))
     )
     return captures.join(held, F.col("refers_key") == F.col("held_key"), "left").drop("refers_key", "held_key")
 
