@@ -76,22 +76,75 @@ def _bytes_of(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def shingled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, cls (null for an empty set), k (its first half) and the digests of its parts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("k", pa.int64()), ("parts", pa.list_(pa.int64()))])
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, cls (null for an empty set) and k, its first half."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("k", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                ns, keys, parts = [], [], []
-                for s in shingle_sets(_bytes_of(some.column(1)), size):
-                    ns.append(len(s))
-                    keys.append(set_key(s) if len(s) else None)
-                    parts.append(part_digests(s, num, den).view(np.int64) if len(s) else None)
-                halves = [None if k is None else int.from_bytes(k[:8], "big", signed=True) for k in keys]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], schema=schema)
+                sets = [(len(s), set_key(s) if len(s) else None) for s in shingle_sets(_bytes_of(some.column(1)), size)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary()), pa.array([_half(k) for _, k in sets], pa.int64())], schema=schema)
+
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, k bigint")
+
+
+def _half(key: bytes | None) -> int | None:
+    return None if key is None else int.from_bytes(key[:8], "big", signed=True)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, k bigint, parts array<bigint>")
+
+def shared_parts(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """a, b: classes (by k) that share the digest of a part, each with the least of them. Digests travel as arrays, dealt
+    by their value, a row for each bucket of a batch."""
+    n = 2 * shuffle_partitions(docs.sparkSession)
+    blob = pa.schema([("bucket", pa.int32()), ("digests", pa.binary()), ("owners", pa.binary()), ("names", pa.binary())])
+    tie = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for some in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
+                found: dict[int, np.ndarray] = {}
+                for s in shingle_sets(_bytes_of(some.column(1)), size):
+                    if len(s) and (k := _half(set_key(s))) not in found:
+                        found[k] = part_digests(s, num, den)
+                if not found:
+                    continue
+                names = np.array(list(found), np.int64)
+                digests = np.concatenate(list(found.values()))
+                owners = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found.values()])
+                bucket = (digests % np.uint64(n)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                at = np.searchsorted(bucket[order], np.arange(n + 1))
+                parts = [(i, order[x:y]) for i, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+                named = [np.unique(owners[o], return_inverse=True) for _, o in parts]
+                cols = [[i for i, _ in parts], [digests[o].tobytes() for _, o in parts], [x.astype(np.uint16).tobytes() for _, x in named], [names[u].tobytes() for u, _ in named]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, blob, strict=True)], schema=blob)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ds, ks = [], []
+        for b in batches:
+            for d, o, names in zip(*[b.column(c).to_pylist() for c in ("digests", "owners", "names")], strict=True):
+                ds.append(np.frombuffer(d, np.uint64))
+                ks.append(np.frombuffer(names, np.int64)[np.frombuffer(o, np.uint16)])
+        if not ds:
+            return
+        d, k = np.concatenate(ds), np.concatenate(ks)
+        del ds, ks
+        order = np.argsort(d, kind="stable")
+        d, k = d[order], k[order]
+        edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        least = np.repeat(np.minimum.reduceat(k, edges), np.diff(np.append(edges, len(d))))
+        apart = k != least
+        ties = np.unique(np.stack([k[apart], least[apart]], 1), axis=0)
+        for i in range(0, len(ties), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ties[i : i + 100_000, 0]), pa.array(ties[i : i + 100_000, 1])], schema=tie)
+
+    cuts = _texts(docs).mapInArrow(cut, "bucket int, digests binary, owners binary, names binary")
+    return cuts.repartition(n // 2, "bucket").mapInArrow(meet, "a bigint, b bigint")
 
 
 class _Union:
@@ -195,13 +248,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     """doc_id, n_shingles, component_id for each row; sets link where intersection / union >= num / den."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    own = materialize(shingled(docs, size, num, den), "shingled")
-    members = own.select("doc_id", "n_shingles", "cls")
-    classes = own.where("cls is not null").groupBy("cls", "k").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
-    # Families: each shared digest ties its classes to the least of them.
-    digests = own.where("cls is not null").select("k", F.explode("parts").alias("digest"))
-    leader = F.first("k").over(Window.partitionBy("digest").orderBy("k"))
-    ties = digests.select("k", leader.alias("leader")).where("k <> leader").select(F.col("k").alias("a"), F.col("leader").alias("b"))
+    members = materialize(shingled(docs, size), "shingled")
+    classes = members.where("cls is not null").groupBy("cls", "k").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
+    ties = shared_parts(docs, size, num, den)
     families = connected_components(ties, "families").select(F.col("node").alias("k"), F.col("component").alias("family"))
     inside = materialize(classes.join(families, "k").select("cls", "least_id", "n", "family"), "family-members")
     sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
@@ -218,7 +267,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     labelled = materialize(classes.select("cls", "least_id").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "labelled")
     names = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(names, "component").select(F.col("cls").alias("c"), "component_id")
-    out = members.join(named, F.col("cls") == F.col("c"), "left")
+    out = members.drop("k").join(named, F.col("cls") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -140,7 +140,11 @@ def _minimizers(n: int):
             if hashes:
                 h, d = np.concatenate(hashes), np.concatenate(docs)
                 ids = _ids(b.column("doc_id"))
-                yield _blobs([(k, _pack(hh, dd, rows, ids)) for k, (hh, dd) in _split((h % np.uint64(n)).astype(np.int64), h, d)])
+                out = []
+                for k, (hh, dd) in _split((h % np.uint64(n)).astype(np.int64), h, d):
+                    named, dd = np.unique(dd, return_inverse=True)
+                    out.append((k, _pack(hh, dd.astype(np.uint16), rows[named], ids[named])))
+                yield _blobs(out)
 
     return run
 
