@@ -100,7 +100,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def shared_parts(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """a, b: classes (by k) that share the digest of a part, each with the least of them. Digests travel as arrays, dealt
     by their value, a row for each bucket of a batch."""
-    n = 2 * shuffle_partitions(docs.sparkSession)
+    n = shuffle_partitions(docs.sparkSession)
     blob = pa.schema([("bucket", pa.int32()), ("digests", pa.binary()), ("owners", pa.binary()), ("names", pa.binary())])
     tie = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -144,7 +144,7 @@ def shared_parts(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ties[i : i + 100_000, 0]), pa.array(ties[i : i + 100_000, 1])], schema=tie)
 
     cuts = _texts(docs).mapInArrow(cut, "bucket int, digests binary, owners binary, names binary")
-    return cuts.repartition(n // 2, "bucket").mapInArrow(meet, "a bigint, b bigint")
+    return cuts.repartitionById(n, F.col("bucket")).mapInArrow(meet, "a bigint, b bigint")
 
 
 class _Union:

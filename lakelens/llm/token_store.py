@@ -125,7 +125,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     path = path or new_path(spark, "token-store")
     tokenizer = tokenizer or default_tokenizer()
     n = shuffle_partitions(spark)
-    buckets = 2 * n
+    buckets = n
     schema = pa.schema([("is_pack", pa.bool_()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -188,7 +188,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
         for full in packs.rest():
             yield pack_of(full)
 
-    dealt = staged.where("is_pack").select("bucket", "hashes", "sizes", "payload").repartition(n, "bucket")
+    dealt = staged.where("is_pack").select("bucket", "hashes", "sizes", "payload").repartitionById(n, F.col("bucket"))
     materialize(dealt.mapInArrow(unique, _PACK), "", f"{path}/packs")
 
     recipe_schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("root", pa.binary())])

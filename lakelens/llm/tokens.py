@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shingles import _BYTE, _power, mix
+
 #: A space between two characters that no tokenizer can take for white space starts a new piece in byte-level BPE.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space of any standard beside a space: such texts are cut by _CUT, all others at every space.
 _WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BESIDE = rf"{_WHITE} | {_WHITE}|\A | \z"
+_LED = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def default_tokenizer() -> str:
@@ -23,130 +26,147 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, by arithmetic over their bytes."""
+    strings = strings.cast(pa.large_binary())
+    _, offsets, data = strings.buffers()
+    edges = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    out = np.zeros(len(strings), np.uint64)
+    if data is None or edges[-1] == edges[0]:
+        return mix(out)
+    raw, at = np.frombuffer(data, np.uint8), 0
+    while at < len(strings):
+        end = max(at + 1, int(np.searchsorted(edges, edges[at] + (1 << 20), "right")) - 1)
+        run = raw[edges[at] : edges[end]]
+        up, down = _power(len(run) + 1)
+        sums = np.zeros(len(run) + 1, np.uint64)
+        np.cumsum(_BYTE[run] * up[: len(run)], out=sums[1:])
+        a, z = edges[at:end] - edges[at], edges[at + 1 : end + 1] - edges[at]
+        out[at:end] = (sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64)
+        at = end
+    return mix(out)
+
+
 class PieceEncoder:
     """Encodes texts by the ids of their space-led pieces, which a bounded cache holds in flat arrays.
 
     Byte-level BPE cuts before every single space between two other characters, so pieces encode independently and
     their ids concatenate to the ids of the whole text. Pieces not seen yet are encoded together in long strings and cut
-    apart by byte lengths, which spares a call for each.
+    apart by byte lengths, which spares a call for each. The cache knows pieces by 64-bit hashes: among the few million
+    that a worker holds, two collide with a probability below one in a million.
     """
 
-    def __init__(self, path: str, most: int = 900_000, special_is_text: bool = True):
+    def __init__(self, path: str, most: int = 2_000_000, special_is_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_is_text
         self.most = most
-        self._bytes = self._byte_lengths()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self._bytes[i] = len(token)  # byte-level vocabularies spell each byte as one character
+        self._kind = np.uint16 if len(self._bytes) <= 65536 else np.uint32
         self._clear()
 
-    def _byte_lengths(self) -> np.ndarray:
-        out = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            out[i] = len(token)  # byte-level vocabularies spell each byte as one character
-        return out
-
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # sorted; the second, of recent ones, is small
+        self.at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.n, self.n_ids = 0, 0
-        self.starts, self.lens, self.hits = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.ids = np.zeros(1 << 18, np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) < 65536 else np.uint32)
-
-    def _forget(self) -> None:
-        """Keeps the pieces that several batches held, at most half of the bound."""
-        hits, least = self.hits[: self.n], 2
-        while (hits >= least).sum() > self.most // 2:
-            least += 1
-        keep = np.flatnonzero(hits >= least)
-        words = list(self.index)  # in the order of their places
-        lens, starts, kept = self.lens[keep].astype(np.int64), self.starts[keep], [words[i] for i in keep]
-        ends = np.cumsum(lens)
-        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)]
-        again = hits[keep]
-        self.index = dict(zip(kept, range(len(kept)), strict=True))
-        self.n, self.n_ids = len(kept), len(ids)
-        self.lens[: self.n], self.starts[: self.n], self.hits[: self.n], self.ids[: self.n_ids] = lens, ends - lens, again, ids
-        self.hits[self.n :] = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            led = all(p[0] == " " and len(p) > 1 for p in some)
-            if led:
-                ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, np.int64)
-                ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
-                lens = np.diff(ends, prepend=0)
-            else:
-                each = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-                ids, lens = np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each])
-            while self.n + len(some) > len(self.lens):
-                self.starts, self.lens, self.hits = (np.concatenate([x, x * 0]) for x in (self.starts, self.lens, self.hits))
-            while self.n_ids + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, self.ids * 0])
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.lens[self.n : self.n + len(some)] = lens
-            self.starts[self.n : self.n + len(some)] = self.n_ids + np.cumsum(lens) - lens
-            self.index.update(zip(some, range(self.n, self.n + len(some)), strict=True))
-            self.n, self.n_ids = self.n + len(some), self.n_ids + len(ids)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = _CUT.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def _known(self, pieces: list[str]) -> np.ndarray:
-        """Cache indexes of distinct pieces; learns the new ones."""
-        found = list(map(self.index.get, pieces))
-        if None in found:
-            if self.n > self.most:
-                self._forget()
-                found = list(map(self.index.get, pieces))
-            new = [p for p, x in zip(pieces, found, strict=True) if x is None]
-            led = [p for p in new if p[0] == " " and len(p) > 1]
-            self._learn(led)
-            if len(led) < len(new):
-                self._learn([p for p in new if not (p[0] == " " and len(p) > 1)])
-            found = list(map(self.index.__getitem__, pieces))
-        places = np.array(found, np.int64)
-        self.hits[places] += 1
-        return places
+        self.starts, self.lens, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self._kind)
+
+    def _add(self, keys: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        k = len(keys)
+        while self.n + k > len(self.lens):
+            self.starts, self.lens = (np.concatenate([x, x * 0]) for x in (self.starts, self.lens))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids * 0])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.lens[self.n : self.n + k] = lens
+        self.starts[self.n : self.n + k] = self.n_ids + np.cumsum(lens) - lens
+        both, at = np.concatenate([self.keys[1], keys]), np.concatenate([self.at[1], np.arange(self.n, self.n + k)])
+        self.n, self.n_ids = self.n + k, self.n_ids + len(ids)
+        level = 1
+        if len(both) > 300_000:
+            both, at, level = np.concatenate([self.keys[0], both]), np.concatenate([self.at[0], at]), 0
+            self.keys[1], self.at[1] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        order = np.argsort(both, kind="stable")
+        self.keys[level], self.at[level] = both[order], at[order]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, at in zip(self.keys, self.at, strict=True):
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                out[hit] = at[i[hit]]
+        return out
+
+    def _places(self, strings: pa.Array, led: np.ndarray) -> np.ndarray:
+        """Places of pieces; those that are led have a space before the string given."""
+        keys = _hashes(strings)
+        keys[led] ^= _LED
+        out = self._find(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            _, first = np.unique(keys[new], return_index=True)
+            new = new[first]
+            filled = pc.binary_length(strings).to_numpy(zero_copy_only=False)[new]
+            joined, alone = new[led[new] & (filled > 0)], new[~(led[new] & (filled > 0))]
+            for i in range(0, len(joined), 2000):
+                some = joined[i : i + 2000]
+                ids = np.array(self.tokenizer.encode(" " + " ".join(strings.take(pa.array(some)).to_pylist()), add_special_tokens=False).ids, np.int64)
+                sizes = pc.binary_length(strings.take(pa.array(some))).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
+                self._add(keys[some], np.diff(ends, prepend=0), ids)
+            for i in range(0, len(alone), 2000):
+                some = alone[i : i + 2000]
+                texts = [" " * bool(x) + t for x, t in zip(led[some], strings.take(pa.array(some)).to_pylist(), strict=True)]
+                each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                self._add(keys[some], np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64))
+            out = self._find(keys)
+        return out
 
     def _batch_places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cache indexes of all pieces of the texts, and how many each text has."""
+        """Cache places of all pieces of the texts, and how many each text has."""
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _BESIDE).to_numpy(zero_copy_only=False))
+        if len(odd):  # rare: these texts are cut one by one, and put back in order
+            plain = np.setdiff1d(np.arange(len(texts)), odd)
+            found, n = self._batch_places(texts.take(pa.array(plain))) if len(plain) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            cut = [_CUT.split(t) for t in texts.take(pa.array(odd)).to_pylist()]
+            sizes = np.array([len(c) for c in cut])
+            led = np.ones(int(sizes.sum()), bool)
+            led[np.cumsum(sizes) - sizes] = False
+            more = self._places(pa.array([p for c in cut for p in c], pa.large_string()), led)
+            counts = np.zeros(len(texts), np.int64)
+            counts[plain], counts[odd] = n, sizes
+            ends = np.cumsum(counts)
+            out = np.empty(int(counts.sum()), np.int64)
+            fill = lambda which, values, k: out.__setitem__(np.arange(int(k.sum())) + np.repeat((ends - counts)[which] - (np.cumsum(k) - k), k), values)
+            fill(plain, found, n)
+            fill(odd, more, sizes)
+            return out, counts
         lists = pc.split_pattern(texts, " ")
-        counts = np.diff(lists.offsets.to_numpy())
-        coded = lists.flatten().dictionary_encode()
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        offsets = lists.offsets.to_numpy()
+        counts = np.diff(offsets)
+        pieces = lists.flatten()
         firsts = np.cumsum(counts) - counts
-        odd = pc.match_substring_regex(texts, _BESIDE).to_numpy(zero_copy_only=False)
-        keep = np.repeat(~odd, counts)
-        heads = np.zeros(len(which), bool)
-        heads[firsts[counts > 0]] = True
-        used = np.zeros(len(words), bool)
-        used[which[keep & ~heads]] = True
-        cuts = {int(i): self.pieces(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
-        begins = [words[which[firsts[i]]] if not odd[i] else None for i in range(len(counts))]
-        rest = dict.fromkeys([*[x for x in begins if x], *[x for c in cuts.values() for x in c if x]])
-        at = np.flatnonzero(used)
-        keys = [" " + words[i] for i in at]
-        extra = [x for x in rest if x[0] != " "]
-        extra += list({x for x in rest if x[0] == " "} - set(keys))
-        places = self._known(keys + extra)
+        led = np.ones(len(pieces), bool)
+        led[firsts] = False
+        coded = pieces.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = coded.dictionary
+        used = np.flatnonzero(np.bincount(which[led], minlength=len(words)))
+        heads, back = np.unique(which[firsts], return_inverse=True)
+        strings = pa.concat_arrays([words.take(pa.array(used)), words.take(pa.array(heads))])
+        places = self._places(strings, np.arange(len(strings)) < len(used))
         table = np.full(len(words), -1, np.int64)
-        table[at] = places[: len(at)]
+        table[used] = places[: len(used)]
         out = table[which]
-        index = self.index
-        out[firsts] = [index[x] if x else -1 for x in begins]
-        if not cuts:
-            return (out, counts) if (out >= 0).all() else (out[out >= 0], np.add.reduceat((out >= 0).astype(np.int64), firsts))
-        parts, each = [], []
-        for i, (a, n) in enumerate(zip(firsts, counts, strict=True)):
-            x = np.array([index[y] for y in cuts[i] if y], np.int64) if i in cuts else out[a : a + n][out[a : a + n] >= 0]
-            parts.append(x)
-            each.append(len(x))
-        return np.concatenate(parts), np.array(each)
+        out[firsts] = places[len(used) :][back]
+        return out, counts
 
     def slices(self, column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
         """The texts of a column, null as empty, in runs of bounded size."""
@@ -161,6 +181,8 @@ class PieceEncoder:
         """Number of ids of each text of a column."""
         out = [np.zeros(0, np.int64)]
         for part in self.slices(column):
+            if self.n > self.most:
+                self._clear()
             places, n = self._batch_places(part)
             sums = np.concatenate([[0], np.cumsum(self.lens[places], dtype=np.int64)])
             ends = np.cumsum(n)
@@ -170,6 +192,8 @@ class PieceEncoder:
     def encode_flat(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each run of texts: all their ids in one array, and where each text's ids end."""
         for part in self.slices(column):
+            if self.n > self.most:
+                self._clear()
             places, n = self._batch_places(part)
             lens, starts = self.lens[places].astype(np.int64), self.starts[places]
             ends = np.cumsum(lens)
