@@ -67,14 +67,15 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
         clean.alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
+    key = F.concat_ws("|", F.col("page_id").cast("string"), F.col("digest"))
     # One small row for each page: which page holds the payload. Hot digests meet pre-aggregated.
     keys = materialize(rows.groupBy("page_id", "digest").agg(F.max("bytes").alias("bytes")), "warc-keys")
     holders = keys.groupBy("digest").agg(F.max("page_id").alias("holder")).withColumnRenamed("digest", "d")
-    decided = keys.join(holders, F.col("digest") == F.col("d")).where(F.col("bytes") >= least_bytes).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "holder")
-    placed = rows.join(decided, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    placed = placed.withColumn("copy", copy)
-    revisit = F.col("d").isNotNull() & ((F.col("copy") > 1) | ~F.col("page_id").eqNullSafe(F.col("holder")))
+    decided = keys.join(holders, F.col("digest") == F.col("d")).where(F.col("bytes") >= least_bytes).select(key.alias("key"), F.lit(True).alias("shared"), "holder")
+    # One key, also for null page_ids, serves the join and the window: payloads are dealt once.
+    placed = rows.withColumn("key", key).join(decided, "key", "left")
+    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("url")))
+    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ((F.col("copy") > 1) | ~F.col("page_id").eqNullSafe(F.col("holder")))
     main = _uuid("main", F.col("page_id"), F.col("digest"), F.col("copy"))
     sha1 = F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))
     same = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
