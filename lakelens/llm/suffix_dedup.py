@@ -402,7 +402,7 @@ def _cleaned(with_text: bool):
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with_text adds the kept bytes and the removed spans."""
     n = shuffle_partitions(docs.sparkSession)
-    n_docs = 4 * n
+    n_docs = n
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     # A row is known by a hash of its content, so that rows of one doc_id stay apart; equal rows fare alike.
