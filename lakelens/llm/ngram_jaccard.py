@@ -5,6 +5,9 @@
    cut into H + 1 parts, so linked sets agree on at least one whole part (the pigeonhole bound of PartEnum, Arasu et
    al., 2006). Classes that share the digest of a part are joined, and components of that graph are families: all
    links of a class lie within its family.
+   Sets that share passages chain into large families, so these are refined first by parity sketches: bit i of a sketch
+   tells whether an odd number of shingles fall on it, and two sketches differ in no more bits than the sets in
+   shingles. Only pairs within the bound stay connected.
 3. Token-group matrix. A family's classes are dealt into blocks of bounded size, and each pair of blocks is a task. There,
    similar sets (by least hash and size) form groups of at most 16, each a row with the union of its members'
    shingles. A group's overlap with a query bounds that of any member, and only groups whose bound reaches the
@@ -34,6 +37,9 @@ from .shingles import mix, shingle_sets
 
 #: Classes and shingles of a block, at most on average.
 BLOCK_SETS, BLOCK_SHINGLES = 128, 200_000
+#: Sketches of a block, on average, but for families that this would part into more blocks than the second number;
+#: and the bytes of a block's sketches, at most on average.
+SKETCH_SETS, SKETCH_BLOCKS, SKETCH_BYTES = 192, 24, 1 << 20
 GROUP = 16
 
 
@@ -76,17 +82,96 @@ def _bytes_of(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set over as many bits as it has shingles, up to the next power of two, 256 at least."""
+    bits = max(256, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_linked(sizes: np.ndarray, sketches: list[bytes], sides: np.ndarray, across: bool, num: int, den: int) -> list[int]:
+    """For each set the least index that it is connected with by pairs whose sizes and sketches allow a link."""
+    n = len(sizes)
+    order = np.argsort(sizes, kind="stable")
+    union, root = _Union(n), np.arange(n)
+    words: dict[int, np.ndarray] = {}  # by bits: sketches of all sets that have as many or more, folded
+    width = np.array([len(x) for x in sketches])
+
+    def folded(w: int) -> np.ndarray:
+        if w not in words:
+            out = np.zeros((n, w // 8), np.uint64)
+            for i in np.flatnonzero((width == w) | (width == 2 * w)):
+                x = np.frombuffer(sketches[i], np.uint64)
+                out[i] = x if len(x) == w // 8 else x[: w // 8] ^ x[w // 8 :]
+            words[w] = out
+        return words[w]
+
+    ordered = sizes[order]
+    for p, i in enumerate(order.tolist()):
+        a = int(sizes[i])
+        end = int(np.searchsorted(ordered, a * den // num, "right"))  # partners are larger, within the threshold
+        some = order[p + 1 : end]
+        some = some[root[some] != root[i]]
+        if across:
+            some = some[sides[some] != sides[i]]
+        if not len(some):
+            continue
+        table = folded(int(width[i]))
+        differ = np.bitwise_count(table[some] ^ table[i]).sum(axis=1)
+        near = some[differ * (den + num) <= (a + sizes[some]) * (den - num)]
+        for j in near.tolist():
+            union.join(i, j)
+        if len(near):
+            mine = union.find(i)
+            for r in {int(root[j]) for j in [*near.tolist(), i]}:
+                root[root == r] = mine
+    return [union.find(i) for i in range(n)]
+
+
+def refined(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b (by k): edges that connect what sketches can't tell apart, from classes (k, n, sketch, family)."""
+    n_parts = shuffle_partitions(classes.sparkSession)
+    sizes = classes.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("sketch")).alias("bytes")).where("m > 1")
+    blocks = F.greatest(F.least(F.ceil(F.col("m") / SKETCH_SETS), F.lit(SKETCH_BLOCKS)), F.ceil(F.col("bytes") / SKETCH_BYTES)).cast("int")
+    dealt = classes.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k", "n", "sketch"
+    )
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def solve(rows: list[tuple], across: bool) -> pa.RecordBatch | None:
+        ks = [r[1] for r in rows]
+        least = sketch_linked(np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], np.array([r[0] for r in rows]), across, num, den)
+        edges = [(ks[i], ks[j]) for i, j in enumerate(least) if i != j]
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=schema) if edges else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for b in batches:
+            for family, lo, hi, *row in zip(*[b.column(c).to_pylist() for c in ("family", "low", "high", "block", "k", "n", "sketch")], strict=True):
+                if (family, lo, hi) != key:
+                    if len(rows) > 1 and (out := solve(rows, key[1] != key[2])) is not None:
+                        yield out
+                    key, rows = (family, lo, hi), []
+                rows.append(tuple(row))
+        if len(rows) > 1 and (out := solve(rows, key[1] != key[2])) is not None:
+            yield out
+
+    return pairs.repartition(n_parts, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(run, "a bigint, b bigint")
+
+
 def shingled(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (null for an empty set) and k, its first half."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("k", pa.int64())])
+    """doc_id, n_shingles, cls (null for an empty set), k, its first half, and the set's sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("k", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                sets = [(len(s), set_key(s) if len(s) else None) for s in shingle_sets(_bytes_of(some.column(1)), size)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary()), pa.array([_half(k) for _, k in sets], pa.int64())], schema=schema)
+                sets = [(len(s), set_key(s), sketch(s)) if len(s) else (0, None, None) for s in shingle_sets(_bytes_of(some.column(1)), size)]
+                cols = [[x[0] for x in sets], [x[1] for x in sets], [_half(x[1]) for x in sets], [x[2] for x in sets]]
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, k bigint")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, k bigint, sketch binary")
 
 
 def _half(key: bytes | None) -> int | None:
@@ -250,8 +335,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     n = shuffle_partitions(spark)
     members = materialize(shingled(docs, size), "shingled")
     classes = members.where("cls is not null").groupBy("cls", "k").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
+    sketched = members.where("cls is not null").select("k", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["k"])
     ties = shared_parts(docs, size, num, den)
-    families = connected_components(ties, "families").select(F.col("node").alias("k"), F.col("component").alias("family"))
+    rough = connected_components(ties, "rough-families").select(F.col("node").alias("k"), F.col("component").alias("family"))
+    families = connected_components(refined(sketched.join(rough, "k"), num, den), "families").select(F.col("node").alias("k"), F.col("component").alias("family"))
     inside = materialize(classes.join(families, "k").select("cls", "least_id", "n", "family"), "family-members")
     sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
@@ -267,7 +354,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     labelled = materialize(classes.select("cls", "least_id").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "labelled")
     names = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(names, "component").select(F.col("cls").alias("c"), "component_id")
-    out = members.drop("k").join(named, F.col("cls") == F.col("c"), "left")
+    out = members.drop("k", "sketch").join(named, F.col("cls") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

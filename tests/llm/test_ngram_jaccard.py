@@ -122,3 +122,24 @@ def test_one_of_each(spark):
     kept = ngram_jaccard.one_of_each(spark.createDataFrame(rows, SCHEMA), size=5, num=80, den=100)
     assert sorted((r["doc_id"] or 0, r["text"][:3]) for r in kept.select("doc_id", "text").collect()) == [(0, "qui"), (4, "one")]
     assert kept.where(F.col("text").isNull()).count() == 0
+
+
+def test_sketches_never_part_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for num in (80, 90):
+        sets = []
+        for n in (3, 40, 255, 256, 257, 500, 513, 2000):
+            base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            for _ in range(8):
+                drop = rng.integers(0, max(1, n // 5) + 1)
+                sets.append(np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 1), dtype=np.uint64)])))
+        sizes, sides = np.array([len(s) for s in sets]), rng.integers(0, 2, len(sets))
+        for across in (False, True):
+            least = ngram_jaccard.sketch_linked(sizes, [ngram_jaccard.sketch(s) for s in sets], sides, across, num, 100)
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    if 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)) and not (across and sides[i] == sides[j]):
+                        assert least[i] == least[j]
+            assert len(set(least)) >= 8
