@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -17,8 +19,7 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Scaled to length 1; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def problems(a: Column, dim: int, tolerance: float = 1e-3) -> Column:

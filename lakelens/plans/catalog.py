@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, textual
 
-MODULES = [relational]
+MODULES = [relational, textual]
 
 
 def queries() -> dict:
