@@ -85,8 +85,8 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 def merged_maps(df: DataFrame, key: str, column: str) -> DataFrame:
     """Sums of a map column by key and map key, back as one map."""
-    each = df.select(key, F.explode(column).alias("k", "v")).groupBy(key, "k").agg(F.sum("v").alias("v"))
-    return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+    each = df.select(key, F.explode(column).alias("__k", "__v")).groupBy(key, "__k").agg(F.sum("__v").alias("__v"))
+    return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias(column))
 
 
 def cell(value: Column) -> list[Column]:

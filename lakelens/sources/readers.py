@@ -81,7 +81,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict:
         rows = rows.where(~F.contains(F.col("file"), F.lit(exclude)))
     rows = rows.withColumn("label", F.element_at(F.split("file", "/"), -2))
     if strict:
-        bad = rows.where("_bad is not null").select("file", "_bad").limit(20).collect()
+        bad = rows.where("_bad is not null").limit(20).collect()
         if bad:
             raise ValueError("; ".join(f"{r['file']}: {r['_bad'][:80]}" for r in bad))
         return rows.drop("_bad")
