@@ -33,9 +33,9 @@ from .tokens import default_tokenizer, encoder
 DIGEST = 16
 #: Chunks hold between these numbers of ids, and about 1024 between cuts.
 LEAST, MOST, MASK = 256, 8192, np.uint64(1023)
-PACK_BYTES = 2 << 20
+PACK_BYTES = 1 << 20
 #: Ids that a task holds back to fill packs.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 12 << 20
 _WINDOW = 8
 
 _STAGED = "is_pack boolean, doc_id bigint, n_tokens bigint, hashes binary, sizes binary, bucket int, payload binary"
@@ -90,7 +90,7 @@ class _Packs:
     """Gathers chunks by bucket and gives packs of bounded size."""
 
     def __init__(self, most: int):
-        self.most, self.held, self.zstd = most, {}, zstandard.ZstdCompressor(level=3)
+        self.most, self.held, self.zstd = most, {}, zstandard.ZstdCompressor(level=2)
 
     def add(self, bucket: int, digest: bytes, data: bytes) -> tuple | None:
         entry = self.held.setdefault(bucket, [[], [], [], 0])

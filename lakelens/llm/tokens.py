@@ -56,7 +56,7 @@ class PieceEncoder:
     that a worker holds, two collide with a probability below one in a million.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000, special_is_text: bool = True):
+    def __init__(self, path: str, most: int = 1_000_000, special_is_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,7 +72,7 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # sorted; the second, of recent ones, is small
-        self.at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.at = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
         self.n, self.n_ids = 0, 0
         self.starts, self.lens, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self._kind)
 
@@ -85,12 +85,12 @@ class PieceEncoder:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.lens[self.n : self.n + k] = lens
         self.starts[self.n : self.n + k] = self.n_ids + np.cumsum(lens) - lens
-        both, at = np.concatenate([self.keys[1], keys]), np.concatenate([self.at[1], np.arange(self.n, self.n + k)])
+        both, at = np.concatenate([self.keys[1], keys]), np.concatenate([self.at[1], np.arange(self.n, self.n + k, dtype=np.uint32)])
         self.n, self.n_ids = self.n + k, self.n_ids + len(ids)
         level = 1
         if len(both) > 300_000:
             both, at, level = np.concatenate([self.keys[0], both]), np.concatenate([self.at[0], at]), 0
-            self.keys[1], self.at[1] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.keys[1], self.at[1] = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         order = np.argsort(both, kind="stable")
         self.keys[level], self.at[level] = both[order], at[order]
 
@@ -168,7 +168,7 @@ class PieceEncoder:
         out[firsts] = places[len(used) :][back]
         return out, counts
 
-    def slices(self, column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
+    def slices(self, column: pa.Array, most_bytes: int = 6 << 20) -> Iterator[pa.Array]:
         """The texts of a column, null as empty, in runs of bounded size."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
         sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // most_bytes
