@@ -46,9 +46,9 @@ def set_conf(spark: SparkSession, **settings: str):
 
 
 def released_shuffles(spark: SparkSession):
-    """Within this block, a finished execution frees its shuffle files at once (its result is already a written table),
-    and Arrow batches are small enough for long texts."""
-    return set_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch="2000")
+    """Within this block, a finished execution frees its shuffle files at once: its result is already a written table."""
+    small_batches(spark)
+    return set_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
@@ -70,6 +70,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2000 rows from now on, where the session has Spark's default of 10,000: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "2000")
+
+
+def trimmed(run):
+    """A function over Arrow batches that hands freed memory back to the system now and then: workers live on from task
+    to task, and what they keep adds up beside the executor's heap."""
+
+    def go(batches):
+        import ctypes
+        import time
+
+        import pyarrow as pa
+
+        last = 0.0
+        for out in run(batches):
+            yield out
+            if time.monotonic() - last > 1:
+                _trim(ctypes, pa)
+                last = time.monotonic()
+        _trim(ctypes, pa)
+
+    return go
+
+
+def _trim(ctypes, pa) -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has this
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, trimmed
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Relative frequencies are small; this brings feature vectors near unit length.
 SCALE = 20.0
-RUN_CHARS = 1 << 20
+RUN_CHARS = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -152,7 +154,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], schema=schema)
 
     out = np.zeros(BUCKETS, np.int64)
-    for bucket, n in docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
+    for bucket, n in docs.select("text").mapInArrow(trimmed(run), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
         out[bucket] = n
     return out
 
@@ -170,7 +172,7 @@ def _sample(docs: DataFrame, rates: list[tuple[str, float]]) -> list:
             each = [_counts(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), b.column("u"), pa.array([x.astype("<i4").tobytes() for x, _ in each], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in each], pa.binary())], schema=schema)
 
-    return few.mapInArrow(run, "lang string, u double, at binary, n binary").collect()
+    return few.mapInArrow(trimmed(run), "lang string, u double, at binary, n binary").collect()
 
 
 def ftrl(xs: list[tuple[np.ndarray, np.ndarray]], ys: list[int], k: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,6 +215,7 @@ def fit_temperature(logits: np.ndarray, ys: np.ndarray) -> float:
 
 def fit(docs: DataFrame, sample_docs: int = 1600, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
     """Learns from all of docs (doc_id, text, lang) that may be learnt from."""
+    small_batches(docs.sparkSession)
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = sorted((r["lang"], r["n"]) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each language
     if not sizes:
@@ -251,7 +254,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
             labels, scores = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
@@ -264,7 +267,7 @@ def accepted(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFra
             labels, scores = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != "und" and p >= least_score for x, p in zip(labels, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def language_id(docs: DataFrame, **params) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, trimmed
 from .graph import connected_components
 from .shingles import mix, shingle_sets
 
@@ -157,7 +157,7 @@ def refined(classes: DataFrame, num: int, den: int) -> DataFrame:
         if len(rows) > 1 and (out := solve(rows, key[1] != key[2])) is not None:
             yield out
 
-    return pairs.repartition(n_parts, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(run, "a bigint, b bigint")
+    return pairs.repartition(n_parts, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def shingled(docs: DataFrame, size: int) -> DataFrame:
@@ -171,7 +171,7 @@ def shingled(docs: DataFrame, size: int) -> DataFrame:
                 cols = [[x[0] for x in sets], [x[1] for x in sets], [_half(x[1]) for x in sets], [x[2] for x in sets]]
                 yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, k bigint, sketch binary")
+    return _texts(docs).mapInArrow(trimmed(run), "doc_id bigint, n_shingles bigint, cls binary, k bigint, sketch binary")
 
 
 def _half(key: bytes | None) -> int | None:
@@ -228,8 +228,8 @@ def shared_parts(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         for i in range(0, len(ties), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(ties[i : i + 100_000, 0]), pa.array(ties[i : i + 100_000, 1])], schema=tie)
 
-    cuts = _texts(docs).mapInArrow(cut, "bucket int, digests binary, owners binary, names binary")
-    return cuts.repartitionById(n, F.col("bucket")).mapInArrow(meet, "a bigint, b bigint")
+    cuts = _texts(docs).mapInArrow(trimmed(cut), "bucket int, digests binary, owners binary, names binary")
+    return cuts.repartitionById(n, F.col("bucket")).mapInArrow(trimmed(meet), "a bigint, b bigint")
 
 
 class _Union:
@@ -326,7 +326,7 @@ def _links(blocks: DataFrame, size: int, num: int, den: int) -> DataFrame:
         if rows and (out := solve(rows, key[1] != key[2])) is not None:
             yield out
 
-    return blocks.mapInArrow(run, "a binary, b binary")
+    return blocks.mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:

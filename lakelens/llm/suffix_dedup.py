@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, trimmed
 from .shingles import _BYTE, _power, mix
 
 LEAST, GRAM = 50, 18
@@ -408,15 +408,15 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # A row is known by a hash of its content, so that rows of one doc_id stay apart; equal rows fare alike.
     base = base.withColumn("row", F.xxhash64("doc_id", "text"))
     blob = "bucket int, blob binary"
-    seeds = base.mapInArrow(_minimizers(n), blob).repartitionById(n, F.col("bucket"))
-    shared = materialize(seeds.mapInArrow(_shared(n_docs), blob), "shared-minimizers")
+    seeds = base.mapInArrow(trimmed(_minimizers(n)), blob).repartitionById(n, F.col("bucket"))
+    shared = materialize(seeds.mapInArrow(trimmed(_shared(n_docs)), blob), "shared-minimizers")
     rows = base.select(F.pmod("row", F.lit(n_docs)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "row", "doc_id", "text", F.lit(None).cast("binary").alias("blob"))
 
     def beside(notes: DataFrame) -> DataFrame:
         told = notes.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("text"), "blob")
         return rows.unionByName(told).repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket", "kind")
 
-    found = beside(shared).mapInArrow(_gather(n), blob).repartitionById(n, F.col("bucket"))
-    decided = materialize(found.mapInArrow(_decide(n_docs), blob), "removed-spans")
+    found = beside(shared).mapInArrow(trimmed(_gather(n)), blob).repartitionById(n, F.col("bucket"))
+    decided = materialize(found.mapInArrow(trimmed(_decide(n_docs)), blob), "removed-spans")
     run, schema = _cleaned(with_text)
-    return beside(decided).mapInArrow(run, schema)
+    return beside(decided).mapInArrow(trimmed(run), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches, trimmed
 from .tokens import default_tokenizer, encoder
 
 SLAB = 1024
@@ -25,6 +25,7 @@ SLAB = 1024
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -33,7 +34,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.counts(b.column(1)), pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id bigint, n_tokens bigint")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

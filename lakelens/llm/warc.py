@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, released_shuffles
+from .common import materialize, new_path, released_shuffles, trimmed
 
 CRLF = "\r\n"
 #: Fixed values of the WARC 1.1 and base 32 standards.
@@ -155,7 +155,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, _RECORD + ", payload binary" * payload)
+    return files.mapInArrow(trimmed(run), _RECORD + ", payload binary" * payload)
 
 
 def assemble(records: DataFrame) -> DataFrame:
