@@ -56,7 +56,7 @@ class PieceEncoder:
     that a worker holds, two collide with a probability below one in a million.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, special_is_text: bool = True):
+    def __init__(self, path: str, most: int = 2_500_000, special_is_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,12 +96,13 @@ class PieceEncoder:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 for unknown ones."""
-        out = np.full(len(keys), -1, np.int64)
+        out, order = np.full(len(keys), -1, np.int64), np.argsort(keys)
+        keys = keys[order]  # sorted needles walk through the cache in order
         for known, at in zip(self.keys, self.at, strict=True):
             if len(known):
                 i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[i] == keys
-                out[hit] = at[i[hit]]
+                out[order[hit]] = at[i[hit]]
         return out
 
     def _places(self, strings: pa.Array, led: np.ndarray) -> np.ndarray:
@@ -126,7 +127,8 @@ class PieceEncoder:
                 texts = [" " * bool(x) + t for x, t in zip(led[some], strings.take(pa.array(some)).to_pylist(), strict=True)]
                 each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
                 self._add(keys[some], np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64))
-            out = self._find(keys)
+            unknown = np.flatnonzero(out < 0)
+            out[unknown] = self._find(keys[unknown])
         return out
 
     def _batch_places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
