@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import guard
 
-# The most ids that a filter may give, and from where on it hardly filters.
-ID_LIMIT, WEAK_FROM = 50_000, 5000
+# Fixed value: from so many ids on a filter hardly narrows.
+WEAK_FROM = 5000
 
 
 @dataclass
@@ -28,13 +28,12 @@ class Scoped:
     note: str = ""
 
 
-def note(status: str, n: int | None, truncated: bool, weak: bool) -> str:
+def note(status: str, n: int | None, weak: bool) -> str:
     if status == "zero_match":
         return "No record meets all conditions; each of them alone is met."
     if status in ("sql_failed", "unproven_zero", "value_not_found"):
         return "The filter could not be applied; results are of the whole corpus."
-    part = "a partial set of" if truncated else "the complete set of"
-    return f"Results are within {part} {n} records" + (", which hardly narrows the search." if weak else ".")
+    return f"Results are within the complete set of {n} records" + (", which hardly narrows the search." if weak else ".")
 
 
 def retrieve(
@@ -45,19 +44,21 @@ def retrieve(
     tables: dict[str, str],
     id_column: str = "id",
     banned: list[str] = (),
-    limit: int = ID_LIMIT,
+    limit: int | None = None,
 ) -> Scoped:
     """Runs the machine in its fixed order: no constraints, narrowing, re-asking for banned or constant conditions,
     failure, value gate with one re-asking, ids, zero proof, flags, search.
 
-    tables: guarded column -> view that holds its values. search(ids or None) -> ranking.
+    tables: guarded column -> view that holds its values. search(ids or None) -> ranking, always within all ids: a LIMIT
+    of the writer's is dropped. limit: the most ids that the caller shows; truncated tells that there are more.
     """
+    checked = lambda hint: guard.without_limit(guard.validate(guard.without_fences(write_sql(constraints, hint))))
     if not constraints:
         return Scoped("ok", search(None), note="No constraints; results are of the whole corpus.")
     sql, hint = None, None
     for _ in range(2):
         try:
-            sql = guard.with_limit(guard.validate(guard.without_fences(write_sql(constraints, hint))), limit + 1, replace=True)
+            sql = checked(hint)
         except guard.GuardError as e:
             sql, hint = None, str(e)
             continue
@@ -65,13 +66,13 @@ def retrieve(
         if not problems:
             break
         sql, hint = None, "; ".join(problems)
-    failed = lambda status, dead=(): Scoped(status, search(None), sql, dead=list(dead), note=note(status, None, False, False))
+    failed = lambda status, dead=(): Scoped(status, search(None), sql, dead=list(dead), note=note(status, None, False))
     if sql is None:
         return failed("sql_failed")
     dead = dead_values(spark, sql, tables)
     if dead:
         try:
-            again = guard.with_limit(guard.validate(guard.without_fences(write_sql(constraints, f"no such values: {dead}"))), limit + 1, replace=True)
+            again = checked(f"no such values: {dead}")
         except guard.GuardError:
             return failed("value_not_found", dead)
         if dead_values(spark, again, tables):
@@ -86,9 +87,9 @@ def retrieve(
         verdict, _ = guard.zero_proof(spark, guard.validate(sql))
         if verdict == "unproven":
             return failed("unproven_zero")
-        return Scoped("zero_match", None, sql, 0, note=note("zero_match", 0, False, False))
-    truncated, weak = n > limit, n > WEAK_FROM
-    return Scoped("ok", search(ids.limit(limit) if truncated else ids), sql, min(n, limit), weak, truncated, note=note("ok", min(n, limit), truncated, weak))
+        return Scoped("zero_match", None, sql, 0, note=note("zero_match", 0, False))
+    truncated, weak = limit is not None and n > limit, n > WEAK_FROM
+    return Scoped("ok", search(ids), sql, n, weak, truncated, note=note("ok", n, weak))
 
 
 def dead_values(spark: SparkSession, sql: str, tables: dict[str, str]) -> list[tuple[str, str, str]]:

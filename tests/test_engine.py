@@ -203,6 +203,16 @@ def test_scoped_machine(spark):
     assert run("v > 0", limit=1).truncated
 
 
+def test_scope_holds_all_ids(spark):
+    spark.range(60_000).selectExpr("id", "'open' AS status").createOrReplaceTempView("_many")
+    run = lambda end, **k: scoped.retrieve(spark, ["c"], lambda c, h: f"SELECT id FROM _many WHERE status = 'open'{end}", lambda ids: ids, {"status": "_many"}, **k)
+    for end in ("", " LIMIT 7", " LIMIT 7 OFFSET 2"):
+        out = run(end)
+        assert (out.results.count(), out.n_ids, out.truncated, out.weak) == (60_000, 60_000, False, True)
+    out = run("", limit=10)
+    assert (out.results.count(), out.truncated) == (60_000, True)
+
+
 def test_compare(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "n int, s string")
     assert compare.same_rows(a, a.select("s", F.col("n").cast("double")))
