@@ -117,6 +117,38 @@ def test_bm25_by_hand(spark):
     assert retrieval.bm25(terms, lengths, q, 5, allowed=none).count() == 0
 
 
+def test_dense_in_blocks_of_queries(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    vecs = {i: [rng.randint(-3, 3) / 4 for _ in range(3)] for i in range(60)}
+    v = spark.createDataFrame(list(vecs.items()), "vec_id bigint, embedding array<double>")
+    q = v.where("vec_id < 40").toDF("query_id", "query")
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 7)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in retrieval.dense(v, q, 5, exclude_self=True).collect()}
+    want = {}
+    for i in range(40):
+        ranked = sorted((-round(sum(a * b for a, b in zip(vecs[i], vecs[j], strict=True)), 6), j) for j in vecs if j != i)
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(ranked[:5])}
+    assert got == want
+    labels = {i: "abcdef"[i % 6] if i < 59 else "z" for i in vecs}
+    held = v.join(spark.createDataFrame(list(labels.items()), "vec_id bigint, label string"), "vec_id")
+    asked = held.where("vec_id < 40 OR vec_id = 59").toDF("query_id", "query", "query_label")
+    ranks = {r["query_id"]: r["first_rank"] for r in retrieval.first_match_rank(held, asked, exclude_self=True).collect()}
+    for i in range(40):
+        ranked = sorted((-round(sum(a * b for a, b in zip(vecs[i], vecs[j], strict=True)), 6), j) for j in vecs if j != i)
+        assert ranks.pop(i) == next(r + 1 for r, (_, j) in enumerate(ranked) if labels[j] == labels[i])
+    assert not ranks
+
+
+def test_first_match_beyond_a_million(spark, tmp_path):
+    from lakelens.plans import textual
+
+    v = spark.range(1_000_002).selectExpr("20 * id + 1 AS vec_id", "array(float(if(id = 7, 0, 1))) AS embedding", "if(id = 7, 'a', 'b') AS label")
+    v.union(spark.sql("SELECT 0L, array(float(1)), 'a'")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [tuple(r) for r in textual.recall_at_1_5_10(spark, str(tmp_path)).select("query_id", "first_rank", "r10").collect()] == [(0, 1_000_002, 0)]
+
+
 def test_fusion_metrics_and_pooling(spark):
     ranked = lambda ids: spark.createDataFrame([(1, i, r + 1) for r, i in enumerate(ids)], "query_id int, id string, rank int")
     fused = retrieval.rrf([ranked("abc"), ranked("bd")])
