@@ -64,6 +64,28 @@ def merged_slots(journal: DataFrame, key: str, order: str) -> DataFrame:
     return journal.groupBy(key).agg(F.max_by("status", order).alias("status"), F.max("candidate_index").alias("candidate_index"), F.countDistinct("round").alias("rounds"), F.countDistinct(F.when(F.col("claim").isNotNull(), finding)).alias("findings"))
 
 
+def folded_slots(lines: DataFrame, key: str, order: str) -> DataFrame:
+    """key, decisions, findings of lines with judge_decisions (round, disposition, targets, rationale) and findings (class,
+    severity, claim, further fields). A line whose rounds and dispositions go on from all before replaces them, else its
+    unseen decisions are appended; a finding said again takes the place of the first, with its last wording."""
+    each = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("judge_decisions").alias("d"), F.col("findings").alias("f")))).alias("l"))
+    begun = lambda d: F.transform(d, lambda x: F.struct(x["round"].alias("a"), x["disposition"].alias("b")))
+    said = lambda x: F.struct(x["round"].alias("a"), x["disposition"].alias("b"), x["targets"].alias("c"), F.substring(F.coalesce(x["rationale"], F.lit("")), 1, 200).alias("d"))
+    about = lambda x: F.struct(x["class"].alias("a"), x["severity"].alias("b"), F.substring(F.coalesce(x["claim"], F.lit("")), 1, 200).alias("c"))
+    listed = lambda name: F.filter(F.transform("l", lambda x: x[name]), lambda x: F.coalesce(F.size(x) > 0, F.lit(False)))
+
+    def judged(acc: Column, line: Column) -> Column:
+        unseen = F.filter(line, lambda d: ~F.exists(acc, lambda x: said(x).eqNullSafe(said(d))))
+        return F.when(F.slice(begun(line), F.lit(1), F.size(acc)).eqNullSafe(begun(acc)), line).otherwise(F.concat(acc, unseen))
+
+    def found(acc: Column, f: Column) -> Column:
+        same = lambda x: about(x).eqNullSafe(about(f))
+        return F.when(F.exists(acc, same), F.transform(acc, lambda x: F.when(same(x), f).otherwise(x))).otherwise(F.concat(acc, F.array(f)))
+
+    none = lambda name: F.slice(F.flatten(listed(name)), 1, 0)
+    return each.select(key, F.aggregate(listed("d"), none("d"), judged).alias("decisions"), F.aggregate(F.flatten(listed("f")), none("f"), found).alias("findings"))
+
+
 def steps(events: DataFrame, key: str, at: str, opens: Column, ends: Column) -> DataFrame:
     """key, n_steps, active, span in seconds. An event that opens starts a step; a step ends at its last event that ends
     one; what lies between steps is nobody's. Work before the first opener is a step of its own."""

@@ -41,6 +41,40 @@ def test_verification(spark, engine):
     assert {n for (o, n), s in got.items() if o == "m2" and s == "FAIL"} == {"TEXT", "BUCKET", "READ-FIRST", "INDEPENDENT", "LABEL-ECHO"}
 
 
+def test_precheck_runs_statements_again(spark, engine):
+    twins = [("dead", "sql", "L1", "SELECT id FROM corpus WHERE status = 'x'", None), ("live", "sql", "L1", "SELECT id FROM corpus", None), ("bare", "vector", "L1", None, [4]), ("text", "vector", "L1", None, [1]), ("adv", "adversarial", "L1", None, None)]
+    bank = spark.createDataFrame(twins, "question_id string, expected_route string, level string, gold_sql string, gold_project_ids array<bigint>")
+    corpus = spark.createDataFrame([(i, t != "") for i, t, _ in DOCS], "id bigint, has_text boolean")
+    got = lambda **r: {c.name: c.status for c in verify.precheck(spark, {"question_id": "q"} | r, bank, corpus, "h1")}
+    adv = {"expected_route": "adversarial", "subtype": "zero-match", "gold_project_ids": [], "absence_evidence": [{"sql": "SELECT * FROM corpus WHERE status = 'x'", "expect": "zero"}]}
+    for twin, exists, live in [("dead", "PASS", "FAIL"), ("live", "PASS", "PASS"), ("bare", "PASS", "FAIL"), ("text", "PASS", "PASS"), ("adv", "FAIL", None), ("q", "FAIL", None), ("no", "FAIL", None), (None, "FAIL", None)]:
+        out = got(**adv, twin_id=twin)
+        assert (out["TWIN-EXISTS"], out.get("TWIN-LIVE"), out["EVIDENCE"], out["GOLD-EMPTY"]) == (exists, live, "PASS", "PASS"), twin
+    hybrid = {"expected_route": "hybrid", "level": "L1", "subtype": "filter-compare", "gold_project_ids": [1, 3], "schema_docs_hash": "h0"}
+    out = got(**hybrid, filter_evidence={"filter_sql": "SELECT id FROM corpus WHERE status = 'shut'", "survivor_ids": [1, 2, 3]})
+    assert out == {"GOLD-TEXT": "PASS", "SURVIVORS": "FAIL", "GOLD-SURVIVES": "FAIL", "WINDOW": "WARN", "LEVEL": "PASS", "SCHEMA-DOCS": "FAIL"}
+    out = got(expected_route="sql", level="L1", gold_sql="SELECT id FROM corpus", answer_columns=["ID", "cost"], gold_project_ids=[4, 9], schema_docs_hash="h1")
+    assert out == {"GOLD-SQL": "PASS", "ANSWER-COLUMNS": "FAIL", "GOLD-TEXT": "FAIL", "SCHEMA-DOCS": "PASS"}
+    assert verify.survivors(spark, "q", "SELECT id FROM range(6000)", list(range(5000))).status == "FAIL"
+
+
+def test_decisions_and_findings_fold(spark):
+    from lakelens.operators import records
+
+    d = lambda r, x, why: (r, x, "t", why)
+    lines = [
+        ("a", 1, [d(1, "FIX", "one")], [("c", "high", "x", None), ("c", "low", "y", None)]),
+        ("a", 2, [d(1, "FIX", "one, again"), d(2, "OK", "two")], [("c", "high", "x", "upheld")]),
+        ("a", 3, None, None),
+        ("b", 1, [d(1, "FIX", "one")], None),
+        ("b", 2, [d(2, "FIX", "two")], []),
+        ("b", 3, [d(2, "FIX", "two"), d(3, "OK", "three")], None),
+    ]
+    schema = "k string, line int, judge_decisions array<struct<round:int,disposition:string,targets:string,rationale:string>>, findings array<struct<class:string,severity:string,claim:string,ruling:string>>"
+    got = {r["k"]: ([x["rationale"] for x in r["decisions"]], [(x["claim"], x["ruling"]) for x in r["findings"] or []]) for r in records.folded_slots(spark.createDataFrame(lines, schema), "k", "line").collect()}
+    assert got == {"a": (["one, again", "two"], [("x", "upheld"), ("y", None)]), "b": (["one", "two", "three"], [])}
+
+
 def test_bank_changes_all_at_once(spark, tmp_path):
     row = lambda q, twin=None: (q, f"text of {q}", "sql", "L1", None, "SELECT 1", None, None, twin, None)
     bank, old = f"file://{tmp_path}/bank", f"file://{tmp_path}/old"
