@@ -9,8 +9,10 @@ Native: DataFrame expressions only. Words are runs of letters and digits in lowe
    at offsets suffice, and none that reaches t is left out.
 3. SimHash: 64 bits, each the majority over the window's shingles with their multiplicities. Fingerprints of windows
    and of items are cut into radius + 1 blocks; two within the radius agree on at least one, so an equality join over
-   (item, block, value) finds all of them. At similarity 0.8 bits differ with probability 0.15, 9.7 of 64 on average,
-   and more than the radius of 23 with probability below 1e-5.
+   (item, block, value) finds all of them. At similarity 0.8 of two sets of equal size, bits differ with probability
+   0.15, 9.7 of 64 on average, and more than the radius of 23 with probability below 1e-5. Where a shingle repeats, in
+   the item or the window, or where a text's edge makes the window shorter, more bits may differ: such windows go to
+   the exact check whatever their bits.
 4. Exact similarity: shingles weighted by their multiplicity, sum of minima over sum of maxima.
 
 Items of fewer words than a shingle are one shingle, and match whole documents of the same words only.
@@ -109,6 +111,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     windows = windows.withColumn("content", F.xxhash64("window"))
     prints = simhash(windows.select(*keys, "content", F.explode("window").alias("h")), [*keys, "content"])
     item_prints = simhash(items.select("item_id", F.explode("item").alias("h")), ["item_id"])
+    repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    odd_items = items.select(F.col("item_id").alias("o"), F.size("item").alias("c"), repeats(F.col("item")).alias("odd")).distinct()
+    sized = windows.join(F.broadcast(odd_items) if small else odd_items, F.col("item_id").eqNullSafe(F.col("o")))
+    sure = sized.where(F.col("odd") | repeats(F.col("window")) | (F.size("window") < F.col("c"))).select(*keys, "content").distinct()
     item_blocks = item_prints.select(F.col("item_id").alias("i"), F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("i", "item_fp", "b.no", "b.value")
     found = (
         prints.withColumn("b", F.explode(blocks(F.col("fp"), radius)))
@@ -116,8 +122,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
         .join(F.broadcast(item_blocks) if small else item_blocks, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("n") == F.col("no")) & (F.col("v") == F.col("value")))
         .select(*keys, "content", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"))
         .where(F.col("hamming") <= radius)
-        .distinct()
     )
+    at = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "content"]]
+    of = item_prints.select(F.col("item_id").alias("i"), F.col("fp").alias("item_fp"))
+    odd = prints.alias("p").join(sure.alias("s"), reduce(lambda x, y: x & y, at), "left_semi")
+    odd = odd.join(F.broadcast(of) if small else of, F.col("item_id").eqNullSafe(F.col("i")))
+    found = found.unionByName(odd.select(*keys, "content", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"))).distinct()
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, "content"]])
     near = found.alias("f").join(windows.alias("v"), same("f", "v")).select("f.doc_id", "f.item_id", "f.start", "f.hamming", "v.window")
     it = items.select(F.col("item_id").alias("i"), "item")

@@ -168,3 +168,15 @@ def test_mixing_against_brute_force(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
     thresholds = spark.range(1).select(mixing.poisson_thresholds(F.lit(300.0)).alias("c")).head()["c"]
     assert abs(thresholds[-1] - 1) < 1e-9 and abs(sum(1 - c for c in thresholds) - 300) < 1e-6
+
+
+def test_decontamination_at_edges(spark):
+    from lakelens.llm import decontaminate
+
+    # Items of five shingles and texts that lack the last word, so of similarity 0.8; these six of 20,000 differ in over 23 bits.
+    run = lambda i, n: " ".join(f"w{i}x{j}" for j in range(1, n + 1))
+    ids = [720, 4204, 7486, 11392, 15963, 19915]
+    bench = spark.createDataFrame([(i, run(i, 9)) for i in ids], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, run(i, 8)) for i in ids], "doc_id bigint, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in found) == [(i, i, 0.8) for i in ids]
