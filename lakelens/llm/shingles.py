@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _WORD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 RUN_BYTES = 1 << 20
+#: Words up to this length are hashed by a key of their own for each place, longer ones by BLAKE2b.
+SHORT_WORD = 64
+_KEY = _RNG.integers(1, 1 << 63, SHORT_WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,15 +41,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a run of UTF-8 bytes, and the places where they start."""
+    """Hashes of the words of a run of UTF-8 bytes, and the places where they start.
+
+    Sums of byte values times keys drawn for each place: two words collide with a chance of about 2 ** -64, whatever
+    their structure. (Powers of one number as keys would have strings that collide for every such number.)
+    """
     folded = _FOLD[data]
     space = folded == 32
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[folded] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    sizes = ends - starts
+    inside = np.flatnonzero(~space)
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(len(inside)) - np.repeat(firsts, sizes)
+    terms = _BYTE[folded[inside]] * _KEY[np.minimum(place, SHORT_WORD - 1)]
+    out = mix(np.add.reduceat(terms, firsts) + sizes.astype(np.uint64))
+    for i in np.flatnonzero(sizes > SHORT_WORD).tolist():
+        digest = hashlib.blake2b(folded[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"word").digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out, starts
 
 
 def _cuts(data: bytes) -> Iterator[bytes]:

@@ -26,16 +26,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _hashes(strings: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, by arithmetic over their bytes."""
+def _layout(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that an array of strings lies in, and the edges of its strings there."""
     strings = strings.cast(pa.large_binary())
     _, offsets, data = strings.buffers()
-    edges = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    out = np.zeros(len(strings), np.uint64)
-    if data is None or edges[-1] == edges[0]:
+    edges = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return (np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)), edges
+
+
+def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    return np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
+
+
+def _hashes(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings, by arithmetic over their bytes. They find pieces; bytes tell them apart."""
+    out = np.zeros(len(edges) - 1, np.uint64)
+    if edges[-1] == edges[0]:
         return mix(out)
-    raw, at = np.frombuffer(data, np.uint8), 0
-    while at < len(strings):
+    at = 0
+    while at < len(out):
         end = max(at + 1, int(np.searchsorted(edges, edges[at] + (1 << 20), "right")) - 1)
         run = raw[edges[at] : edges[end]]
         up, down = _power(len(run) + 1)
@@ -52,17 +62,17 @@ class PieceEncoder:
 
     Byte-level BPE cuts before every single space between two other characters, so pieces encode independently and
     their ids concatenate to the ids of the whole text. Pieces not seen yet are encoded together in long strings and cut
-    apart by byte lengths, which spares a call for each. The cache knows pieces by 64-bit hashes: among the few million
-    that a worker holds, two collide with a probability below one in a million.
+    apart by byte lengths, which spares a call for each. Hashes find pieces in the cache; a piece found is compared with
+    the cached one byte by byte, and one whose hash belongs to another piece is known by its bytes alone.
     """
 
-    def __init__(self, path: str, most: int = 2_500_000, special_is_text: bool = True):
+    def __init__(self, path: str, most: int = 2_500_000, special_is_text: bool = False, most_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_is_text
-        self.most = most
+        self.most, self.most_bytes = most, most_bytes
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -73,20 +83,35 @@ class PieceEncoder:
     def _clear(self) -> None:
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # sorted; the second, of recent ones, is small
         self.at = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
-        self.n, self.n_ids = 0, 0
+        self.clashes: dict[tuple[bool, bytes], int] = {}
+        self.n, self.n_ids, self.n_bytes = 0, 0, 0
         self.starts, self.lens, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self._kind)
+        self.spelt, self.sizes, self.led, self.spelling = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool), np.zeros(1 << 18, np.uint8)
+
+    def _fresh(self) -> None:
+        if self.n > self.most or self.n_bytes > self.most_bytes:
+            self._clear()
 
-    def _add(self, keys: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
-        k = len(keys)
+    def _add(self, lens: np.ndarray, ids: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, led: np.ndarray) -> np.ndarray:
+        """Places of new pieces, given by the numbers of their ids, the ids, and their bytes."""
+        k, total = len(lens), int(sizes.sum())
         while self.n + k > len(self.lens):
-            self.starts, self.lens = (np.concatenate([x, x * 0]) for x in (self.starts, self.lens))
+            for name in ("starts", "lens", "spelt", "sizes", "led"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
         while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids * 0])
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n_bytes + total > len(self.spelling):
+            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
+        own = slice(self.n, self.n + k)
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.lens[self.n : self.n + k] = lens
-        self.starts[self.n : self.n + k] = self.n_ids + np.cumsum(lens) - lens
-        both, at = np.concatenate([self.keys[1], keys]), np.concatenate([self.at[1], np.arange(self.n, self.n + k, dtype=np.uint32)])
-        self.n, self.n_ids = self.n + k, self.n_ids + len(ids)
+        self.lens[own], self.starts[own] = lens, self.n_ids + np.cumsum(lens) - lens
+        self.spelling[self.n_bytes : self.n_bytes + total] = raw[_spread(starts, sizes)]
+        self.sizes[own], self.spelt[own], self.led[own] = sizes, self.n_bytes + np.cumsum(sizes) - sizes, led
+        self.n, self.n_ids, self.n_bytes = self.n + k, self.n_ids + len(ids), self.n_bytes + total
+        return np.arange(own.start, own.stop)
+
+    def _index(self, keys: np.ndarray, places: np.ndarray) -> None:
+        both, at = np.concatenate([self.keys[1], keys]), np.concatenate([self.at[1], places.astype(np.uint32)])
         level = 1
         if len(both) > 300_000:
             both, at, level = np.concatenate([self.keys[0], both]), np.concatenate([self.at[0], at]), 0
@@ -105,32 +130,50 @@ class PieceEncoder:
                 out[order[hit]] = at[i[hit]]
         return out
 
+    def _other(self, places: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, led: np.ndarray) -> np.ndarray:
+        """Which of the pieces at these places of the cache are not the ones given."""
+        out = (self.sizes[places] != sizes) | (self.led[places] != led)
+        same = np.flatnonzero(~out)
+        n = sizes[same]
+        differs = self.spelling[_spread(self.spelt[places[same]], n)] != raw[_spread(starts[same], n)]
+        if differs.any():
+            out[np.unique(np.repeat(same, n)[differs])] = True
+        return out
+
     def _places(self, strings: pa.Array, led: np.ndarray) -> np.ndarray:
         """Places of pieces; those that are led have a space before the string given."""
-        keys = _hashes(strings)
+        raw, edges = _layout(strings)
+        begins, sizes = edges[:-1], np.diff(edges)
+        keys = _hashes(raw, edges)
         keys[led] ^= _LED
         out = self._find(keys)
         new = np.flatnonzero(out < 0)
         if len(new):
             _, first = np.unique(keys[new], return_index=True)
             new = new[first]
-            filled = pc.binary_length(strings).to_numpy(zero_copy_only=False)[new]
-            joined, alone = new[led[new] & (filled > 0)], new[~(led[new] & (filled > 0))]
+            joined, alone = new[led[new] & (sizes[new] > 0)], new[~(led[new] & (sizes[new] > 0))]
             for i in range(0, len(joined), 2000):
                 some = joined[i : i + 2000]
                 ids = np.array(self.tokenizer.encode(" " + " ".join(strings.take(pa.array(some)).to_pylist()), add_special_tokens=False).ids, np.int64)
-                sizes = pc.binary_length(strings.take(pa.array(some))).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-                ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
-                self._add(keys[some], np.diff(ends, prepend=0), ids)
+                ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes[some] + 1)) + 1
+                self._index(keys[some], self._add(np.diff(ends, prepend=0), ids, raw, begins[some], sizes[some], led[some]))
             for i in range(0, len(alone), 2000):
                 some = alone[i : i + 2000]
-                texts = [" " * bool(x) + t for x, t in zip(led[some], strings.take(pa.array(some)).to_pylist(), strict=True)]
-                each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-                self._add(keys[some], np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64))
+                self._index(keys[some], self._add_alone(strings, some, raw, begins, sizes, led))
             unknown = np.flatnonzero(out < 0)
             out[unknown] = self._find(keys[unknown])
+        for i in np.flatnonzero(self._other(out, raw, begins, sizes, led)).tolist():  # another piece has the hash
+            name = (bool(led[i]), raw[begins[i] : edges[i + 1]].tobytes())
+            if name not in self.clashes:
+                self.clashes[name] = int(self._add_alone(strings, np.array([i]), raw, begins, sizes, led)[0])
+            out[i] = self.clashes[name]
         return out
 
+    def _add_alone(self, strings: pa.Array, some: np.ndarray, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, led: np.ndarray) -> np.ndarray:
+        texts = [" " * bool(x) + t for x, t in zip(led[some], strings.take(pa.array(some)).to_pylist(), strict=True)]
+        each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return self._add(np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64), raw, begins[some], sizes[some], led[some])
+
     def _batch_places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cache places of all pieces of the texts, and how many each text has."""
         odd = np.flatnonzero(pc.match_substring_regex(texts, _BESIDE).to_numpy(zero_copy_only=False))
@@ -183,8 +226,7 @@ class PieceEncoder:
         """Number of ids of each text of a column."""
         out = [np.zeros(0, np.int64)]
         for part in self.slices(column):
-            if self.n > self.most:
-                self._clear()
+            self._fresh()
             places, n = self._batch_places(part)
             sums = np.concatenate([[0], np.cumsum(self.lens[places], dtype=np.int64)])
             ends = np.cumsum(n)
@@ -194,8 +236,7 @@ class PieceEncoder:
     def encode_flat(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each run of texts: all their ids in one array, and where each text's ids end."""
         for part in self.slices(column):
-            if self.n > self.most:
-                self._clear()
+            self._fresh()
             places, n = self._batch_places(part)
             lens, starts = self.lens[places].astype(np.int64), self.starts[places]
             ends = np.cumsum(lens)
@@ -215,7 +256,7 @@ class PieceEncoder:
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, special_is_text: bool = True) -> PieceEncoder:
+def encoder(path: str, special_is_text: bool = False) -> PieceEncoder:
     """One encoder for each Python worker."""
     if (path, special_is_text) not in _encoders:
         _encoders[path, special_is_text] = PieceEncoder(path, special_is_text=special_is_text)

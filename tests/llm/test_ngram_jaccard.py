@@ -143,3 +143,11 @@ def test_sketches_never_part_a_link():
                     if 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)) and not (across and sides[i] == sides[j]):
                         assert least[i] == least[j]
             assert len(set(least)) >= 8
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    for n in (64, 1024, 2048):
+        t = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        u = t.translate(str.maketrans("ab", "ba"))
+        docs = [(1, t), (2, u), (3, f"{t} x y z"), (4, f"{u} x y z"), (5, t)]
+        assert got(spark, docs) == brute(docs, 3, 90, 100)

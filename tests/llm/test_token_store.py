@@ -11,15 +11,36 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+def twins(n=1024, letters="ab"):
+    """Two strings that polynomial hashes modulo 2 ** 64 can't tell apart, whatever their multiplier."""
+    t = "".join(letters[i.bit_count() & 1] for i in range(n))
+    return t, "".join(letters[1 - (i.bit_count() & 1)] for i in range(n))
+
+
+def test_pieces_of_one_hash_stay_apart(spark):
+    import pyarrow as pa
+
+    ids = plain()
+    for letters in ("ab", "ae"):
+        t, u = twins(letters=letters)
+        texts = [t, u, "x " + u, "y " + t, "x " + t + " " + u, u, t, f"{u} {u} {t}"]
+        enc = PieceEncoder(default_tokenizer())
+        for _ in range(2):
+            assert [list(x) for x in enc.encode(pa.array(texts, pa.string()))] == [ids(x) for x in texts]
+        got = {r["doc_id"]: r for r in token_store.token_store(table(spark, texts)).collect()}
+        assert [got[i * 3]["ids_crc32"] for i in range(len(texts))] == [zlib.crc32(np.array([*ids(x), 2], "<u4").tobytes()) for x in texts]
+        lens = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_lengths(table(spark, texts)).collect()}
+        assert [lens[i * 3] for i in range(len(texts))] == [len(ids(x)) for x in texts]
+
+
 def some_texts():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeèñß") for _ in range(rng.randint(1, 9))) for _ in range(300)]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 400))) for _ in range(60)]
-    odd = ["", None, " ", "  ", "a  b", " a b ", "x \n y", "a\x1cb c", "<|endoftext|> hi", "é   b", "don't 's x", "\t a", "12 !! ??", "日本 語", "\n"]
+    odd = ["", None, " ", "  ", "a  b", " a b ", "x \n y", "a\x1cb c", "<|endoftext|> hi", "a <|endoftext|> b", "a x<|endoftext|>y b<|endoftext|>", "é   b", "don't 's x", "\t a", "12 !! ??", "日本 語", "\n"]
     return base + odd + base[:20] + [" ".join(words * 60)] * 3
 
 
