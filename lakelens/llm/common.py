@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -16,18 +18,44 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share, which the session names in spark.checkpoint.dir. Where that is unset,
+    an own one if all runs in one process; an error on a cluster, whose machines would each write to their own disk."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="lakelens-")
     return _own_dir
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this application's intermediate tables."""
+    return f"{shared_dir(spark)}/lakelens/{spark.sparkContext.applicationId}"
+
+
+_released_at_exit: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lakelens/{tag}-{uuid.uuid4().hex}"
+    own = own_dir(spark)
+    if own not in _released_at_exit:
+        _released_at_exit.add(own)
+        atexit.register(_release_quietly, spark, own)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. Results not written elsewhere read them until then; they go at
+    the end of the application if it hasn't been stopped before."""
+    drop_path(spark, own_dir(spark))
+
+
+def _release_quietly(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        drop_path(spark, path)
 
 
 @contextlib.contextmanager
