@@ -74,7 +74,7 @@ def test_texts_longer_than_a_run(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "RUN", 700)
     got = [list(x) for x in suffix_dedup.contexts([t.encode() for _, t in docs])]
     whole = {}
-    for i, starts, ends, _, _ in got:
+    for i, starts, ends, _ in got:
         for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
             assert LEAST <= z - a <= 2 * LEAST
             whole.setdefault(i, []).extend(range(a, z - LEAST + 1))
@@ -95,3 +95,44 @@ def test_maximal_repeats_have_all_occurrences():
     assert (52, 2, ((0, 1), (1, 1), (2, 1))) in got
     assert (51, 2, ((0, 1), (1, 1), (2, 1), (3, 1))) in got
     assert (52, 3, ((1, 0), (3, 0))) in got
+
+
+def test_equal_hashes_do_not_make_equal_bytes(spark, monkeypatch):
+    """With a hash that tells nothing apart, results stay those of the bytes."""
+    import numpy as np
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [text(70) for _ in range(4)]
+    strings = [(text(5) + rng.choice(shared)[rng.randint(0, 10) :])[:82].encode() for _ in range(30)]
+    strings = sorted(set(strings))
+    data, lens = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    low = np.arange(len(strings))
+    want = sorted((n, least, sorted(p)) for n, least, p in suffix_dedup.maximal_repeats(data, np.cumsum(lens) - lens, lens, low))
+    monkeypatch.setattr(suffix_dedup, "_hash_of", lambda sums, down, starts, ends: np.zeros(len(starts), np.uint64))
+    assert want and sorted((n, least, sorted(p)) for n, least, p in suffix_dedup.maximal_repeats(data, np.cumsum(lens) - lens, lens, low)) == want
+
+
+def test_strings_that_hashes_cannot_tell_apart(spark):
+    t = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    u = t.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, t), (2, u), (3, "x" + u), (4, t[:1024]), (5, u[:1024])])
+
+
+def test_repeat_groups_name_every_occurrence(spark):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    p, q = text(60), text(55)
+    docs = [(1, text(30) + p + text(20)), (2, p), (3, text(9) + p + q), (4, q + text(40)), (4, q), (5, text(200)), (None, q)]
+    rows = suffix_dedup.repeat_groups(spark.createDataFrame([(d, t, "b", 1) for d, t in docs], SCHEMA).repartition(3)).collect()
+    data = [(d, t.encode()) for d, t in docs]
+    want, covered = {}, {}
+    for d, b in data:  # every window that documents of several ids hold, and where
+        for i in range(len(b) - LEAST + 1):
+            want.setdefault(b[i : i + LEAST], set()).add((d, i))
+    want = {w: at for w, at in want.items() if len({d for d, _ in at}) > 1}
+    for r in rows:
+        [whole] = {b[r["start"] : r["start"] + r["length"]] for d, b in data if d == r["doc_id"] and hashlib.sha256(b[r["start"] : r["start"] + r["length"]]).hexdigest() == r["repeat"]}
+        for i in range(r["length"] - LEAST + 1):
+            covered.setdefault(whole[i : i + LEAST], set()).add((r["doc_id"], r["start"] + i))
+    assert covered == want
