@@ -2,38 +2,40 @@
 
 Native: DataFrame expressions only. Words are runs of letters and digits in lower case; shingles are runs of five.
 
-1. Anchors: shingles of documents that occur in a benchmark item. A window and an item of similarity t > 0 share some,
-   and the item's distinct anchors in the document must come to t of its shingles, or no window can reach t.
-2. Windows of the item's length, at every place that the anchors' offsets allow. If all offsets lie to one side of a
-   window, moving it there loses no match; so windows between neighbouring offsets (less than two lengths apart) and
-   at offsets suffice, and none that reaches t is left out.
-3. SimHash: 64 bits, each the majority over the window's shingles with their multiplicities. Fingerprints of windows
-   and of items are cut into radius + 1 blocks; two within the radius agree on at least one, so an equality join over
-   (item, block, value) finds all of them. At similarity 0.8 of two sets of equal size, bits differ with probability
-   0.15, 9.7 of 64 on average, and more than the radius of 23 with probability below 1e-5. Where a shingle repeats, in
-   the item or the window, or where a text's edge makes the window shorter, more bits may differ: such windows go to
-   the exact check whatever their bits.
+1. Windows. Items of one number c of shingles are searched in windows of c shingles. Every place of every document is a
+   window's start, but those are left out of which fewer than threshold x c shingles belong to any item of that length:
+   they can't reach the threshold with one. A window that starts with a foreign shingle, or ends with one at the text's
+   end, only gains by moving on; so windows start at shingles of items, or, cut short by the text's begin, end there.
+2. SimHash: 64 bits, each the majority over the window's shingles with their multiplicities, for windows and items.
+3. Multi-index. Fingerprints are cut into BLOCKS blocks. Two that differ in at most `radius` bits differ in at most
+   radius / BLOCKS bits of some block; items stand under all values that near their own, windows look up their own.
+   An equality join over (length, block, value) so finds all items within the radius of each window.
+   At similarity 0.8 of two sets of equal size bits differ with probability 0.15, 9.7 of 64 on average, and more than
+   the radius of 19 with probability 0.0007. Where a shingle repeats, in the item or the window, or where a text's edge
+   makes the window shorter, more bits may differ: such windows meet items by a shingle in common instead.
 4. Exact similarity: shingles weighted by their multiplicity, sum of minima over sum of maxima.
 
 Items of fewer words than a shingle are one shingle, and match whole documents of the same words only.
 
 Defined results: null or empty texts and items match nothing; rows that share a doc_id (null too) are one document, of
-which any row may match; repeated items match each by its item_id; empty tables give an empty result; other columns
-are ignored.
+which any row may match; repeated items match each by its item_id; of windows of equal similarity the first counts;
+texts of any length are searched whole; empty tables, of documents or items, give an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-#: Benchmark shingles up to this count are broadcast; more are joined by shuffling.
-BROADCAST_SHINGLES = 1_000_000
-BITS = 64
+#: Tables of the benchmark up to this number of rows are broadcast; longer ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+BITS, BLOCKS = 64, 5
 
 
 def words(text: Column) -> Column:
@@ -64,11 +66,25 @@ def simhash(exploded: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
     return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """(number, value) of radius + 1 blocks of neighbouring bits."""
-    n = radius + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def _cuts() -> list[tuple[int, int]]:
+    edges = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def blocks(fp: Column) -> Column:
+    """(number, value) of each block of neighbouring bits."""
+    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(_cuts())])
+
+
+def near_blocks(fp: Column, radius: int) -> Column:
+    """(number, value) of all values that differ from a block in at most radius / BLOCKS bits."""
+
+    def near(i: int, a: int, b: int) -> Column:
+        masks = [sum(1 << x for x in bits) for k in range(radius // BLOCKS + 1) for bits in combinations(range(b - a), k)]
+        own = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.struct(F.lit(i).alias("no"), own.bitwiseXOR(m).alias("value")))
+
+    return F.concat(*[near(i, a, b) for i, (a, b) in enumerate(_cuts())])
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -78,64 +94,71 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 23) -> DataFrame:
-    """doc_id, item_id, similarity, start (shingle of the document) and hamming of the best window of each matching pair."""
-    items = materialize(_hashed(benchmark, "item_id", size).select("item_id", F.col("hashes").alias("item")), "items").where(F.size("item") > 0)
-    shingles = items.select("item_id", F.size("item").alias("c"), F.posexplode("item").alias("ipos", "h"))
-    small = shingles.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    side = F.broadcast(shingles) if small else shingles
+def _bounded(df: DataFrame) -> DataFrame:
+    """A table of the benchmark, broadcast after a count shows that it is short."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def places_of_item_shingles(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """doc_id, c, places: where a document holds shingles of items that have c of them, in order."""
+    shingles = items.select("c", F.explode("item").alias("h")).distinct()
     # An outer explode: for an inner one the optimizer would infer a filter and evaluate the hashes twice below it.
-    anchors = _hashed(docs, "doc_id", size).select("doc_id", F.posexplode_outer("hashes").alias("pos", "h")).join(side, "h")
-    pairs = (
-        anchors.groupBy("doc_id", "item_id", "c")
-        .agg(F.collect_set("ipos").alias("found"), F.array_sort(F.collect_set(F.col("pos") - F.col("ipos"))).alias("offsets"))
-        .where(F.size("found") >= F.lit(threshold) * F.col("c"))  # places of the item that any window can match
-    )
-    fill = F.transform(
-        "offsets",
-        lambda o, i: F.when(
-            (i > 0) & (o - F.get(F.col("offsets"), i - 1) < 2 * F.col("c")), F.sequence(F.get(F.col("offsets"), i - 1) + 1, o)
-        ).otherwise(F.array(o)),
-    )
-    starts = pairs.select("doc_id", "item_id", "c", F.flatten(fill).alias("starts"))
-    wanted = materialize(starts.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "c", "starts")).alias("wanted")), "windows")
+    held = _hashed(docs, "doc_id", size).select("doc_id", F.posexplode_outer("hashes").alias("pos", "h")).join(_bounded(shingles), "h")
+    return held.groupBy("doc_id", "c").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+
+
+def _spans(c: Column, places: Column, threshold: float) -> Column:
+    """(start, end) of the windows of c shingles that hold enough of these places."""
+    need = F.ceil(F.lit(threshold) * c - F.lit(1e-9)).cast("int")
+    span = lambda a, z: F.struct(a.cast("int").alias("start"), z.cast("int").alias("end"))
+    full = F.transform(places, lambda p, i: F.when(F.get(places, i + need - 1) < p + c, span(p, p + c)))
+    cut = F.transform(places, lambda p, i: F.when((i + 1 >= need) & (p + 1 < c), span(F.lit(0), p + 1)))
+    return F.filter(F.concat(full, cut), lambda x: x.isNotNull())
+
+
+def windows(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
+    """uid, doc_id, c, start and shingles of every window that could reach the threshold."""
+    spans = places_of_item_shingles(docs, items, size).select("doc_id", "c", _spans(F.col("c"), F.col("places"), threshold).alias("spans")).where(F.size("spans") > 0)
+    wanted = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("c", "spans")).alias("wanted")), "windows")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text"))
     held = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "wanted", words(text_of()).alias("w"))
     held = held.select("doc_id", "wanted", shingle_hashes(F.col("w"), size).alias("hashes"))
-    asked = held.select("doc_id", "hashes", F.explode("wanted").alias("x")).select("doc_id", "hashes", "x.item_id", "x.c", F.explode("x.starts").alias("start"))
-    first = F.greatest(F.col("start"), F.lit(0))
-    window = F.slice("hashes", first + 1, F.greatest(F.col("c") - (first - F.col("start")), F.lit(0)))
-    windows = materialize(asked.select("doc_id", "item_id", "start", window.alias("window")).where(F.size("window") > 0).distinct(), "window-shingles")
-    keys = ["doc_id", "item_id", "start"]
-    # Rows that share a doc_id may give different windows at one place; each is told apart by its content.
-    windows = windows.withColumn("content", F.xxhash64("window"))
-    prints = simhash(windows.select(*keys, "content", F.explode("window").alias("h")), [*keys, "content"])
-    item_prints = simhash(items.select("item_id", F.explode("item").alias("h")), ["item_id"])
+    by_length = held.select("doc_id", "hashes", F.explode("wanted").alias("x")).select("doc_id", "hashes", "x.c", "x.spans")
+    cut = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.slice("hashes", s["start"] + 1, s["end"] - s["start"]).alias("window")))
+    found = by_length.select("doc_id", "c", F.explode(cut).alias("x")).select("doc_id", "c", "x.start", "x.window").where(F.size("window") > 0)
+    return materialize(found.withColumn("uid", F.monotonically_increasing_id()), "window-shingles")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 19) -> DataFrame:
+    """doc_id, item_id, similarity, start (shingle of the document) and hamming of the best window of each matching pair."""
+    hashed = _hashed(benchmark, "item_id", size).where(F.size("hashes") > 0).select("item_id", F.col("hashes").alias("item"), F.size("hashes").alias("c"))
     repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
-    odd_items = items.select(F.col("item_id").alias("o"), F.size("item").alias("c"), repeats(F.col("item")).alias("odd")).distinct()
-    sized = windows.join(F.broadcast(odd_items) if small else odd_items, F.col("item_id").eqNullSafe(F.col("o")))
-    sure = sized.where(F.col("odd") | repeats(F.col("window")) | (F.size("window") < F.col("c"))).select(*keys, "content").distinct()
-    item_blocks = item_prints.select(F.col("item_id").alias("i"), F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("i", "item_fp", "b.no", "b.value")
-    found = (
-        prints.withColumn("b", F.explode(blocks(F.col("fp"), radius)))
-        .select(*keys, "content", "fp", F.col("b.no").alias("n"), F.col("b.value").alias("v"))
-        .join(F.broadcast(item_blocks) if small else item_blocks, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("n") == F.col("no")) & (F.col("v") == F.col("value")))
-        .select(*keys, "content", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"))
-        .where(F.col("hamming") <= radius)
+    # Items that share an item_id are told apart by a number of their own.
+    items = materialize(hashed.withColumns({"odd": repeats(F.col("item")), "iid": F.monotonically_increasing_id()}), "items")
+    seen = windows(docs, items, size, threshold).withColumn("odd", repeats(F.col("window")) | (F.size("window") < F.col("c")))
+
+    prints = simhash(seen.select("uid", "c", F.explode("window").alias("h")), ["uid", "c"])
+    item_prints = simhash(items.select("iid", "c", F.explode("item").alias("h")), ["iid", "c"])
+    index = item_prints.select("iid", F.col("fp").alias("item_fp"), "c", F.explode(near_blocks(F.col("fp"), radius)).alias("b")).select("iid", "item_fp", "c", "b.no", "b.value")
+    looked_up = prints.select("uid", "fp", "c", F.explode(blocks(F.col("fp"))).alias("b")).select("uid", "fp", "c", "b.no", "b.value")
+    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    near = looked_up.join(_bounded(index), ["c", "no", "value"]).where(differ <= radius).select("uid", "iid")
+
+    item_shingles = items.select("iid", "c", "odd", F.explode("item").alias("h"))
+    meet = lambda some, of: some.select("uid", "c", F.explode("window").alias("h")).join(_bounded(of), ["c", "h"]).select("uid", "iid")
+    odd = meet(seen.where("odd"), item_shingles.drop("odd")).unionByName(meet(seen.where("not odd"), item_shingles.where("odd").drop("odd")))
+
+    pairs = near.unionByName(odd).distinct()
+    checked = (
+        pairs.join(seen.select("uid", "doc_id", "start", "window"), "uid")
+        .join(_bounded(items.select("iid", "item_id", "item")), "iid")
+        .withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
+        .where(F.col("similarity") >= threshold)
     )
-    at = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "content"]]
-    of = item_prints.select(F.col("item_id").alias("i"), F.col("fp").alias("item_fp"))
-    odd = prints.alias("p").join(sure.alias("s"), reduce(lambda x, y: x & y, at), "left_semi")
-    odd = odd.join(F.broadcast(of) if small else of, F.col("item_id").eqNullSafe(F.col("i")))
-    found = found.unionByName(odd.select(*keys, "content", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"))).distinct()
-    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, "content"]])
-    near = found.alias("f").join(windows.alias("v"), same("f", "v")).select("f.doc_id", "f.item_id", "f.start", "f.hamming", "v.window")
-    it = items.select(F.col("item_id").alias("i"), "item")
-    checked = near.join(F.broadcast(it) if small else it, F.col("item_id").eqNullSafe(F.col("i"))).withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
+    checked = checked.join(prints.select("uid", "fp"), "uid").join(_bounded(item_prints.select("iid", F.col("fp").alias("item_fp"))), "iid").withColumn("hamming", differ)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("hamming")).alias("near"))).alias("best")
     return (
-        checked.where(F.col("similarity") >= threshold)
-        .groupBy("doc_id", "item_id")
+        checked.groupBy("doc_id", "item_id")
         .agg(best)
         .select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"), (-F.col("best.near")).alias("hamming"))
     )

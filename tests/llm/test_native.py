@@ -125,19 +125,65 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).collect() == []
 
 
-def test_blocks_find_all_within_the_radius(spark):
+def test_multi_index_finds_all_within_the_radius(spark):
     rng = random.Random(4)
-    a = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    a = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
     b = []
     for x in a:
-        for bit in rng.sample(range(63), rng.randint(0, 23)):
+        for bit in rng.sample(range(63), rng.randint(0, 19)):
             x ^= 1 << bit
         b.append(x)
     df = spark.createDataFrame(list(zip(a, b, strict=True)), "a bigint, b bigint")
-    shared = F.arrays_overlap(decontaminate.blocks(F.col("a"), 23), decontaminate.blocks(F.col("b"), 23))
+    shared = F.arrays_overlap(decontaminate.blocks(F.col("a")), decontaminate.near_blocks(F.col("b"), 19))
     assert df.where(~shared).count() == 0
 
 
+def near_items(rng, n):
+    """Items of words of their own, and copies of which every text lacks some, beside other words."""
+    items, rows = [], []
+    for i in range(n):
+        w = [f"w{i}x{j}" for j in range(rng.randint(15, 60))]
+        items.append((i, " ".join(w)))
+        for k in range(3):
+            v = list(w)
+            for _ in range(rng.choice([0, 1, 1, 1])):
+                v[rng.randrange(len(v))] = f"other{rng.randrange(10**9)}"
+            side = lambda: " ".join(f"s{rng.randrange(10**9)}" for _ in range(rng.randint(5, 30)))
+            rows.append((3 * i + k, f"{side()} {' '.join(v)} {side()}", "s"))
+    return items, rows
+
+
+def test_recall_of_fingerprints_alone(spark, monkeypatch):
+    """Every place of every document as a window: the fingerprints find what brute force finds, and so do they behind the
+    choice of windows."""
+    items, rows = near_items(random.Random(11), 60)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = set(brute_hits(rows, items))
+    screened = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+
+    def everywhere(d, its, size):
+        lengths = F.array(*[F.lit(r["c"]) for r in its.select("c").distinct().collect()])
+        n = d.select("doc_id", F.size(decontaminate.words(F.col("text"))).alias("n")).where("n > 0")
+        return n.select("doc_id", F.explode(lengths).alias("c"), F.sequence(F.lit(0), F.greatest(F.col("n") - size, F.lit(0))).alias("places"))
+
+    monkeypatch.setattr(decontaminate, "places_of_item_shingles", everywhere)
+    unscreened = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert len(want) > 90 and screened == unscreened and screened <= want
+    assert len(screened) >= 0.98 * len(want)
+
+
+def test_decontamination_of_repeats_and_nothing(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item)], "item_id bigint, text string")
+    rows = [(7, "clean", "s"), (7, f"a {item} b", "s"), (7, f"a {item} b", "s"), (None, item, "s"), (8, ("word " * 30_000) + item, "s")]
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()), key=str)
+    assert got == sorted([(d, i) for d in (7, 8, None) for i in (1, 2, None)], key=str)
+    assert decontaminate.decontaminate(docs(spark, rows), bench).collect() == []
+    nothing = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.contaminated(docs(spark, rows), nothing).collect() == []
+    assert decontaminate.decontaminate(docs(spark, rows), nothing).count() == len(rows)
+
+
 # ---- mixing
 
 
