@@ -39,9 +39,9 @@ def hot_texts(docs: DataFrame, n: int, prefix_chars: int) -> DataFrame:
     total = docs.select(F.lit(1)).count()
     share = min(1.0, SAMPLE * n / max(total, 1))
     sampled = _normalised(docs if share == 1.0 else docs.sample(share, seed=8), prefix_chars).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    least = max(total * share / (2 * n), 8.0)
-    found = [(r["h"], int(2 * n * r["k"] / max(total * share, 1)) + 2) for r in sampled.where(F.col("k") > least).orderBy(F.col("k").desc()).limit(2 * n).collect()]
-    return docs.sparkSession.createDataFrame(found, "hot bigint, salts int")
+    rows = max(total * share, 1.0)
+    found = sampled.where(F.col("k") > max(rows / (2 * n), 8.0)).orderBy(F.col("k").desc(), "h").limit(2 * n)
+    return materialize(found.select(F.col("h").alias("hot"), (F.ceil(F.col("k") * (2 * n / rows)) + 1).cast("int").alias("salts")), "hot-texts")
 
 
 def _opens(order: Window) -> Column:
