@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +96,11 @@ def unreproduced(claim: str, rows: list[tuple], sql: str = "", row_cap: int = 50
 
 
 def is_empty_result(rows: list[tuple]) -> bool:
-    """No rows, or a single number 0."""
-    return not rows or (len(rows) == 1 and len(rows[0]) == 1 and isinstance(rows[0][0], (int, float)) and rows[0][0] == 0)
+    """No rows, or a single number 0 of any kind, such as a count; a truth value is an answer."""
+    if len(rows) == 1 and len(rows[0]) == 1:
+        [value] = rows[0]
+        return isinstance(value, (int, float, Decimal)) and not isinstance(value, bool) and value == 0
+    return not rows
 
 
 def level_of(count: Column) -> Column:

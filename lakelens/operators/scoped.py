@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,13 +76,13 @@ def retrieve(
             again = checked(f"no such values: {dead}")
         except guard.GuardError:
             return failed("value_not_found", dead)
-        if dead_values(spark, again, tables):
+        if guard.lint(again, list(banned)) or dead_values(spark, again, tables):
             return failed("value_not_found", dead)
         sql = again
     try:
         ids = spark.sql(sql).select(F.col(id_column)).distinct()
         n = ids.count()
-    except Exception:
+    except PySparkException:  # the statement's own fault, or its data's
         return failed("sql_failed")
     if n == 0:
         verdict, _ = guard.zero_proof(spark, guard.validate(sql))
@@ -102,6 +103,19 @@ def dead_values(spark: SparkSession, sql: str, tables: dict[str, str]) -> list[t
     return guard.dead_literals(counts)
 
 
+def strip_citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """answer_id, text without the citations of ids that retrieved (answer_id, ids) doesn't hold, and a log of those."""
+    from ..functions.text import CITATION
+
+    both = answers.join(retrieved, "answer_id", "left")
+    held = F.coalesce("ids", F.expr("cast(array() as array<bigint>)"))
+    cited = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CITATION), 0)
+    alien = F.array_distinct(F.filter(cited, lambda c: ~F.array_contains(held, F.regexp_extract(c, CITATION, 1).cast("bigint"))))
+    clean = F.aggregate("removed", F.coalesce("text", F.lit("")), lambda text, c: F.replace(text, c, F.lit("")))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(clean, r" +([.,;:])", "$1"), " {2,}", " "))
+    return both.withColumn("removed", alien).select("answer_id", F.when(F.size("removed") > 0, clean).otherwise(F.col("text")).alias("text"), "removed")
+
+
 def cited_outside(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Answers (answer_id, text) with the ids that they cite but retrieved (answer_id, ids) doesn't hold."""
     from ..functions.text import cited_ids

@@ -219,7 +219,42 @@ def test_guard_details(spark):
     asked = guard.ask(spark, "q", lambda q, error: "SELECT nope FROM range(3)" if error is None else "SELECT id FROM range(3)")
     assert asked.retried and len(asked.rows) == 3
     assert [guard.route(False, ["x"]), guard.route(True, []), guard.route(None, None)] == ["sql", "vector", "scoped"]
-    assert guard.dead_literals([("c", "IN", "x", 0), ("c", "IN", "y", 3), ("c", "=", "z", 0)]) == [("c", "=", "z")]
+    assert guard.dead_literals([("c", "IN", "x", 1, 0), ("c", "IN", "y", 1, 3), ("c", "=", "z", 0, 0), ("c", "IN", "q", 2, 0)]) == [("c", "=", "z"), ("c", "IN", "q")]
+    lists = guard.literals("SELECT 1 FROM t WHERE c IN ('x') AND t.c IN ('z', 'y') AND NOT t.c = 'never' AND c NOT IN ('n')", ["c"])
+    assert [(x.op, x.value, x.list) for x in lists] == [("IN", "x", 1), ("IN", "z", 2), ("IN", "y", 2)]
+
+
+def test_lint_and_replies():
+    assert guard.lint("SELECT 1 FROM t WHERE true = flag AND a IS NOT NULL AND b = 'x' AND 'c = 1 IS NULL' = b") == []
+    assert guard.lint("SELECT 1 FROM t WHERE (t.a = 'x') IS NOT NULL") == ["null test of a comparison"]
+    for bad in ("1 = 1", "('a' <> 'b')", "x = 2 OR TRUE", "NOT (FALSE)"):
+        assert guard.lint(f"SELECT 1 FROM t WHERE {bad}") == ["constant comparison"], bad
+    assert guard.lint("SELECT 1 FROM t WHERE note NOT ILIKE '%x%'", ["note"]) == ["filter on note"]
+    assert guard.lint("SELECT note FROM t WHERE other = 'note = 1'", ["note"]) == []
+    assert guard.no_such_data("```\nno_such_data: the weather.\nmore```") == "the weather"
+    assert guard.no_such_data(" NO_SUCH_DATA:") == "this information" and guard.no_such_data("SELECT 1") is None
+    assert guard.without_fences("so:\n```SQL\nSELECT 1\n```\nthere") == "SELECT 1" and guard.without_fences(" SELECT 2 ") == "SELECT 2"
+
+
+def test_empty_results():
+    from decimal import Decimal
+
+    assert all(compare.is_empty_result(r) for r in ([], [(0,)], [(Decimal("0"),)], [(0.0,)]))
+    assert not any(compare.is_empty_result(r) for r in ([(False,)], [(None,)], [(3,)], [(0, 0)], [("0",)], [(0,), (0,)]))
+
+
+def test_latest_lines_over_batches(spark, tmp_path):
+    from lakelens.streaming import streams
+
+    source, target, kept = (f"{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    write = lambda rows: spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: streams.keep_latest(spark.readStream.schema("k int, at int, v string").parquet(source), target, kept, ["k"], "at").awaitTermination()
+    write([(1, 1, "a"), (2, 1, "b"), (1, 2, "c")])
+    stream()
+    write([(1, 3, "d"), (3, 3, "e")])
+    stream()
+    got = spark.read.parquet(f"{target}/v=1").select("k", "v", "first_seen").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "d", 1), (2, "b", 1), (3, "e", 3)]
 
 
 def test_scoped_machine(spark):
