@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stems
 from ..functions.text import STOP_WORDS, alnum_tokens, or_empty
 from ..functions.vector import dot
+from ..storage import file_system, materialize
 
 #: Query sides up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -31,33 +34,85 @@ def index_tokens(c: Column, stemmed: bool = False) -> Column:
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(term, doc_id, tf) and (doc_id, dl) of an inverted index."""
+    """(term, doc_id, tf, dl) and (doc_id, dl) of an inverted index; dl is the document's length in tokens."""
     words = docs.select(F.col(doc_id).alias("doc_id"), index_tokens(text, stemmed).alias("w"))
     lengths = words.select("doc_id", F.size("w").cast("bigint").alias("dl"))
-    terms = words.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return terms, lengths
-
-
-def bm25(terms: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+    each = words.select("doc_id", F.size("w").cast("bigint").alias("dl"), F.explode("w").alias("term"))
+    return each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl"), lengths
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: its tables and what is known of it."""
+
+    terms: DataFrame
+    lengths: DataFrame
+    meta: dict
+
+
+def store_index(docs: DataFrame, doc_id: str, text: Column, path: str, stemmed: bool = False) -> Index:
+    """Writes the index of a table in one pass over its texts: postings sorted by term within each file, so that a search
+    reads the row groups of its terms; lengths; and meta, written last, with the configuration and the counts."""
+    spark = docs.sparkSession
+    terms, _ = postings(docs, doc_id, text, stemmed)
+    materialize(terms.sortWithinPartitions("term", "doc_id"), "", f"{path}/terms")
+    held = spark.read.parquet(f"{path}/terms")
+    # Documents without a token have no posting, but count.
+    lengths = docs.select(F.col(doc_id).alias("doc_id")).join(held.select("doc_id", "dl").distinct(), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("bigint")).alias("dl"))
+    materialize(lengths, "", f"{path}/lengths")
+    one = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).first()
+    meta = {"stemmed": stemmed, "rows": one["n"], "tokens": one["dl"] or 0, "terms": held.count()}
+    spark.range(1).select(F.lit(json.dumps(meta)).alias("value")).coalesce(1).write.text(f"{path}/meta")
+    return Index(held, spark.read.parquet(f"{path}/lengths"), meta)
+
+
+def open_index(docs: DataFrame, path: str, stemmed: bool = False) -> Index | None:
+    """The index at a path, if it is there and fresh for these documents."""
+    spark = docs.sparkSession
+    fs, meta_path = file_system(spark, f"{path}/meta/_SUCCESS")
+    if not fs.exists(meta_path):
+        return None
+    meta = json.loads(spark.read.text(f"{path}/meta").head()["value"])
+    out = Index(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/lengths"), meta)
+    return out if index_fresh(meta, {"stemmed": stemmed}, out.lengths, docs) else None
+
+
+def lookup(index: Index, stemmed: bool) -> Index:
+    """The index, or an error if it isn't of the form that the search asks for."""
+    if index.meta.get("stemmed") != stemmed:
+        raise ValueError(f"the index is {'' if index.meta.get('stemmed') else 'not '}stemmed")
+    return index
+
+
+def bm25(terms: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None, stemmed: bool = False, stats: tuple[int, float] | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents of each query (query_id, query) by BM25.
 
     Only postings of query terms are read on; statistics are of the whole index, also when `allowed` (doc_id) restricts
-    the results. Documents without any query term are absent. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Scores are
-    rounded to 6 places before ties are broken by doc_id.
+    the results. stats: number of documents and their mean length, where they are known. Documents without any query
+    term are absent. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Scores are rounded to 6 places before ties are broken by
+    doc_id.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("query"), stemmed))).alias("term"))
-    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = float(stats["n"] or 0), float(stats["avgdl"] or 1.0) or 1.0
+    if stats is None:
+        one = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        stats = (one["n"] or 0, one["avgdl"] or 0.0)
+    n, avgdl = float(stats[0]), float(stats[1]) or 1.0
     wanted = terms.join(small(asked.select("term").distinct()), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = small(wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     hits = wanted if allowed is None else wanted.join(allowed, "doc_id", "left_semi")
-    hits = hits.join(df, "term").join(lengths, "doc_id")
+    hits = hits.join(df, "term")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = hits.withColumn("weight", weight).join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
+def search_index(index: Index, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+    """bm25() over a stored index."""
+    held = lookup(index, stemmed)
+    return bm25(held.terms, held.lengths, queries, k, allowed=allowed, stemmed=stemmed, stats=(held.meta["rows"], held.meta["tokens"] / max(held.meta["rows"], 1)))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key, with their rank from 1; partitions drop what can't qualify before the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
@@ -77,8 +132,6 @@ def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> D
     n = queries.count()
     if n <= BROADCAST_ROWS:
         return search(queries)
-    from ..llm.common import materialize
-
     count = -(-11 * n // (10 * BROADCAST_ROWS))  # a tenth of room, since hashes don't deal evenly
     out = None
     for i in range(count):
@@ -245,14 +298,15 @@ def hybrid(lexical: DataFrame, dense_: DataFrame, k: int = 10, candidates: int =
 RETRIEVERS = ("lexical", "dense", "hybrid", "hybrid_rerank")
 
 
-def conditions(lexical: DataFrame, dense_: DataFrame, texts: DataFrame, k: int, score: Callable[[Column, Column], Column] = word_overlap, candidates: int = 100, depth: int = 50) -> dict[str, DataFrame]:
-    """The four named rankings, (query_id, id, rank), from one deep list of each leg. texts: query_id, query, id, text of
-    every candidate pair, or of (id, text) and (query_id, query) crossed by the ranking itself."""
-    fused = hybrid(lexical, dense_, candidates * 2, candidates)
-    wide = fused.where(F.col("rank") <= depth).join(texts, ["query_id", "id"])
-    cut = lambda r: r.where(F.col("rank") <= k).select("query_id", "id", "rank")
-    return {"lexical": cut(lexical), "dense": cut(dense_), "hybrid": cut(fused), "hybrid_rerank": rerank(wide, score, k, depth).select("query_id", "id", "rank")}
+def conditions(lexical: DataFrame, dense_: DataFrame, queries: DataFrame, texts: DataFrame, k: int, score: Callable[[Column, Column], Column] = word_overlap, candidates: int = 100, depth: int = 50) -> dict[str, DataFrame]:
+    """The four named rankings, (query_id, id, rank) up to k, from one deep list of each leg, which are stored first.
+    queries: (query_id, query), texts: (id, text); only texts of candidates are read on."""
+    lexical, dense_ = materialize(lexical.select("query_id", "id", "rank"), "leg"), materialize(dense_.select("query_id", "id", "rank"), "leg")
+    fused = materialize(hybrid(lexical, dense_, candidates * 2, candidates).select("query_id", "id", "rank"), "fused")
+    cut = lambda r: r.where(F.col("rank") <= k)
+    return {"lexical": cut(lexical), "dense": cut(dense_), "hybrid": cut(fused), "hybrid_rerank": rerank(candidate_texts(fused, queries, texts, depth), score, k, depth).select("query_id", "id", "rank")}
 
 
-def search_text(acronym: Column, title: Column, text: Column) -> Column:
-    return F.concat_ws(" ", or_empty(acronym), or_empty(title), or_empty(text))
+def candidate_texts(ranking: DataFrame, queries: DataFrame, texts: DataFrame, depth: int = 50) -> DataFrame:
+    """query_id, query, id, text, rank of the first candidates of each query."""
+    return ranking.where(F.col("rank") <= depth).select("query_id", "id", "rank").join(texts, "id").join(queries, "query_id")
