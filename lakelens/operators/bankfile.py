@@ -1,4 +1,5 @@
-"""A bank as a table that changes all at once: additions and removals are validated, written beside it and swapped in."""
+"""A bank as a table that changes all at once: additions and removals are validated and written as a new version, and a
+pointer, renamed over the old one in one step, says which version is the bank."""
 
 from __future__ import annotations
 
@@ -7,30 +8,48 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import file_system
 from .records import violations
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def _version(spark: SparkSession, path: str) -> str | None:
+    fs, pointer = file_system(spark, f"{path}/CURRENT")
+    if not fs.exists(pointer):
+        return None
+    return spark.read.text(f"{path}/CURRENT").head()["value"].strip()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The bank, or none where there is none yet."""
+    version = _version(spark, path)
+    return None if version is None else spark.read.parquet(f"{path}/{version}")
 
 
 def swap(new: DataFrame, path: str) -> None:
-    """Writes the table beside its place, then renames: readers see the old one or the new one."""
+    """Writes a new version beside the old one and moves the pointer: readers see the old version or the new one, whole,
+    at any time, and a write that fails between changes nothing. The version before stays for those that still read it,
+    and older ones go."""
     spark = new.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    new.coalesce(1).write.parquet(fresh)
-    fs, here = _path(spark, path)
-    if fs.exists(here):
-        fs.rename(here, _path(spark, old)[1])
-    fs.rename(_path(spark, fresh)[1], here)
-    fs.delete(_path(spark, old)[1], True)
+    before, version = _version(spark, path), f"v-{uuid.uuid4().hex}"
+    new.coalesce(1).write.parquet(f"{path}/{version}")
+    fs, fresh = file_system(spark, f"{path}/.CURRENT-{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._jvm.org.apache.hadoop.fs.Options
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(file_system(spark, f"{path}/CURRENT")[1]), overwrite)
+    for f in fs.listStatus(file_system(spark, path)[1]):
+        if f.getPath().getName().startswith("v-") and f.getPath().getName() not in (before, version):
+            fs.delete(f.getPath(), True)
 
 
 def promote(spark: SparkSession, bank_path: str, drafts: DataFrame) -> int:
     """Adds drafts to the bank if the whole still validates; returns how many."""
-    fs, here = _path(spark, bank_path)
-    whole = spark.read.parquet(bank_path).unionByName(drafts) if fs.exists(here) else drafts
+    bank = current(spark, bank_path)
+    whole = drafts if bank is None else bank.unionByName(drafts)
     broken = violations(whole).limit(20).collect()
     if broken:
         raise ValueError("; ".join(f"{r['question_id']}: {r['violation']}" for r in broken))
@@ -40,14 +59,17 @@ def promote(spark: SparkSession, bank_path: str, drafts: DataFrame) -> int:
 
 
 def archive(spark: SparkSession, bank_path: str, archive_path: str, ids: list[str], reason: str) -> int:
-    """Moves records to the archive: it is written first, so that a failure between leaves a record twice, never lost."""
-    bank = spark.read.parquet(bank_path)
-    gone = bank.where(F.col("question_id").isin(ids))
-    if (n := gone.count()) != len(set(ids)):
+    """Moves records to the archive, a bank of its own. The archive is written first, so a failure between leaves a record
+    in both, never in none; a record that the archive has already is replaced there, so trying again doubles none."""
+    bank = current(spark, bank_path)
+    gone = None if bank is None else bank.where(F.col("question_id").isin(ids))
+    if gone is None or (n := gone.count()) != len(set(ids)):
         raise ValueError("some ids are not in the bank")
     twins = bank.where(F.col("twin_id").isin(ids) & ~F.col("question_id").isin(ids)).select("question_id").collect()
     if twins:
         raise ValueError(f"twins stay behind: {sorted(r[0] for r in twins)}")
-    gone.withColumns({"reason": F.lit(reason), "archived_at": F.current_timestamp()}).coalesce(1).write.mode("append").parquet(archive_path)
+    moved = gone.withColumns({"reason": F.lit(reason), "archived_at": F.current_timestamp()})
+    held = current(spark, archive_path)
+    swap(moved if held is None else held.where(~F.col("question_id").isin(ids)).unionByName(moved), archive_path)
     swap(bank.where(~F.col("question_id").isin(ids)), bank_path)
     return n

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import paragraphs
+from ..functions.text import or_empty, paragraphs, sentences
 
 # The chunk policy.
 TARGET, CAP, OVERLAP, SAFETY, LEAST_BUDGET = 400, 512, 50, 8, 32
@@ -107,18 +107,77 @@ class Chunker:
 
 
 def chunk_table(sections: DataFrame, chunker: Chunker | None = None) -> DataFrame:
-    """chunk_id, project_id, source, section, n_tokens, text from (project_id, header, source, section, text)."""
+    """chunk_id, project_id, source, section, n_tokens, text from (project_id, header, source, section, text); Arrow
+    batches of lists in and out."""
     c = chunker or Chunker()
+    schema = pa.schema([("chunk_id", pa.string()), ("project_id", pa.int64()), ("source", pa.string()), ("section", pa.string()), ("n_tokens", pa.int32()), ("text", pa.string())])
 
     def run(batches):
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                for i, x in enumerate(c.chunks(r.text, f"{r.header} | {r.section}", whole=r.source == "objective")):
-                    rows.append((f"{r.project_id}:{r.source}:{r.section}:{i:03d}", r.project_id, r.source, r.section, c.n(x), x))
-            yield pd.DataFrame(rows, columns=["chunk_id", "project_id", "source", "section", "n_tokens", "text"])
+            ids, headers, sources, names, texts = (b.column(i).to_pylist() for i in range(5))
+            cut = [c.chunks(text, f"{header} | {name}", whole=source == "objective") for header, source, name, text in zip(headers, sources, names, texts, strict=True)]
+            at = [i for i, chunks in enumerate(cut) for _ in chunks]
+            flat = [x for chunks in cut for x in chunks]
+            keys = [f"{ids[i]}:{sources[i]}:{names[i]}:{n:03d}" for i, chunks in enumerate(cut) for n in range(len(chunks))]
+            cols = [keys, [ids[i] for i in at], [sources[i] for i in at], [names[i] for i in at], [c.n(x) for x in flat], flat]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return sections.select(F.col("project_id").cast("bigint"), "header", "source", "section", "text").mapInArrow(run, "chunk_id string, project_id bigint, source string, section string, n_tokens int, text string")
+
+
+def report_sections(projects: DataFrame, reports: DataFrame) -> DataFrame:
+    """project_id, header, source, section, text of what is cut: each project's objective, and the named sections of its
+    reports. projects: id, acronym, title, objective; reports: project_id, and a column for each section."""
+    from ..functions.text import header
+
+    own = projects.select(F.col("id").alias("project_id"), header(F.col("acronym"), F.col("title"), F.lit("objective")).alias("header"), F.lit("objective").alias("source"), F.lit("objective").alias("section"), F.col("objective").alias("text"))
+    names = [c for c in reports.columns if c != "project_id"]
+    each = reports.select("project_id", F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(n).alias("text")) for n in names])).alias("x")).select("project_id", "x.section", "x.text")
+    heads = projects.select(F.col("id").alias("project_id"), "acronym", "title")
+    told = each.join(heads, "project_id").select("project_id", header(F.col("acronym"), F.col("title"), F.col("section")).alias("header"), F.lit("report").alias("source"), "section", "text")
+    return own.unionByName(told).where(F.trim(or_empty(F.col("text"))) != "")
+
+
+def structure_first(c: Column, target: int = TARGET * 4, cap: int = CAP * 4) -> Column:
+    """Texts of chunks by characters: paragraphs packed, with line breaks, up to the target; one beyond the cap stands
+    apart, as its sentences packed without a break up to the cap. A fold over the paragraphs, inside the JVM."""
+    flat = F.transform(
+        paragraphs(c),
+        lambda p: F.when(F.length(p) > cap, F.transform(sentences(p), lambda s, i: F.struct(s.alias("text"), F.lit(cap).alias("most"), F.lit("").alias("glue"), (i == 0).alias("opens")))).otherwise(
+            F.array(F.struct(p.alias("text"), F.lit(target).alias("most"), F.lit("\n").alias("glue"), F.lit(False).alias("opens")))
+        ),
+    )
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("text"), F.lit("").alias("glue"))
+
+    def step(acc: Column, x: Column) -> Column:
+        none = acc["text"] == ""
+        # Sentences of a long paragraph never share a chunk with what stands before or after it.
+        shut = ~none & (x["opens"] | (acc["glue"] != x["glue"]) | (F.length(acc["text"]) + F.length(x["glue"]) + F.length(x["text"]) > x["most"]))
+        return F.struct(
+            F.when(shut, F.concat(acc["done"], F.array(acc["text"]))).otherwise(acc["done"]).alias("done"),
+            F.when(none | shut, x["text"]).otherwise(F.concat(acc["text"], x["glue"], x["text"])).alias("text"),
+            x["glue"].alias("glue"),
+        )
+
+    return F.aggregate(F.flatten(flat), start, step, lambda acc: F.when(acc["text"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["text"]))))
+
+
+def split_paragraphs(c: Column, size: int = TARGET * 4) -> Column:
+    """(n, split): paragraphs of a text, and how many of them a cut after every `size` characters would part."""
+    text = or_empty(c)
+    lines = F.split(text, "\n")
+    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("split"))
+
+    def step(acc: Column, line: Column) -> Column:
+        body = F.trim(line)
+        begin = acc["at"] + F.length(line) - F.length(F.ltrim(line))
+        end = begin + F.length(body)
+        # A multiple of size strictly between begin and end, and within the text.
+        cut = F.greatest(F.floor(begin / size) + 1, F.lit(1)) * size
+        parted = (body != "") & (cut < end) & (cut < F.length(text))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), (acc["n"] + (body != "").cast("int")).alias("n"), (acc["split"] + parted.cast("int")).alias("split"))
 
-    return sections.select("project_id", "header", "source", "section", "text").mapInPandas(run, "chunk_id string, project_id bigint, source string, section string, n_tokens int, text string")
+    return F.aggregate(lines, empty, step, lambda acc: F.struct(acc["n"].alias("n"), acc["split"].alias("split")))
 
 
 def boundary_quality(chunks: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:

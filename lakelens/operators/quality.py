@@ -41,6 +41,23 @@ class Suite:
         lost = child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias("__p")), F.col(key) == F.col("__p"), "left_anti").agg(F.count(F.lit(1)).alias("x"))
         return self.add(name, lost, F.col("x"), F.col("x") == 0)
 
+    def exactly_one(self, name: str, df: DataFrame, key: str, condition: Column, parent: DataFrame | None = None, parent_key: str | None = None) -> Suite:
+        """Every key has one row that meets the condition; keys of a parent without such a row count as well."""
+        n = df.groupBy(F.col(key).alias("__k")).agg(F.count_if(condition).alias("n"))
+        if parent is not None:
+            n = parent.select(F.col(parent_key).alias("__p")).distinct().join(n, F.col("__p") == F.col("__k"), "left")
+        return self.add(name, n.agg(F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("x")), F.col("x"), F.col("x") == 0)
+
+    def equal(self, name: str, one_row: DataFrame, observed: Column, wanted) -> Suite:
+        return self.add(name, one_row, observed, observed == F.lit(wanted))
+
+    def values(self, name: str, df: DataFrame, column: str, wanted: list[str]) -> Suite:
+        """The known values of a column are exactly these; observed are those that are more or fewer."""
+        held = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct()
+        should = held.sparkSession.createDataFrame([(w,) for w in wanted], "w string")
+        off = held.join(should, F.col("v") == F.col("w"), "full").where("v is null or w is null").select(F.coalesce("v", "w").alias("x"))
+        return self.add(name, off.agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("x")), F.col("x"), F.col("x") == "")
+
     def share(self, name: str, df: DataFrame, condition: Column, least: float) -> Suite:
         one = df.agg(F.round(F.count_if(condition) / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("x"))
         return self.add(name, one, F.col("x"), F.col("x") >= least)
@@ -56,6 +73,45 @@ class Suite:
         return out
 
 
+def report_load(reports: DataFrame, n_sources: int, summary: DataFrame, projects: DataFrame, least_chars: int = 100, most_bare: float = 0.02) -> DataFrame:
+    """The checks of loaded reports (rcn, id, project_id, text): all sources parsed, one report for each summary row, no
+    orphans, ids that begin with their project, and texts of more than some characters in all but a few."""
+    n = reports.agg(F.count(F.lit(1)).alias("x"))
+    lost = summary.select(F.col("rcn").alias("s")).join(reports.select("rcn"), F.col("s") == F.col("rcn"), "left_anti").agg(F.count(F.lit(1)).alias("x"))
+    apart = reports.agg(F.count_if(F.col("project_id").cast("string") != F.substring_index("id", "_", 1)).alias("x"))
+    bare = reports.agg(F.count_if(F.coalesce(F.length("text"), F.lit(0)) <= least_chars).alias("x"), F.count(F.lit(1)).alias("n"))
+    return (
+        Suite()
+        .equal("all sources parsed", n, F.col("x"), n_sources)
+        .add("a report for each summary row", lost, F.col("x"), F.col("x") == 0)
+        .no_orphans("project exists", reports, "project_id", projects, "id")
+        .add("id begins with its project", apart, F.col("x"), F.col("x") == 0)
+        .add("text present", bare, F.col("x"), F.col("x") < F.col("n") * most_bare)
+        .result()
+    )
+
+
+def regression(tables: dict[str, DataFrame], documented: dict[str, dict]) -> DataFrame:
+    """name, observed, ok of documented facts of tables: {table: {rows, columns, values: {column: [..]}, nulls: {column: n},
+    range: {column: (low, high)}}}; facts that aren't given aren't checked."""
+    suite = Suite()
+    for name, facts in documented.items():
+        df = tables[name]
+        if "columns" in facts:
+            off = ",".join(sorted(set(df.columns) ^ set(facts["columns"])))
+            one = df.sparkSession.range(1)
+            suite.add(f"{name}: columns", one, F.lit(off), F.lit(off == ""))
+        if "rows" in facts:
+            suite.equal(f"{name}: rows", df.agg(F.count(F.lit(1)).alias("x")), F.col("x"), facts["rows"])
+        for column, wanted in facts.get("values", {}).items():
+            suite.values(f"{name}.{column}: values", df, column, wanted)
+        for column, n in facts.get("nulls", {}).items():
+            suite.equal(f"{name}.{column}: nulls", df.agg(F.count_if(F.col(column).isNull()).alias("x")), F.col("x"), n)
+        for column, (low, high) in facts.get("range", {}).items():
+            suite.inside(f"{name}.{column}: range", df, column, low, high)
+    return suite.result()
+
+
 def schema_check(actual: DataFrame, expected: dict[str, list[str]]) -> DataFrame:
     """table, problem: what a catalog (table, column) lacks or has beyond the documented columns."""
     spark = actual.sparkSession

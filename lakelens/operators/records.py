@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty
+from .compare import in_window
 
 UNCLASSIFIED, TOP_ONLY = "(unclassified)", "(top-level only)"
 
@@ -53,6 +54,24 @@ def collapse(journal: DataFrame, keys: list[str], order: str) -> DataFrame:
     return journal.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("last"), F.min(order).alias("first_seen")).select(*keys, "last.*", "first_seen")
 
 
+def overlaps(cohorts: dict[str, DataFrame], key: str) -> DataFrame:
+    """key, cohorts: ids that several of the named cohorts hold; none if they are disjoint."""
+    every = None
+    for name, df in cohorts.items():
+        part = df.select(key, F.lit(name).alias("cohort")).distinct()
+        every = part if every is None else every.unionByName(part)
+    held = every.groupBy(key).agg(F.array_sort(F.collect_set("cohort")).alias("cohorts"))
+    return held.where(F.size("cohorts") > 1)
+
+
+def taken(cohorts: list[DataFrame], key: str) -> DataFrame:
+    """The distinct ids that any cohort holds."""
+    out = cohorts[0].select(key)
+    for c in cohorts[1:]:
+        out = out.unionByName(c.select(key))
+    return out.distinct()
+
+
 def pending(planned: DataFrame, journal: DataFrame, keys: list[str]) -> DataFrame:
     """Planned pairs that a resumed run still has to do."""
     return planned.join(journal.select(*keys).distinct(), keys, "left_anti")
@@ -86,10 +105,11 @@ def folded_slots(lines: DataFrame, key: str, order: str) -> DataFrame:
     return each.select(key, F.aggregate(listed("d"), none("d"), judged).alias("decisions"), F.aggregate(F.flatten(listed("f")), none("f"), found).alias("findings"))
 
 
-def steps(events: DataFrame, key: str, at: str, opens: Column, ends: Column) -> DataFrame:
+def steps(events: DataFrame, key: str, at: str, opens: Column, ends: Column, then: str | None = None) -> DataFrame:
     """key, n_steps, active, span in seconds. An event that opens starts a step; a step ends at its last event that ends
-    one; what lies between steps is nobody's. Work before the first opener is a step of its own."""
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    one; what lies between steps is nobody's. Work before the first opener is a step of its own. then: orders events of
+    one moment."""
+    w = Window.partitionBy(key).orderBy(*[at, then][: 1 + (then is not None)]).rowsBetween(Window.unboundedPreceding, 0)
     numbered = events.withColumn("step", F.sum(opens.cast("int")).over(w)).withColumn("__e", ends)
     per = numbered.groupBy(key, "step").agg(F.min(at).alias("a"), F.max(F.when(F.col("__e"), F.col(at))).alias("z"), F.min(at).alias("lo"), F.max(at).alias("hi"))
     seconds = F.greatest(F.coalesce(F.unix_micros("z") - F.unix_micros("a"), F.lit(0)), F.lit(0)) / 1e6
@@ -111,6 +131,25 @@ def merged_maps(df: DataFrame, key: str, column: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias(column))
 
 
+def rolled_up(usage: DataFrame, key: str, model: str, tokens: str) -> DataFrame:
+    """key, models (sorted), tokens by model as a map, and their sum: one shuffle of sums by model."""
+    each = usage.groupBy(key, model).agg(F.sum(tokens).alias("__v"))
+    return each.groupBy(key).agg(
+        F.array_sort(F.collect_list(model)).alias("models"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(model), F.col("__v"))))).alias("by_model"),
+        F.sum("__v").alias("total"),
+    )
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, upper_median: the value at place n // 2 (from 0) of each group's known values in order. Equal values are
+    counted first, and running counts find the place, so that no group is gathered as a list."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*keys).orderBy(value))
+    n = F.sum("__m").over(Window.partitionBy(*keys))
+    return counted.withColumns({"__upto": upto, "__n": n}).where(F.col("__upto") > F.floor(F.col("__n") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
+
+
 def cell(value: Column) -> list[Column]:
     """Count, mean, minimum, median and maximum of the known values."""
     return [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.round(F.median(value), 6).alias("median"), F.max(value).alias("most")]
@@ -181,6 +220,12 @@ def violations(bank: DataFrame) -> DataFrame:
     """question_id, violation: one row for each broken rule of a record or between records."""
     size = F.coalesce(F.size("gold_project_ids"), F.lit(0))
     topical = F.col("expected_route").isin("vector", "hybrid")
+    has = lambda c: F.lit(c in bank.columns)
+    answer = F.col("answer_columns") if "answer_columns" in bank.columns else F.lit(None).cast("array<string>")
+    review = F.trim(or_empty(F.col("override_reason"))) if "override_reason" in bank.columns else F.lit("")
+    level = F.when(size == 1, "L1").when(size.between(2, 4), "L2").when(size >= 5, "L3")
+    survivors = F.coalesce(F.size("filter_evidence.survivor_ids"), F.lit(0))
+    fits = in_window(F.col("subtype"), survivors)
     bounds = F.lit(False)
     for name, (low, high) in GOLD_BOUNDS.items():
         bounds = bounds | ((F.col("subtype") == name) & ((size < low) | ((size > high) if high else F.lit(False))))
@@ -193,6 +238,16 @@ def violations(bank: DataFrame) -> DataFrame:
         "repeated gold ids": size > F.coalesce(F.size(F.array_distinct("gold_project_ids")), F.lit(0)),
         "gold count outside the subtype": (F.col("expected_route") == "hybrid") & bounds,
         "gold outside the survivors": F.coalesce(F.size(F.array_except("gold_project_ids", F.col("filter_evidence.survivor_ids"))) > 0, F.lit(False)),
+        "hybrid without filter evidence": (F.col("expected_route") == "hybrid") & F.col("filter_evidence").isNull(),
+        "filter evidence on another route": F.col("filter_evidence").isNotNull() & ~F.coalesce(F.col("expected_route").isin("hybrid", "adversarial"), F.lit(False)),
+        "repeated survivors": survivors > F.coalesce(F.size(F.array_distinct("filter_evidence.survivor_ids")), F.lit(0)),
+        "survivors outside the subtype's window": (F.col("expected_route") == "hybrid") & F.col("filter_evidence").isNotNull() & ~F.coalesce(fits, F.lit(True)) & (review == ""),
+        "level unlike the gold count": (F.col("expected_route") == "vector") & (size > 0) & ~F.col("level").eqNullSafe(level) & (review == ""),
+        "unknown subtype": (F.col("expected_route") == "hybrid") & F.col("subtype").isNotNull() & ~F.coalesce(F.col("subtype").isin(*GOLD_BOUNDS), F.lit(False)),
+        "adversarial with gold": (F.col("expected_route") == "adversarial") & ((size > 0) | (F.trim(or_empty(F.col("gold_sql"))) != "")),
+        "answer columns without gold sql": has("answer_columns") & (F.coalesce(F.size(answer), F.lit(0)) > 0) & (F.trim(or_empty(F.col("gold_sql"))) == ""),
+        "repeated answer columns": has("answer_columns") & (F.coalesce(F.size(answer), F.lit(0)) > F.coalesce(F.size(F.array_distinct(F.transform(answer, lambda c: F.lower(c)))), F.lit(0))),
+        "bad id": ~F.coalesce(F.col("question_id").rlike("^[a-z][a-z0-9-]*$"), F.lit(False)),
         "no absence proof": (F.col("expected_route") == "adversarial") & (F.coalesce(F.size("absence_evidence"), F.lit(0)) == 0),
     }
     own = bank.select("question_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("violation"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import file_system
+
 # ---- delimited text with literal ";" between quotes
 
 
@@ -60,6 +63,27 @@ def cast_losses(raw: DataFrame, mapping: dict[str, tuple[str, str]]) -> DataFram
     return one.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
+def write_delimited(df: DataFrame, path: str) -> None:
+    """Text columns as RFC 4180 files with a header: every field quoted, quotes doubled, line breaks kept inside."""
+    cols = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns]
+    df.select(*cols).write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """RFC 4180 files as text columns, none of them null; lines of any length. names: the header, where it is known, so
+    that no file is read for it."""
+    r = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").option("maxCharsPerColumn", "-1").option("nullValue", "\u0000").option("emptyValue", "")
+    if names:
+        r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return r.csv(path).na.fill("")
+
+
+def write_typed(raw: DataFrame, mapping: dict[str, tuple[str, str]], path: str) -> DataFrame:
+    """Writes a staged table as a typed one, replacing what is there, and gives the stored table."""
+    typed_table(raw, mapping).write.mode("overwrite").parquet(path)
+    return raw.sparkSession.read.parquet(path)
+
+
 # ---- XML, JSON lines, Markdown
 
 
@@ -71,26 +95,43 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
     return spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(s).load(path)
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, exclude: str | None = None) -> DataFrame:
-    """JSON lines below a path, with file and label (the file's folder). strict: raises and names all bad lines; else
-    they are left out. exclude: part of a path that drops a file."""
+def _jsonl(spark: SparkSession, path: str | list[str], schema: str, exclude: str | None) -> DataFrame:
     s = T.StructType.fromDDL(schema).add("_bad", "string")
     rows = spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").json(path)
     rows = rows.withColumn("file", F.col("_metadata.file_path"))
     if exclude:
         rows = rows.where(~F.contains(F.col("file"), F.lit(exclude)))
-    rows = rows.withColumn("label", F.element_at(F.split("file", "/"), -2))
+    return rows.withColumn("label", F.element_at(F.split("file", "/"), -2))
+
+
+def bad_lines(spark: SparkSession, path: str | list[str], schema: str, exclude: str | None = None) -> DataFrame:
+    """file, label, line, parsed: every line below a path that is no JSON of the schema, and what of it could be read."""
+    fields = F.to_json(F.struct(*T.StructType.fromDDL(schema).names))
+    return _jsonl(spark, path, schema, exclude).where("_bad is not null").select("file", "label", F.col("_bad").alias("line"), fields.alias("parsed"))
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, exclude: str | None = None) -> DataFrame:
+    """JSON lines below a path, with file and label (the file's folder). strict: raises if there are bad lines, and tells
+    how many each file has and the first of each; bad_lines() gives them all. Else they are left out. exclude: part of
+    a path that drops a file."""
+    rows = _jsonl(spark, path, schema, exclude)
     if strict:
-        bad = rows.where("_bad is not null").limit(20).collect()
+        found = bad_lines(spark, path, schema, exclude)
+        bad = found.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("parsed")).orderBy("file").collect()  # a row for each bad file
         if bad:
-            raise ValueError("; ".join(f"{r['file']}: {r['_bad'][:80]}" for r in bad))
+            raise ValueError("; ".join(f"{r['file']}: {r['n']} bad lines, such as {r['first'][:80]}" for r in bad))
         return rows.drop("_bad")
     return rows.where("_bad is null").drop("_bad")
 
 
+def _after(parts: Column) -> Column:
+    """What follows the first piece."""
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def markdown_sections(text: Column) -> Column:
     """(title, body) of each second-level heading."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n## "), 2, 100_000)
+    parts = _after(F.split(F.concat(F.lit("\n"), text), r"\n## "))
     return F.transform(parts, lambda p: F.struct(F.substring_index(p, "\n", 1).alias("title"), F.trim(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p))).alias("body")))
 
 
@@ -100,36 +141,100 @@ def markdown_rows(text: Column) -> Column:
     return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
+def allocation(text: Column) -> Column:
+    """(route, level, target) of an allocation table: rows whose first cell names a route and whose others are counts, one
+    for each level that the table's heading names. A total, in row or column, is left out."""
+    rows = markdown_rows(text)
+    head = F.get(rows, F.lit(0))
+    body = F.filter(rows, lambda r, i: (i > 0) & ~F.lower(F.get(r, F.lit(0))).startswith("total"))
+    count = lambda c: F.regexp_extract(c, r"^\**\s*([0-9]+)", 1).try_cast("int")
+    name = lambda c: F.trim(F.regexp_replace(c, r"[*`]", ""))
+    cells = F.transform(body, lambda r: F.transform(F.slice(r, F.lit(2), F.size(r) - 1), lambda c, i: F.struct(name(F.get(r, F.lit(0))).alias("route"), name(F.get(head, i + 1)).alias("level"), count(c).alias("target"))))
+    return F.filter(F.flatten(cells), lambda x: x["target"].isNotNull() & ~F.lower(x["level"]).startswith("total"))
+
+
+def frontier_rows(text: Column) -> Column:
+    """(bucket, n, status) of a frontier's table: 'first / second' of a taxonomy, a count with or without separators, a
+    status; other rows are none."""
+    fits = F.filter(markdown_rows(text), lambda r: (F.size(r) >= 3) & F.contains(F.get(r, F.lit(0)), F.lit(" / ")) & F.get(r, F.lit(1)).rlike(r"^[0-9][0-9,]*$"))
+    return F.transform(fits, lambda r: F.struct(F.get(r, F.lit(0)).alias("bucket"), F.replace(F.get(r, F.lit(1)), F.lit(",")).cast("bigint").alias("n"), F.get(r, F.lit(2)).alias("status")))
+
+
 def id_blocks(text: Column) -> Column:
     """(id, body) of each block that a line '- id: X' opens."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n\s*-\s*id:\s*"), 2, 100_000)
+    parts = _after(F.split(F.concat(F.lit("\n"), text), r"\n\s*-\s*id:\s*"))
     return F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("id"), F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p)).alias("body")))
 
 
-# ---- vectors, journals, samples, lookups, catalog
+# ---- vectors, journals
 
 
-def save_index(vectors: DataFrame, path: str, model: str, dim: int) -> None:
-    """Vectors as Parquet, and beside them what a reader must know."""
+def save_index(vectors: DataFrame, path: str, model: str, dim: int, weights: str = "") -> None:
+    """Vectors as Parquet, and beside them what a reader must know: the model, the hash of its weights, the dimension."""
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    meta = json.dumps({"model": model, "dim": dim, "rows": vectors.count()})
+    meta = json.dumps({"model": model, "weights": weights, "dim": dim, "rows": vectors.count()})
     vectors.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def load_index(spark: SparkSession, path: str, model: str, dim: int) -> DataFrame:
-    """Refuses an index of another model, dimension or count."""
+def load_index(spark: SparkSession, path: str, model: str, dim: int, weights: str = "") -> DataFrame:
+    """Refuses an index of another model, other weights, another dimension or count."""
     meta = json.loads(spark.read.text(f"{path}/meta").head()["value"])
     vectors = spark.read.parquet(f"{path}/vectors")
     if (meta["model"], meta["dim"]) != (model, dim):
         raise ValueError(f"the index is of {meta['model']} with {meta['dim']} dimensions")
+    if meta.get("weights", "") != weights:
+        raise ValueError("the index is of other weights of that model")
     if meta["rows"] != vectors.count():
         raise ValueError("the index is incomplete")
     return vectors
 
 
-def append_journal(rows: DataFrame, path: str) -> None:
-    """Adds lines to a journal; each write is one committed set of files."""
-    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+def append_journal(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds lines to a journal; each write is one committed set of files. batch names the write: one that is tried again
+    under its name replaces what it wrote before, so that no line counts twice."""
+    name = batch or uuid.uuid4().hex
+    rows.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/batch={name}")
+
+
+# ---- reports
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """A small frame as a pipe table, in its order; pipes within cells are escaped. Larger frames are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report's table holds at most {most} rows: aggregate first")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line([cell(v) for v in r]) for r in rows]])
+
+
+def report(sections: list[tuple[str, DataFrame | str]], title: str) -> str:
+    """A Markdown report: a title, and for each section a heading and its table or text."""
+    parts = [f"# {title}"]
+    for name, body in sections:
+        parts += [f"## {name}", body if isinstance(body, str) else markdown_table(body)]
+    return "\n\n".join(parts) + "\n"
+
+
+def with_section(text: str, name: str, body: str) -> str:
+    """A report with one section new or replaced; the others stay as they are."""
+    kept = [b for b in ("\n" + text).split("\n## ")[1:] if b.split("\n", 1)[0].strip() != name]
+    head = ("\n" + text).split("\n## ")[0].strip()
+    return "\n\n".join([head, *[f"## {b.strip()}" for b in kept], f"## {name}\n\n{body.strip()}"]) + "\n"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A text as one file at a path of any file system, replacing what is there."""
+    fs, p = file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+# ---- samples, lookups, catalog
 
 
 def hash_sample(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
@@ -149,9 +254,3 @@ def catalog(spark: SparkSession) -> DataFrame:
     """table, position, column and type of every registered view."""
     rows = [(t.name, i, c.name, c.dataType) for t in spark.catalog.listTables() for i, c in enumerate(spark.catalog.listColumns(t.name))]
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
-
-
-def latest_lines(journal: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last line of each key, with first_seen: journals read in the order in which keys appeared."""
-    w = Window.partitionBy(*keys)
-    return journal.withColumns({"__n": F.row_number().over(w.orderBy(F.col(order).desc())), "first_seen": F.min(order).over(w)}).where("__n = 1").drop("__n")

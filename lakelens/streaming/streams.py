@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import collapse
+from ..storage import new_path
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -21,15 +20,24 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
 
 
 def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Runs the windowed counts as a stream over a table's files until they are used up, and reads the sink."""
+    """Runs the windowed counts as a stream over a table's files until they are used up, into a Parquet sink, and reads that.
+    Windows leave the state once the watermark has passed them; a last one, long after all others, closes those."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    table = f"stream_{uuid.uuid4().hex}"
+    end = new_path(spark, "stream-end")
+    far = F.lit("9999-01-01").cast("timestamp")
+    spark.range(1).select(far.cast("timestamp_ntz").alias("ts"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "ts"]).select(*schema.names).write.parquet(end)
     events = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    run = windowed_counts(events).writeStream.format("memory").queryName(table).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(table).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    sink, kept = new_path(spark, "stream-sink"), new_path(spark, "stream-checkpoint")
+
+    def go(rows: DataFrame) -> None:
+        counts = windowed_counts(rows).writeStream.format("parquet").option("path", sink).option("checkpointLocation", kept)
+        counts.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    closing = spark.readStream.schema(schema).parquet(end).withColumn("ts", F.col("ts").cast("timestamp"))
+    go(events.unionByName(closing))
+    return spark.read.parquet(sink).where(F.col("start") < far).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
