@@ -89,6 +89,12 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(cut, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def raw_sentences(c: Column) -> Column:
+    """Sentences that keep the one white space character after their end mark, so that they concatenate to the text."""
+    cut = F.regexp_replace(or_empty(c), r"([.!?][\"')\]]?\s)", "$1\u0001")
+    return F.filter(F.split(cut, "\u0001"), lambda s: s != "")
+
+
 def windows(c: Column, size: int, overlap: int = 0) -> Column:
     """Pieces of `size` characters that start every size - overlap characters."""
     step = size - overlap

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import or_empty, paragraphs, sentences
+from ..functions.text import or_empty, paragraphs, raw_sentences
 
 # The chunk policy.
 TARGET, CAP, OVERLAP, SAFETY, LEAST_BUDGET = 400, 512, 50, 8, 32
@@ -45,6 +47,21 @@ def greedy_groups(c: Column, target: int) -> Column:
     return F.aggregate(parts, start, step, finish)
 
 
+def runs(sizes: list[int], limit: int, overlap: int = 0) -> list[tuple[int, int]]:
+    """Ranges of parts, each as long as it fits the limit, found on running sums. A range begins anew with the last parts
+    of the one before that come to no more than the overlap, never with all of them, and only if the next part fits
+    beside them."""
+    total = [0, *accumulate(sizes)]
+    out, first, end = [], 0, 0
+    while end < len(sizes):
+        end = max(bisect_right(total, total[first] + limit) - 1, end + 1)
+        out.append((first, end))
+        if end < len(sizes):
+            back = max(bisect_left(total, total[end] - overlap), first + 1)
+            first = back if total[end + 1] - total[back] <= limit else end
+    return out
+
+
 class Chunker:
     """Cuts one section: whole paragraphs up to the target, longer ones by sentences with an overlap, and sentences
     beyond the budget by windows of tokens. No chunk with its header passes the cap."""
@@ -55,29 +72,20 @@ class Chunker:
     def n(self, text: str) -> int:
         return len(self.tokenize(text))
 
-    def _windows(self, sentence: str, budget: int) -> list[str]:
-        spans = self.tokenize(sentence)
-        if len(spans) <= budget:
-            return [sentence]
-        step = max(budget - self.overlap, 1)
-        starts = range(0, max(len(spans) - budget + step, 1), step)
-        return [sentence[spans[a][0] : spans[min(a + budget, len(spans)) - 1][1]] for a in starts]
-
-    def _by_sentences(self, paragraph: str, budget: int) -> list[str]:
-        cuts = [0, *[m.end() for m in _SENTENCE.finditer(paragraph)], len(paragraph)]
-        parts = [w for a, b in zip(cuts, cuts[1:], strict=False) if paragraph[a:b].strip() for w in self._windows(paragraph[a:b], budget)]
-        out, group = [], []
-        for p in parts:
-            if group and sum(map(self.n, group)) + self.n(p) > budget:
-                out.append("".join(group).strip())
-                tail: list[str] = []
-                for q in reversed(group[1:]):  # whole parts, never all of the group
-                    if sum(map(self.n, tail)) + self.n(q) > self.overlap:
-                        break
-                    tail.insert(0, q)
-                group = tail if sum(map(self.n, tail)) + self.n(p) <= budget else []
-            group.append(p)
-        return [*out, *(["".join(group).strip()] if group else [])]
+    def parts(self, paragraph: str, budget: int) -> list[str]:
+        """A long paragraph's sentences, those beyond the budget in windows that overlap."""
+        out, begin = [], 0
+        for end in [*(m.end() for m in _SENTENCE.finditer(paragraph)), len(paragraph)]:
+            sentence, begin = paragraph[begin:end], end
+            spans = self.tokenize(sentence)
+            if len(spans) <= budget:
+                out += [sentence] if sentence.strip() else []
+                continue
+            step = max(budget - self.overlap, 1)
+            last = max(len(spans) - budget, 0)
+            places = [*range(0, last, step), -(-last // step) * step]
+            out += [sentence[spans[a][0] : spans[min(a + budget, len(spans)) - 1][1]] for a in places]
+        return out
 
     def chunks(self, text: str | None, header: str, whole: bool = False) -> list[str]:
         """Texts without their header. whole: fill up to the cap, not to the target."""
@@ -85,21 +93,16 @@ class Chunker:
         if budget < LEAST_BUDGET:
             raise ValueError(f"the header leaves {budget} tokens")
         target = min(self.cap if whole else self.target, budget)
-        out, group, held = [], [], 0
-        for p in (x.strip() for x in (text or "").split("\n")):
-            if not p:
-                continue
-            n = self.n(p)
-            if n > budget or (group and held + n > target):
-                if group:
-                    out.append("\n".join(group))
-                group, held = [], 0
-            if n > budget:
-                out += self._by_sentences(p, budget)
+        sized = [(p, self.n(p)) for p in (x.strip() for x in (text or "").split("\n")) if p]
+        out = []
+        for long, some in groupby(sized, key=lambda x: x[1] > budget):
+            some = list(some)
+            if long:
+                for p, _ in some:
+                    parts = self.parts(p, budget)
+                    out += ["".join(parts[a:z]).strip() for a, z in runs([self.n(x) for x in parts], budget, self.overlap)]
             else:
-                group.append(p)
-                held += n
-        out += ["\n".join(group)] if group else []
+                out += ["\n".join(p for p, _ in some[a:z]) for a, z in runs([n for _, n in some], target)]
         for x in out:
             if self.n(f"{header}\n{x}") + self.special > self.cap:
                 raise AssertionError("a chunk passes the cap")
@@ -143,7 +146,7 @@ def structure_first(c: Column, target: int = TARGET * 4, cap: int = CAP * 4) ->
     apart, as its sentences packed without a break up to the cap. A fold over the paragraphs, inside the JVM."""
     flat = F.transform(
         paragraphs(c),
-        lambda p: F.when(F.length(p) > cap, F.transform(sentences(p), lambda s, i: F.struct(s.alias("text"), F.lit(cap).alias("most"), F.lit("").alias("glue"), (i == 0).alias("opens")))).otherwise(
+        lambda p: F.when(F.length(p) > cap, F.transform(raw_sentences(p), lambda s, i: F.struct(s.alias("text"), F.lit(cap).alias("most"), F.lit("").alias("glue"), (i == 0).alias("opens")))).otherwise(
             F.array(F.struct(p.alias("text"), F.lit(target).alias("most"), F.lit("\n").alias("glue"), F.lit(False).alias("opens")))
         ),
     )

@@ -39,6 +39,17 @@ def statuses(buckets: DataFrame, mined: DataFrame, mapped: DataFrame) -> DataFra
     return buckets.join(m, "bucket", "left").join(p, "bucket", "left").withColumn("status", status).drop("m", "p")
 
 
+def orientation_blocks(paths: DataFrame, key: str, items: DataFrame, scheme: str, told: DataFrame, told_key: str) -> DataFrame:
+    """block, key, n: items of each first branch of a taxonomy (paths: key, path), items of each scheme, those without one
+    by themselves, and how many have a text."""
+    branches = paths.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("key")).agg(F.countDistinct(key).alias("n")).select(F.lit("branch").alias("block"), "key", "n")
+    by = items.groupBy(F.col(scheme).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    schemes = by.where("key is not null").select(F.lit("scheme").alias("block"), "key", "n")
+    none = items.agg(F.count_if(F.col(scheme).isNull()).alias("n")).select(F.lit("no scheme").alias("block"), F.lit("").alias("key"), "n")
+    text = told.agg(F.countDistinct(told_key).alias("n")).select(F.lit("with text").alias("block"), F.lit("").alias("key"), "n")
+    return branches.unionByName(schemes).unionByName(none).unionByName(text)
+
+
 def slices(buckets: DataFrame, size: int = 3) -> DataFrame:
     """Buckets, largest first, in slices of so many. The taxonomy's top levels are few by nature: one task orders them."""
     place = F.row_number().over(Window.orderBy(F.col("n").desc(), "bucket"))
@@ -105,6 +116,66 @@ def folded_slots(lines: DataFrame, key: str, order: str) -> DataFrame:
     return each.select(key, F.aggregate(listed("d"), none("d"), judged).alias("decisions"), F.aggregate(F.flatten(listed("f")), none("f"), found).alias("findings"))
 
 
+def _tally(metric: str, df: DataFrame, key: Column) -> DataFrame:
+    return df.groupBy(key.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(metric).alias("metric"), "key", "n")
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def journal_summary(slots: DataFrame) -> DataFrame:
+    """metric, key, n over merged slots (status, candidate_index, judge_decisions, findings with class, severity, ruling):
+    final status, candidates tried, rounds of adjudication, dispositions, severities, classes (those of one's own making
+    as one), rulings of HIGH and MID findings, and accepted slots with an upheld finding or a fix."""
+    decisions = slots.select("status", F.explode("judge_decisions").alias("d"))
+    found = slots.select("status", F.explode("findings").alias("f")).select("status", "f.*")
+    upheld = F.upper(or_empty(F.col("ruling"))).startswith("UPHELD")
+    bucket = F.when(upheld, "UPHELD").when(F.col("ruling").isin("DISMISSED", "RECORDED"), F.col("ruling")).otherwise("unadjudicated")
+    serious = found.where(F.col("severity").isin("HIGH", "MID"))
+    rounds = F.coalesce(F.greatest(F.size("judge_decisions"), F.lit(0)), F.lit(0))
+    accepted = slots.where("status = 'ACCEPTED'")
+    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), F.lit("").alias("key"), "n")
+    said = lambda c, test: F.coalesce(F.exists(c, test), F.lit(False))
+    tried = slots.agg(F.coalesce(F.sum(F.coalesce("candidate_index", F.lit(0)) + 1), F.lit(0)).cast("bigint").alias("n"))
+    return _stacked([
+        _tally("status", slots, F.col("status")),
+        tried.select(F.lit("candidates tried").alias("metric"), F.lit("").alias("key"), "n"),
+        _tally("rounds", slots, rounds),
+        _tally("disposition", decisions, F.col("d.disposition")),
+        _tally("severity", found, F.col("severity")),
+        _tally("class", found, F.when(F.col("class").startswith("OTHER:"), "OTHER:*").otherwise(F.coalesce("class", F.lit("?")))),
+        _tally("ruling", serious, F.concat("severity", F.lit("/"), bucket)),
+        one("accepted with an upheld finding", accepted.where(said("findings", lambda f: f["severity"].isin("HIGH", "MID") & F.upper(or_empty(f["ruling"])).startswith("UPHELD")))),
+        one("accepted with a fix", accepted.where(said("judge_decisions", lambda d: d["disposition"] == "FIX"))),
+    ])
+
+
+def call_summary(calls: DataFrame) -> DataFrame:
+    """metric, key, n over logged calls (tool, ok, failures, ts): calls by tool, errors, calls with failures, active days."""
+    one = lambda name, c: calls.agg(c.cast("bigint").alias("n")).select(F.lit(name).alias("metric"), F.lit("").alias("key"), "n")
+    return _stacked([
+        _tally("tool", calls, F.col("tool")),
+        _tally("with failures", calls.where("failures > 0"), F.col("tool")),
+        one("errors", F.count_if(F.col("ok") == F.lit(False))),
+        one("active days", F.countDistinct(F.to_date("ts"))),
+    ])
+
+
+def bank_summary(bank: DataFrame, trimmed: DataFrame, accepted: DataFrame, key: str = "question_id") -> DataFrame:
+    """metric, n: ids in the bank, trimmed from it, in either, and how many of each came from batches."""
+    tag = lambda df, name: df.select(key, F.lit(name).alias("of"))
+    held = _stacked([tag(bank, "bank"), tag(trimmed, "trimmed"), tag(accepted, "accepted")]).groupBy(key).agg(F.collect_set("of").alias("of"))
+    has = lambda x: F.array_contains("of", x)
+    tests = {"bank": has("bank"), "trimmed": has("trimmed"), "either": has("bank") | has("trimmed"), "bank from batches": has("bank") & has("accepted"), "bank otherwise": has("bank") & ~has("accepted"), "trimmed from batches": has("trimmed") & has("accepted")}
+    one = held.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(tests.values())])
+    rows = [F.struct(F.lit(n).alias("metric"), F.col(f"c{i}").alias("n")) for i, n in enumerate(tests)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def steps(events: DataFrame, key: str, at: str, opens: Column, ends: Column, then: str | None = None) -> DataFrame:
     """key, n_steps, active, span in seconds. An event that opens starts a step; a step ends at its last event that ends
     one; what lies between steps is nobody's. Work before the first opener is a step of its own. then: orders events of

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, textual
+from . import evidence, relational, textual
 
-MODULES = [relational, textual]
+MODULES = [relational, textual, evidence]
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions import vector
 from ..operators import chunking, compare, guard, records, retrieval, scoped, similarity
 from ..storage import drop_path, file_system, materialize, own_dir
+from .relational import _PATHS as _PATHS_SQL
 from .relational import big, paths, t
 
 QUERIES, SQL = {}, {}

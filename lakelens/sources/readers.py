@@ -105,9 +105,14 @@ def _jsonl(spark: SparkSession, path: str | list[str], schema: str, exclude: str
 
 
 def bad_lines(spark: SparkSession, path: str | list[str], schema: str, exclude: str | None = None) -> DataFrame:
-    """file, label, line, parsed: every line below a path that is no JSON of the schema, and what of it could be read."""
-    fields = F.to_json(F.struct(*T.StructType.fromDDL(schema).names))
-    return _jsonl(spark, path, schema, exclude).where("_bad is not null").select("file", "label", F.col("_bad").alias("line"), fields.alias("parsed"))
+    """file, label, line: every line below a path that is no JSON of the schema; empty lines are no lines."""
+    s = T.StructType.fromDDL(schema).add("_bad", "string")
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("file", F.col("_metadata.file_path"))
+    if exclude:
+        rows = rows.where(~F.contains(F.col("file"), F.lit(exclude)))
+    told = F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = rows.where(F.trim("value") != "").withColumn("bad", told["_bad"])
+    return rows.where("bad is not null").select("file", F.element_at(F.split("file", "/"), -2).alias("label"), F.col("bad").alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, exclude: str | None = None) -> DataFrame:
@@ -117,7 +122,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict:
     rows = _jsonl(spark, path, schema, exclude)
     if strict:
         found = bad_lines(spark, path, schema, exclude)
-        bad = found.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("parsed")).orderBy("file").collect()  # a row for each bad file
+        bad = found.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first")).orderBy("file").collect()  # a row for each bad file
         if bad:
             raise ValueError("; ".join(f"{r['file']}: {r['n']} bad lines, such as {r['first'][:80]}" for r in bad))
         return rows.drop("_bad")
