@@ -7,12 +7,16 @@ written by Spark's committers, so that a task that is run again leaves no double
 - packs:    bucket, hashes, sizes, root, payload. Unique chunks, each stored once; payload is Zstandard over the
             little-endian ids (16 bits where the vocabulary allows, else 32), root the Merkle root over the hashes.
 - recipes:  part, place, doc_id, start, n_tokens, hashes, root. Documents in ascending doc_id order, by part and place.
-- parts:    part, base. Ids before each part; start in recipes counts from it.
+- parts:    part, base, n_docs, n_tokens, digest. Ids before each part, from which start in recipes counts; digest stands
+            for the set of the part's recipes.
+- store:    n_parts, n_docs, n_tokens, root. One row: the Merkle root over the parts' digests.
 
-Reading back checks every chunk's address and every Merkle root, of packs and of documents, and raises on any mismatch.
+Reading back checks every chunk's address, every Merkle root, of packs, documents and the store, and that no recipe is
+lost, doubled or changed; it raises on any mismatch.
 
 Defined results: null text is empty and gives the end id alone; null doc_ids come first; rows that share a doc_id are
-documents of their own, in order of their chunks; an empty table gives empty tables; other columns are ignored.
+documents of their own, in order of their chunks; texts of any length are encoded whole; an empty table gives empty
+tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ _WINDOW = 8
 
 _STAGED = "is_pack boolean, doc_id bigint, n_tokens bigint, hashes binary, sizes binary, bucket int, payload binary"
 _PACK = "bucket int, hashes binary, sizes binary, root binary, payload binary"
+_PART = "part int, base bigint, n_docs bigint, n_tokens bigint, digest binary"
+_STORE = "n_parts int, n_docs bigint, n_tokens bigint, root binary"
 _RECIPE = "part int, place bigint, doc_id bigint, start bigint, n_tokens bigint, hashes binary, root binary"
 
 
@@ -207,23 +213,44 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
 
     ordered = staged.where("not is_pack").select("doc_id", "n_tokens", "hashes").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "hashes")
     recipes = materialize(ordered.mapInArrow(trimmed(placed), _RECIPE), "", f"{path}/recipes")
-    totals = sorted(recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each partition
     base, parts = 0, []
-    for r in totals:
-        parts.append((r["part"], base))
-        base += r["n"]
-    materialize(spark.createDataFrame(parts, "part int, base bigint").coalesce(1), "", f"{path}/parts")
+    for part, n_docs, n_tokens, digest in _part_digests(recipes):
+        parts.append((part, base, n_docs, n_tokens, digest))
+        base += n_tokens
+    materialize(spark.createDataFrame(parts, _PART).coalesce(1), "", f"{path}/parts")
+    whole = (len(parts), sum(p[2] for p in parts), base, merkle_root(b"".join(p[4] for p in parts)))
+    materialize(spark.createDataFrame([whole], _STORE).coalesce(1), "", f"{path}/store")
     drop_path(spark, staged_path)
     return path
 
 
+def _part_digests(recipes: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """part, n_docs, n_tokens and digest of each part, a row for each partition of the store. A digest covers the set of the
+    part's recipes, each by its place, id, length and root."""
+    said = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "part", "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", "root"))
+    rows = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("n"), said(1).alias("a"), said(2).alias("b")).collect()
+    return sorted((r["part"], r["docs"], r["n"], np.array([r["a"], r["b"]], ">i8").tobytes()) for r in rows)
+
+
+def verify_store(spark: SparkSession, path: str) -> bytes:
+    """The store's root, after its recipes have been found to be those that were written."""
+    held = sorted((r["part"], r["n_docs"], r["n_tokens"], bytes(r["digest"])) for r in _table(spark, path, "parts", _PART).collect())
+    whole = _table(spark, path, "store", _STORE).head()
+    if whole is None or merkle_root(b"".join(p[3] for p in held)) != bytes(whole["root"]):
+        raise ValueError("the parts don't match the store's Merkle root")
+    if _part_digests(_table(spark, path, "recipes", _RECIPE)) != held:
+        raise ValueError("the recipes don't match the digests of their parts")
+    return bytes(whole["root"])
+
+
 def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/{name}")
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with starts over the whole store; each Merkle root is checked where the hashes are exploded."""
-    parts = _table(spark, path, "parts", "part int, base bigint")  # a row for each partition: small
+    verify_store(spark, path)
+    parts = _table(spark, path, "parts", _PART).select("part", "base")  # a row for each partition: small
     r = _table(spark, path, "recipes", _RECIPE).join(F.broadcast(parts), "part")
     return r.withColumn("start", F.col("start") + F.col("base")).drop("base")
 

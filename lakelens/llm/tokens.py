@@ -85,8 +85,9 @@ class PieceEncoder:
         self.at = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
         self.clashes: dict[tuple[bool, bytes], int] = {}
         self.n, self.n_ids, self.n_bytes = 0, 0, 0
-        self.starts, self.lens, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self._kind)
-        self.spelt, self.sizes, self.led, self.spelling = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool), np.zeros(1 << 18, np.uint8)
+        # Piece i has the ids and the bytes between edges i and i + 1.
+        self.id_edges, self.ids = np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, self._kind)
+        self.byte_edges, self.spelling, self.led = np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, bool)
 
     def _fresh(self) -> None:
         if self.n > self.most or self.n_bytes > self.most_bytes:
@@ -94,22 +95,23 @@ class PieceEncoder:
 
     def _add(self, lens: np.ndarray, ids: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, led: np.ndarray) -> np.ndarray:
         """Places of new pieces, given by the numbers of their ids, the ids, and their bytes."""
-        k, total = len(lens), int(sizes.sum())
-        while self.n + k > len(self.lens):
-            for name in ("starts", "lens", "spelt", "sizes", "led"):
-                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n_bytes + total > len(self.spelling):
-            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
-        own = slice(self.n, self.n + k)
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.lens[own], self.starts[own] = lens, self.n_ids + np.cumsum(lens) - lens
-        self.spelling[self.n_bytes : self.n_bytes + total] = raw[_spread(starts, sizes)]
-        self.sizes[own], self.spelt[own], self.led[own] = sizes, self.n_bytes + np.cumsum(sizes) - sizes, led
-        self.n, self.n_ids, self.n_bytes = self.n + k, self.n_ids + len(ids), self.n_bytes + total
+        k, n_ids, n_bytes = len(lens), self.n_ids + len(ids), self.n_bytes + int(sizes.sum())
+        for name, wanted in (("id_edges", self.n + k + 1), ("byte_edges", self.n + k + 1), ("led", self.n + k), ("ids", n_ids), ("spelling", n_bytes)):
+            while wanted > len(held := getattr(self, name)):
+                setattr(self, name, np.concatenate([held, np.zeros(len(held) // 2, held.dtype)]))
+        own, after = slice(self.n, self.n + k), slice(self.n + 1, self.n + k + 1)
+        self.ids[self.n_ids : n_ids], self.id_edges[after] = ids, self.n_ids + np.cumsum(lens)
+        self.spelling[self.n_bytes : n_bytes], self.byte_edges[after] = raw[_spread(starts, sizes)], self.n_bytes + np.cumsum(sizes)
+        self.led[own] = led
+        self.n, self.n_ids, self.n_bytes = self.n + k, n_ids, n_bytes
         return np.arange(own.start, own.stop)
 
+    @staticmethod
+    def _between(edges: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin, and how long they are."""
+        begins = edges[places].astype(np.int64)
+        return begins, edges[places + 1] - begins
+
     def _index(self, keys: np.ndarray, places: np.ndarray) -> None:
         both, at = np.concatenate([self.keys[1], keys]), np.concatenate([self.at[1], places.astype(np.uint32)])
         level = 1
@@ -132,10 +134,11 @@ class PieceEncoder:
 
     def _other(self, places: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, led: np.ndarray) -> np.ndarray:
         """Which of the pieces at these places of the cache are not the ones given."""
-        out = (self.sizes[places] != sizes) | (self.led[places] != led)
+        spelt, held = self._between(self.byte_edges, places)
+        out = (held != sizes) | (self.led[places] != led)
         same = np.flatnonzero(~out)
         n = sizes[same]
-        differs = self.spelling[_spread(self.spelt[places[same]], n)] != raw[_spread(starts[same], n)]
+        differs = self.spelling[_spread(spelt[same], n)] != raw[_spread(starts[same], n)]
         if differs.any():
             out[np.unique(np.repeat(same, n)[differs])] = True
         return out
@@ -228,7 +231,7 @@ class PieceEncoder:
         for part in self.slices(column):
             self._fresh()
             places, n = self._batch_places(part)
-            sums = np.concatenate([[0], np.cumsum(self.lens[places], dtype=np.int64)])
+            sums = np.concatenate([[0], np.cumsum(self._between(self.id_edges, places)[1])])
             ends = np.cumsum(n)
             out.append(sums[ends] - sums[ends - n])
         return np.concatenate(out)
@@ -238,10 +241,9 @@ class PieceEncoder:
         for part in self.slices(column):
             self._fresh()
             places, n = self._batch_places(part)
-            lens, starts = self.lens[places].astype(np.int64), self.starts[places]
+            starts, lens = self._between(self.id_edges, places)
             ends = np.cumsum(lens)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.ids[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
+            ids = self.ids[_spread(starts, lens)]
             yield ids, np.concatenate([[0], ends])[np.cumsum(n)]
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:

@@ -83,10 +83,18 @@ def test_store_notices_damage(spark):
     path = token_store.write_store(table(spark, some_texts()))
     packs = spark.read.parquet(f"{path}/packs")
     packs.limit(0).union(packs.selectExpr("bucket", "hashes", "sizes", "reverse(root) as root", "payload")).write.parquet(f"{path}-bad/packs")
-    for t in ("recipes", "parts"):
+    for t in ("recipes", "parts", "store"):
         spark.read.parquet(f"{path}/{t}").write.parquet(f"{path}-bad/{t}")
     with pytest.raises(Exception, match="Merkle"):
         token_store.read_summary(spark, f"{path}-bad").collect()
+    # A lost recipe, a changed part.
+    for name, change in (("recipes", lambda df: df.where("place <> 1")), ("parts", lambda df: df.selectExpr("part", "base", "n_docs + 1 as n_docs", "n_tokens", "reverse(digest) as digest"))):
+        for t in ("packs", "recipes", "parts", "store"):
+            df = spark.read.parquet(f"{path}/{t}")
+            (change(df) if t == name else df).write.parquet(f"{path}-{name}/{t}")
+        with pytest.raises(ValueError, match="digests|Merkle"):
+            token_store.read_summary(spark, f"{path}-{name}").collect()
+    assert token_store.verify_store(spark, path) == token_store.verify_store(spark, path)
 
 
 def test_store_of_null_ids_repeats_and_nothing(spark):
