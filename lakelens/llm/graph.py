@@ -8,25 +8,12 @@ from pyspark.sql import functions as F
 from .common import drop_path, materialize, new_path
 
 
-#: A node of more edges than this is a hub, unless there would be more hubs than the second number.
-HUB_EDGES, MOST_HUBS = 1000, 20_000
-
-
-def _with_least(edges: DataFrame, least: DataFrame, share: int) -> DataFrame:
-    """u, v and m: edges with the least neighbour of u."""
-    at = F.col("u") == F.col("k")
-    hubs = F.broadcast(least.where(F.col("degree") > share).select("k", "m"))  # bounded by edges / share
-    few = least.where(F.col("degree") <= share).select("k", "m")
-    spread = edges.join(hubs, at).select("u", "v", "m")
-    return spread.unionByName(edges.join(hubs, at, "left_anti").join(few, at).select("u", "v", "m"))
-
-
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """node, component (its least node) for every node of edges (a, b).
 
-    Each step is an aggregation, combined before its shuffle, and a join of edges with their nodes' least neighbours. Of
-    a hub, a node of many edges, the least neighbour is broadcast: each hub has more than `share` edges, so there are at
-    most edges / share of them, and no task gathers a hub's edges. Edge sets are written after each round. The number of
+    Each step is an aggregation, combined before its shuffle, and a join of edges with their nodes' least neighbours. That
+    side is a written table, so both sides of the join come straight from a shuffle, and adaptive execution splits the
+    partition of a hub, a node of many edges, over several tasks. Edge sets are written after each round. The number of
     rounds grows with the logarithm of the graph.
     """
     spark = edges.sparkSession
@@ -40,16 +27,17 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         if stats == before or stats["n"] == 0:
             break
         before = stats
-        share = max(HUB_EDGES, 2 * stats["n"] // MOST_HUBS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "degree")
-        large = _with_least(both.where("v > u"), least, share).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = new_path(spark, f"{tag}-least")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "", lowest)
+        large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Every edge now goes from a node to a smaller one.
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("u", "k")
-        small = _with_least(large, low, share)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        small = large.join(low, F.col("u") == F.col("k"))
         star = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         following = new_path(spark, tag)
         now = materialize(star, "", following)
         drop_path(spark, path)
+        drop_path(spark, lowest)
         path = following
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,8 +4,7 @@ import pytest
 from lakelens.llm import common, graph
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(graph, "HUB_EDGES", 5)
+def test_components_with_hubs(spark):
     rng = random.Random(9)
     edges = [(0, i) for i in range(1, 200)] + [(900, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 560)]
     edges += [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)] + [(0, 0), (5, 0)]
