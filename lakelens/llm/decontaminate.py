@@ -166,5 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("bad")).distinct()
+    # The row itself travels as a struct, whatever its columns are called.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

@@ -10,8 +10,8 @@ bounded size, whatever their length.
 Only text and lang of documents whose crc32(doc_id) mod 4 is not 2 are learnt from; predictions see the text alone.
 
 Defined results: `und` with score 0 where text is null or has no letter, or nothing could be learnt; null doc_ids are
-not held out and not learnt from; repeated rows are predicted each; an empty table gives an empty result; other columns
-are ignored.
+not held out and not learnt from; of languages of equal odds the first by name wins; repeated rows are predicted each;
+texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ exploded by the count, and copies are ordered globally by a seeded hash through
 The inverse is a table of thresholds per source, one small row each, which runs to where the upper tail is below 1e-9.
 
 Defined results: a null source is a source of its own; null text has size 0; a null doc_id hashes as empty; repeated
-rows get the same count each; a source whose weight or size is 0 gets rate 0; an empty table gives an empty result;
-all columns of the input return, and own columns take the names given.
+rows get the same count each; a source whose weight or size is 0 gets rate 0; texts of any length count whole; copies of
+equal keys follow each other in any order; an empty table gives an empty result; all columns of the input return, and
+own columns take the names given, which the input must not have.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import materialize, shuffle_partitions, text_of
 
 #: A join side with more rows than this isn't broadcast.
@@ -24,7 +26,7 @@ BROADCAST_ROWS = 50_000
 
 def uniform(*cols: Column | str, seed: str) -> Column:
     """A number in (0, 1) from the first 13 hex digits of an MD5, which other engines can repeat."""
-    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else c for c in cols])
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(16**13))
 
 
@@ -58,7 +60,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         sizes = sizes.withColumn("weight", F.pow("size", F.lit(float(power))))
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "k string, weight double")
-        sizes = sizes.join(F.broadcast(given), F.col("mix_source").eqNullSafe(F.col("k")), "left").drop("k").fillna(0.0, ["weight"])
+        sizes = sizes.join(F.broadcast(given) if len(weights) <= BROADCAST_ROWS else given, F.col("mix_source").eqNullSafe(F.col("k")), "left").drop("k").fillna(0.0, ["weight"])
     sizes = materialize(sizes, "mix-sizes")
     sums = sizes.agg(F.sum("weight").alias("w"), F.sum("size").alias("s")).first()
     all_weight, all_size = sums["w"] or 1.0, sums["s"] or 0.0
@@ -67,19 +69,28 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return sizes.select("mix_source", "size", (F.col("weight") / all_weight).alias("share"), rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None, unit: str = "chars", seed: str = "mix-1", copy_col: str = "mix_copy", key_col: str = "mix_key") -> DataFrame:
-    """All input columns, plus the copy's number from 1 and its place key in (0, 1); rows come in the order of the key."""
+def _copies(docs: DataFrame, weights: dict[str | None, float] | None, power: float, total: float | None, unit: str, seed: str) -> DataFrame:
+    """row (a struct of all input columns, whatever their names), copy (from 1) and key, in the order of the key."""
     spark = docs.sparkSession
-    rates = source_rates(docs, weights, power, total, unit).select(F.col("mix_source").alias("__s"), poisson_thresholds(F.col("rate")).alias("__cdf"))
+    rates = source_rates(docs, weights, power, total, unit).select(F.col("mix_source").alias("of"), poisson_thresholds(F.col("rate")).alias("cdf"))
     few = rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = F.broadcast(rates) if few else rates
-    drawn = (
-        docs.join(side, F.col("source").eqNullSafe(F.col("__s")))
-        .withColumn("__n", F.size(F.filter("__cdf", lambda c: c < uniform("doc_id", seed=seed))))
-        .drop("__cdf", "__s")
-        .where(F.col("__n") > 0)
-        .withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .drop("__n")
-        .withColumn(key_col, uniform("doc_id", copy_col, seed=seed + "-order"))
-    )
-    return drawn.repartitionByRange(shuffle_partitions(spark), key_col).sortWithinPartitions(key_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # The uniform number is evaluated once for each document, not once for each threshold.
+    drawn = let(uniform(F.col("row.doc_id"), seed=seed), lambda u: F.size(F.filter("cdf", lambda c: c < u)))
+    counted = rows.join(side, F.col("row.source").eqNullSafe(F.col("of"))).select("row", drawn.alias("n")).where("n > 0")
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    keyed = copies.select("row", "copy", uniform(F.col("row.doc_id"), F.col("copy"), seed=seed + "-order").alias("key"))
+    return keyed.repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None, unit: str = "chars", seed: str = "mix-1", copy_col: str = "mix_copy", key_col: str = "mix_key") -> DataFrame:
+    """All input columns, plus the copy's number from 1 and its place key in (0, 1); rows come in the order of the key."""
+    if clash := {copy_col, key_col} & set(docs.columns):
+        raise ValueError(f"the input has columns of these names already: {sorted(clash)}")
+    return _copies(docs, weights, power, total, unit, seed).select("row.*", F.col("copy").alias(copy_col), F.col("key").alias(key_col))
+
+
+def mixed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None, unit: str = "chars", seed: str = "mix-1") -> DataFrame:
+    """The copies with the input's columns alone, in the same order."""
+    return _copies(docs, weights, power, total, unit, seed).select("row.*")

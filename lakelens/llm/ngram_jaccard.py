@@ -28,10 +28,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, trimmed
+from .common import drop_path, materialize, new_path, shuffle_partitions, trimmed
 from .graph import connected_components
 from .shingles import mix, shingle_sets
 
@@ -161,17 +161,22 @@ def refined(classes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def shingled(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (null for an empty set), k, its first half, and the set's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("k", pa.int64()), ("sketch", pa.binary())])
+    """doc_id, t (a hash that tells texts of one id apart), n_shingles, cls (null for an empty set), k, its first half, and
+    the set's sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("k", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 sets = [(len(s), set_key(s), sketch(s)) if len(s) else (0, None, None) for s in shingle_sets(_bytes_of(some.column(1)), size)]
                 cols = [[x[0] for x in sets], [x[1] for x in sets], [_half(x[1]) for x in sets], [x[2] for x in sets]]
-                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True)]], schema=schema)
 
-    return _texts(docs).mapInArrow(trimmed(run), "doc_id bigint, n_shingles bigint, cls binary, k bigint, sketch binary")
+    return _texts(docs).withColumn("t", _text_key()).mapInArrow(trimmed(run), "doc_id bigint, t bigint, n_shingles bigint, cls binary, k bigint, sketch binary")
+
+
+def _text_key() -> Column:
+    return F.xxhash64("text", F.length("text"))
 
 
 def _half(key: bytes | None) -> int | None:
@@ -329,8 +334,8 @@ def _links(blocks: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return blocks.mapInArrow(trimmed(run), "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; sets link where intersection / union >= num / den."""
+def _components(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of shingled(), and cls, component (a class too) of every class."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     members = materialize(shingled(docs, size), "shingled")
@@ -339,7 +344,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     ties = shared_parts(docs, size, num, den)
     rough = connected_components(ties, "rough-families").select(F.col("node").alias("k"), F.col("component").alias("family"))
     families = connected_components(refined(sketched.join(rough, "k"), num, den), "families").select(F.col("node").alias("k"), F.col("component").alias("family"))
-    inside = materialize(classes.join(families, "k").select("cls", "least_id", "n", "family"), "family-members")
+    kept = new_path(spark, "family-members")
+    inside = materialize(classes.join(families, "k").select("cls", "least_id", "n", "family"), "", kept)
     sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     dealt = inside.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -350,23 +356,35 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "text"
     )
     tasks = pairs.repartition(n, "family", "low", "high").sortWithinPartitions("family", "low", "high")
-    links = connected_components(materialize(_links(tasks, size, num, den), "links"), "jaccard").select(F.col("node").alias("cls"), F.col("component"))
-    labelled = materialize(classes.select("cls", "least_id").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "labelled")
-    names = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    links = connected_components(_links(tasks, size, num, den), "jaccard").select(F.col("node").alias("cls"), F.col("component"))
+    labelled = materialize(classes.select("cls").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "labelled")
+    drop_path(spark, kept)
+    return members, labelled
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; sets link where intersection / union >= num / den."""
+    members, labelled = _components(docs, size, num, den)
+    ids = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id")).join(labelled, "cls")
+    names = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(names, "component").select(F.col("cls").alias("c"), "component_id")
-    out = members.drop("k", "sketch").join(named, F.col("cls") == F.col("c"), "left")
+    out = members.select("doc_id", "n_shingles", "cls").join(named, F.col("cls") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The rows, with all their columns, that stay when one document of each component does: that of the smallest
-    doc_id. Rows without an id count as documents after all others, told apart by their text; of rows that share an id
-    one stays."""
-    far = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 60))
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), far))
-    found = jaccard_components(keyed.select(F.col("__id").alias("doc_id"), "text"), **params)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
-    kept = keyed.join(keep, F.col("__id") == F.col("__keep"), "left_semi").withColumn("__place", first)
-    return kept.where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows, with all their columns, that stay when one text of each component does: that of the smallest doc_id, and
+    of rows that share it the one that a hash of the text puts first. Rows without an id come after all others. Rows
+    are told apart by id and text: rows of one id whose texts aren't linked all stay, of equal rows one does. Rows of
+    texts without words are linked with nothing and stay."""
+    members, labelled = _components(docs, size, num, den)
+    row = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
+    first = members.where("cls is not null").select("cls", row.alias("row")).groupBy("cls").agg(F.min("row").alias("row"))
+    best = first.join(labelled, "cls").groupBy("component").agg(F.min("row").alias("row")).select("row.id", "row.t")
+    wordless = members.where("cls is null").select(F.col("doc_id").alias("id"), "t").distinct()
+    keep = best.unionByName(wordless)
+    # The row itself travels as a struct, whatever its columns are called.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
+    keyed = rows.select("row", "doc", _text_key().alias("key"))
+    kept = keyed.join(keep, F.col("doc").eqNullSafe(F.col("id")) & (F.col("key") == F.col("t")), "left_semi")
+    return kept.dropDuplicates(["doc", "key"]).select("row.*")

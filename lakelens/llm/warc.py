@@ -13,8 +13,9 @@ gives one nested row per capture.
 
 Defined results: null html is an empty payload; control characters and spaces in URLs are percent-encoded and a null
 URL is the empty one; rows that repeat page_id and payload are captures of their own, of which the first is the
-response if it is that page's turn and the rest revisit it; null page_ids come before all others; an empty table gives
-an empty archive; other columns are ignored.
+response if it is that page's turn and the rest revisit it; null page_ids come before all others; payloads of any length
+up to the two gigabytes of a value are written and read whole; an empty table gives an empty archive; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -57,8 +58,9 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1" + CRLF), *lines, F.lit("Content-Length: "), size, F.lit(CRLF + CRLF), block)
 
 
-def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", rows_per_file: int = 20_000) -> str:
-    """Writes the archives and returns their folder."""
+def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 64 << 20) -> str:
+    """Writes the archives and returns their folder. A file holds about file_bytes of unzipped payloads: pages are dealt by
+    a hash, and as many go into one file as come to that by their mean."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     clean = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20\x7f]", "%20")
@@ -70,7 +72,10 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     key = F.concat_ws("|", F.col("page_id").cast("string"), F.col("digest"))
     # One small row for each page: which page holds the payload. Hot digests meet pre-aggregated.
     keys = materialize(rows.groupBy("page_id", "digest").agg(F.max("bytes").alias("bytes")), "warc-keys")
-    holders = keys.groupBy("digest").agg(F.max("page_id").alias("holder")).withColumnRenamed("digest", "d")
+    mean = keys.agg(F.avg("bytes")).first()[0] or 0.0
+    rows_per_file = max(1, int(file_bytes / (mean + 1000)))
+    # A written table: both sides of the join then come straight from a shuffle, and adaptive execution splits a hot digest.
+    holders = materialize(keys.groupBy("digest").agg(F.max("page_id").alias("holder")).withColumnRenamed("digest", "d"), "warc-holders")
     decided = keys.join(holders, F.col("digest") == F.col("d")).where(F.col("bytes") >= least_bytes).select(key.alias("key"), F.lit(True).alias("shared"), "holder")
     # One key, also for null page_ids, serves the join and the window: payloads are dealt once.
     placed = rows.withColumn("key", key).join(decided, "key", "left")
@@ -173,7 +178,8 @@ def assemble(records: DataFrame) -> DataFrame:
         .join(metadata, F.col("record_id") == F.col("metadata_key"), "left")
         .select(F.col("record_id").alias("held_key"), F.struct("record_id", F.col("d").alias("payload_digest"), F.col("b").alias("payload_bytes"), F.col("metadata.fields").alias("fields")).alias("refers_to"))
     )
-    return captures.join(held, F.col("refers_key") == F.col("held_key"), "left").drop("refers_key", "held_key")
+    # Many revisits may name one response: see the holders above.
+    return captures.join(materialize(held, "warc-held"), F.col("refers_key") == F.col("held_key"), "left").drop("refers_key", "held_key")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

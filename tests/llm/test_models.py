@@ -77,3 +77,103 @@ def test_accepted_keeps_columns_and_clean_rows(spark):
     kept = li.accepted(df, li.fit(df, sample_docs=90))
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.select(F.col("doc_id")).collect()} == set(range(120))
+
+
+# ---- the whole model once more, in plain Python
+
+
+def plain_grams(text):
+    """Buckets of a text's n-grams, one after the other, by the definition of the hash."""
+    u = [ord(c) for c in text.lower()]
+    m = 0xFFFFFFFF
+    a = [(x + 1) * 0x9E3779B1 & m for x in u]
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(u) - n + 1):
+            h = a[i]
+            for j in range(1, n):
+                h ^= h >> 15
+                h = h * 0x85EBCA77 & m
+                h = h + a[i + j] & m
+            h ^= h >> 13
+            h = h * (0xC2B2AE3D + 2 * n) & m
+            out.append(h >> 16)
+    return out
+
+
+def plain_language_id(rows, sample, epochs=4, alpha=0.5, beta=1.0, l1=0.02, l2=0.01):
+    from collections import Counter
+    from hashlib import md5
+    from math import exp, log, sqrt
+
+    rows = [(d, t, lang) for d, t, lang, *_ in rows]
+    usable = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[1] is not None and r[2] is not None]
+    labels = sorted({r[2] for r in usable})
+    df = Counter(g for _, t, _ in usable for g in set(plain_grams(t)))
+    idf = lambda g: log((1 + len(usable)) / (1 + df[g])) + 1
+
+    def vector(text):
+        c = Counter(plain_grams(text))
+        n = sum(c.values())
+        return {g: 20.0 * k / n * idf(g) for g, k in sorted(c.items())}
+
+    place = lambda d: int(md5(f"langid|{d}".encode()).hexdigest()[:13], 16) / 16**13
+    share, size, taken, xs = max(1, sample // len(labels)), Counter(r[2] for r in usable), Counter(), []
+    for d, t, lang in sorted(usable, key=lambda r: (place(r[0]), r[2])):
+        if place(d) < min(1.0, 1.2 * share / size[lang]) and taken[lang] < share:
+            taken[lang] += 1
+            if v := vector(t):
+                xs.append((v, labels.index(lang)))
+    learn, tune = [x for i, x in enumerate(xs) if i % 5 != 4], [x for i, x in enumerate(xs) if i % 5 == 4]
+    z, n = {}, {}
+
+    def weight(g, k):
+        zi, ni = z.get((g, k), 0.0), n.get((g, k), 0.0)
+        if g == "bias":
+            return -zi / ((beta + sqrt(ni)) / alpha)
+        return 0.0 if abs(zi) <= l1 else -(zi - (1 if zi > 0 else -1) * l1) / ((beta + sqrt(ni)) / alpha + l2)
+
+    def odds(v, t=1.0):
+        s = [(weight("bias", k) + sum(x * weight(g, k) for g, x in v.items())) / t for k in range(len(labels))]
+        e = [exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in rng.permutation(len(learn)):
+            v, y = learn[i]
+            p = odds(v)
+            old = {(g, k): weight(g, k) for g in [*v, "bias"] for k in range(len(labels))}
+            for g, x in [*v.items(), ("bias", 1.0)]:
+                for k in range(len(labels)):
+                    d = x * (p[k] - (k == y))
+                    was = n.get((g, k), 0.0)
+                    n[g, k] = was + d * d
+                    z[g, k] = z.get((g, k), 0.0) + d - (sqrt(n[g, k]) - sqrt(was)) / alpha * old[g, k]
+    loss = lambda t: -sum(log(max(odds(v, t)[y], 1e-12)) for v, y in tune) / len(tune)
+    t = min((exp(x / 50) for x in range(-149, 150)), key=loss) if tune else 1.0
+    out = []
+    for d, text, _ in rows:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append((d, "und", 0.0))
+        else:
+            p = odds(vector(text), t)
+            out.append((d, labels[p.index(max(p))], max(p)))
+    return out
+
+
+def test_against_a_plain_version(spark):
+    rows = made(70, seed=3) + [(900, None, "aa", 0.0, 1), (901, "12 !", "bb", 0.0, 1), (902, "Ço", "cc", 0.0, 1), (3, "ka ti", "aa", 0.0, 1)]
+    # Mixed texts, whose odds are far from 1.
+    rng = random.Random(4)
+    rows += [(1000 + i, " ".join(rng.choice([s for x in SOUNDS.values() for s in x]) for _ in range(12)), rng.choice(list(SOUNDS)), 0.0, 1) for i in range(30)]
+    got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in li.language_id(spark.createDataFrame(rows, SCHEMA).repartition(3), sample_docs=60).collect()}
+    want = plain_language_id(rows, 60)
+    assert {(d, lang) for d, lang, _ in want} == set(got)
+    assert all(abs(got[d, lang] - p) < 0.03 for d, lang, p in want) and sum(0.01 < p < 0.97 for *_, p in want) > 10
+
+
+def test_ties_go_to_the_first_language_by_name():
+    even = li.Model(["aa", "bb"], np.zeros((li.BUCKETS + 1, 2), np.float32), np.zeros(2), 1.0)
+    labels, scores = even.predict(["some text"])
+    assert labels == ["aa"] and scores.tolist() == [0.5]
