@@ -1,13 +1,15 @@
 """Operator 5, exact n-gram Jaccard join by token-group matrices.
 
 1. Every text becomes its set of distinct word shingles; equal sets are one class.
-2. Co-location. Two sets of similarity t differ in at most H shingles, where H follows from their sizes. Hash space is
-   cut into H + 1 parts, so linked sets agree on at least one whole part (the pigeonhole bound of PartEnum, Arasu et
-   al., 2006). Classes that share the digest of a part are joined, and components of that graph are families: all
-   links of a class lie within its family.
-   Sets that share passages chain into large families, so these are refined first by parity sketches: bit i of a sketch
-   tells whether an odd number of shingles fall on it, and two sketches differ in no more bits than the sets in
-   shingles. Only pairs within the bound stay connected.
+2. Co-location, by two conditions that every link meets. (a) Two sets of similarity t differ in at most H shingles, where H
+   follows from their sizes. Hash space is cut into H + 1 parts, so linked sets agree on at least one whole part (the
+   pigeonhole bound of PartEnum, Arasu et al., 2006). (b) With shingles ordered from rare to frequent, linked sets share
+   one of the first n - ceil(t n) + 1 of both (the prefix bound, Chaudhuri et al., 2006). Any one order serves for that;
+   counts of all shingles by a hash, in a table that grows with the corpus up to LOAD_BITS, make passages that many
+   documents hold come last, which so tie nothing together. Classes that share a digest, or a shingle, are joined; sets
+   that lie in one component of both graphs are a family: all links of a class lie within its family.
+   Families are refined by parity sketches: bit i of a sketch tells whether an odd number of shingles fall on it, and two
+   sketches differ in no more bits than the sets in shingles. Only pairs within the bound stay connected.
 3. Token-group matrix. A family's classes are dealt into blocks of bounded size, and each pair of blocks is a task. There,
    similar sets (by least hash and size) form groups of at most 16, each a row with the union of its members'
    shingles. A group's overlap with a query bounds that of any member, and only groups whose bound reaches the
@@ -24,10 +26,12 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 128, 200_000
 #: and the bytes of a block's sketches, at most on average.
 SKETCH_SETS, SKETCH_BLOCKS, SKETCH_BYTES = 192, 24, 1 << 20
 GROUP = 16
+#: Counters of shingles are 2 ** bits, of a byte each, about one for eight shingles and these at most.
+LOAD_BITS, LOAD_RANGES = 26, 64
 
 
 @cache
@@ -187,54 +193,122 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_parts(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """a, b: classes (by k) that share the digest of a part, each with the least of them. Digests travel as arrays, dealt
-    by their value, a row for each bucket of a batch."""
+@dataclass(frozen=True)
+class Loads:
+    """How often shingles occur in all sets together, by the last bits of their hash: eight steps for each doubling."""
+
+    bits: int
+    steps: np.ndarray
+
+    def prefix(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The first shingles of a set from rare to frequent, of which one is in every set that it can link with."""
+        k = len(s) + 1 + (-num * len(s) // den)
+        if k >= len(s):
+            return s
+        place = (self.steps[s & np.uint64((1 << self.bits) - 1)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+        return s[np.argpartition(place, k - 1)[:k]]
+
+
+def shingle_loads(docs: DataFrame, size: int, total: int) -> Loads:
+    """Counts over all documents' sets, which have `total` shingles: tasks send sparse counts, dealt by ranges of the
+    counters; the driver gets a byte for each counter."""
+    bits = int(np.clip(int(max(total, 1) // 8).bit_length(), 16, LOAD_BITS))
+    width = (1 << bits) // LOAD_RANGES
+    blob = pa.schema([("range", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+
+    def sparse(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(u, np.arange(LOAD_RANGES + 1) * width)
+        zstd = zstandard.ZstdCompressor(level=1)
+        some = [i for i in range(LOAD_RANGES) if edges[i + 1] > edges[i]]
+        steps = lambda x: np.diff(x, prepend=np.uint32(0))  # the first place of a range stands as it is, the others as steps
+        packed = lambda x: zstd.compress(x.astype("<u4").tobytes())
+        cols = [some, [packed(steps(u[edges[i] : edges[i + 1]])) for i in some], [packed(n[edges[i] : edges[i + 1]]) for i in some]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, blob, strict=True)], schema=blob)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for some in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                for s in shingle_sets(_bytes_of(some.column(0)), size):
+                    held.append((s & np.uint64((1 << bits) - 1)).astype(np.uint32))
+                    n += len(s)
+                if n > 4_000_000:
+                    yield sparse(held)
+                    held, n = [], 0
+        if n:
+            yield sparse(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, sums = zstandard.ZstdDecompressor(), {}
+        for b in batches:
+            for r, at, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                places = np.cumsum(np.frombuffer(zstd.decompress(at), "<u4"), dtype=np.int64) - r * width
+                sums.setdefault(r, np.zeros(width, np.int64))[places] += np.frombuffer(zstd.decompress(n), "<u4")
+        for r, x in sums.items():
+            steps = np.minimum(np.round(8 * np.log2(1 + x)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([steps.tobytes()], pa.binary()), pa.array([b""], pa.binary())], schema=blob)
+
+    counted = _texts(docs).select("text").mapInArrow(trimmed(count), "range int, at binary, n binary").repartitionById(LOAD_RANGES, F.col("range"))
+    steps = np.zeros(1 << bits, np.uint8)
+    for r in counted.mapInArrow(trimmed(add), "range int, at binary, n binary").select("range", "at").toLocalIterator():  # 2 ** bits bytes
+        steps[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["at"], np.uint8)
+    return Loads(bits, steps)
+
+
+def candidate_ties(docs: DataFrame, size: int, num: int, den: int, loads: Loads) -> DataFrame:
+    """kind, a, b: classes (by k) that share the digest of a part (kind 0) or a shingle of their prefixes (kind 1), each with
+    the least of them. Digests travel as arrays, dealt by their value, a row for each bucket and kind of a batch."""
     n = shuffle_partitions(docs.sparkSession)
-    blob = pa.schema([("bucket", pa.int32()), ("digests", pa.binary()), ("owners", pa.binary()), ("names", pa.binary())])
-    tie = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    shared = docs.sparkSession.sparkContext.broadcast(loads)  # 2 ** LOAD_BITS bytes at most
+    blob = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("digests", pa.binary()), ("owners", pa.binary()), ("names", pa.binary())])
+    tie = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
-                found: dict[int, np.ndarray] = {}
+                found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                 for s in shingle_sets(_bytes_of(some.column(1)), size):
                     if len(s) and (k := _half(set_key(s))) not in found:
-                        found[k] = part_digests(s, num, den)
+                        found[k] = part_digests(s, num, den), mix(shared.value.prefix(s, num, den))
                 if not found:
                     continue
                 names = np.array(list(found), np.int64)
-                digests = np.concatenate(list(found.values()))
-                owners = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found.values()])
-                bucket = (digests % np.uint64(n)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[order], np.arange(n + 1))
-                parts = [(i, order[x:y]) for i, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
-                named = [np.unique(owners[o], return_inverse=True) for _, o in parts]
-                cols = [[i for i, _ in parts], [digests[o].tobytes() for _, o in parts], [x.astype(np.uint16).tobytes() for _, x in named], [names[u].tobytes() for u, _ in named]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, blob, strict=True)], schema=blob)
+                for kind in (0, 1):
+                    own = [x[kind] for x in found.values()]
+                    digests = np.concatenate(own)
+                    owners = np.repeat(np.arange(len(own), dtype=np.uint16), [len(x) for x in own])
+                    bucket = (digests % np.uint64(n)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    at = np.searchsorted(bucket[order], np.arange(n + 1))
+                    parts = [(i, order[x:y]) for i, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+                    named = [np.unique(owners[o], return_inverse=True) for _, o in parts]
+                    cols = [[i for i, _ in parts], [kind] * len(parts), [digests[o].tobytes() for _, o in parts], [x.astype(np.uint16).tobytes() for _, x in named], [names[u].tobytes() for u, _ in named]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, blob, strict=True)], schema=blob)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ds, ks = [], []
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for b in batches:
-            for d, o, names in zip(*[b.column(c).to_pylist() for c in ("digests", "owners", "names")], strict=True):
+            for kind, d, o, names in zip(*[b.column(c).to_pylist() for c in ("kind", "digests", "owners", "names")], strict=True):
+                ds, ks = held.setdefault(kind, ([], []))
                 ds.append(np.frombuffer(d, np.uint64))
                 ks.append(np.frombuffer(names, np.int64)[np.frombuffer(o, np.uint16)])
-        if not ds:
-            return
-        d, k = np.concatenate(ds), np.concatenate(ks)
-        del ds, ks
-        order = np.argsort(d, kind="stable")
-        d, k = d[order], k[order]
-        edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        least = np.repeat(np.minimum.reduceat(k, edges), np.diff(np.append(edges, len(d))))
-        apart = k != least
-        ties = np.unique(np.stack([k[apart], least[apart]], 1), axis=0)
-        for i in range(0, len(ties), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ties[i : i + 100_000, 0]), pa.array(ties[i : i + 100_000, 1])], schema=tie)
-
-    cuts = _texts(docs).mapInArrow(trimmed(cut), "bucket int, digests binary, owners binary, names binary")
-    return cuts.repartitionById(n, F.col("bucket")).mapInArrow(trimmed(meet), "a bigint, b bigint")
+        for kind in sorted(held):
+            ds, ks = held.pop(kind)
+            d, k = np.concatenate(ds), np.concatenate(ks)
+            del ds, ks
+            order = np.argsort(d, kind="stable")
+            d, k = d[order], k[order]
+            edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            least = np.repeat(np.minimum.reduceat(k, edges), np.diff(np.append(edges, len(d))))
+            apart = k != least
+            ties = np.unique(np.stack([k[apart], least[apart]], 1), axis=0)
+            for i in range(0, len(ties), 100_000):
+                some = ties[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some[:, 0]), pa.array(some[:, 1])], schema=tie)
+
+    cuts = _texts(docs).mapInArrow(trimmed(cut), "bucket int, kind int, digests binary, owners binary, names binary")
+    return cuts.repartitionById(n, F.col("bucket")).mapInArrow(trimmed(meet), "kind int, a bigint, b bigint")
 
 
 class _Union:
@@ -341,8 +415,12 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFra
     members = materialize(shingled(docs, size), "shingled")
     classes = members.where("cls is not null").groupBy("cls", "k").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
     sketched = members.where("cls is not null").select("k", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["k"])
-    ties = shared_parts(docs, size, num, den)
-    rough = connected_components(ties, "rough-families").select(F.col("node").alias("k"), F.col("component").alias("family"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    tied = new_path(spark, "ties")
+    ties = materialize(candidate_ties(docs, size, num, den, shingle_loads(docs, size, total)), "", tied)
+    by = [connected_components(ties.where(F.col("kind") == i).select("a", "b"), f"rough-{i}").select(F.col("node").alias("k"), F.col("component").alias(f"f{i}")) for i in (0, 1)]
+    rough = materialize(by[0].join(by[1], "k").select("k", F.xxhash64("f0", "f1").alias("family")), "rough-families")
+    drop_path(spark, tied)
     families = connected_components(refined(sketched.join(rough, "k"), num, den), "families").select(F.col("node").alias("k"), F.col("component").alias("family"))
     kept = new_path(spark, "family-members")
     inside = materialize(classes.join(families, "k").select("cls", "least_id", "n", "family"), "", kept)

@@ -151,3 +151,36 @@ def test_words_of_one_polynomial_hash_stay_apart(spark):
         u = t.translate(str.maketrans("ab", "ba"))
         docs = [(1, t), (2, u), (3, f"{t} x y z"), (4, f"{u} x y z"), (5, t)]
         assert got(spark, docs) == brute(docs, 3, 90, 100)
+
+
+def test_prefixes_never_part_a_link(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    steps = rng.integers(0, 4, 1 << 16).astype(np.uint8)  # any order will do
+    loads = ngram_jaccard.Loads(16, steps)
+    for num in (80, 90, 100):
+        sets = []
+        for n in (1, 2, 3, 9, 10, 11, 40, 333):
+            base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            for _ in range(6):
+                drop = rng.integers(0, max(1, n // 5) + 1)
+                sets.append(np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 1), dtype=np.uint64)])))
+        sets = [s for s in sets if len(s)]
+        for i, a in enumerate(sets):
+            assert len(loads.prefix(a, num, 100)) == len(a) - -(-num * len(a) // 100) + 1 or len(a) == 1
+            for b in sets[:i]:
+                if 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                    assert len(np.intersect1d(loads.prefix(a, num, 100), loads.prefix(b, num, 100)))
+
+
+def test_loads_count_every_set(spark):
+    import numpy as np
+
+    docs = near_copies(random.Random(7), 6, 80)
+    sets = list(ngram_jaccard.shingle_sets([t.encode() for _, t in docs], 3))
+    loads = ngram_jaccard.shingle_loads(frame(spark, docs), 3, sum(len(s) for s in sets))
+    want = np.zeros(1 << loads.bits, np.int64)
+    for s in sets:
+        np.add.at(want, (s & np.uint64((1 << loads.bits) - 1)).astype(np.int64), 1)
+    assert np.array_equal(loads.steps, np.minimum(np.round(8 * np.log2(1 + want)), 255).astype(np.uint8))
