@@ -221,9 +221,11 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.withColumns({"__upto": upto, "__n": n}).where(F.col("__upto") > F.floor(F.col("__n") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
 
 
-def cell(value: Column) -> list[Column]:
-    """Count, mean, minimum, median and maximum of the known values."""
-    return [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.round(F.median(value), 6).alias("median"), F.max(value).alias("most")]
+def cell(value: Column, median: bool = True) -> list[Column]:
+    """Count, mean, minimum, median and maximum of the known values. The median gathers a group's distinct values in one
+    task; for large groups leave it out and take it from quantiles()."""
+    middle = [F.round(F.median(value), 6).alias("median")] if median else []
+    return [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), *middle, F.max(value).alias("most")]
 
 
 def pass_share(passed: Column) -> list[Column]:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions import text as tx
 from ..functions import vector
-from ..operators import bankfile, chunking, compare, guard, quality, records, retrieval, scoped, similarity, verify
+from ..operators import bankfile, chunking, compare, guard, quality, records, retrieval, runs, scoped, similarity, verify
 from ..sources import readers
 from ..storage import new_path
 from .relational import big, paths, t
-from .textual import _LEGS, _PATHS_SQL, _RECORD, _RERANKED, PARAGRAPHS, asked, bag_vector, legs, neighbours, texts, topic
+from .textual import _LEGS, _PATHS_SQL, _RECORD, _RERANKED, PARAGRAPHS, asked, bag_vector, holding, legs, neighbours, texts, topic
 
 QUERIES, SQL = {}, {}
 
@@ -689,3 +689,39 @@ def bank_rules(spark, d):
         row("r7", "hybrid", "L2", "filter-compare", gold=[1, 2], seen=(list(range(1, 31)),), why="reviewed"), row("r8", "sql", answer=["A", "a"]), row("r9", "hybrid", "L2", "filter-else", gold=[1, 2], seen=([1, 2, 3],)),
     ]
     return records.violations(inline(spark, schema, rows))
+
+
+# ---- runs of a bank
+
+_BANK = "question_id string, text string, expected_route string, level string, gold_sql string, answer_columns array<string>, gold_project_ids array<bigint>"
+
+
+@query("""SELECT * FROM (VALUES ('force-vector', 'q1', 'vector', false, 'no-sql'), ('force-vector', 'q2', 'vector', false, 'no-sql'), ('force-vector', 'q3', 'vector', true, ''), ('force-vector', 'q4', 'vector', NULL, 'nothing to score by'),
+('router', 'q1', 'sql', true, 'match'), ('router', 'q2', 'sql', false, 'rows differ'), ('router', 'q3', 'vector', true, ''), ('router', 'q4', 'sql', NULL, 'nothing to score by')) x(condition, question_id, mode, passed, reason)""")
+def bank_run(spark, d):
+    """Four questions under two conditions, stopped after the first and resumed."""
+    t(spark, d, "nation").createOrReplaceTempView("_run_nations")
+    docs = t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("the nation of "), F.col("n_name")).alias("text"))
+    first = docs.orderBy("id").head()
+    statement = {"q1": "SELECT n_name FROM _run_nations WHERE n_regionkey = 1", "q2": "SELECT n_name FROM _run_nations WHERE n_regionkey = 2", "q4": "SELECT 1 AS x"}
+    write = lambda question, error: statement[question[:2]]
+    engine = Engine(spark, docs, write_sql=write, facts=lambda q: (q[:2] == "q3", []), stemmed=False)
+    bank = [
+        ("q1", "q1 of region 1", "sql", "L1", "SELECT n_name, n_nationkey FROM _run_nations WHERE n_regionkey = 1", ["n_name"], None), ("q2", "q2 of region 1", "sql", "L2", "SELECT n_name FROM _run_nations WHERE n_regionkey = 1", ["n_name"], None),
+        ("q3", f"q3 {first['text']}", "vector", "L1", None, None, [first["id"]]), ("q4", "q4", "sql", "L1", None, None, None),
+    ]
+    path, frame = new_path(spark, "run"), inline(spark, _BANK, bank)
+    runs.run_bank(engine, frame.where("question_id = 'q1'"), path, "r1", ["router"], 5)
+    done = runs.run_bank(engine, frame, path, "r1", ["router", "force-vector"], 5)
+    return done.select("condition", "question_id", "mode", "passed", "reason")
+
+
+@query(f"""WITH {_LEGS}, gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)), ng AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
+c AS (SELECT 'lexical' AS condition, query_id, id, rank FROM lex UNION ALL SELECT 'hybrid', query_id, id, rank FROM fused WHERE rank <= 20),
+m AS (SELECT x.condition, k, ng.query_id, n, count(c.rank) AS f, min(c.rank) AS first, coalesce(sum(1 / log2(c.rank + 1)), 0) AS dcg FROM (VALUES ('lexical'), ('hybrid')) x(condition), (VALUES (5), (20)) y(k), ng JOIN gold g ON g.query_id = ng.query_id
+      LEFT JOIN c ON c.condition = x.condition AND c.query_id = ng.query_id AND c.id = g.id AND c.rank <= k GROUP BY 1, 2, 3, 4)
+SELECT condition, query_id, k, CAST(f > 0 AS INT) AS hit, round(f / n, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM m""")
+def retrieval_run(spark, d):
+    lex, den = legs(spark, d)
+    rankings = {"lexical": lex, "hybrid": retrieval.hybrid(lex, den, k=20)}
+    return runs.run_retrieval(rankings, holding(spark, d), (5, 20))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import quality, records, retrieval
+from ..operators.quantiles import beside, quantiles
 from ..sources import readers
 
 QUERIES, SQL = {}, {}
@@ -30,6 +31,10 @@ def big(c):
     return c.cast("bigint")
 
 
+def rounded(df: DataFrame, columns) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
 def money(c):
     return F.col(c).cast("decimal(18,2)")
 
@@ -100,7 +105,9 @@ FROM documents GROUP BY lang
 def text_length_profile(spark, d):
     n = F.length("text")
     marks = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
-    return t(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile(n, F.lit(p)), 4).alias(k) for k, p in marks.items()], F.round(F.avg(n), 4).alias("mean"), big(F.max(n)).alias("longest"))
+    docs = t(spark, d, "documents")
+    out = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 4).alias("mean"), big(F.max(n)).alias("longest"))
+    return rounded(beside(out, ["lang"], quantiles(docs, ["lang"], n, marks)), marks)
 
 
 @query("SELECT o_orderkey, (o_orderkey % 2147483647 * 48271 + 69621) % 2147483647 AS place FROM orders ORDER BY place, o_orderkey LIMIT 100")
@@ -211,8 +218,8 @@ def preagg_join(spark, d):
 
 @query("SELECT o_orderstatus, round(median(o_totalprice), 4) AS med, round(quantile_cont(o_totalprice, 0.1), 4) AS d1, round(quantile_cont(o_totalprice, 0.9), 4) AS d9 FROM orders GROUP BY 1")
 def median_and_deciles(spark, d):
-    p = F.col("o_totalprice")
-    return t(spark, d, "orders").groupBy("o_orderstatus").agg(F.round(F.median(p), 4).alias("med"), F.round(F.percentile(p, F.lit(0.1)), 4).alias("d1"), F.round(F.percentile(p, F.lit(0.9)), 4).alias("d9"))
+    marks = {"med": 0.5, "d1": 0.1, "d9": 0.9}
+    return rounded(quantiles(t(spark, d, "orders"), ["o_orderstatus"], F.col("o_totalprice"), marks), marks)
 
 
 @query("""
@@ -265,8 +272,9 @@ FROM (SELECT o_orderstatus, o_totalprice AS x, CASE WHEN o_orderpriority LIKE '5
 """)
 def distribution_cell(spark, d):
     x, p = F.col("o_totalprice"), F.when(~F.col("o_orderpriority").like("5%"), F.col("o_totalprice") > 150000)
-    out = t(spark, d, "orders").groupBy("o_orderstatus").agg(*records.cell(x), *records.pass_share(p))
-    return out.withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4)})
+    o = t(spark, d, "orders")
+    out = o.groupBy("o_orderstatus").agg(*[c for c in records.cell(x, median=False)], *records.pass_share(p)).withColumn("mean", F.round("mean", 4))
+    return rounded(beside(out, ["o_orderstatus"], quantiles(o, ["o_orderstatus"], x, {"median": 0.5})), ["median"])
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
@@ -398,8 +406,9 @@ def frontier(spark, d):
 SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS statuses, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day, round(quantile_cont(o_totalprice, 0.1), 4) AS d1, round(quantile_cont(o_totalprice, 0.5), 4) AS d5, round(quantile_cont(o_totalprice, 0.9), 4) AS d9, count(*) - count(o_orderpriority) AS no_priority FROM orders
 """)
 def orientation(spark, d):
-    p = F.col("o_totalprice")
-    return t(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderstatus").alias("statuses"), F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day"), *[F.round(F.percentile(p, F.lit(q)), 4).alias(k) for k, q in (("d1", 0.1), ("d5", 0.5), ("d9", 0.9))], (F.count(F.lit(1)) - F.count("o_orderpriority")).alias("no_priority"))
+    o, marks = t(spark, d, "orders"), {"d1": 0.1, "d5": 0.5, "d9": 0.9}
+    one = o.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderstatus").alias("statuses"), F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day"), (F.count(F.lit(1)) - F.count("o_orderpriority")).alias("no_priority"))
+    return rounded(beside(one, [], quantiles(o, [], F.col("o_totalprice"), marks)), marks)
 
 
 @query(f"SELECT c_custkey, [b] AS buckets FROM (SELECT c_custkey, split_part(path, '/', 1) || ' / ' || split_part(path, '/', 2) AS b FROM ({_PATHS}) WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, '(unclassified)' FROM customer WHERE c_custkey % 7 = 0)")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vector
 from ..operators import chunking, compare, guard, records, retrieval, scoped, similarity
+from ..operators.quantiles import beside, quantiles
 from ..storage import drop_path, file_system, materialize, own_dir
 from .relational import _PATHS as _PATHS_SQL
-from .relational import big, paths, t
+from .relational import big, paths, rounded, t
 
 QUERIES, SQL = {}, {}
 
@@ -48,7 +49,8 @@ SELECT lang, count(*) AS n, round(quantile_cont(length(p), 0.5), 4) AS p50, roun
 def paragraph_stats(spark, d):
     p = t(spark, d, "documents").select("lang", F.explode(tx.paragraphs(F.col("text"))).alias("p"))
     n = F.length("p")
-    return p.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(n, F.lit(0.5)), 4).alias("p50"), F.round(F.percentile(n, F.lit(0.9)), 4).alias("p90"))
+    marks = {"p50": 0.5, "p90": 0.9}
+    return rounded(beside(p.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), ["lang"], quantiles(p, ["lang"], n, marks)), marks)
 
 
 _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]["'')\]]?)\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"""
