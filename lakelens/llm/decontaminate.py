@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-#: Tables of the benchmark up to this number of rows are broadcast; longer ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Tables of the benchmark up to these numbers of rows are broadcast, its shingles (16 bytes each) and others; longer ones
+#: are joined by shuffling.
+BROADCAST_SHINGLES, BROADCAST_ROWS = 1_000_000, 100_000
 BITS, BLOCKS = 64, 5
 
 
@@ -94,16 +95,16 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
+def _bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A table of the benchmark, broadcast after a count shows that it is short."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def places_of_item_shingles(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """doc_id, c, places: where a document holds shingles of items that have c of them, in order."""
     shingles = items.select("c", F.explode("item").alias("h")).distinct()
     # An outer explode: for an inner one the optimizer would infer a filter and evaluate the hashes twice below it.
-    held = _hashed(docs, "doc_id", size).select("doc_id", F.posexplode_outer("hashes").alias("pos", "h")).join(_bounded(shingles), "h")
+    held = _hashed(docs, "doc_id", size).select("doc_id", F.posexplode_outer("hashes").alias("pos", "h")).join(_bounded(shingles, BROADCAST_SHINGLES), "h")
     return held.groupBy("doc_id", "c").agg(F.array_sort(F.collect_set("pos")).alias("places"))
 
 
