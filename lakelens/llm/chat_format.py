@@ -9,8 +9,8 @@ The separator keeps the texts of merged turns apart, so that reading back loses
 backslash restores it. Roles also escape "%" and line feeds as %25 and %0A.
 
 Defined results: null text or role is empty; null turns come first; equal turns order by role, then text; repeated
-rows are kept as turns; a null conv_id is one conversation of its own; an empty table gives an empty result; other
-columns are ignored.
+rows are kept as turns; a null conv_id is one conversation of its own; texts of any length are formatted whole, up to the
+two gigabytes of a value for a conversation; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

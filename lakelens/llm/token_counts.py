@@ -5,8 +5,9 @@ sums over the histogram answer, for any context limit, how many documents and to
 keep, and every quantile. Suffix sums run in two levels, slabs of 1024 lengths and lengths within a slab, so that no
 task gathers the whole histogram.
 
-Defined results: null text has length 0; repeated rows count each; an empty table gives an empty histogram; quantiles
-of an empty histogram are absent; other columns are ignored.
+Defined results: null text has length 0; texts of any length are encoded whole; repeated rows count each, and documents
+of one length share a row; an empty table gives an empty histogram; quantiles of an empty histogram are absent; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import materialize, small_batches, trimmed
 from .tokens import default_tokenizer, encoder
 
 SLAB = 1024
+MOST_LIMITS = 1000
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -79,7 +81,9 @@ def quantiles(table: DataFrame, of: list[float]) -> DataFrame:
 
 
 def truncated_totals(table: DataFrame, limits: DataFrame) -> DataFrame:
-    """limit, tokens: what truncation to each of a few asked limits (a column limit) keeps."""
+    """limit, tokens: what truncation to each of a few asked limits (a column limit, at most MOST_LIMITS) keeps."""
+    if limits.limit(MOST_LIMITS + 1).count() > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits: read them off the context table")
     least = table.select("context_limit", "n_docs")
     kept = F.sum(F.least(F.col("context_limit"), F.col("limit")) * F.col("n_docs")).cast("bigint")
     return F.broadcast(limits).join(least, F.lit(True)).groupBy("limit").agg(kept.alias("tokens"))

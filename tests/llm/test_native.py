@@ -44,6 +44,13 @@ def test_chat_round_trip(spark):
 # ---- exact dedup
 
 
+def test_chat_with_long_texts(spark):
+    long = "<|im_end|>é " * 100_000
+    rows = [(1, 0, "user", long, 5), (1, 1, "assistant", long, 5), (1, 2, "assistant", None, 5)]
+    [r] = chat_format.parse_chat(chat_format.format_chat(spark.createDataFrame(rows, CHAT))).collect()
+    assert [tuple(t) for t in r["turns"]] == [("user", long), ("assistant", long), ("assistant", "")] and "".join(r["loss_texts"]) == long
+
+
 def brute_dedup(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = {}
@@ -209,6 +216,10 @@ def test_mixing_against_brute_force(spark):
     for d, t, s in rows:
         want[d, t] += brute_copies(d, rate[s]) if rate[s] else 0
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == +want
+    clash = spark.createDataFrame([(1, "x" * 70_000, "s", 9, 8, 7)], "doc_id bigint, text string, source string, mix_copy int, cdf int, row int")
+    with pytest.raises(ValueError, match="mix_copy"):
+        mixing.mix(clash)
+    assert {tuple(r) for r in mixing.mixed_rows(clash, weights={"s": 1.0}, total=400_000.0).collect()} == {(1, "x" * 70_000, "s", 9, 8, 7)}
     keys = [r["mix_key"] for r in got.collect()]
     assert keys == sorted(keys)
     assert mixing.mix(docs(spark, [])).collect() == []
