@@ -32,6 +32,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,11 +257,10 @@ def shingle_loads(docs: DataFrame, size: int, total: int) -> Loads:
     return Loads(bits, steps)
 
 
-def candidate_ties(docs: DataFrame, size: int, num: int, den: int, loads: Loads) -> DataFrame:
+def candidate_ties(docs: DataFrame, size: int, num: int, den: int, shared: Broadcast[Loads]) -> DataFrame:
     """kind, a, b: classes (by k) that share the digest of a part (kind 0) or a shingle of their prefixes (kind 1), each with
     the least of them. Digests travel as arrays, dealt by their value, a row for each bucket and kind of a batch."""
     n = shuffle_partitions(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(loads)  # 2 ** LOAD_BITS bytes at most
     blob = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("digests", pa.binary()), ("owners", pa.binary()), ("names", pa.binary())])
     tie = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -417,7 +417,9 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFra
     sketched = members.where("cls is not null").select("k", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["k"])
     total = classes.agg(F.sum("n")).first()[0] or 0
     tied = new_path(spark, "ties")
-    ties = materialize(candidate_ties(docs, size, num, den, shingle_loads(docs, size, total)), "", tied)
+    loads = spark.sparkContext.broadcast(shingle_loads(docs, size, total))  # 2 ** LOAD_BITS bytes at most
+    ties = materialize(candidate_ties(docs, size, num, den, loads), "", tied)
+    loads.unpersist()
     by = [connected_components(ties.where(F.col("kind") == i).select("a", "b"), f"rough-{i}").select(F.col("node").alias("k"), F.col("component").alias(f"f{i}")) for i in (0, 1)]
     rough = materialize(by[0].join(by[1], "k").select("k", F.xxhash64("f0", "f1").alias("family")), "rough-families")
     drop_path(spark, tied)
