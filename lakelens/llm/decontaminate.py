@@ -96,8 +96,9 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def _bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of the benchmark, broadcast after a count shows that it is short."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A table of the benchmark, broadcast after a count shows that it is short. A longer one is merged: the planner knows
+    the size of what it is exploded from, not its own."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def places_of_item_shingles(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
