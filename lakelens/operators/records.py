@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import or_empty
 from .compare import in_window
+from .retrieval import small
 
 UNCLASSIFIED, TOP_ONLY = "(unclassified)", "(top-level only)"
 
@@ -189,9 +190,9 @@ def steps(events: DataFrame, key: str, at: str, opens: Column, ends: Column, the
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage rows with cost: the first price (lowest place) whose name the model contains, per million tokens; cache reads
-    cost a tenth of input, cache writes a quarter more. prices: place, name, input, output; a small table."""
+    cost a tenth of input, cache writes a quarter more. prices: place, name, input, output; broadcast if it is short."""
     models = usage.select("model").distinct()
-    hit = models.join(F.broadcast(prices), F.contains(F.lower("model"), F.lower("name"))).groupBy("model").agg(F.min_by(F.struct("input", "output"), "place").alias("p"))
+    hit = models.join(small(prices), F.contains(F.lower("model"), F.lower("name"))).groupBy("model").agg(F.min_by(F.struct("input", "output"), "place").alias("p"))
     cost = ((F.col("fresh") + 0.1 * F.col("cache_read") + 1.25 * F.col("cache_write")) * F.col("p.input") + F.col("out") * F.col("p.output")) / 1e6
     return usage.join(hit, "model", "left").withColumn("cost", F.round(cost, 9)).drop("p")
 

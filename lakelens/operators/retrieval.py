@@ -19,8 +19,9 @@ BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the frame is proven small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint if the frame is proven small, else one against it: the planner's estimate of an exploded frame is
+    that of its source."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 # ---- lexical index

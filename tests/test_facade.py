@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,39 @@ def test_commands(spark, capsys):
     assert main(["sql", "/root/testdata/sf0.001", "SELECT count(*) AS n FROM region"]) == 0
     assert '{"n": 5}' in capsys.readouterr().out
     assert main(["sql", "/root/testdata/sf0.001", "DROP TABLE region"]) == 1
+
+
+def test_more_commands(spark, tmp_path, capsys):
+    said = lambda: capsys.readouterr().out
+    at = lambda name: f"{tmp_path}/{name}"
+    docs = [(1, "red lenses and mirrors"), (2, "a blue sky\n" + "x" * 3000), (3, "mirrors of the sky")]
+    spark.createDataFrame(docs, "id bigint, text string").write.parquet(at("docs"))
+    assert main(["index-fresh", at("docs"), at("index")]) == 1
+    assert main(["build-index", at("docs"), at("index")]) == 0 and '"rows": 3' in said()
+    assert main(["index-fresh", at("docs"), at("index")]) == 0
+    assert main(["search-index", at("index"), "mirror"]) == 0 and "|     3|" in said()
+    spark.createDataFrame([(7, "mirror sky")], "query_id bigint, query string").write.parquet(at("questions"))
+    spark.createDataFrame([(7, 3)], "query_id bigint, id bigint").write.parquet(at("gold"))
+    assert main(["bench-retrievers", at("docs"), at("questions"), at("gold")]) == 0 and "| lexical | 10 | 1 | 1.0 | 1.0 | 1.0 | 1.0 |" in said()
+    assert main(["chunk-stats", at("docs")]) == 0 and "|         4|     1|" in said()
+    spark.createDataFrame([(1, "h", "report", "summary", "one\ntwo")], "project_id bigint, header string, source string, section string, text string").write.parquet(at("sections"))
+    assert main(["chunk", at("sections"), at("chunks")]) == 0 and spark.read.parquet(at("chunks")).head()["text"] == "one\ntwo"
+    (tmp_path / "x.csv").write_text('"id";"note"\n"1";"say ""hi"""\nbroken\n')
+    assert main(["stage-csv", at("x.csv"), at("staged")]) == 1 and "not quoted" in said()
+    bank = [{"question_id": f"sql-{i}", "text": f"Which lasers of kind {i} are measured in Spain today?", "expected_route": "sql", "level": f"L{1 + i % 2}", "gold_project_ids": [i // 2], "twin_id": "t1" if i < 2 else None} for i in range(4)]
+    (tmp_path / "bank.jsonl").write_text("\n".join(json.dumps(r) for r in bank))
+    (tmp_path / "none.jsonl").write_text("")
+    (tmp_path / "plan.md").write_text("| route | L1 | L2 |\n|---|---|---|\n| sql | 5 | 2 |\n")
+    assert main(["gap-report", at("bank.jsonl"), at("none.jsonl"), at("plan.md")]) == 0 and "|     5|     2|     0|      3|" in said()
+    assert main(["next-ids", at("bank.jsonl"), "--wanted", "1"]) == 0 and "|   sql|  4|" in said()
+    assert main(["pick", at("bank.jsonl"), "--n", "2"]) == 0 and said().split() == ["sql-0", "sql-1"]
+    assert main(["near-duplicates", at("bank.jsonl")]) == 1 and "sql-1" in said()
+    assert main(["collisions", at("bank.jsonl"), at("none.jsonl")]) == 0
+    out = said()
+    assert "sql-0" in out and "t1" in out
+    assert main(["bad-lines", at("x.csv")]) == 1
+    assert main(["catalog", "/root/testdata/sf0.001"]) == 0 and "r_name" in said()
+    (tmp_path / "journal.jsonl").write_text('{"slot": "s", "status": "ACCEPTED", "candidate_index": 1}\n')
+    assert main(["journal-stats", at("journal.jsonl")]) == 0 and "candidates tried" in said()
+    assert main(["run-report", at("nothing")]) == 0 and "## Passed" in said()
+    assert main(["latest", at("nothing")]) == 0
