@@ -41,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the content-addressed token store and returns what its files hold, a row for each row: null text is empty and
     gives the end id, null ids come first, rows that share an id are documents of their own."""
-    return token_store.token_store(docs)
+    # The workers have served four other stages: a smaller cache of pieces leaves room beside what those left.
+    return token_store.token_store(docs, most_pieces=800_000)
 
 
 STAGES = [

@@ -38,17 +38,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "2000")
 
 
-def trimmed(run):
+def trimmed(run, encodes: bool = False):
     """A function over Arrow batches that hands freed memory back to the system now and then: workers live on from task
-    to task, and what they keep adds up beside the executor's heap."""
+    to task, and what they keep adds up beside the executor's heap. Pieces that a tokenizer's cache holds go as well, but
+    for steps of an operator that encodes."""
 
     def go(batches):
         import ctypes
+        import sys
         import time
 
         import pyarrow as pa
 
-        last = 0.0
+        last, tokens = 0.0, sys.modules.get(f"{__package__}.tokens")
+        if tokens is not None and not encodes:
+            tokens.forget()
         for out in run(batches):
             yield out
             if time.monotonic() - last > 1:

@@ -36,7 +36,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.counts(b.column(1)), pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id bigint, n_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run, encodes=True), "doc_id bigint, n_tokens bigint")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, new_path, shuffle_partitions, trimmed
-from .tokens import default_tokenizer, encoder
+from .tokens import MOST_PIECES, default_tokenizer, encoder
 
 DIGEST = 16
 #: Chunks hold between these numbers of ids, and about 1024 between cuts.
@@ -125,8 +125,8 @@ def _unpack(hashes: bytes, sizes: bytes, payload: bytes) -> Iterator[tuple[bytes
         at += n
 
 
-def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2) -> str:
-    """Writes the store of all documents and returns its path."""
+def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2, most_pieces: int = MOST_PIECES) -> str:
+    """Writes the store of all documents and returns its path. most_pieces bounds the cache of each Python worker."""
     spark = docs.sparkSession
     path = path or new_path(spark, "token-store")
     tokenizer = tokenizer or default_tokenizer()
@@ -137,7 +137,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, most=most_pieces)
         kind = "<u2" if max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65536 else "<u4"
         seen: set[bytes] = set()  # of this task: copies in one task leave it once
         packs = _Packs(PACK_BYTES)
@@ -175,7 +175,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
             yield batch_of(rows)
 
     staged_path = new_path(spark, "token-stage")
-    staged = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(encode), _STAGED), "", staged_path)
+    staged = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(encode, encodes=True), _STAGED), "", staged_path)
 
     pack_schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("root", pa.binary()), ("payload", pa.binary())])
 
@@ -195,7 +195,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
             yield pack_of(full)
 
     dealt = staged.where("is_pack").select("bucket", "hashes", "sizes", "payload").repartitionById(n, F.col("bucket"))
-    materialize(dealt.mapInArrow(trimmed(unique), _PACK), "", f"{path}/packs")
+    materialize(dealt.mapInArrow(trimmed(unique, encodes=True), _PACK), "", f"{path}/packs")
 
     recipe_schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("root", pa.binary())])
 
@@ -212,7 +212,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
             place, start = place + k, int(ends[-1]) if k else start
 
     ordered = staged.where("not is_pack").select("doc_id", "n_tokens", "hashes").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "hashes")
-    recipes = materialize(ordered.mapInArrow(trimmed(placed), _RECIPE), "", f"{path}/recipes")
+    recipes = materialize(ordered.mapInArrow(trimmed(placed, encodes=True), _RECIPE), "", f"{path}/recipes")
     base, parts = 0, []
     for part, n_docs, n_tokens, digest in _part_digests(recipes):
         parts.append((part, base, n_docs, n_tokens, digest))
@@ -272,7 +272,7 @@ def _exploded(recipes: DataFrame) -> DataFrame:
             flat = [h[i : i + DIGEST] for h in hashes for i in range(0, len(h), DIGEST)]
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(at).cast(t) for c, t in zip(names[:5], types, strict=False)], pa.array(seq, pa.int32()), pa.array(flat, pa.binary())], schema=schema)
 
-    return recipes.mapInArrow(trimmed(run), "part int, place bigint, doc_id bigint, start bigint, n_tokens bigint, seq int, hash binary")
+    return recipes.mapInArrow(trimmed(run, encodes=True), "part int, place bigint, doc_id bigint, start bigint, n_tokens bigint, seq int, hash binary")
 
 
 def _chunks(spark: SparkSession, path: str, payload: bool, wide: bool) -> DataFrame:
@@ -293,7 +293,7 @@ def _chunks(spark: SparkSession, path: str, payload: bool, wide: bool) -> DataFr
                     rows.append((h, len(ids), zlib.crc32(ids.tobytes()), *([ids.tobytes()] * payload)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return _table(spark, path, "packs", _PACK).mapInArrow(trimmed(run), "hash binary, n int, crc bigint" + ", ids binary" * payload)
+    return _table(spark, path, "packs", _PACK).mapInArrow(trimmed(run, encodes=True), "hash binary, n int, crc bigint" + ", ids binary" * payload)
 
 
 _POLY = 0xEDB88320
@@ -351,7 +351,7 @@ def read_summary(spark: SparkSession, path: str, wide: bool = False) -> DataFram
                 counts.append(len(chunks))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(counts, pa.int32())], schema=schema)
 
-    return grouped.mapInArrow(trimmed(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_chunks int")
+    return grouped.mapInArrow(trimmed(run, encodes=True), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_chunks int")
 
 
 def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
@@ -365,13 +365,13 @@ def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFr
             ids = [np.frombuffer(b"".join(c["ids"] for c in chunks), "<u4").astype(np.int64) for chunks in b.column("chunks").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int64()))], schema=schema)
 
-    return grouped.mapInArrow(trimmed(run), "doc_id bigint, start bigint, ids array<bigint>")
+    return grouped.mapInArrow(trimmed(run, encodes=True), "doc_id bigint, start bigint, ids array<bigint>")
 
 
-def token_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, most_pieces: int = MOST_PIECES) -> DataFrame:
     """Writes the store and gives the summary that its files hold."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
-    path = write_store(docs, None, tokenizer, end_id)
+    path = write_store(docs, None, tokenizer, end_id, most_pieces)
     wide = max(encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) > 65536
     return read_summary(spark, path, wide)

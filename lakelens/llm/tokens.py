@@ -18,6 +18,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BESIDE = rf"{_WHITE} | {_WHITE}|\A | \z"
 _LED = np.uint64(0xA5A5A5A5A5A5A5A5)
+#: Pieces that a worker's cache holds, of some 40 bytes each; when there are more it starts anew.
+MOST_PIECES = 2_500_000
 
 
 def default_tokenizer() -> str:
@@ -66,7 +68,7 @@ class PieceEncoder:
     the cached one byte by byte, and one whose hash belongs to another piece is known by its bytes alone.
     """
 
-    def __init__(self, path: str, most: int = 2_500_000, special_is_text: bool = False, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, most: int = MOST_PIECES, special_is_text: bool = False, most_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -220,7 +222,7 @@ class PieceEncoder:
         out[firsts] = places[len(used) :][back]
         return out, counts
 
-    def slices(self, column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+    def slices(self, column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array]:
         """The texts of a column, null as empty, in runs of bounded size."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
         sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // most_bytes
@@ -262,8 +264,14 @@ class PieceEncoder:
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, special_is_text: bool = False) -> PieceEncoder:
-    """One encoder for each Python worker."""
+def encoder(path: str, special_is_text: bool = False, most: int = MOST_PIECES) -> PieceEncoder:
+    """One encoder for each Python worker, whose cache holds so many pieces."""
     if (path, special_is_text) not in _encoders:
         _encoders[path, special_is_text] = PieceEncoder(path, special_is_text=special_is_text)
+    _encoders[path, special_is_text].most = most
     return _encoders[path, special_is_text]
+
+
+def forget() -> None:
+    """Drops this worker's encoders and their caches."""
+    _encoders.clear()
