@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, new_path
 
 
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """node, component (its least node) for every node of edges (a, b).
+def connected_components(edges: DataFrame, tag: str = "components", by: list[str] | None = None) -> DataFrame:
+    """node, component (its least node) for every node of edges (a, b). by: columns that tell several graphs apart, which are
+    solved together and come back with the result.
 
     Each step is an aggregation, combined before its shuffle, and a join of edges with their nodes' least neighbours. That
     side is a written table, so both sides of the join come straight from a shuffle, and adaptive execution splits the
@@ -17,27 +20,30 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     rounds grows with the logarithm of the graph.
     """
     spark = edges.sparkSession
+    by = by or []
     path = new_path(spark, tag)
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "", path
-    )
+    now = materialize(edges.where("a <> b").select(*by, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "", path)
+    of = [F.col(c).alias(f"of_{c}") for c in by]
+    at = reduce(lambda x, y: x & y, [F.col("u") == F.col("k"), *[F.col(c) == F.col(f"of_{c}") for c in by]])
     before = None
     while True:
-        stats = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        stats = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)")).alias("h")).first()
         if stats == before or stats["n"] == 0:
             break
         before = stats
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionByName(now.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = new_path(spark, f"{tag}-least")
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "", lowest)
-        large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*of, F.col("u").alias("k"), F.least("u", "m").alias("m")), "", lowest)
+        large = both.where("v > u").join(least.hint("merge"), at).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Every edge now goes from a node to a smaller one.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k"))
-        star = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = large.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*of, F.col("u").alias("k"), "m")
+        small = large.join(low, at)
+        pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        star = small.select(*by, F.explode(pairs).alias("e")).select(*by, "e.u", "e.v").where("u <> v").distinct()
         following = new_path(spark, tag)
         now = materialize(star, "", following)
         drop_path(spark, path)
         drop_path(spark, lowest)
         path = following
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    leaves, roots = F.col("u").alias("node"), F.col("v").alias("node")
+    return now.select(*by, leaves, F.col("v").alias("component")).unionByName(now.select(*by, roots, F.col("v").alias("component")).distinct())

@@ -252,7 +252,7 @@ def shingle_loads(docs: DataFrame, size: int, total: int) -> Loads:
 
     counted = _texts(docs).select("text").mapInArrow(trimmed(count), "range int, at binary, n binary").repartitionById(LOAD_RANGES, F.col("range"))
     steps = np.zeros(1 << bits, np.uint8)
-    for r in counted.mapInArrow(trimmed(add), "range int, at binary, n binary").select("range", "at").toLocalIterator():  # 2 ** bits bytes
+    for r in counted.mapInArrow(trimmed(add), "range int, at binary, n binary").select("range", "at").collect():  # 2 ** bits bytes
         steps[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["at"], np.uint8)
     return Loads(bits, steps)
 
@@ -420,10 +420,11 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFra
     loads = spark.sparkContext.broadcast(shingle_loads(docs, size, total))  # 2 ** LOAD_BITS bytes at most
     ties = materialize(candidate_ties(docs, size, num, den, loads), "", tied)
     loads.unpersist()
-    by = [connected_components(ties.where(F.col("kind") == i).select("a", "b"), f"rough-{i}").select(F.col("node").alias("k"), F.col("component").alias(f"f{i}")) for i in (0, 1)]
-    rough = materialize(by[0].join(by[1], "k").select("k", F.xxhash64("f0", "f1").alias("family")), "rough-families")
-    drop_path(spark, tied)
+    # Both graphs at once; a family is what has the same component in either.
+    both = connected_components(ties, "rough", ["kind"]).groupBy(F.col("node").alias("k")).agg(*[F.min(F.when(F.col("kind") == i, F.col("component"))).alias(f"f{i}") for i in (0, 1)])
+    rough = both.where("f0 is not null and f1 is not null").select("k", F.xxhash64("f0", "f1").alias("family"))
     families = connected_components(refined(sketched.join(rough, "k"), num, den), "families").select(F.col("node").alias("k"), F.col("component").alias("family"))
+    drop_path(spark, tied)
     kept = new_path(spark, "family-members")
     inside = materialize(classes.join(families, "k").select("cls", "least_id", "n", "family"), "", kept)
     sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
