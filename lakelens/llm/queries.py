@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, suffix_dedup, token_counts, token_store, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, merkle, mixing, ngram_jaccard, suffix_dedup, token_counts, token_store, vector_codes, warc
 from .common import read
 
 
@@ -64,6 +67,33 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_chars", F.col("mix_copy").cast("bigint").alias("copy"), F.round("mix_key", 12).alias("mix_key"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.quantize(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    books = hashlib.sha256(vector_codes.books_text(found.books).encode()).hexdigest()
+    summed = vector_codes.label_errors(found.codes)
+    return summed.select("vec_id", vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error", F.lit(books).alias("codebooks_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.digest(*fields, lowered))
+    leaves = docs.select(F.col("source").alias("tree"), "doc_id", merkle.digest(*fields, F.col("text")).alias("digest"), tampered.alias("other"))
+    found, root = merkle.manifest(leaves)
+    hexed = lambda c: F.lower(F.hex(c))
+    own = F.lit(root.hex() if root else None).cast("string")
+    return found.select(
+        "doc_id",
+        hexed("leaf").alias("leaf"),
+        hexed("subroot").alias("subroot"),
+        own.alias("root"),
+        hexed("proof").alias("proof_sha256"),
+        hexed("folded").alias("folded_root"),
+        (hexed("folded") == own).alias("verified"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -76,6 +106,8 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_source_mixing": op10_source_mixing,
+        "op11_vector_codes": op11_vector_codes,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -153,5 +185,73 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.c < d.u
 """
 
 
+
+def _op11(rounds: int = 4) -> str:
+    parts = [
+        """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) AS x FROM kept, range(0, 4) t(p)
+), b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+)"""
+    ]
+    far = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, p, x, e, d FROM (SELECT *, {far} AS d FROM part JOIN b{i} USING (p)) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)")
+        if i < rounds:
+            parts.append(f"m{i} AS MATERIALIZED (SELECT p, e, list(y ORDER BY w) AS c FROM (SELECT p, e, w, floor(sum(x[w]) / count(*)) AS y FROM a{i}, range(1, 65) t(w) WHERE w <= len(x) GROUP BY p, e, w) GROUP BY p, e)")
+            parts.append(f"b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m USING (p, e))")
+    parts.append("""coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a4 GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(CAST(CAST(c[w] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, w)) AS h FROM b4, range(1, 65) t(w) WHERE w <= len(c)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded, books""")
+    return ",\n".join(parts)
+
+
+def _op13(levels: int = 6) -> str:
+    """Trees of up to 16 ** levels leaves, unrolled level by level; the trees' roots are the leaves of one more."""
+    field = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts = [f"""WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf("text")} AS leaf, {leaf(lowered)} AS other FROM documents
+), l0 AS MATERIALIZED (
+  SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, doc_id, other,
+         count(*) OVER (PARTITION BY tree) AS n FROM d
+)"""]
+
+    def up(name: str) -> str:
+        for k in range(1, levels + 1):
+            parts.append(f"{name}{k} AS MATERIALIZED (SELECT tree, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k - 1} WHERE n > 1 GROUP BY tree, i // 16)")
+        return " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+
+    parts.append(f"tops AS MATERIALIZED ({up('l')})")
+    parts.append("s0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, h, count(*) OVER () AS n, tree AS of FROM tops)")
+    parts.append(f"root AS MATERIALIZED ({up('s')})")
+    for name in "ls":  # the siblings before and after each node, for parents of more than one node in a level
+        for k in range(levels):
+            parts.append(f"{name}x{k} AS MATERIALIZED (SELECT a.tree, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS pre, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS post FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY a.tree, a.i)")
+    turn = "lambda y, z: xor(y >> 1, 3988292384 * (y & 1))"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce([4294967295] || {codes}, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {turn})), 4294967295)"
+    parts.append(f"f0 AS (SELECT l0.*, CASE WHEN {crc} % 5 = 0 THEN other ELSE l0.h END AS f, '' AS proof, s.i AS si FROM l0 JOIN s0 s ON s.of = l0.tree)")
+    last = "f0"
+    for name, tree, at in (("l", "f.tree", "f.i"), ("s", "''", "f.si")):
+        for k in range(levels):
+            following = f"f{name}{k}"
+            parts.append(f"{following} AS MATERIALIZED (SELECT f.* REPLACE (CASE WHEN x.pre IS NULL THEN f ELSE sha256(x.pre || f || x.post) END AS f, proof || coalesce(x.pre || x.post, '') AS proof) FROM {last} f LEFT JOIN {name}x{k} x ON x.tree = {tree} AND x.i = {at} // {16**k})")
+            last = following
+    parts.append(f"""done AS (SELECT doc_id, f.h AS leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root FROM {last} f JOIN tops t ON t.tree = f.tree, root r)
+SELECT *, folded_root = root AS verified FROM done""")
+    return ",\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op3_warc_transactions": _OP3, "op8_exact_dedup": _OP8, "op10_source_mixing": _OP10}
+    return {"op1_chat_formatting": _OP1, "op3_warc_transactions": _OP3, "op8_exact_dedup": _OP8, "op10_source_mixing": _OP10, "op11_vector_codes": _op11(), "op13_merkle_manifest": _op13()}
