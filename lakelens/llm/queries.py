@@ -8,7 +8,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, merkle, mixing, ngram_jaccard, suffix_dedup, token_counts, token_store, vector_codes, warc
+from . import chat_format, decontaminate, exact_dedup, html_extract, language_id, merkle, mixing, ngram_jaccard, suffix_dedup, token_counts, token_store, vector_codes, warc
 from .common import read
 
 
@@ -74,6 +74,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("vec_id", vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error", F.lit(books).alias("codebooks_sha256"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -107,6 +111,7 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_source_mixing": op10_source_mixing,
         "op11_vector_codes": op11_vector_codes,
+        "op12_html_extraction": op12_html_extraction,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
