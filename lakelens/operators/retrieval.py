@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stems
 from ..functions.text import STOP_WORDS, alnum_tokens, or_empty
-from ..functions.vector import dot
 from ..storage import file_system, materialize
+from . import dense as dense_scan
 
 #: Query sides up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -127,34 +127,19 @@ def index_fresh(meta: dict, config: dict, indexed: DataFrame, source: DataFrame)
 # ---- dense search
 
 
-def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """search(queries), which must treat each query_id by itself. More than BROADCAST_ROWS queries go by a hash of their
-    id into blocks that each stay below that; one block's result is stored before the next one is broadcast."""
-    n = queries.count()
-    if n <= BROADCAST_ROWS:
-        return search(queries)
-    count = -(-11 * n // (10 * BROADCAST_ROWS))  # a tenth of room, since hashes don't deal evenly
-    out = None
-    for i in range(count):
-        found = materialize(search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == i)), "query-block")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _pairs(vectors: DataFrame, queries: DataFrame, exclude_self: bool, *columns: str) -> DataFrame:
-    """query_id, vec_id, score and further columns of all pairs; the queries are broadcast."""
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id") if exclude_self else F.lit(True))
-    return pairs.select("query_id", "vec_id", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score"), *columns)
-
-
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, exclude_self: bool = False, decimals: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank by exact inner product of (vec_id, embedding) with each query (query_id, query).
 
     The filter comes before the ranking, so no over-fetching is needed. Large query sets are searched in blocks.
     """
     held = vectors if allowed is None else vectors.join(allowed, "vec_id", "left_semi")
-    best = lambda q: top_k(_pairs(held, q, exclude_self), ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
-    return in_blocks(queries, best)
+
+    def search(queries: DataFrame) -> DataFrame | None:
+        block = dense_scan.block_of(queries)
+        return block and dense_scan.top(held, block, k, exclude_self, decimals)
+
+    none = vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    return top_k(dense_scan.by_blocks(queries, search, none), ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
 def first_match_rank(vectors: DataFrame, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
@@ -163,15 +148,20 @@ def first_match_rank(vectors: DataFrame, queries: DataFrame, exclude_self: bool
 
     Nothing is sorted: one pass finds that vector, the next counts those before it.
     """
-    place = F.struct(F.col("score"), (-F.col("vec_id")).alias("back"))
-
-    def search(q: DataFrame) -> DataFrame:
-        own = _pairs(vectors, q, exclude_self, "label", "query_label").where("label = query_label")
-        best = own.groupBy("query_id").agg(F.max(place).alias("best"))
-        every = _pairs(vectors, q.join(best, "query_id"), exclude_self, "best")
-        return every.groupBy("query_id").agg((F.count_if(place > F.col("best")) + 1).cast("int").alias("first_rank"))
 
-    return in_blocks(queries, search)
+    def search(queries: DataFrame) -> DataFrame | None:
+        block = dense_scan.block_of(queries, "query_label")
+        if block is None:
+            return None
+        own = dense_scan.best_of_label(vectors, block, exclude_self)
+        best = own.groupBy("query_id").agg(F.max_by(F.struct("micro", F.col("vec_id").alias("at")), F.struct("micro", -F.col("vec_id"))).alias("best"))
+        block = dense_scan.block_of(queries.join(best, "query_id").select("query_id", "query", "best.*"), "micro", "at")
+        if block is None:
+            return None
+        before = dense_scan.counted_before(vectors, block, exclude_self)
+        return before.groupBy("query_id").agg((F.sum("n") + 1).cast("int").alias("first_rank"))
+
+    return dense_scan.by_blocks(queries, search, vectors.sparkSession.createDataFrame([], "query_id bigint, first_rank int"))
 
 
 def overlap_within(a: DataFrame, b: DataFrame, k: int = 10, tolerance: float = 0.002) -> DataFrame:

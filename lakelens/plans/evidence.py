@@ -316,9 +316,8 @@ SELECT b.query_id, count(*) FILTER (WHERE a.id IS NOT NULL OR b.score - last <=
 FROM b JOIN l ON l.query_id = b.query_id LEFT JOIN a ON a.query_id = b.query_id AND a.id = b.id AND a.rank <= 10 JOIN a f ON f.query_id = b.query_id AND f.rank = 1 WHERE b.rank <= 10 GROUP BY 1""")
 def ranking_agreement(spark, d):
     """Exact scores against scores of two decimals: how far two indexes' rankings agree."""
-    every = neighbours(spark, d, 1 << 30).select("query_id", F.col("vec_id").alias("id"), "score", "rank")
-    coarse = retrieval.top_k(every.select("query_id", "id", F.round("score", 2).alias("score")), ["query_id"], [F.col("score").desc(), F.col("id")], 10)
-    return retrieval.overlap_within(every.where("rank <= 10"), coarse)
+    ranked = lambda decimals: neighbours(spark, d, 10, decimals=decimals).select("query_id", F.col("vec_id").alias("id"), "score", "rank")
+    return retrieval.overlap_within(ranked(6), ranked(2))
 
 
 @query(f"""WITH {_LEGS}, u AS (SELECT 'lexical' AS c, * FROM lex WHERE rank <= 20 UNION ALL SELECT 'dense', * FROM den WHERE rank <= 20 UNION ALL SELECT 'hybrid', query_id, id, rank FROM fused WHERE rank <= 20 UNION ALL SELECT 'hybrid_rerank', query_id, id, rank FROM ({_RERANKED}) WHERE rank <= 20),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector
-from ..operators import chunking, compare, guard, records, retrieval, scoped, similarity
+from ..operators import chunking, compare, guard, records, retrieval, scoped, similarity, vector_index
 from ..operators.quantiles import beside, quantiles
 from ..storage import drop_path, file_system, materialize, own_dir
 from .relational import _PATHS as _PATHS_SQL
@@ -225,10 +225,10 @@ def scoped_search(spark, d):
 _DENSE = "SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS query_label, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id AND q.vec_id % 20 = 0"
 
 
-def neighbours(spark, d, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def neighbours(spark, d, k: int, allowed: DataFrame | None = None, decimals: int = 6) -> DataFrame:
     v = t(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.dense(v.select("vec_id", "embedding"), q, k, allowed, exclude_self=True)
+    return retrieval.dense(v.select("vec_id", "embedding"), q, k, allowed, exclude_self=True, decimals=decimals)
 
 
 @query(f"SELECT query_id, vec_id, score, rank FROM ({_ranked(_DENSE, 'vec_id', 10)})")
@@ -256,6 +256,36 @@ def recall_at_1_5_10(spark, d):
     return first.select("query_id", "first_rank", within(1), within(5), within(10), F.round(1 / F.col("first_rank"), 6).alias("rr"))
 
 
+def vector_cells(spark, d) -> vector_index.CellIndex:
+    """The index of a folder's vectors: stored once in the application's folder, and used while it is of these vectors."""
+    v = t(spark, d, "embeddings").select("vec_id", "embedding")
+    path = f"{own_dir(spark)}/cells-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    return vector_index.open_index(spark, path, v) or vector_index.store(v, path)
+
+
+def asking_vectors(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query()
+def ann_topk(spark, d):
+    """Nearest vectors from as many cells as a sample of the index needs for a recall of 0.92 and more."""
+    index = vector_cells(spark, d)
+    return vector_index.search(index, asking_vectors(spark, d), 10, vector_index.probes_for(index), exclude_self=True).ranking
+
+
+_FIRST_OF_LABEL = "v.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)"
+
+
+@query(f"""SELECT query_id, vec_id, score, rank, count(*) OVER (PARTITION BY query_id) AS survivors, count(*) OVER (PARTITION BY query_id) < 50 AS short, (SELECT count(*) FROM embeddings) AS index_size
+FROM ({_ranked(_DENSE + f' WHERE {_FIRST_OF_LABEL}', 'vec_id', 50)})""")
+def ann_widened(spark, d):
+    """A filter that lets one vector of each label pass: searches widen until everything is read, and say what is short."""
+    first = t(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
+    found = vector_index.search(vector_cells(spark, d), asking_vectors(spark, d), 50, 2, first, exclude_self=True)
+    return found.ranking.join(found.stats.select("query_id", "survivors", "short", "index_size"), "query_id")
+
+
 # ---- fusion: a lexical and a hashed bag-of-words leg over the same documents
 
 DIMS = 64

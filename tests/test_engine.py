@@ -124,7 +124,7 @@ def test_dense_in_blocks_of_queries(spark, monkeypatch):
     vecs = {i: [rng.randint(-3, 3) / 4 for _ in range(3)] for i in range(60)}
     v = spark.createDataFrame(list(vecs.items()), "vec_id bigint, embedding array<double>")
     q = v.where("vec_id < 40").toDF("query_id", "query")
-    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 7)
+    monkeypatch.setattr(retrieval.dense_scan, "BLOCK_BYTES", 7 * 3 * 8)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in retrieval.dense(v, q, 5, exclude_self=True).collect()}
     want = {}
     for i in range(40):
