@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions.text import entity_contexts, html_entities, token_estimate
-from .operators import bankfile, chunking, guard, quality, records, retrieval, runs, similarity, verify
+from .operators import bankfile, chunking, guard, lexicon, quality, records, retrieval, runs, similarity, verify
 from .plans import catalog
 from .session import session, ship
 from .sources import readers
@@ -105,16 +105,17 @@ def main(argv: list[str] | None = None) -> int:
         print(bankfile.archive(spark, a.bank, a.archive, a.ids.split(","), a.reason))
     elif a.command in ("build-index", "index-fresh"):
         docs, stemmed = spark.read.parquet(a.docs), a.stemmed == "yes"
-        held = retrieval.open_index(docs, a.index, stemmed)
+        held = lexicon.open_lexicon(spark, a.index, stemmed)
         if a.command == "index-fresh":
-            print("fresh" if held else "stale or missing")
-            return int(held is None)
-        print(json.dumps((held or retrieval.store_index(docs, "id", F.col("text"), a.index, stemmed)).meta))
+            fresh = held is not None and lexicon.fresh(held, docs, "id", F.col("text"))
+            print("fresh" if fresh else "stale or missing")
+            return int(not fresh)
+        held = lexicon.sync(held, docs, "id", F.col("text")) if held else lexicon.create(docs, "id", F.col("text"), a.index, stemmed)
+        print(json.dumps(held.meta))
     elif a.command == "search-index":
-        meta = json.loads(spark.read.text(f"{a.index}/meta").head()["value"])
-        index = retrieval.Index(spark.read.parquet(f"{a.index}/terms"), spark.read.parquet(f"{a.index}/lengths"), meta)
+        index = lexicon.open_lexicon(spark, a.index)
         q = spark.createDataFrame([(0, a.text)], "query_id bigint, query string")
-        show(retrieval.search_index(index, q, a.k, stemmed=a.stemmed == "yes").orderBy("rank").drop("query_id"), a.k)
+        show(lexicon.search(index, q, a.k, stemmed=a.stemmed == "yes").ranking.orderBy("rank").drop("query_id"), a.k)
     elif a.command == "bench-retrievers":
         terms, lengths = retrieval.postings(spark.read.parquet(a.docs), "id", F.col("text"), True)
         found = retrieval.bm25(terms, lengths, spark.read.parquet(a.questions), a.k, stemmed=True).withColumnRenamed("doc_id", "id")

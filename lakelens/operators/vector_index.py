@@ -2,9 +2,10 @@
 
 Cells are those of k-means over a bounded sample; every vector lies in the cell of its nearest centroid, and the table is
 range-partitioned and sorted by cell, so that a search reads the row groups of its cells. A search probes the cells whose
-centroids score highest, fetches more than it needs, then applies the filter; a query that fewer than k results survive
-tries again with twice the cells and twice the fetch. Once that would read half of the cells, the filter goes before the
-scan and everything is read: what is missing then isn't there. Queries go in bounded blocks; vectors are never shuffled.
+centroids score highest, enough of them to hold several times what it wants, and ranks what a filter leaves there; a query
+that fewer than k results survive tries again with twice the cells, and so twice the vectors. Once that would be half of the
+cells, everything is read: what is missing then isn't there. Queries go in bounded blocks; a task sends on k rows of each at
+most; vectors are never shuffled for a query.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def ordered_cells(queries: DataFrame, centroids: np.ndarray, probes: int) -> Dat
     return queries.select("query_id", "query").mapInArrow(go, f"query_id bigint, query {dict(queries.dtypes)['query']}, cells array<int>")
 
 
-def _within(index: CellIndex, queries: DataFrame, probes: int, fetch: int, exclude_self: bool) -> DataFrame | None:
+def _within(index: CellIndex, vectors: DataFrame, queries: DataFrame, probes: int, k: int, exclude_self: bool) -> DataFrame | None:
     """query_id, vec_id, score: each task's best rows of each query among the cells that it probes; queries are a block."""
     block = scan.block_of(ordered_cells(queries, index.centroids, probes), "cells")
     if block is None:
@@ -153,12 +154,12 @@ def _within(index: CellIndex, queries: DataFrame, probes: int, fetch: int, exclu
     ids, matrix = block.ids, block.vectors
     cells = np.array(block.more["cells"], np.int32).reshape(len(ids), probes)
     asked = np.unique(cells)
-    held = index.vectors.where(F.col("cell").isin(asked.tolist())) if len(asked) <= min(LISTED, len(index.centroids) // 2) else index.vectors
+    held = vectors.where(F.col("cell").isin(asked.tolist())) if len(asked) <= min(LISTED, len(index.centroids) // 2) else vectors
 
     def go(batches):
         order = np.argsort(cells.ravel(), kind="stable")
         sorted_cells, askers = cells.ravel()[order], order // probes
-        best = scan.Best(len(ids), fetch)
+        best = scan.Best(len(ids), k)
         for b in batches:
             cell = b.column("cell").to_numpy()
             edges = np.flatnonzero(np.diff(cell, prepend=-2, append=-2))
@@ -182,24 +183,22 @@ def _within(index: CellIndex, queries: DataFrame, probes: int, fetch: int, exclu
 def search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 8, allowed: DataFrame | None = None, exclude_self: bool = False, times: int = 20, least: int = 200) -> Found:
     """The k best vectors of each query (query_id, query), of those in `allowed` (vec_id) if given.
 
-    A first search probes `probes` cells and fetches max(times * k, least) rows for a filter, else k; both double for the
+    A first search probes `probes` cells, or as many as hold max(times * k, least) vectors on average; that doubles for the
     queries with fewer than k results. Ids of queries are distinct. A query without a vector of the index's length finds
-    nothing."""
-    spark = queries.sparkSession
-    order = [F.col("score").desc(), F.col("vec_id")]
+    nothing. What a filter allows is stored once for all rounds."""
+    spark, cells, n = queries.sparkSession, len(index.centroids), index.meta["rows"]
     nothing = spark.createDataFrame([], "query_id bigint, vec_id bigint, score double")
     active = materialize(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "query"), "queries")
-    probes, fetch, widenings, rankings, stats = max(1, probes), k if allowed is None else max(times * k, least), 0, [], []
+    held = index.vectors if allowed is None else materialize(index.vectors.join(allowed.select("vec_id").distinct(), "vec_id", "left_semi").select("cell", "vec_id", "embedding"), "allowed")
+    wanted = k if allowed is None else max(times * k, least)
+    probes, widenings, rankings, stats = max(1, probes, -(-wanted * cells // max(n, 1))), 0, [], []
     while True:
-        last = 2 * probes >= len(index.centroids) or fetch >= index.meta["rows"]
+        last = 2 * probes >= cells
         if last:
-            found = dense(index.vectors.select("vec_id", "embedding"), active, k, allowed, exclude_self)
-            used = {"fetch_k": index.meta["rows"], "probes": len(index.centroids)}
+            found, used = dense(held.select("vec_id", "embedding"), active, k, None, exclude_self), {"fetch_k": n, "probes": cells}
         else:
-            rows = scan.by_blocks(active, lambda q, p=probes, f=fetch: _within(index, q, p, f, exclude_self), nothing, 4 * probes)
-            fetched = top_k(rows, ["query_id"], order, fetch).drop("rank")
-            found = top_k(fetched if allowed is None else fetched.join(allowed, "vec_id", "left_semi"), ["query_id"], order, k)
-            used = {"fetch_k": fetch, "probes": probes}
+            rows = scan.by_blocks(active, lambda q, p=probes: _within(index, held, q, p, k, exclude_self), nothing, 4 * probes)
+            found, used = top_k(rows, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k), {"fetch_k": -(-probes * n // cells), "probes": probes}
         found = materialize(found.select("query_id", "vec_id", "score", "rank"), "ranking")
         counts = active.select("query_id").join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("survivors")), "query_id", "left").fillna(0, ["survivors"])
         counts = materialize(counts.select("query_id", "survivors", *[F.lit(v).cast("bigint").alias(c) for c, v in used.items()], F.lit(widenings).alias("widenings")), "ranked")
@@ -210,7 +209,7 @@ def search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 8, a
         if short is None or short.isEmpty():
             break
         active = materialize(active.join(short.select("query_id"), "query_id", "left_semi"), "queries")
-        probes, fetch, widenings = 2 * probes, 2 * fetch, widenings + 1
+        probes, widenings = 2 * probes, widenings + 1
     every, told = rankings[0], stats[0]
     for r, s in zip(rankings[1:], stats[1:], strict=True):
         every, told = every.unionByName(r), told.unionByName(s)

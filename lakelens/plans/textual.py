@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector
-from ..operators import chunking, compare, guard, records, retrieval, scoped, similarity, vector_index
+from ..operators import chunking, compare, guard, lexicon, records, retrieval, scoped, similarity, vector_index
 from ..operators.quantiles import beside, quantiles
-from ..storage import drop_path, file_system, materialize, own_dir
+from ..storage import file_system, materialize, new_path, own_dir
 from .relational import _PATHS as _PATHS_SQL
 from .relational import big, paths, rounded, t
 
@@ -172,23 +172,16 @@ def _ranked(inner: str, key: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INT) AS rank FROM ({inner})) WHERE rank <= {k}"
 
 
-def lexical_index(spark, d, stemmed: bool = False) -> retrieval.Index:
-    """The index of a folder's documents: stored once in the application's folder, and used while it is fresh."""
+def lexical_index(spark, d, stemmed: bool = False) -> lexicon.Lexicon:
+    """The index of a folder's documents: stored once in the application's folder, and brought up to date when they change."""
     docs = t(spark, d, "documents")
-    fs, source = file_system(spark, f"{d}/documents.parquet")
-    status = fs.getFileStatus(source)
-    version = f"{d}|{status.getLen()}|{status.getModificationTime()}|{stemmed}"
-    path = f"{own_dir(spark)}/lexical-{hashlib.sha256(version.encode()).hexdigest()[:16]}"
-    held = retrieval.open_index(docs, path, stemmed)
-    if held is None:
-        drop_path(spark, path)
-        held = retrieval.store_index(docs, "doc_id", F.col("text"), path, stemmed)
-    return held
+    path = f"{own_dir(spark)}/lexicon-{hashlib.sha256(f'{d}|{stemmed}'.encode()).hexdigest()[:16]}"
+    held = lexicon.open_lexicon(spark, path, stemmed)
+    return lexicon.sync(held, docs, "doc_id", F.col("text")) if held else lexicon.create(docs, "doc_id", F.col("text"), path, stemmed)
 
 
 def lexical(spark, d, k: int, allowed: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
-    queries = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.search_index(lexical_index(spark, d, stemmed), queries, k, allowed, stemmed)
+    return lexicon.search(lexical_index(spark, d, stemmed), asked(spark, d), k, allowed, stemmed).ranking
 
 
 @query(f"WITH {_INDEX} {_ranked(_scores(), 'doc_id', 10)}")
@@ -196,6 +189,18 @@ def bm25_topk(spark, d):
     return lexical(spark, d, 10)
 
 
+@query(f"WITH {_INDEX} {_ranked(_scores(), 'doc_id', 10)}")
+def lexical_segments(spark, d):
+    """An index of a part of the table, whose licensed texts were other ones and which has rows that went since, is brought
+    up to date by new segments and tombstones, and finds what an index of the table finds."""
+    docs, path = t(spark, d, "documents").select("doc_id", "lang", "text"), new_path(spark, "segments")
+    then = docs.where("lang IN ('en', 'fr')").select("doc_id", F.when(F.col("text").contains("License"), F.lower("text")).otherwise(F.col("text")).alias("text"))
+    then = then.unionByName(docs.where("lang = 'es'").select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    index = lexicon.create(then, "doc_id", F.col("text"), path)
+    index = lexicon.change(index, docs.where("lang = 'de'"))
+    return lexicon.search(lexicon.sync(index, docs, "doc_id", F.col("text")), asked(spark, d), 10).ranking
+
+
 @query()
 def bm25_stemmed(spark, d):
     return lexical(spark, d, 10, stemmed=True)
@@ -309,6 +314,16 @@ def bag_vectors(terms: DataFrame) -> DataFrame:
     return bags.select("vec_id", vector.normalised(F.col("bag")).alias("embedding"))
 
 
+def stored_bags(spark, d) -> DataFrame:
+    """The bags of a folder's documents: made from the index's own lists, and stored beside each version of it."""
+    index = lexical_index(spark, d)
+    path = f"{index.path}/bags-{index.meta['version']}"
+    fs, done = file_system(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        bag_vectors(lexicon.postings(index)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _bag(table: str, key: str) -> str:
     return f"SELECT {key} AS id, (ascii(w) * 7 + ascii(reverse(w)) * 13 + length(w) * 3) % {DIMS} AS slot, count(*) AS c FROM (SELECT {key}, unnest({tok('text')}) AS w FROM {table}) GROUP BY 1, 2"
 
@@ -336,7 +351,7 @@ def texts(spark, d) -> DataFrame:
 def legs(spark, d) -> tuple[DataFrame, DataFrame]:
     lex = lexical(spark, d, 100).select("query_id", F.col("doc_id").alias("id"), "rank")
     queries = asked(spark, d).select("query_id", bag_vector(F.col("query")).alias("query")).where("query is not null")
-    den = retrieval.dense(bag_vectors(lexical_index(spark, d).terms), queries, 100).where("score > 0").select("query_id", F.col("vec_id").alias("id"), "rank")
+    den = retrieval.dense(stored_bags(spark, d), queries, 100).where("score > 0").select("query_id", F.col("vec_id").alias("id"), "rank")
     return lex, den
 
 
@@ -387,13 +402,14 @@ def ladder_metrics(spark, d):
 def holding(spark, d) -> DataFrame:
     """query_id, id: documents that hold a whole benchmark text. A text's words but its first and last are words of the
     document, so the rarest of them finds the candidates in the index; texts of fewer words are sought everywhere."""
-    terms = lexical_index(spark, d).terms
+    index = lexical_index(spark, d)
     inner = F.array_distinct(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
     items = asked(spark, d).where("query <> ''").select("query_id", "query", tx.alnum_tokens(F.col("query")).alias("w")).select("query_id", "query", inner.alias("w"))
     words = items.select("query_id", F.explode("w").alias("term"))
-    df = terms.join(retrieval.small(words.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = words.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = terms.select("term", "doc_id").join(retrieval.small(rarest), "term").select("query_id", F.col("doc_id").alias("id"))
+    df = index.lists().join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    rarest = materialize(words.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")), "rarest")
+    held = lexicon.postings(index, rarest.select("term").distinct()).select("term", "doc_id")
+    found = held.join(rarest, "term").select("query_id", F.col("doc_id").alias("id"))
     near = found.join(items.select("query_id", "query"), "query_id").join(texts(spark, d), "id").where(F.contains("text", "query")).select("query_id", "id")
     short = retrieval.small(items.where(F.size("w") == 0).select("query_id", "query"))
     return near.unionByName(texts(spark, d).join(short, F.contains(F.col("text"), F.col("query"))).select("query_id", "id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakelens.functions.stem import porter
 from lakelens.functions.text import STOP_WORDS
-from lakelens.operators import chunking, quantiles, retrieval, runs, similarity
+from lakelens.operators import chunking, lexicon, quantiles, runs, similarity
 
 
 def sets(rng, n, vocabulary, most):
@@ -79,13 +79,13 @@ def test_stemmed_search(spark, tmp_path):
                 scores[i] = round(s, 6)
         want += [(q, i, s, n + 1) for n, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:7])]
     frame = spark.createDataFrame(list(docs.items()), "id bigint, text string").repartition(3)
-    index = retrieval.store_index(frame, "id", F.col("text"), str(tmp_path / "index"), stemmed=True)
+    index = lexicon.create(frame, "id", F.col("text"), str(tmp_path / "index"), stemmed=True)
     q = spark.createDataFrame(list(asked.items()), "query_id bigint, query string")
-    found = retrieval.search_index(index, q, 7, stemmed=True)
+    found = lexicon.search(index, q, 7, stemmed=True).ranking
     assert sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in found.collect()) == sorted(want)
-    assert retrieval.open_index(frame, str(tmp_path / "index"), True).meta == index.meta
+    assert lexicon.open_lexicon(spark, str(tmp_path / "index"), True).meta == index.meta
     with pytest.raises(ValueError, match="stemmed"):
-        retrieval.search_index(index, q, 7)
+        lexicon.search(index, q, 7, stemmed=False)
 
 
 def test_runs_are_greedy():

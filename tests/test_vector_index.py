@@ -65,7 +65,7 @@ def test_filters_widen_until_enough_survive(spark, monkeypatch):
     wide = vector_index.search(index, asked(v), 10, 1, every, times=2, least=20)
     told = [r for r in wide.stats.collect()]
     assert len(told) == 120 and {r["survivors"] for r in told} == {10} and len({r["widenings"] for r in told}) > 1
-    assert all(r["fetch_k"] == 20 << r["widenings"] for r in told if r["probes"] < 64)
+    assert all(r["fetch_k"] == 2400 * r["probes"] // 64 + (2400 * r["probes"] % 64 > 0) and r["probes"] == 1 << r["widenings"] for r in told if r["probes"] < 64)
     narrow = vector_index.search(index, asked(v), 20, 1, few)
     assert ranking(narrow.ranking) == ranking(retrieval.dense(v, asked(v), 20, few))
     assert all(r["short"] and r["survivors"] == 12 and r["fetch_k"] == 2400 and r["widenings"] > 0 for r in narrow.stats.collect())
