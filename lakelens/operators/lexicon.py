@@ -32,7 +32,7 @@ from ..functions.stem import porter
 from ..functions.text import STOP_WORDS, or_empty
 from ..storage import drop_path, file_system, materialize, new_path, set_conf
 from .dense import NONE
-from .retrieval import top_k
+from .retrieval import BROADCAST_ROWS, top_k
 
 SHARD_DOCS = 2048
 RANGE = 8
@@ -40,6 +40,8 @@ RANGE = 8
 TIER = 4
 #: Terms of queries that go to every task at once.
 BLOCK_TERMS = 2_000_000
+#: Up to this many terms are named in a filter; more are joined.
+LISTED = 200
 K1, B = 1.2, 0.75
 _TOKEN = re.compile("[a-z0-9]+")
 DOC = "doc_id bigint, digest bigint, dl int, terms array<string>, tfs array<int>"
@@ -93,6 +95,10 @@ _STOP = frozenset(STOP_WORDS)
 
 def analysed(docs: DataFrame, doc_id: str, text: Column, stemmed: bool) -> DataFrame:
     """Documents as their distinct terms and counts, with the hash by which an edit shows."""
+    spark = docs.sparkSession
+    # A table of few files is read by few tasks; its texts are dealt to all of them first.
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("bigint"), or_empty(text)).alias("digest"), or_empty(text).alias("text"))
 
     def go(batches):
@@ -373,17 +379,21 @@ def _shards(batches, filtered: bool):
     for _, rows in _runs(batches, "segment", "shard"):
         docs, allowed, lists = None, [], []
         for b in rows:
-            for r in range(len(b)):
-                kind = b.column("kind")[r].as_py()
-                array = lambda name, r=r, b=b: b.column(name)[r].values.to_numpy()
+            arrays = {}
+            for name in ("places", "tfs", "block_ends", "block_tf", "block_dl", "ids", "digests"):
+                column = b.column(name)
+                arrays[name] = column.offsets.to_numpy(), column.values.to_numpy()
+            array = lambda name, r, held=arrays: held[name][1][held[name][0][r] : held[name][0][r + 1]]
+            for r, (kind, term) in enumerate(zip(b.column("kind").to_pylist(), b.column("term").to_pylist(), strict=True)):
                 if kind == DOCS:
-                    docs = _Shard(array("ids"), array("places"), array("digests"), np.ones(len(b.column("ids")[r]), bool), lists)
+                    ids = array("ids", r)
+                    docs = _Shard(ids, array("places", r), array("digests", r), np.ones(len(ids), bool), lists)
                 elif kind == GONE:
-                    docs.live[array("places")] = False
+                    docs.live[array("places", r)] = False
                 elif kind == ALLOWED:
-                    allowed.append(array("ids"))
+                    allowed.append(array("ids", r))
                 else:
-                    lists.append((b.column("term")[r].as_py(), *[array(c) for c in ("places", "tfs", "block_ends", "block_tf", "block_dl")]))
+                    lists.append((term, *[array(c, r) for c in ("places", "tfs", "block_ends", "block_tf", "block_dl")]))
         if docs is None:
             continue  # ids that a filter allows, of a shard without documents
         if filtered:
@@ -420,10 +430,14 @@ def postings(index: Lexicon, terms: DataFrame | None = None) -> DataFrame:
 
     def go(batches):
         for s in _shards(batches, False):
-            for term, places, tfs, *_ in s.lists:
+            for i in range(0, len(s.lists), 1000):
+                some = s.lists[i : i + 1000]
+                sizes = [len(x[1]) for x in some]
+                places, tfs = (np.concatenate([x[c] for x in some]) for c in (1, 2))
                 kept = s.live[places]
                 at = places[kept]
-                yield pa.RecordBatch.from_arrays([pa.array([term] * len(at), pa.string()), pa.array(s.ids[at]), pa.array(tfs[kept].astype(np.int64)), pa.array(s.dl[at].astype(np.int64))], names=["term", "doc_id", "tf", "dl"])
+                terms = pa.array([x[0] for x in some], pa.string()).take(pa.array(np.repeat(np.arange(len(some)), sizes)[kept]))
+                yield pa.RecordBatch.from_arrays([terms, pa.array(s.ids[at]), pa.array(tfs[kept].astype(np.int64)), pa.array(s.dl[at].astype(np.int64))], names=["term", "doc_id", "tf", "dl"])
 
     return _by_shard(index, lists).mapInArrow(go, "term string, doc_id bigint, tf bigint, dl bigint")
 
@@ -523,8 +537,8 @@ def search(index: Lexicon, queries: DataFrame, k: int = 10, allowed: DataFrame |
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("terms")).first()
     count = max(1, -(-(11 * (size["terms"] or 0)) // (10 * BLOCK_TERMS)))
     parts = [asked] if count == 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == i) for i in range(count)]
-    # Parquet skips row groups by each of a few terms, by the span of many: its filters nest one deeper for each value.
-    with set_conf(spark, spark__sql__parquet__pushdown__inFilterThreshold="200"):
+    # Parquet skips row groups by each of a few terms: its filters nest one deeper for each value.
+    with set_conf(spark, spark__sql__parquet__pushdown__inFilterThreshold=str(LISTED)):
         found = reduce(DataFrame.unionByName, [materialize(_searched(index, p, k, allowed), "hits") for p in parts])
     ranking = top_k(found.where("doc_id is not null").select("query_id", "doc_id", "score"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
     stats = found.where("doc_id is null").groupBy("query_id").agg(F.sum("blocks").alias("blocks"), F.sum("blocks_read").alias("blocks_read"))
@@ -539,10 +553,11 @@ def _searched(index: Lexicon, asked: DataFrame, k: int, allowed: DataFrame | Non
     terms = sorted({t for ts in of for t in ts})
     if not terms:
         return index.spark.createDataFrame([], schema)
-    if len(terms) <= 5000:
+    if len(terms) <= LISTED:
         lists = index.lists().where(F.col("term").isin(terms))
     else:
-        lists = index.lists().join(asked.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+        named = asked.select(F.explode("terms").alias("term")).distinct()
+        lists = index.lists().join(F.broadcast(named) if len(terms) <= BROADCAST_ROWS else named, "term", "left_semi")
     df = lists.groupBy("term").agg(F.sum("n").alias("n"))
     if index.meta["gone"]:
         lost = lists.join(_lost(index).withColumnRenamed("places", "lost"), ["segment", "shard"])
