@@ -14,6 +14,8 @@ __all__ = ["drop_path", "materialize", "new_path", "read", "release", "released_
 
 #: Characters that the contracts call white space: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Spark's own bound of an Arrow batch.
+_DEFAULT_BYTES = "67108864b"
 
 
 def released_shuffles(spark: SparkSession):
@@ -32,10 +34,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 2000 rows from now on, where the session has Spark's default of 10,000: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "2000")
+    """Arrow batches of 2000 rows and 8 MB from now on, where the session has Spark's defaults: texts are long."""
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", _DEFAULT_BYTES, "8m")):
+        if spark.conf.get(key, None) in (None, default):
+            spark.conf.set(key, ours)
 
 
 def trimmed(run, encodes: bool = False):

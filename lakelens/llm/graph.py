@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, tag: str = "components", by: list[str
     solved together and come back with the result.
 
     Each step is an aggregation, combined before its shuffle, and a join of edges with their nodes' least neighbours. That
-    side is a written table, so both sides of the join come straight from a shuffle, and adaptive execution splits the
+    side is a written table each time, so both sides of the join come straight from a shuffle, and adaptive execution splits the
     partition of a hub, a node of many edges, over several tasks. Edge sets are written after each round. The number of
     rounds grows with the logarithm of the graph.
     """
@@ -36,14 +36,16 @@ def connected_components(edges: DataFrame, tag: str = "components", by: list[str
         least = materialize(both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*of, F.col("u").alias("k"), F.least("u", "m").alias("m")), "", lowest)
         large = both.where("v > u").join(least.hint("merge"), at).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Every edge now goes from a node to a smaller one.
-        low = large.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*of, F.col("u").alias("k"), "m")
-        small = large.join(low, at)
+        lower = new_path(spark, f"{tag}-lower")
+        low = materialize(large.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*of, F.col("u").alias("k"), "m"), "", lower)
+        small = large.join(low.hint("merge"), at)
         pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         star = small.select(*by, F.explode(pairs).alias("e")).select(*by, "e.u", "e.v").where("u <> v").distinct()
         following = new_path(spark, tag)
         now = materialize(star, "", following)
         drop_path(spark, path)
         drop_path(spark, lowest)
+        drop_path(spark, lower)
         path = following
     leaves, roots = F.col("u").alias("node"), F.col("v").alias("node")
     return now.select(*by, leaves, F.col("v").alias("component")).unionByName(now.select(*by, roots, F.col("v").alias("component")).distinct())

@@ -4,24 +4,25 @@ The size of each source is counted over all documents; its repetition rate is ta
 A uniform number from a seeded hash of the doc_id inverts the Poisson distribution with that mean, the document is
 exploded by the count, and copies are ordered globally by a seeded hash through a range partitioning.
 
-The inverse is a table of thresholds per source, one small row each, which runs to where the upper tail is below 1e-9.
+The inverse is a table of thresholds per source, one row each, which runs to where the upper tail is below 1e-9.
 
 Defined results: a null source is a source of its own; null text has size 0; a null doc_id hashes as empty; repeated
 rows get the same count each; a source whose weight or size is 0 gets rate 0; texts of any length count whole; copies of
 equal keys follow each other in any order; an empty table gives an empty result; all columns of the input return, and
-own columns take the names given, which the input must not have.
+own columns take the names given, with `_` behind them where the input has such a name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from .common import materialize, shuffle_partitions, text_of
 
-#: A join side with more rows than this isn't broadcast.
+#: A join side with more rows, or thresholds in all, than this isn't broadcast.
 BROADCAST_ROWS = 50_000
+BROADCAST_NUMBERS = 1_000_000
 
 
 def uniform(*cols: Column | str, seed: str) -> Column:
@@ -30,25 +31,17 @@ def uniform(*cols: Column | str, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(16**13))
 
 
-def poisson_thresholds(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... up to a negligible tail; X >= k exactly when the uniform number exceeds threshold k - 1."""
-    top = F.ceil(rate + 8 * F.sqrt(rate) + 20).cast("int")
-    # The log of each term follows from the one before: log p(k) = log p(k-1) + log(rate) - log(k).
-    steps = F.aggregate(
-        F.sequence(F.lit(1), top),
-        F.struct(
-            (-rate).alias("log"),
-            F.exp(-rate).alias("sum"),
-            F.array(F.exp(-rate)).alias("cdf"),
-        ),
-        lambda acc, k: F.struct(
-            (acc["log"] + F.log(rate) - F.log(k.cast("double"))).alias("log"),
-            (acc["sum"] + F.exp(acc["log"] + F.log(rate) - F.log(k.cast("double")))).alias("sum"),
-            F.concat(acc["cdf"], F.array(acc["sum"] + F.exp(acc["log"] + F.log(rate) - F.log(k.cast("double"))))).alias("cdf"),
-        ),
-        lambda acc: acc["cdf"],
-    )
-    return F.when(rate > 0, steps).otherwise(F.array(F.lit(1.0)))
+def poisson_thresholds(rates: DataFrame) -> DataFrame:
+    """of, cdf for each row (of, rate): P(X <= 0), P(X <= 1), ... up to a negligible tail; X >= k exactly when the uniform
+    number exceeds threshold k - 1. Terms and their sums are running sums over the numbers of copies of a source."""
+    held = rates.select(F.struct("of").alias("key"), "rate")
+    top = F.ceil(F.col("rate") + 8 * F.sqrt("rate") + 20).cast("int")
+    steps = held.where("rate > 0").select("key", "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    so_far = Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log = F.sum(F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log(F.col("k").cast("double")))).over(so_far)
+    sums = steps.select("key", "k", log.alias("log")).select("key", "k", F.sum(F.exp("log")).over(so_far).alias("c"))
+    cdf = sums.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("x")).select(F.col("key.of").alias("of"), F.col("x.c").alias("cdf"))
+    return cdf.unionByName(held.where("rate <= 0").select(F.col("key.of").alias("of"), F.array(F.lit(1.0)).alias("cdf")))
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None, unit: str = "chars") -> DataFrame:
@@ -72,9 +65,10 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 def _copies(docs: DataFrame, weights: dict[str | None, float] | None, power: float, total: float | None, unit: str, seed: str) -> DataFrame:
     """row (a struct of all input columns, whatever their names), copy (from 1) and key, in the order of the key."""
     spark = docs.sparkSession
-    rates = source_rates(docs, weights, power, total, unit).select(F.col("mix_source").alias("of"), poisson_thresholds(F.col("rate")).alias("cdf"))
-    few = rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast(rates) if few else rates
+    rates = materialize(poisson_thresholds(source_rates(docs, weights, power, total, unit).select(F.col("mix_source").alias("of"), "rate")), "mix-thresholds")
+    size = rates.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cdf")).alias("numbers")).first()
+    few = size["n"] <= BROADCAST_ROWS and (size["numbers"] or 0) <= BROADCAST_NUMBERS
+    side = F.broadcast(rates) if few else rates.hint("merge")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # The uniform number is evaluated once for each document, not once for each threshold.
     drawn = let(uniform(F.col("row.doc_id"), seed=seed), lambda u: F.size(F.filter("cdf", lambda c: c < u)))
@@ -86,9 +80,12 @@ def _copies(docs: DataFrame, weights: dict[str | None, float] | None, power: flo
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None, unit: str = "chars", seed: str = "mix-1", copy_col: str = "mix_copy", key_col: str = "mix_key") -> DataFrame:
     """All input columns, plus the copy's number from 1 and its place key in (0, 1); rows come in the order of the key."""
-    if clash := {copy_col, key_col} & set(docs.columns):
-        raise ValueError(f"the input has columns of these names already: {sorted(clash)}")
-    return _copies(docs, weights, power, total, unit, seed).select("row.*", F.col("copy").alias(copy_col), F.col("key").alias(key_col))
+    names = []
+    for name in (copy_col, key_col):
+        while name.lower() in {c.lower() for c in (*docs.columns, *names)}:
+            name += "_"
+        names.append(name)
+    return _copies(docs, weights, power, total, unit, seed).select("row.*", F.col("copy").alias(names[0]), F.col("key").alias(names[1]))
 
 
 def mixed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None, unit: str = "chars", seed: str = "mix-1") -> DataFrame:

@@ -413,7 +413,11 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFra
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     members = materialize(shingled(docs, size), "shingled")
-    classes = members.where("cls is not null").groupBy("cls", "k").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
+    known = members.where("cls is not null")
+    # One text stands for its class: that of the least id, nulls last; the text's hash tells rows of one id apart.
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("t").alias("t")))
+    classes = known.groupBy("cls", "k").agg(least.alias("least"), F.first("n_shingles").alias("n")).select("cls", "k", F.col("least.id").alias("least_id"), F.col("least.t").alias("least_t"), "n")
+    repeated = not known.groupBy("doc_id", "t").count().where("count > 1").isEmpty()
     sketched = members.where("cls is not null").select("k", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["k"])
     total = classes.agg(F.sum("n")).first()[0] or 0
     tied = new_path(spark, "ties")
@@ -426,13 +430,15 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFra
     families = connected_components(refined(sketched.join(rough, "k"), num, den), "families").select(F.col("node").alias("k"), F.col("component").alias("family"))
     drop_path(spark, tied)
     kept = new_path(spark, "family-members")
-    inside = materialize(classes.join(families, "k").select("cls", "least_id", "n", "family"), "", kept)
+    inside = materialize(classes.join(families, "k").select("cls", "least_id", "least_t", "n", "family"), "", kept)
     sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     dealt = inside.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).withColumn("t", _text_key())
     # The same plan at every size: families grow with the input, so their side is never broadcast.
-    held = dealt.hint("merge").join(texts, F.col("least_id").eqNullSafe(F.col("id"))).drop("id", "least_id")
+    held = dealt.hint("merge").join(texts, F.col("least_id").eqNullSafe(F.col("id")) & (F.col("least_t") == F.col("t"))).drop("id", "least_id", "t", "least_t")
+    if repeated:  # rows that repeat id and text would stand for their class more than once
+        held = held.dropDuplicates(["cls"])
     pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "text"
     )

@@ -63,7 +63,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text"))
     return mixed.select("doc_id", "source", "n_chars", F.col("mix_copy").cast("bigint").alias("copy"), F.round("mix_key", 12).alias("mix_key"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

@@ -15,7 +15,17 @@ _RNG = np.random.default_rng(20240101)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
+#: An odd factor for each place in a shingle; further places draw theirs from the same sequence.
 _WORD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+
+
+def _factor(place: int) -> np.uint64:
+    while len(_WORD) <= place:
+        drawn = hashlib.blake2b(str(len(_WORD)).encode(), digest_size=8, key=b"place").digest()
+        _WORD.append(np.uint64(int.from_bytes(drawn, "little") | 1))
+    return _WORD[place]
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 RUN_BYTES = 1 << 20
 #: Words up to this length are hashed by a key of their own for each place, longer ones by BLAKE2b.
@@ -82,9 +92,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n == 0:
         return words
     k = min(n, size)
-    out = words[: n - k + 1] * _WORD[0]
+    out = words[: n - k + 1] * _factor(0)
     for j in range(1, k):
-        out = out + words[j : n - k + 1 + j] * _WORD[j]
+        out = out + words[j : n - k + 1 + j] * _factor(j)
     return mix(out + np.uint64(k))
 
 

@@ -11,7 +11,7 @@ Reading: each archive streams through a parser that goes by Content-Length. Tran
 metadata to the main records by their concurrent-to identifiers, and revisits to the responses that they refer to, and
 gives one nested row per capture.
 
-Defined results: null html is an empty payload; control characters and spaces in URLs are percent-encoded and a null
+Defined results: null html is an empty payload; control characters and spaces in URLs are percent-encoded, each as its own value, and a null
 URL is the empty one; rows that repeat page_id and payload are captures of their own, of which the first is the
 response if it is that page's turn and the rest revisit it; null page_ids come before all others; payloads of any length
 up to the two gigabytes of a value are written and read whole; an empty table gives an empty archive; other columns are
@@ -52,6 +52,13 @@ def _uuid(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hexed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
+def encoded(url: Column) -> Column:
+    """A URL whose control characters and spaces are percent-encoded, each as its own value."""
+    for code in [*range(0x21), 0x7F]:
+        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return url
+
+
 def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     lines = [F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)) for k, v in headers]
     size = F.octet_length(block).cast("string")
@@ -63,7 +70,7 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     a hash, and as many go into one file as come to that by their mean."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    clean = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20\x7f]", "%20")
+    clean = encoded(F.coalesce(F.col("url").cast("string"), F.lit("")))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         clean.alias("url"),

@@ -217,13 +217,15 @@ def test_mixing_against_brute_force(spark):
         want[d, t] += brute_copies(d, rate[s]) if rate[s] else 0
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == +want
     clash = spark.createDataFrame([(1, "x" * 70_000, "s", 9, 8, 7)], "doc_id bigint, text string, source string, mix_copy int, cdf int, row int")
-    with pytest.raises(ValueError, match="mix_copy"):
-        mixing.mix(clash)
+    named = mixing.mix(clash, weights={"s": 1.0}, total=400_000.0)
+    assert named.columns == [*clash.columns, "mix_copy_", "mix_key"] and {tuple(r)[:6] for r in named.collect()} == {(1, "x" * 70_000, "s", 9, 8, 7)}
     assert {tuple(r) for r in mixing.mixed_rows(clash, weights={"s": 1.0}, total=400_000.0).collect()} == {(1, "x" * 70_000, "s", 9, 8, 7)}
     keys = [r["mix_key"] for r in got.collect()]
     assert keys == sorted(keys)
     assert mixing.mix(docs(spark, [])).collect() == []
-    thresholds = spark.range(1).select(mixing.poisson_thresholds(F.lit(300.0)).alias("c")).head()["c"]
+    by = {r["of"]: r["cdf"] for r in mixing.poisson_thresholds(spark.createDataFrame([("a", 300.0), (None, 0.0), ("b", 20_000.0)], "of string, rate double")).collect()}
+    thresholds = by["a"]
+    assert by[None] == [1.0] and abs(sum(1 - c for c in by["b"]) - 20_000) < 1e-4
     assert abs(thresholds[-1] - 1) < 1e-9 and abs(sum(1 - c for c in thresholds) - 300) < 1e-6
 
 

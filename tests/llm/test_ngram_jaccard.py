@@ -184,3 +184,20 @@ def test_loads_count_every_set(spark):
     for s in sets:
         np.add.at(want, (s & np.uint64((1 << loads.bits) - 1)).astype(np.int64), 1)
     assert np.array_equal(loads.steps, np.minimum(np.round(8 * np.log2(1 + want)), 255).astype(np.uint8))
+
+
+def test_rows_of_one_id_and_long_shingles(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for _ in range(30):  # many texts, and copies of some, under one null id; and one id with two texts
+        base = rng.choices(words, k=60)
+        docs += [(None, " ".join(base)), (None, " ".join(base)), (None, " ".join([*base, "more"]))]
+    docs += [(5, "a b c d e f g h"), (5, "other words stand in this one here"), (6, "a b c d e f g h"), (7, "other words stand in this one here")]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(got) == len(docs) and {r["component_id"] for r in got if r["doc_id"] is not None} == {5}
+    kept = ngram_jaccard.one_of_each(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), size=3).count()
+    assert kept == 30 + 2
+    far = [(i, " ".join(words[j] for j in range(s, s + 40))) for i, s in enumerate((0, 1, 100, 101, 200))]
+    found = ngram_jaccard.jaccard_components(spark.createDataFrame(far, "doc_id bigint, text string"), size=8, num=90, den=100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(d, c) for d, _, c in brute(far, 8, 90, 100)]

@@ -76,3 +76,9 @@ def test_repeated_rows_nulls_and_nothing(spark):
     got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive_pages(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(0, "response", None), (0, "revisit", 1), (1, "response", None), (1, "response", None), (1, "revisit", 1)], key=str)
     assert warc.archive_pages(frame(spark, [])).collect() == []
+
+
+def test_urls_keep_their_characters(spark):
+    urls = ["http://a/\tb", "http://a/ b", "http://a/\nb", "http://a/%20b", "http://a/\x7f\x00"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", warc.encoded(F.col("url")).alias("e")).collect()
+    assert [r["e"] for r in rows] == ["http://a/%09b", "http://a/%20b", "http://a/%0Ab", "http://a/%20b", "http://a/%7F%00"]
