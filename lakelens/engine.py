@@ -21,6 +21,7 @@ class Answer:
     sql: str | None = None
     note: str = ""
     error: str | None = None
+    whole: str | None = None
 
 
 class Engine:
@@ -78,7 +79,7 @@ class Engine:
         mode = mode or guard.route(needs, constraints)
         if mode == "sql":
             out = self.ask_sql(question)
-            return Answer(question, mode, out.rows, out.columns, out.sql, f"not recorded: {out.no_such_data}" if out.no_such_data else "", out.error)
+            return Answer(question, mode, out.rows, out.columns, out.sql, f"not recorded: {out.no_such_data}" if out.no_such_data else "", out.error, out.whole)
         if mode == "vector" or self.narrow is None:
             return Answer(question, "vector", self.search(question, k), ["rank", "id", "text"])
         held = scoped.retrieve(self.spark, constraints or [question], self.narrow, lambda ids: self.ranking(question, k, ids=ids), self.guarded)

@@ -90,8 +90,8 @@ def pending(planned: DataFrame, journal: DataFrame, keys: list[str]) -> DataFram
 
 
 def merged_slots(journal: DataFrame, key: str, order: str) -> DataFrame:
-    """Per slot: last status, highest candidate index, rounds, distinct findings (class, severity, first 200 characters)."""
-    finding = F.concat_ws("|", "class", "severity", F.substring("claim", 1, 200))
+    """Per slot: last status, highest candidate index, rounds, distinct findings (class, severity, claim)."""
+    finding = F.concat_ws("|", "class", "severity", "claim")
     return journal.groupBy(key).agg(F.max_by("status", order).alias("status"), F.max("candidate_index").alias("candidate_index"), F.countDistinct("round").alias("rounds"), F.countDistinct(F.when(F.col("claim").isNotNull(), finding)).alias("findings"))
 
 
@@ -101,8 +101,8 @@ def folded_slots(lines: DataFrame, key: str, order: str) -> DataFrame:
     unseen decisions are appended; a finding said again takes the place of the first, with its last wording."""
     each = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("judge_decisions").alias("d"), F.col("findings").alias("f")))).alias("l"))
     begun = lambda d: F.transform(d, lambda x: F.struct(x["round"].alias("a"), x["disposition"].alias("b")))
-    said = lambda x: F.struct(x["round"].alias("a"), x["disposition"].alias("b"), x["targets"].alias("c"), F.substring(F.coalesce(x["rationale"], F.lit("")), 1, 200).alias("d"))
-    about = lambda x: F.struct(x["class"].alias("a"), x["severity"].alias("b"), F.substring(F.coalesce(x["claim"], F.lit("")), 1, 200).alias("c"))
+    said = lambda x: F.struct(x["round"].alias("a"), x["disposition"].alias("b"), x["targets"].alias("c"), F.coalesce(x["rationale"], F.lit("")).alias("d"))
+    about = lambda x: F.struct(x["class"].alias("a"), x["severity"].alias("b"), F.coalesce(x["claim"], F.lit("")).alias("c"))
     listed = lambda name: F.filter(F.transform("l", lambda x: x[name]), lambda x: F.coalesce(F.size(x) > 0, F.lit(False)))
 
     def judged(acc: Column, line: Column) -> Column:

@@ -41,11 +41,16 @@ def one_question(engine, question: dict, condition: str, k: int) -> dict:
         return out | {"status": "error", "reason": f"{type(e).__name__}: {str(e).splitlines()[0]}"}
     out |= {"mode": answer.mode, "n_rows": len(answer.rows)}
     if question.get("gold_sql"):
-        gold = guard.run(spark, question["gold_sql"], limit=100_000)
-        if gold.error:
-            return out | {"reason": f"gold failed: {gold.error}"}
-        got = None if answer.mode != "sql" or answer.error or answer.sql is None else spark.sql(answer.sql)
-        passed, reason = compare.score(spark.sql(gold.sql), got, question.get("answer_columns"))
+        try:
+            gold = spark.sql(guard.validate(question["gold_sql"]))
+        except Exception as e:
+            return out | {"reason": f"gold failed: {type(e).__name__}: {str(e).splitlines()[0]}"}
+        # Both statements are scored whole: the limit of an answer bounds only what is shown.
+        got = None if answer.mode != "sql" or answer.error or answer.sql is None else spark.sql(guard.validate(answer.whole or answer.sql))
+        try:
+            passed, reason = compare.score(gold, got, question.get("answer_columns"))
+        except Exception as e:
+            return out | {"reason": f"scoring failed: {type(e).__name__}: {str(e).splitlines()[0]}"}
         if got is None and answer.mode == "sql":
             reason = "sql_failed"
         return out | {"passed": passed, "reason": reason}

@@ -307,6 +307,23 @@ def latest_line_wins(spark, d):
     return out.select("conv_id", "turn", "role", F.col("first_seen").alias("first_turn"))
 
 
+@query("""
+SELECT conv_id, turn, role, first_turn FROM (
+  SELECT conv_id, turn, role, min(turn) OVER (PARTITION BY conv_id, role) AS first_turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1
+""")
+def latest_lines_streamed(spark, d):
+    """The same lines, kept up by micro-batches that rewrite only the buckets that they touch."""
+    from ..storage import new_path
+    from ..streaming import streams
+
+    rows = t(spark, d, "conversations").select("conv_id", "role", "turn")
+    source, target, kept = (new_path(spark, n) for n in ("journal", "latest", "checkpoint"))
+    rows.repartitionByRange(4, "turn").write.parquet(source)
+    journal = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    streams.keep_latest_buckets(journal, target, kept, ["conv_id", "role"], "turn").awaitTermination()
+    return spark.read.parquet(target).select("conv_id", "turn", "role", F.col("first_seen").alias("first_turn"))
+
+
 @query("""
 WITH n AS (SELECT user_id, ts, event_type, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS step FROM events),
      s AS (SELECT user_id, step, min(ts) AS lo, max(ts) AS hi, max(ts) FILTER (WHERE event_type <> 'error') AS z FROM n GROUP BY 1, 2)
@@ -317,6 +334,27 @@ def steps_active_vs_span(spark, d):
     return records.steps(e, "user_id", "ts", F.col("event_type") == "click", F.col("event_type") != "error")
 
 
+@query("""
+WITH n AS (SELECT user_id, ts, event_type, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS step FROM events),
+     s AS (SELECT user_id, step, min(ts) AS lo, max(ts) AS hi, max(ts) FILTER (WHERE event_type <> 'error') AS z FROM n GROUP BY 1, 2)
+SELECT user_id, count(*) AS n_steps, round(sum(greatest(coalesce(epoch_us(z) - epoch_us(lo), 0), 0) / 1e6), 3) AS active, round((epoch_us(max(hi)) - epoch_us(min(lo))) / 1e6, 3) AS span FROM s GROUP BY 1
+""")
+def steps_streamed(spark, d):
+    """The same steps, assembled by a stream that keeps the open step of each user, from the table in several files."""
+    from ..storage import new_path
+    from ..streaming import steps
+
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_type")
+    path, end = new_path(spark, "events"), new_path(spark, "events-end")
+    e.repartitionByRange(4, "ts").write.parquet(path)
+    spark.range(1).select(F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit("end").alias("event_type")).write.parquet(end)
+    source, closing = (spark.readStream.schema(e.schema).parquet(p) for p in (path, end))
+    found = steps.run_steps(spark, source, closing, "user_id", "ts", F.col("event_type") == "click", F.col("event_type") != "error").where("key is not null")
+    seconds = F.greatest(F.coalesce(F.col("ended") - F.col("first"), F.lit(0)), F.lit(0)) / 1e6
+    per = found.groupBy(F.col("key").cast(e.schema["user_id"].dataType).alias("user_id"))
+    return per.agg(F.count(F.lit(1)).alias("n_steps"), F.round(F.sum(seconds), 3).alias("active"), F.round((F.max("last") - F.min("first")) / 1e6, 3).alias("span"))
+
+
 @query("""
 SELECT role, next_role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE next_role IS NOT NULL GROUP BY 1, 2
 """)
@@ -366,7 +404,7 @@ def pricing(spark, d):
 
 
 @query("""
-SELECT conv_id, arg_max(role, turn) AS status, max(turn) AS candidate_index, count(DISTINCT turn // 2) AS rounds, count(DISTINCT role || '|' || 'x' || '|' || substr(text, 1, 200)) AS findings FROM conversations GROUP BY 1
+SELECT conv_id, arg_max(role, turn) AS status, max(turn) AS candidate_index, count(DISTINCT turn // 2) AS rounds, count(DISTINCT role || '|' || 'x' || '|' || text) AS findings FROM conversations GROUP BY 1
 """)
 def journal_stats(spark, d):
     j = t(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("status"), F.col("turn").alias("candidate_index"), F.floor(F.col("turn") / 2).alias("round"), F.col("role").alias("class"), F.lit("x").alias("severity"), F.col("text").alias("claim"))

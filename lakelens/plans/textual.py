@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector
-from ..operators import chunking, compare, guard, lexicon, records, retrieval, scoped, similarity, vector_index
+from ..operators import chunking, compare, embedding, guard, lexicon, records, retrieval, scoped, similarity, vector_index
 from ..operators.quantiles import beside, quantiles
 from ..storage import file_system, materialize, new_path, own_dir
 from .relational import _PATHS as _PATHS_SQL
@@ -328,6 +328,18 @@ def _bag(table: str, key: str) -> str:
     return f"SELECT {key} AS id, (ascii(w) * 7 + ascii(reverse(w)) * 13 + length(w) * 3) % {DIMS} AS slot, count(*) AS c FROM (SELECT {key}, unnest({tok('text')}) AS w FROM {table}) GROUP BY 1, 2"
 
 
+@query(f"""WITH b AS ({_bag('documents', 'doc_id')}) SELECT id AS doc_id, round(sum(c * (slot + 1)) / sqrt(sum(c * c)), 6) AS moment FROM b GROUP BY 1""")
+def embedding_resumed(spark, d):
+    """Documents embedded by a run that stops after some batches and by another that does the rest, known by fingerprints."""
+    docs, path = t(spark, d, "documents").select("doc_id", "text"), new_path(spark, "embeddings")
+    rows = max(1, docs.count() // 4)
+    embedding.embed_missing(docs, path, bag_vector, "bag", rows, most_batches=2)
+    embedding.embed_missing(docs, path, bag_vector, "bag", rows)
+    held = embedding.vectors(docs, path, "doc_id").where("embedding is not null")
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return held.select("doc_id", F.round(moment, 6).alias("moment"))
+
+
 _LEGS = f"""
 {_INDEX},
 lex AS (SELECT query_id, doc_id AS id, rank FROM ({_ranked(_scores(), 'doc_id', 100)})),

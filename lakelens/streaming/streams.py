@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import collapse
-from ..storage import new_path
+from ..storage import drop_path, materialize, new_path
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -58,3 +58,37 @@ def keep_latest(journal: DataFrame, target: str, checkpoint: str, keys: list[str
         merged.join(first, keys).write.mode("overwrite").parquet(f"{target}/v={number}")
 
     return journal.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_latest_buckets(journal: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64):
+    """Keeps a table with the last line of each key and writes only what changes: rows lie in buckets by a hash of their key,
+    each a partition, and a micro-batch rewrites those that it touches. first_seen is the order of a key's first line. A
+    batch that is run again gives the same rows."""
+    spark = journal.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    names = [*journal.columns, "first_seen", "bucket"]
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        new_rows = new_path(spark, "latest-batch")
+        new = materialize(batch.withColumns({"first_seen": F.col(order), "bucket": bucket}).select(*names), "", new_rows)
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most all buckets
+        if not touched:
+            return
+        rows = new
+        if _is_there(spark, target):
+            rows = new.unionByName(spark.read.schema(new.schema).parquet(target).where(F.col("bucket").isin(touched)).select(*names))
+        first = F.min("first_seen").alias("first_seen")
+        rest = [c for c in journal.columns if c not in keys]
+        merged = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), order).alias("last"), first).select(*keys, "last.*", "first_seen", "bucket").select(*names)
+        merged_path = new_path(spark, "latest-merged")
+        held = materialize(merged, "", merged_path)
+        held.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        for path in (new_rows, merged_path):
+            drop_path(spark, path)
+
+    return journal.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
