@@ -13,3 +13,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for m in MODULES for k, s in m.SQL.items()}
+
+
+def cases() -> dict:
+    """Operators over inline records, with their SQL: not registered, but tested like queries."""
+    return {k: (f, m.CASE_SQL[k]) for m in (textual, evidence) for k, f in m.CASES.items()}

@@ -16,6 +16,8 @@ from .relational import big, paths, t
 from .textual import _LEGS, _PATHS_SQL, _RECORD, _RERANKED, PARAGRAPHS, asked, bag_vector, holding, legs, neighbours, texts, topic
 
 QUERIES, SQL = {}, {}
+#: The same for operators over records given inline: they read no table, so they are tests and no queries.
+CASES, CASE_SQL = {}, {}
 
 
 def query(sql: str | None = None):
@@ -28,6 +30,14 @@ def query(sql: str | None = None):
     return keep
 
 
+def case(sql: str):
+    def keep(f):
+        CASES[f.__name__], CASE_SQL[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
 def inline(spark, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -57,16 +67,29 @@ def csv_round_trip(spark, d):
 
 @query("SELECT p_partkey AS rcn, p_name AS title, p_brand AS brand, CAST(2 AS BIGINT) AS n_related, p_partkey + 1 AS other FROM part")
 def xml_reports(spark, d):
-    """XML files of parts of one size, an element for each part, with nested relations."""
+    """XML files of some hundred parts each, an element for each part, with nested relations."""
     key, after = F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
     row = F.concat(F.lit("<report><rcn>"), key, F.lit("</rcn><title>"), F.col("p_name"), F.lit('</title><relations kind="'), F.col("p_brand"), F.lit('"><item>'), key, F.lit("</item><item>"), after, F.lit("</item></relations></report>"))
     folder = new_path(spark, "xml")
-    files = t(spark, d, "part").groupBy("p_size").agg(F.array_join(F.collect_list(row), "\n").alias("all"))
+    parts = t(spark, d, "part")
+    file = F.pmod(F.xxhash64("p_partkey"), F.lit(max(1, parts.count() // 400)))
+    files = parts.groupBy(file.alias("file")).agg(F.array_join(F.collect_list(row), "\n").alias("all"))
     files.select(F.concat(F.lit("<reports>\n"), F.col("all"), F.lit("\n</reports>")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     r = readers.read_xml(spark, folder, "report", "rcn bigint, title string, relations struct<_kind: string, item: array<bigint>>")
     return r.select("rcn", "title", F.col("relations._kind").alias("brand"), big(F.size("relations.item")).alias("n_related"), F.col("relations.item")[1].alias("other"))
 
 
+@query("""SELECT CASE WHEN n_name NOT LIKE '%I%' THEN CAST(n_nationkey AS BIGINT) END AS id, CASE WHEN n_name NOT LIKE '%I%' THEN n_name END AS title, n_name LIKE '%I%' AS bad FROM nation""")
+def xml_files(spark, d):
+    """A file for each nation, some of them cut off: those that parse give rows, each other one an error."""
+    whole = F.concat(F.lit("<result><id>"), F.col("n_nationkey").cast("string"), F.lit("</id><title>"), F.col("n_name"), F.lit("</title></result>"))
+    text = F.when(F.contains(F.col("n_name"), F.lit("I")), F.substring(whole, 1, 30)).otherwise(whole)
+    folder = new_path(spark, "xml-files")
+    t(spark, d, "nation").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    good, ill = readers.read_xml_files(spark, folder, "id bigint, title string")
+    return good.select("id", "title", F.lit(False).alias("bad")).unionByName(ill.select(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("title"), F.lit(True).alias("bad")))
+
+
 def _journals(spark, d) -> str:
     folder, c = new_path(spark, "jsonl"), t(spark, d, "conversations").select("conv_id", "turn", "role")
     c.where("role = 'user'").write.json(f"{folder}/archive")
@@ -100,7 +123,7 @@ def markdown_parts(spark, d):
 _PLAN = "### Allocation\n\n| route | L1 | L2 | total |\n|---|---:|---:|---|\n| **F** | 500 | 20 (at most) | 520 |\n| `O` | 7 | - | 7 |\n| Total | 507 | 20 | 527 |\n"
 
 
-@query("SELECT * FROM (VALUES ('F', 'L1', 500), ('F', 'L2', 20), ('O', 'L1', 7)) x(route, level, target)")
+@case("SELECT * FROM (VALUES ('F', 'L1', 500), ('F', 'L2', 20), ('O', 'L1', 7)) x(route, level, target)")
 def allocation_table(spark, d):
     return inline(spark, "text string", [(_PLAN,)]).select(F.explode(readers.allocation(F.col("text"))).alias("x")).select("x.*")
 
@@ -220,7 +243,7 @@ def upper_medians(spark, d):
 _POOL = [(1, "sql", "L1"), (2, "sql", "L2"), (3, "hybrid", "L1"), (4, "hybrid", "L1"), (5, "vector", "L3"), (6, "vector", "L1"), (7, "sql", "L1")]
 
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 5), (3, 3), (4, 2), (5, 4)) x(place, id)")
+@case("SELECT * FROM (VALUES (1, 1), (2, 5), (3, 3), (4, 2), (5, 4)) x(place, id)")
 def balanced_picks(spark, d):
     picked = records.balanced_pick([{"id": i, "route": r, "level": v} for i, r, v in _POOL], 5, ("route", "level"))
     return inline(spark, "place int, id int", [(n + 1, p["id"]) for n, p in enumerate(picked)])
@@ -245,7 +268,7 @@ def entity_contexts(spark, d):
     return out.withColumn("context", F.regexp_replace("context", " & c;$", ""))
 
 
-@query("""SELECT * FROM (VALUES (1, 'startdate,status', 'x'), (2, '', ''), (3, 'country,role', 'DE,FR,it''s = 1'), (4, 'note', 'a%')) x(id, axes, literals)""")
+@case("""SELECT * FROM (VALUES (1, 'startdate,status', 'x'), (2, '', ''), (3, 'country,role', 'DE,FR,it''s = 1'), (4, 'note', 'a%')) x(id, axes, literals)""")
 def statement_axes(spark, d):
     rows = [
         (1, "SELECT 1 WHERE p.status = 'x' AND startDate >= 1 AND id IN (1)"), (2, "SELECT id FROM t"),
@@ -294,6 +317,13 @@ def cut_sections(spark, d):
     return chunking.report_sections(projects, reports).groupBy("project_id", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT doc_id, source, CAST(place AS INT) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS place FROM (
+  SELECT doc_id, source, -ln((CAST('0x' || substr(md5('sample-1|' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / n_chars AS k FROM documents WHERE n_chars > 0)) WHERE place <= 20""")
+def weighted_sample(spark, d):
+    """Twenty documents of each source, long ones more often."""
+    return readers.stratified_sample(t(spark, d, "documents"), 20, "source", "doc_id", F.col("n_chars")).select("doc_id", "source", "place")
+
+
 # ---- indexes and rankings
 
 
@@ -378,19 +408,19 @@ def _golds(spark) -> DataFrame:
     return inline(spark, "id string, gold array<bigint>, twin_id string, axes array<string>", _GOLDS)
 
 
-@query(f"""WITH m AS (SELECT id, unnest(gold) AS g FROM {_GOLDS_SQL}), h AS (SELECT id, unnest(gold) AS g FROM (VALUES ('old1', [2, 9]), ('old2', [77])) x(id, gold) UNION ALL SELECT * FROM m)
+@case(f"""WITH m AS (SELECT id, unnest(gold) AS g FROM {_GOLDS_SQL}), h AS (SELECT id, unnest(gold) AS g FROM (VALUES ('old1', [2, 9]), ('old2', [77])) x(id, gold) UNION ALL SELECT * FROM m)
 SELECT m.id, h.id AS other, array_to_string(list_sort(list(m.g)), ',') AS common FROM m JOIN h ON m.g = h.g AND m.id <> h.id GROUP BY 1, 2""")
 def gold_overlap(spark, d):
     o = similarity.gold_overlap(_golds(spark), inline(spark, "id string, gold array<bigint>", _HELD))
     return o.select("id", "other", F.array_join(F.col("common").cast("array<string>"), ",").alias("common"))
 
 
-@query(f"SELECT twin_id, string_agg(id, ',' ORDER BY id) AS ids FROM {_GOLDS_SQL} WHERE twin_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@case(f"SELECT twin_id, string_agg(id, ',' ORDER BY id) AS ids FROM {_GOLDS_SQL} WHERE twin_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def twin_collision(spark, d):
     return similarity.twin_collision(_golds(spark)).withColumn("ids", F.array_join("ids", ","))
 
 
-@query(f"SELECT array_to_string(axes, '+') AS axes, string_agg(id, ',' ORDER BY id) AS ids FROM {_GOLDS_SQL} WHERE len(axes) > 0 GROUP BY 1 HAVING count(*) > 1")
+@case(f"SELECT array_to_string(axes, '+') AS axes, string_agg(id, ',' ORDER BY id) AS ids FROM {_GOLDS_SQL} WHERE len(axes) > 0 GROUP BY 1 HAVING count(*) > 1")
 def axis_collision(spark, d):
     return similarity.axis_collision(_golds(spark)).withColumn("ids", F.array_join("ids", ","))
 
@@ -433,25 +463,25 @@ def guarded_runs(spark, d):
     return inline(spark, "id int, verdict string", [(i, verdict(s)) for i, s in _RUNS])
 
 
-@query("""SELECT * FROM (VALUES (1, 'SELECT a FROM t LIMIT 7'), (2, 'SELECT a FROM t LIMIT 3'), (3, 'SELECT a FROM (SELECT b FROM t LIMIT 3) LIMIT 7'), (4, 'SELECT ''LIMIT 2'' FROM t LIMIT 7')) x(id, limited)""")
+@case("""SELECT * FROM (VALUES (1, 'SELECT a FROM t LIMIT 7'), (2, 'SELECT a FROM t LIMIT 3'), (3, 'SELECT a FROM (SELECT b FROM t LIMIT 3) LIMIT 7'), (4, 'SELECT ''LIMIT 2'' FROM t LIMIT 7')) x(id, limited)""")
 def statement_limits(spark, d):
     rows = [(1, "SELECT a FROM t"), (2, "SELECT a FROM t LIMIT 3"), (3, "SELECT a FROM (SELECT b FROM t LIMIT 3)"), (4, "SELECT 'LIMIT 2' FROM t")]
     return inline(spark, "id int, limited string", [(i, guard.with_limit(s, 7)) for i, s in rows])
 
 
-@query("""SELECT * FROM (VALUES (1, 'SELECT 1 ' || chr(10) || 'FROM t'), (2, 'SELECT ''--no'' FROM t'), (3, 'SELECT 1  + 2'), (4, 'SELECT "a--b" FROM t  ')) x(id, bare)""")
+@case("""SELECT * FROM (VALUES (1, 'SELECT 1 ' || chr(10) || 'FROM t'), (2, 'SELECT ''--no'' FROM t'), (3, 'SELECT 1  + 2'), (4, 'SELECT "a--b" FROM t  ')) x(id, bare)""")
 def comment_stripping(spark, d):
     rows = [(1, "SELECT 1 -- one\nFROM t"), (2, "SELECT '--no' FROM t"), (3, "SELECT 1 /* x */+ 2"), (4, 'SELECT "a--b" FROM t /* open')]
     return inline(spark, "id int, bare string", [(i, guard.without_comments(s)) for i, s in rows])
 
 
-@query("""SELECT * FROM (VALUES (1, 'the weather', NULL), (2, 'this information', NULL), (3, NULL, 'SELECT 1'), (4, 'prices', NULL), (5, NULL, 'SELECT 2')) x(id, missing, statement)""")
+@case("""SELECT * FROM (VALUES (1, 'the weather', NULL), (2, 'this information', NULL), (3, NULL, 'SELECT 1'), (4, 'prices', NULL), (5, NULL, 'SELECT 2')) x(id, missing, statement)""")
 def writer_replies(spark, d):
     rows = [(1, "NO_SUCH_DATA: the weather."), (2, "no_such_data:"), (3, "so:\n```sql\nSELECT 1\n```"), (4, "```\nNO_SUCH_DATA: prices\n```"), (5, " SELECT 2 ")]
     return inline(spark, "id int, missing string, statement string", [(i, m := guard.no_such_data(r), None if m else guard.without_fences(r)) for i, r in rows])
 
 
-@query("SELECT * FROM (VALUES ('mended', true, 3, '', ''), ('at once', false, 3, '', ''), ('never', true, 0, 'AnalysisException', ''), ('unrecorded', false, 0, '', 'it')) x(question, retried, n_rows, error, missing)")
+@case("SELECT * FROM (VALUES ('mended', true, 3, '', ''), ('at once', false, 3, '', ''), ('never', true, 0, 'AnalysisException', ''), ('unrecorded', false, 0, '', 'it')) x(question, retried, n_rows, error, missing)")
 def retried_questions(spark, d):
     def write(question: str, error: str | None) -> str:
         if question == "unrecorded":
@@ -462,7 +492,7 @@ def retried_questions(spark, d):
     return inline(spark, "question string, retried boolean, n_rows int, error string, missing string", [(q, r.retried, len(r.rows), (r.error or "").partition(":")[0], r.no_such_data or "") for q, r in out])
 
 
-@query("""SELECT * FROM (VALUES (1, ''), (2, 'null test of a comparison'), (3, 'constant comparison'), (4, 'constant comparison'), (5, 'filter on note'), (6, ''), (7, 'null test of a comparison; filter on note'), (8, '')) x(id, problems)""")
+@case("""SELECT * FROM (VALUES (1, ''), (2, 'null test of a comparison'), (3, 'constant comparison'), (4, 'constant comparison'), (5, 'filter on note'), (6, ''), (7, 'null test of a comparison; filter on note'), (8, '')) x(id, problems)""")
 def lint_cases(spark, d):
     where = ["true = flag AND a IS NOT NULL", "t.a = 'x' IS NULL", "1 = 1", "a = 2 OR TRUE", "note NOT ILIKE '%x%'", "a = 'note = 1'", "(note LIKE 'x%') IS NOT NULL", "a BETWEEN 1 AND 2 AND b = 1"]
     return inline(spark, "id int, problems string", [(i + 1, "; ".join(guard.lint(f"SELECT 1 FROM t WHERE {w}", ["note"]))) for i, w in enumerate(where)])
@@ -542,7 +572,7 @@ def evidence_checks(spark, d):
     return verify.verify(spark, [dict(zip(("owner", "sql", "claim", "expect_empty"), c, strict=True)) for c in claims]).drop("name")
 
 
-@query("""SELECT * FROM (VALUES ('good', 'EXIST', 'PASS', ''), ('good', 'TEXT', 'PASS', ''), ('good', 'BUCKET', 'PASS', ''), ('good', 'READ-FIRST', 'PASS', ''), ('good', 'INDEPENDENT', 'PASS', ''), ('good', 'LABEL-ECHO', 'PASS', ''),
+@case("""SELECT * FROM (VALUES ('good', 'EXIST', 'PASS', ''), ('good', 'TEXT', 'PASS', ''), ('good', 'BUCKET', 'PASS', ''), ('good', 'READ-FIRST', 'PASS', ''), ('good', 'INDEPENDENT', 'PASS', ''), ('good', 'LABEL-ECHO', 'PASS', ''),
 ('bad', 'EXIST', 'FAIL', '9'), ('bad', 'TEXT', 'FAIL', '3'), ('bad', 'BUCKET', 'FAIL', '3,9'), ('bad', 'READ-FIRST', 'FAIL', '1'), ('bad', 'INDEPENDENT', 'FAIL', ''), ('bad', 'LABEL-ECHO', 'FAIL', '1.0')) x(owner, name, status, detail)""")
 def map_entries(spark, d):
     entries = [("good", "physics / optics", "lasers and lenses", [1, 2], [1, 2, 4], [4]), ("bad", "physics / optics", "physics, optics", [1], [1, 3, 9], [1])]
@@ -631,7 +661,7 @@ _SLOTS = [
 ]
 
 
-@query("""SELECT metric, key, CAST(n AS BIGINT) AS n FROM (VALUES ('status', 'ACCEPTED', 2), ('status', 'ABANDONED', 1), ('status', 'DRAFT', 1), ('candidates tried', '', 7), ('rounds', '2', 1), ('rounds', '1', 2), ('rounds', '0', 1),
+@case("""SELECT metric, key, CAST(n AS BIGINT) AS n FROM (VALUES ('status', 'ACCEPTED', 2), ('status', 'ABANDONED', 1), ('status', 'DRAFT', 1), ('candidates tried', '', 7), ('rounds', '2', 1), ('rounds', '1', 2), ('rounds', '0', 1),
 ('disposition', 'FIX', 1), ('disposition', 'ACCEPT', 2), ('disposition', 'ABANDON', 1), ('severity', 'HIGH', 2), ('severity', 'MID', 2), ('severity', 'LOW', 1), ('class', 'WORDING', 1), ('class', 'GOLD', 1), ('class', 'OTHER:*', 2), ('class', '?', 1),
 ('ruling', 'HIGH/UPHELD', 1), ('ruling', 'MID/DISMISSED', 1), ('ruling', 'HIGH/unadjudicated', 1), ('ruling', 'MID/RECORDED', 1), ('accepted with an upheld finding', '', 1), ('accepted with a fix', '', 1)) x(metric, key, n)""")
 def journal_summary(spark, d):
@@ -642,7 +672,7 @@ def journal_summary(spark, d):
 _SAY = "slot string, n int, judge_decisions array<struct<round: int, disposition: string, targets: array<string>, rationale: string>>, findings array<struct<class: string, severity: string, claim: string, note: string>>"
 
 
-@query("SELECT * FROM (VALUES ('s1', '1:FIX,2:ACCEPT', 'A:new,B:b'), ('s2', '1:FIX,9:ACCEPT', '')) x(slot, decisions, findings)")
+@case("SELECT * FROM (VALUES ('s1', '1:FIX,2:ACCEPT', 'A:new,B:b'), ('s2', '1:FIX,9:ACCEPT', '')) x(slot, decisions, findings)")
 def journal_fold(spark, d):
     """Decisions of a later line that go on from the earlier ones replace them, others are appended; findings keep the last."""
     lines = [
@@ -670,7 +700,7 @@ def bank_summary(spark, d):
     return records.bank_summary(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'P'"), o.where("o_orderpriority LIKE '1%'"), "o_custkey")
 
 
-@query("SELECT * FROM (VALUES ('bank', 'q1', ''), ('bank', 'q3', ''), ('archive', 'q2', 'stale')) x(place, question_id, reason)")
+@case("SELECT * FROM (VALUES ('bank', 'q1', ''), ('bank', 'q3', ''), ('archive', 'q2', 'stale')) x(place, question_id, reason)")
 def bank_versions(spark, d):
     """Promoted, archived and promoted again: each step is one new version."""
     row = lambda q, twin=None: (q, f"text of {q}", "sql", "L1", None, "SELECT 1", None, None, twin, None)
@@ -682,7 +712,7 @@ def bank_versions(spark, d):
     return show(bank, "bank", F.lit("")).unionByName(show(old, "archive", F.col("reason")))
 
 
-@query("""SELECT * FROM (VALUES ('r1', 'hybrid without filter evidence'), ('r1', 'gold count outside the subtype'), ('r2', 'level unlike the gold count'), ('r4', 'adversarial with gold'), ('r5', 'survivors outside the subtype''s window'), ('Bad id', 'bad id'), ('r6', 'filter evidence on another route'), ('r6', 'repeated survivors'),
+@case("""SELECT * FROM (VALUES ('r1', 'hybrid without filter evidence'), ('r1', 'gold count outside the subtype'), ('r2', 'level unlike the gold count'), ('r4', 'adversarial with gold'), ('r5', 'survivors outside the subtype''s window'), ('Bad id', 'bad id'), ('r6', 'filter evidence on another route'), ('r6', 'repeated survivors'),
 ('r8', 'repeated answer columns'), ('r8', 'answer columns without gold sql'), ('r8', 'no gold sql'), ('r9', 'unknown subtype')) x(question_id, violation)""")
 def bank_rules(spark, d):
     schema = _RECORD + ", answer_columns array<string>, override_reason string"

@@ -16,6 +16,8 @@ from .relational import _PATHS as _PATHS_SQL
 from .relational import big, paths, rounded, t
 
 QUERIES, SQL = {}, {}
+#: The same for operators over records given inline: they read no table, so they are tests and no queries.
+CASES, CASE_SQL = {}, {}
 
 
 def query(sql: str | None = None):
@@ -28,6 +30,14 @@ def query(sql: str | None = None):
     return keep
 
 
+def case(sql: str):
+    def keep(f):
+        CASES[f.__name__], CASE_SQL[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
 def tok(x: str) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
 
@@ -451,7 +461,7 @@ def zero_proof_counts(spark, d):
     return spark.createDataFrame([("joint", spark.sql(sql).count()), *counts.items()], "condition string, n bigint")
 
 
-@query("SELECT * FROM (VALUES (1, 'sql'), (2, 'scoped'), (3, 'vector'), (4, 'scoped'), (5, 'scoped')) x(id, mode)")
+@case("SELECT * FROM (VALUES (1, 'sql'), (2, 'scoped'), (3, 'vector'), (4, 'scoped'), (5, 'scoped')) x(id, mode)")
 def route_rule(spark, d):
     facts = [(1, False, ["a"]), (2, True, ["a"]), (3, True, []), (4, True, None), (5, None, ["b"])]
     return spark.createDataFrame([(i, guard.route(n, c)) for i, n, c in facts], "id int, mode string")
@@ -502,7 +512,7 @@ def evidence_numbers(spark, d):
 _RECORD = "question_id string, text string, expected_route string, level string, subtype string, gold_sql string, gold_project_ids array<bigint>, filter_evidence struct<survivor_ids: array<bigint>>, twin_id string, absence_evidence array<string>"
 
 
-@query("""SELECT * FROM (VALUES ('q2', 'no gold sql'), ('q3', 'repeated gold ids'), ('q3', 'gold outside the survivors'), ('q4', 'no absence proof'), ('q4', 'unknown twin'), ('q5', 'unknown route'), ('q5', 'no text'), ('q1', 'repeated text'), ('q2', 'repeated text')) x(question_id, violation)""")
+@case("""SELECT * FROM (VALUES ('q2', 'no gold sql'), ('q3', 'repeated gold ids'), ('q3', 'gold outside the survivors'), ('q4', 'no absence proof'), ('q4', 'unknown twin'), ('q5', 'unknown route'), ('q5', 'no text'), ('q1', 'repeated text'), ('q2', 'repeated text')) x(question_id, violation)""")
 def bank_validation(spark, d):
     rows = [
         ("q1", "How many?", "sql", "L1", None, "SELECT 1", None, None, None, None),

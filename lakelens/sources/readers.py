@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
 from ..storage import file_system
 
 # ---- delimited text with literal ";" between quotes
@@ -104,6 +105,19 @@ def _jsonl(spark: SparkSession, path: str | list[str], schema: str, exclude: str
     return rows.withColumn("label", F.element_at(F.split("file", "/"), -2))
 
 
+def read_xml_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Files that each hold one XML record: (file and the record's fields of those that parse, file and text of each that
+    doesn't, or whose fields don't fit the schema). A bad file costs a row of the second, not the run; files without a byte
+    aren't read."""
+    fields = T.StructType.fromDDL(schema)
+    parsed = F.from_xml("value", fields.add("_bad", "string").simpleString(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # Parsed with all its fields: read for one of them alone, a record wouldn't show that another doesn't fit.
+    whole = let(parsed, lambda x: F.struct((x.isNull() | x["_bad"].isNotNull()).alias("ill"), x.alias("record")))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value", whole.alias("x"))
+    good = rows.where("not x.ill").select("file", *[F.col(f"x.record.`{f.name}`").alias(f.name) for f in fields if f.name != "_bad"])
+    return good, rows.where("x.ill").select("file", F.col("value").alias("text"))
+
+
 def bad_lines(spark: SparkSession, path: str | list[str], schema: str, exclude: str | None = None) -> DataFrame:
     """file, label, line: every line below a path that is no JSON of the schema; empty lines are no lines."""
     s = T.StructType.fromDDL(schema).add("_bad", "string")
@@ -247,6 +261,20 @@ def hash_sample(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
     return df.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).orderBy("__h", *keys).limit(n).drop("__h")
 
 
+def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, weight: Column | None = None, seed: str = "sample-1", fans: int = 64) -> DataFrame:
+    """Exactly n rows of each stratum (or all), the same ones each time, drawn without replacement in proportion to a
+    weight, with place (from 1). A row's key is -ln(u) / weight, u a uniform number from a seeded hash; the least n keys
+    are the sample. Tasks keep the least n of their strata, some of them merge theirs, and one merges those: what one task
+    orders are fans * n rows at most. Rows whose weight is null or not positive are never drawn."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 13), 16, 10).cast("bigint")
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    drawn = df.withColumn("__w", w).where(F.col("__w") > 0).withColumn("__k", -F.log((hashed.cast("double") + 0.5) / F.lit(float(16**13))) / F.col("__w"))
+    order = [F.col("__k"), F.col(key)]
+    least = lambda rows, by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+    some = least(drawn.withColumn("__fan", F.pmod(F.spark_partition_id(), F.lit(fans))), [stratum, "__fan"]).drop("place")
+    return least(some, [stratum]).drop("__w", "__k", "__fan")
+
+
 def by_ids(df: DataFrame, key: str, ids: list[int], few: int = 1000) -> DataFrame:
     """Rows of given ids: a pushed-down list, or a semi-join beyond a few."""
     if len(ids) <= few:

@@ -113,3 +113,26 @@ def test_answers_are_scored_whole(spark):
     assert (out["passed"], out["n_rows"]) == (True, 1000)
     broken = runs.one_question(engine, asked | {"gold_sql": "SELECT nothing FROM nowhere"}, "force-sql", 5)
     assert broken["passed"] is None and broken["reason"].startswith("gold failed")
+
+
+def test_weighted_samples_have_their_size_and_follow_weights(spark):
+    from lakelens.sources import readers
+
+    rows = [(i, "abc"[i % 3] if i < 900 else "d", (10.0 if i % 2 else 1.0) if i % 50 else None) for i in range(905)]
+    df = spark.createDataFrame(rows, "id bigint, s string, w double").repartition(7)
+    got = readers.stratified_sample(df, 60, "s", "id", F.col("w")).collect()
+    by = {s: [r["id"] for r in got if r["s"] == s] for s in "abcd"}
+    assert [len(by[s]) for s in "abcd"] == [60, 60, 60, 4] and all(sorted(r["place"] for r in got if r["s"] == s) == list(range(1, len(by[s]) + 1)) for s in "abcd")
+    assert sum(i % 2 for s in "abc" for i in by[s]) > 120 and all(w is not None for i, _, w in rows if i in by["a"])
+    again = readers.stratified_sample(df.repartition(3), 60, "s", "id", F.col("w")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_each_bad_xml_file_is_an_error(spark, tmp_path):
+    from lakelens.sources import readers
+
+    for name, text in {"a": "<r><id>1</id><t>x</t></r>", "b": "<r><id>2</id>", "c": "<r><id>no</id><t>y</t></r>", "d": "", "e": "<r>\n<id>5</id>\n</r>"}.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    good, ill = readers.read_xml_files(spark, str(tmp_path), "id bigint, t string")
+    assert sorted((r["id"], r["t"]) for r in good.collect()) == [(1, "x"), (5, None)]
+    assert sorted(r["file"][-5:] for r in ill.collect()) == ["b.xml", "c.xml"]  # an empty file holds no record

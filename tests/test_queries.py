@@ -11,6 +11,7 @@ from lakelens.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = catalog.oracle_sql()
+CASES = catalog.cases()
 
 
 @pytest.fixture(scope="session")
@@ -36,10 +37,20 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, name):
-    df = catalog.queries()[name](spark, FOLDER)
+    same(catalog.queries()[name](spark, FOLDER), duck, SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_cases_over_inline_records(spark, duck, name):
+    f, sql = CASES[name]
+    assert name not in catalog.queries()
+    same(f(spark, FOLDER), duck, sql)
+
+
+def same(df, duck, sql):
     names = sorted(df.columns)
     got = sorted([plain(r[c]) for c in names] for r in df.collect())
-    found = duck.execute(SQL[name])
+    found = duck.execute(sql)
     held = [c[0] for c in found.description]
     assert sorted(held) == names
     assert got == sorted([plain(r[held.index(c)]) for c in names] for r in found.fetchall())
