@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,12 @@ def released_shuffles(spark: SparkSession):
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """A written table of df, for long texts: see storage.materialize."""
+    """A written table of df, for long texts: see storage.materialize. The driver hands freed memory back as well."""
     small_batches(df.sparkSession)
-    return storage.materialize(df, tag, path)
+    try:
+        return storage.materialize(df, tag, path)
+    finally:
+        _trim(ctypes, pa)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -46,12 +51,9 @@ def trimmed(run, encodes: bool = False):
     for steps of an operator that encodes."""
 
     def go(batches):
-        import ctypes
         import sys
         import time
 
-        import pyarrow as pa
-
         last, tokens = 0.0, sys.modules.get(f"{__package__}.tokens")
         if tokens is not None and not encodes:
             tokens.forget()
@@ -77,4 +79,5 @@ def text_of(name: str = "text") -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    storage.exact_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, new_path
@@ -25,11 +25,9 @@ def connected_components(edges: DataFrame, tag: str = "components", by: list[str
     now = materialize(edges.where("a <> b").select(*by, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "", path)
     of = [F.col(c).alias(f"of_{c}") for c in by]
     at = reduce(lambda x, y: x & y, [F.col("u") == F.col("k"), *[F.col(c) == F.col(f"of_{c}") for c in by]])
-    before = None
-    while True:
-        stats = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if stats == before or stats["n"] == 0:
-            break
+    counts = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)")).alias("h")]
+    before, stats = None, now.agg(*counts).first().asDict()
+    while stats != before and stats["n"]:
         before = stats
         both = now.unionByName(now.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = new_path(spark, f"{tag}-least")
@@ -42,7 +40,9 @@ def connected_components(edges: DataFrame, tag: str = "components", by: list[str
         pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         star = small.select(*by, F.explode(pairs).alias("e")).select(*by, "e.u", "e.v").where("u <> v").distinct()
         following = new_path(spark, tag)
-        now = materialize(star, "", following)
+        told = Observation()  # counted as it is written
+        now = materialize(star.observe(told, *counts), "", following)
+        stats = dict(told.get)
         drop_path(spark, path)
         drop_path(spark, lowest)
         drop_path(spark, lower)
