@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stems
 from ..functions.text import STOP_WORDS, alnum_tokens, or_empty
-from ..storage import materialize
+from ..storage import exact_unions, materialize
 from . import dense as dense_scan
 
 #: Query sides up to this many rows are broadcast; larger ones are shuffled.
@@ -127,6 +127,7 @@ def overlap_within(a: DataFrame, b: DataFrame, k: int = 10, tolerance: float = 0
 def rrf(lists: list[DataFrame], k: int = 60, limit: int | None = None) -> DataFrame:
     """query_id, id, score, rank: reciprocal rank fusion of rankings (query_id, id, rank). Ties go to what the earlier
     list ranks higher."""
+    exact_unions(lists[0].sparkSession)
     tagged = [r.select("query_id", "id", "rank", F.lit(i).alias("list")) for i, r in enumerate(lists)]
     every = tagged[0]
     for t in tagged[1:]:
@@ -153,6 +154,7 @@ def pooled(rankings: dict[str, DataFrame], key: str = "id") -> DataFrame:
     """One row per query and id: its rank in each named ranking, the best rank, the number of rankings, its place."""
     every = None
     for name, r in rankings.items():
+        exact_unions(r.sparkSession)
         t = r.select("query_id", key, "rank", F.lit(name).alias("condition"))
         every = t if every is None else every.unionByName(t)
     names = list(rankings)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import quality, records, retrieval
 from ..operators.quantiles import beside, quantiles
+from ..storage import exact_unions
 from ..sources import readers
 
 QUERIES, SQL = {}, {}
@@ -24,6 +25,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    exact_unions(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -74,9 +74,17 @@ def released_shuffles(spark: SparkSession):
     return set_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
+def exact_unions(spark: SparkSession) -> None:
+    """Turns off that a union keeps its inputs' partitioning: in Spark 4.1 adaptive execution may merge the partitions of
+    two inputs in different ways, and an aggregation after the union then finds a key in two places (a fused ranking
+    counted some documents twice). The session stays so."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
+    exact_unions(spark)
     path = path or new_path(spark, tag)
     with released_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
