@@ -19,7 +19,8 @@
 No link is lost: every step before the exact count only drops pairs that can't reach the threshold.
 
 Defined results: null and empty texts have empty sets, linked with nothing; texts of fewer words than a shingle are one
-shingle; repeated rows and equal texts share a class; null doc_ids never name a component unless it has no other id;
+shingle; repeated rows and equal texts share a class; null doc_ids never name a component unless it has no other id; rows
+that share an id, null too, are judged by their own texts; texts of any length are shingled whole, in runs of a megabyte;
 an empty table gives an empty result; other columns are ignored.
 """
 
