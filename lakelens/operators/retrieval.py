@@ -11,6 +11,7 @@ from ..functions.stem import stems
 from ..functions.text import STOP_WORDS, alnum_tokens, or_empty
 from ..storage import exact_unions, materialize
 from . import dense as dense_scan
+from .idsets import IdSet, members
 
 #: Query sides up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -71,12 +72,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 # ---- dense search
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, exclude_self: bool = False, decimals: int = 6) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | IdSet | None = None, exclude_self: bool = False, decimals: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank by exact inner product of (vec_id, embedding) with each query (query_id, query).
 
-    The filter comes before the ranking, so no over-fetching is needed. Large query sets are searched in blocks.
+    The filter, a frame of vec_id or a set of bitmaps, comes before the ranking, so no over-fetching is needed. Large query
+    sets are searched in blocks.
     """
-    held = vectors if allowed is None else vectors.join(allowed, "vec_id", "left_semi")
+    held = vectors
+    if isinstance(allowed, IdSet):
+        held = members(vectors, "vec_id", allowed)
+    elif allowed is not None:
+        held = vectors.join(allowed, "vec_id", "left_semi")
 
     def search(queries: DataFrame) -> DataFrame | None:
         block = dense_scan.block_of(queries)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector
-from ..operators import chunking, compare, embedding, guard, lexicon, records, retrieval, scoped, similarity, vector_index
+from ..operators import chunking, compare, embedding, guard, idsets, lexicon, records, retrieval, scoped, similarity, vector_index
 from ..operators.quantiles import beside, quantiles
 from ..storage import file_system, materialize, new_path, own_dir
 from .relational import _PATHS as _PATHS_SQL
@@ -240,7 +240,7 @@ def scoped_search(spark, d):
 _DENSE = "SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS query_label, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id AND q.vec_id % 20 = 0"
 
 
-def neighbours(spark, d, k: int, allowed: DataFrame | None = None, decimals: int = 6) -> DataFrame:
+def neighbours(spark, d, k: int, allowed: DataFrame | idsets.IdSet | None = None, decimals: int = 6) -> DataFrame:
     v = t(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieval.dense(v.select("vec_id", "embedding"), q, k, allowed, exclude_self=True, decimals=decimals)
@@ -256,6 +256,13 @@ def dense_filtered(spark, d):
     return neighbours(spark, d, 10, t(spark, d, "embeddings").where("label < 5").select("vec_id"))
 
 
+@query(f"SELECT query_id, vec_id, score, rank FROM ({_ranked(_DENSE + ' WHERE v.label < 5 AND v.embedding[1] > 0', 'vec_id', 10)})")
+def dense_bitmaps(spark, d):
+    """Neighbours within the ids that two filters share, each held as bitmaps."""
+    ids = lambda where: idsets.gathered(t(spark, d, "embeddings").where(where), "vec_id")
+    return neighbours(spark, d, 10, idsets.intersected(ids("label < 5"), ids("embedding[0] > 0")))
+
+
 @query(f"SELECT query_id, label, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank), label) AS INT) AS rank FROM ({_ranked(_DENSE, 'vec_id', 50)}) GROUP BY query_id, label")
 def first_occurrence_dedup(spark, d):
     r = neighbours(spark, d, 50).join(t(spark, d, "embeddings").select("vec_id", "label"), "vec_id")

@@ -106,3 +106,22 @@ def test_cells_are_all_used(cells):
     rows = np.array([[rng.choice([0.0, 1.0]), rng.random()] for _ in range(60)])
     centroids = vector_index.k_means(rows, cells, 6, 3)
     assert centroids.shape == (cells, 2) and np.isfinite(centroids).all()
+
+
+def test_bitmaps_hold_ids_and_filter_without_a_shuffle(spark):
+    from lakelens.operators import idsets
+
+    wanted = [-70_000, -32_768, -1, 0, 1, 7, 8, 32_767, 32_768, 32_769, 100_000, 2**40]
+    ids = idsets.gathered(spark.createDataFrame([(i,) for i in [*wanted, 7, None]], "id bigint"), "id")
+    others = [-2, 2, 9, 16, 40_000, 99_999, 2**40 + 1, 2**41, None]
+    rows = spark.createDataFrame([(i, "x") for i in [*wanted, *others, 8]], "id bigint, bits string").repartition(3)
+    got = idsets.members(rows, "id", ids)
+    assert ids.n == len(wanted) and sorted(r["id"] for r in got.collect()) == sorted([*wanted, 8]) and got.columns == ["id", "bits"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    odd = idsets.gathered(spark.range(-200, 100_000).where("id % 2 = 1"), "id")
+    three = idsets.gathered(spark.range(0, 50_000).where("id % 3 = 0"), "id")
+    both = idsets.intersected(odd, three)
+    assert both.n == len([i for i in range(50_000) if i % 2 and i % 3 == 0])
+    assert idsets.members(spark.range(30), "id", both).count() == 5
+    assert idsets.members(rows, "id", idsets.gathered(rows.where("false"), "id")).count() == 0
