@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stems
-from ..functions.text import STOP_WORDS, alnum_tokens, or_empty
+from ..functions.text import STOP_WORDS, alnum_tokens
 from ..storage import exact_unions, materialize
 from . import dense as dense_scan
 from .idsets import IdSet, members
