@@ -50,6 +50,16 @@ def test_pairs_of_two_sides_and_nothing(spark):
     assert similarity.jaccard_pairs(none, None, 0.5).collect() == [] and similarity.jaccard_pairs(none, frame(b), 0.5).collect() == []
 
 
+def test_wide_sets_meet_few(spark):
+    """Sets of thousands of items, of which random ones share a third, are told apart before anything travels for a pair."""
+    rng = random.Random(6)
+    held = {i: sorted(rng.sample([f"w{j}" for j in range(9000)], 3000)) for i in range(30)}
+    held[30] = held[0][:-200] + [f"x{j}" for j in range(200)]
+    side = similarity._hashed(spark.createDataFrame(list(held.items()), "id bigint, items array<string>"))
+    dealt = similarity._dealt(side, 0, 0.5, similarity._frequent([side], 31), 4).repartitionById(4, F.col("bucket"))
+    assert {(min(r), max(r)) for r in similarity._met(dealt, 0.5, True).collect()} == {(0, 30)}
+
+
 def test_set_overlaps(spark):
     rng = random.Random(4)
     rows = [(k, v) for k in range(60) for v in rng.choices(range(25), k=rng.randint(1, 9))]
