@@ -60,6 +60,15 @@ def test_wide_sets_meet_few(spark):
     assert {(min(r), max(r)) for r in similarity._met(dealt, 0.5, True).collect()} == {(0, 30)}
 
 
+def test_sets_that_share_one_value_are_not_compared(spark):
+    rows = [(k, v) for k in range(80) for v in (0, *range(10 * k + 1, 10 * k + 6))] + [(90, v) for v in range(6)] + [(91 + k, 10 * k + v) for k in range(80) for v in (1, 2, 9)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    got = similarity.set_overlaps(df, "k", "v", 3)
+    assert [tuple(r) for r in got.collect()] == [(0, 90, 6)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_count") == similarity.LANES
+
+
 def test_set_overlaps(spark):
     rng = random.Random(4)
     rows = [(k, v) for k in range(60) for v in rng.choices(range(25), k=rng.randint(1, 9))]
