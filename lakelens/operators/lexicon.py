@@ -1,15 +1,15 @@
 """A stored lexical index of immutable segments, and BM25 over it with blocks skipped against a running threshold.
 
 A segment deals its documents by a hash of their id into shards of some thousands, each ordered by length. A row of the
-index is the list of one term in one shard: places and counts, cut into blocks of RANGE places, each with the greatest
-count and the least length, from which the greatest weight follows for whatever statistics the index then has. Rows are
-sorted by term, so that a search reads the row groups of its terms.
+index is one shard: its documents, and for each of its terms the list of places and counts. A list is cut into blocks of
+RANGE places, each with the greatest count and the least length, from which the greatest weight follows for whatever
+statistics the index then has. Beside the shards lie the documents as their terms, for merges and for vectors of them.
 
 Added documents make a new segment; those of ids that the index has, and deleted ones, leave tombstones, which searches and
 statistics heed. Segments of like size are merged once there are enough, without reading texts again. A version names the
 live segments and tombstones; it is a file that must not exist yet, so of two writers one has to start again.
 
-A search sends the lists of its terms to the shards' tasks. A task scores one shard at a time: the bounds of a query's blocks
+A search reads the shards where they lie and shuffles nothing of them. A task scores one shard at a time: the bounds of a query's blocks
 sum up to one for each range of places, and ranges go from the highest bound down until what is left can't reach the
 query's k best so far. A document's score is whole in its task; only each task's best rows are shuffled.
 """
@@ -25,14 +25,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter
 from ..functions.text import STOP_WORDS, or_empty
-from ..storage import drop_path, file_system, materialize, new_path, set_conf
+from ..llm.common import small_batches, trimmed
+from ..storage import file_system, materialize, released_shuffles
 from .dense import NONE
-from .retrieval import BROADCAST_ROWS, top_k
+from .retrieval import small, top_k
 
 SHARD_DOCS = 2048
 RANGE = 8
@@ -40,16 +42,16 @@ RANGE = 8
 TIER = 4
 #: Terms of queries that go to every task at once.
 BLOCK_TERMS = 2_000_000
-#: Up to this many terms are named in a filter; more are joined.
-LISTED = 200
+#: Up to this many ids of a filter go to every task at once; more are joined by shuffle.
+BROADCAST_IDS = 4_000_000
+#: Documents that a task analyses at once.
+ANALYSED = 250
 K1, B = 1.2, 0.75
 _TOKEN = re.compile("[a-z0-9]+")
 DOC = "doc_id bigint, digest bigint, dl int, terms array<string>, tfs array<int>"
-DOCS_TABLE = "segment string, shard int, ids array<bigint>, dls array<int>, digests array<bigint>"
 PLACED = "segment string, shard int, doc_id bigint, place int, dl int, digest bigint"
-LISTS = "shard int, term string, n int, places array<int>, tfs array<int>, block_ends array<int>, block_tf array<int>, block_dl array<int>"
-_LIST_FIELDS = [f.split()[0] for f in LISTS.split(", ")]
-DOCS, GONE, ALLOWED, LIST = 0, 1, 2, 3
+SHARDS = "segment string, shard int, ids array<bigint>, dls array<int>, digests array<bigint>, terms array<string>, ends array<int>, places array<int>, tfs array<int>"
+_SHARD_FIELDS = [f.split()[0] for f in SHARDS.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -63,12 +65,24 @@ class Lexicon:
     def documents(self) -> DataFrame:
         """segment, shard, doc_id, place, dl, digest of live documents."""
         one = F.posexplode(F.arrays_zip("ids", "dls", "digests")).alias("place", "x")
-        every = self._all("docs", DOCS_TABLE).select("segment", "shard", one)
+        every = self.shards().select("segment", "shard", one)
         every = every.select("segment", "shard", F.col("x.ids").alias("doc_id"), "place", F.col("x.dls").alias("dl"), F.col("x.digests").alias("digest"))
         return every.join(self.gone().select("segment", "doc_id"), ["segment", "doc_id"], "left_anti") if self.meta["gone"] else every
 
-    def lists(self) -> DataFrame:
-        return self._all("lists", f"segment string, {LISTS}")
+    def shards(self) -> DataFrame:
+        if not self.meta["segments"]:
+            return self.spark.createDataFrame([], SHARDS)
+        return self.spark.read.schema(SHARDS).parquet(*[f"{self.path}/{s['id']}/shards" for s in self.meta["segments"]])
+
+    def analysed(self) -> DataFrame:
+        """Live documents as their terms and counts."""
+        every = self.spark.createDataFrame([], DOC)
+        for s in self.meta["segments"]:
+            held = self.spark.read.schema(DOC).parquet(f"{self.path}/{s['id']}/terms")
+            if self.meta["gone"]:
+                held = held.join(self.gone().where(F.col("segment") == s["id"]).select("doc_id"), "doc_id", "left_anti").select(*held.columns)
+            every = every.unionByName(held)
+        return every
 
     def gone(self) -> DataFrame:
         if not self.meta["gone"]:
@@ -76,11 +90,6 @@ class Lexicon:
         held = self.spark.read.schema(PLACED).parquet(*[f"{self.path}/{g}" for g in self.meta["gone"]])
         return held.where(F.col("segment").isin([s["id"] for s in self.meta["segments"]]))
 
-    def _all(self, table: str, schema: str) -> DataFrame:
-        if not self.meta["segments"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{s['id']}/{table}" for s in self.meta["segments"]])
-
 
 # ---- segments
 
@@ -96,6 +105,7 @@ _STOP = frozenset(STOP_WORDS)
 def analysed(docs: DataFrame, doc_id: str, text: Column, stemmed: bool) -> DataFrame:
     """Documents as their distinct terms and counts, with the hash by which an edit shows."""
     spark = docs.sparkSession
+    small_batches(spark)
     # A table of few files is read by few tasks; its texts are dealt to all of them first.
     if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
         docs = docs.repartition(spark.sparkContext.defaultParallelism)
@@ -103,7 +113,7 @@ def analysed(docs: DataFrame, doc_id: str, text: Column, stemmed: bool) -> DataF
 
     def go(batches):
         stems: dict[str, str] = {}
-        for b in batches:
+        for b in (x.slice(i, ANALYSED) for x in batches for i in range(0, len(x), ANALYSED)):
             dls, terms, tfs, ends = [], [], [], [0]
             for t in b.column("text").to_pylist():
                 words = _TOKEN.findall(t.lower())
@@ -122,15 +132,16 @@ def analysed(docs: DataFrame, doc_id: str, text: Column, stemmed: bool) -> DataF
                 names=["doc_id", "digest", "dl", "terms", "tfs"],
             )
 
-    return rows.mapInArrow(go, DOC)
+    return rows.mapInArrow(trimmed(go), DOC)
 
 
 def shard_of(doc_id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")
 
 
-def _packed(rows: list[pa.RecordBatch], shard: int) -> tuple[list[pa.Array], pa.RecordBatch | None]:
-    """A shard's documents in order of length (lengths, ids, hashes), and its lists by term."""
+def _packed(rows: list[pa.RecordBatch], name: str, shard: int) -> pa.RecordBatch:
+    """A shard as a row: its documents in order of length (ids, lengths, hashes), its terms, and their lists, one after the
+    other, with their ends."""
     table = pa.Table.from_batches(rows).combine_chunks()
     dl = table.column("dl").to_numpy()
     order = np.lexsort((table.column("doc_id").to_numpy(), dl))
@@ -143,60 +154,30 @@ def _packed(rows: list[pa.RecordBatch], shard: int) -> tuple[list[pa.Array], pa.
     tfs = table.column("tfs").combine_chunks().flatten().to_numpy()
     by = np.lexsort((places, code))
     code, places, tfs = code[by], places[by], tfs[by]
-    one = lambda name: pa.array([table.column(name).to_numpy()[order].tolist()])
-    docs = [one("dl").cast(pa.list_(pa.int32())), one("doc_id"), one("digest")]
-    if not len(code):
-        return docs, None
-    firsts = np.flatnonzero(np.diff(code, prepend=-1))
-    ends = np.append(firsts[1:], len(code))
-    edge = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(places // RANGE, prepend=-1) != 0))
-    block_tf, block_dl = np.maximum.reduceat(tfs, edge), np.minimum.reduceat(dl[order][places], edge)
-    block_ends = np.append(edge[1:], len(code))
-    per_term = np.searchsorted(edge, np.append(firsts, len(code)))
-    block_ends = block_ends - np.repeat(firsts, np.diff(per_term))
-    lists_of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
-    at = np.append(firsts, len(code))
-    held = pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(firsts), shard, np.int32)),
-            coded.dictionary.take(pa.array(code[firsts])),
-            pa.array((ends - firsts).astype(np.int32)),
-            lists_of(at, places),
-            lists_of(at, tfs),
-            lists_of(per_term, block_ends),
-            lists_of(per_term, block_tf),
-            lists_of(per_term, block_dl),
-        ],
-        names=_LIST_FIELDS,
-    )
-    return docs, held
+    ends = np.append(np.flatnonzero(np.diff(code)) + 1, len(code)) if len(code) else np.zeros(0)
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+    held = [table.column("doc_id").to_numpy()[order], dl[order].astype(np.int32), table.column("digest").to_numpy()[order], coded.dictionary, ends.astype(np.int32), places, tfs.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shard], pa.int32()), *[one(x) for x in held]], names=_SHARD_FIELDS)
 
 
 def _write_segment(docs: DataFrame, path: str) -> dict:
-    """Writes a segment of analysed documents, which are a written table, and tells what it holds."""
-    spark = docs.sparkSession
-    n = docs.count()
-    shards, name = max(1, -(-n // SHARD_DOCS)), f"segment-{uuid.uuid4().hex}"
+    """Writes a segment of analysed documents, as their terms and by shards, and tells what it holds."""
+    spark, name = docs.sparkSession, f"segment-{uuid.uuid4().hex}"
+    small_batches(spark)
+    docs = materialize(docs, "", f"{path}/{name}/terms")
+    numbers = _numbers(docs)
+    shards = max(1, -(-numbers["rows"] // SHARD_DOCS))
     dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), shards)).repartition("shard").sortWithinPartitions("shard")
 
     def go(batches):
-        names = [*_LIST_FIELDS, "ids", "digests"]
         for shard, rows in _runs(batches, "shard"):
-            (dls, ids, digests), lists = _packed([r.drop_columns("shard") for r in rows], shard)
-            nothing = pa.nulls(1, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), dls, *[nothing] * 4, ids, digests], names=names)
-            for i in range(0, 0 if lists is None else len(lists), 20_000):
-                part = lists.slice(i, 20_000)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.nulls(len(part), pa.list_(pa.int64()))] * 2], names=names)
-
-    both_path = new_path(spark, "segment")
-    both = materialize(dealt.mapInArrow(go, f"{LISTS}, ids array<bigint>, digests array<bigint>"), "", both_path)
-    own = F.lit(name).alias("segment")
-    both.where("term is null").select(own, "shard", "ids", F.col("places").alias("dls"), "digests").write.parquet(f"{path}/{name}/docs")
-    sorted_lists = both.where("term is not null").select(own, *_LIST_FIELDS).repartitionByRange("term", "shard").sortWithinPartitions("term", "shard")
-    sorted_lists.write.option("parquet.block.size", str(8 << 20)).parquet(f"{path}/{name}/lists")
-    drop_path(spark, both_path)
-    return {"id": name, "shards": shards, **_numbers(docs)}
+            yield _packed([r.drop_columns("shard") for r in rows], name, shard)
+
+    with released_shuffles(spark):
+        # A row is some megabytes, so a row group holds few of them, and so does a reader.
+        packed = dealt.mapInArrow(trimmed(go), SHARDS).write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).option("parquet.page.size.row.check.min", "1")
+        packed.parquet(f"{path}/{name}/shards")
+    return {"id": name, "shards": shards, **numbers}
 
 
 def _runs(batches, *keys: str):
@@ -264,8 +245,7 @@ def _numbers(docs: DataFrame) -> dict:
 def create(docs: DataFrame, doc_id: str, text: Column, path: str, stemmed: bool = False) -> Lexicon:
     """A new index of all documents. Ids are distinct and not null; other rows are no documents."""
     spark = docs.sparkSession
-    rows = materialize(analysed(docs.where(F.col(doc_id).isNotNull()), doc_id, text, stemmed), "analysed")
-    segment = _write_segment(rows, path)
+    segment = _write_segment(analysed(docs.where(F.col(doc_id).isNotNull()), doc_id, text, stemmed), path)
     return _commit(spark, path, {"version": max(_versions(spark, path), default=0) + 1, "stemmed": stemmed, "segments": [segment], "gone": [], **{k: segment[k] for k in ("rows", "tokens", "digest")}})
 
 
@@ -274,10 +254,9 @@ def change(index: Lexicon, added: DataFrame | None = None, doc_id: str = "doc_id
     spark, meta = index.spark, dict(index.meta)
     ids, segments = [], list(meta["segments"])
     if added is not None:
-        rows = materialize(analysed(added.where(F.col(doc_id).isNotNull()), doc_id, text if text is not None else F.col("text"), meta["stemmed"]), "analysed")
-        segment = _write_segment(rows, index.path)
+        segment = _write_segment(analysed(added.where(F.col(doc_id).isNotNull()), doc_id, text if text is not None else F.col("text"), meta["stemmed"]), index.path)
         segments.append(segment)
-        ids.append(rows.select("doc_id"))
+        ids.append(spark.read.schema(DOC).parquet(f"{index.path}/{segment['id']}/terms").select("doc_id"))
         for k in ("rows", "tokens", "digest"):
             meta[k] += segment[k]
     if deleted is not None:
@@ -327,7 +306,7 @@ def merge(index: Lexicon, everything: bool = False) -> Lexicon:
         return index
     names = [s["id"] for s in chosen]
     part = Lexicon(index.spark, index.path, index.meta | {"segments": chosen})
-    merged = _write_segment(materialize(_unpacked(part), "unpacked"), index.path)
+    merged = _write_segment(part.analysed(), index.path)
     kept = [s for s in index.meta["segments"] if s["id"] not in names] + ([merged] if merged["rows"] else [])
     gone = index.meta["gone"] if any(lost.get(s["id"]) for s in kept) else []
     done = _commit(index.spark, index.path, index.meta | {"version": index.meta["version"] + 1, "segments": kept, "gone": gone})
@@ -336,32 +315,26 @@ def merge(index: Lexicon, everything: bool = False) -> Lexicon:
 
 # ---- shards in tasks
 
-_SHARD = "segment string, shard int, kind int, term string, places array<int>, tfs array<int>, block_ends array<int>, block_tf array<int>, block_dl array<int>, ids array<bigint>, digests array<bigint>"
-_SHARD_FIELDS = [f.split() for f in _SHARD.split(", ")]
-
 
-def _kind(df: DataFrame, kind: int, **columns: str) -> DataFrame:
-    held = {"segment": "segment", "shard": "shard", **columns}
-    return df.select(*[(F.lit(kind) if n == "kind" else F.col(held[n]) if n in held else F.lit(None)).cast(t).alias(n) for n, t in _SHARD_FIELDS])
-
-
-def _lost(index: Lexicon) -> DataFrame:
-    """segment, shard, places of tombstones, at most as many as a shard has documents."""
-    return index.gone().groupBy("segment", "shard").agg(F.collect_set("place").alias("places"))
-
-
-def _by_shard(index: Lexicon, lists: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """Lists of terms, with their shard's documents before them, tombstones, and ids that a filter allows."""
-    rows = _kind(index._all("docs", DOCS_TABLE), DOCS, ids="ids", places="dls", digests="digests")
-    rows = rows.unionByName(_kind(lists, LIST, **{c: c for c in ("term", "places", "tfs", "block_ends", "block_tf", "block_dl")}))
+def _beside(index: Lexicon, allowed: DataFrame | None = None, *columns: str) -> DataFrame:
+    """Shards (or some columns of them) where they lie, with places of tombstones, at most as many as a shard has documents,
+    and ids that a filter allows."""
+    small_batches(index.spark)
+    rows = index.shards().select(*(columns or _SHARD_FIELDS))
     if index.meta["gone"]:
-        rows = rows.unionByName(_kind(_lost(index), GONE, places="places"))
-    if allowed is not None:
-        ids = allowed.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-        for s in index.meta["segments"]:
-            of = ids.select(F.lit(s["id"]).alias("segment"), shard_of(F.col("doc_id"), s["shards"]).alias("shard"), "doc_id")
-            rows = rows.unionByName(_kind(of.groupBy("segment", "shard").agg(F.collect_list("doc_id").alias("ids")), ALLOWED, ids="ids"))
-    return rows.repartition("segment", "shard").sortWithinPartitions("segment", "shard", "kind", "term")
+        lost = index.gone().groupBy("segment", "shard").agg(F.collect_set("place").alias("gone"))
+        rows = rows.join(F.broadcast(lost) if len(index.meta["segments"]) and sum(s["rows"] for s in index.meta["segments"]) <= BROADCAST_IDS else lost.hint("merge"), ["segment", "shard"], "left")
+    else:
+        rows = rows.withColumn("gone", F.lit(None).cast("array<int>"))
+    if allowed is None:
+        return rows.withColumn("allowed", F.lit(None).cast("array<bigint>"))
+    ids = allowed.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    held = index.spark.createDataFrame([], "segment string, shard int, allowed array<bigint>")
+    for s in index.meta["segments"]:
+        of = ids.select(F.lit(s["id"]).alias("segment"), shard_of(F.col("doc_id"), s["shards"]).alias("shard"), "doc_id")
+        held = held.unionByName(of.groupBy("segment", "shard").agg(F.collect_list("doc_id").alias("allowed")))
+    return rows.join(F.broadcast(held) if few else held.hint("merge"), ["segment", "shard"], "left")
 
 
 @dataclass
@@ -375,76 +348,65 @@ class _Shard:
     lists: list[tuple]
 
 
-def _shards(batches, filtered: bool):
-    for _, rows in _runs(batches, "segment", "shard"):
-        docs, allowed, lists = None, [], []
-        for b in rows:
-            arrays = {}
-            for name in ("places", "tfs", "block_ends", "block_tf", "block_dl", "ids", "digests"):
-                column = b.column(name)
-                arrays[name] = column.offsets.to_numpy(), column.values.to_numpy()
-            array = lambda name, r, held=arrays: held[name][1][held[name][0][r] : held[name][0][r + 1]]
-            for r, (kind, term) in enumerate(zip(b.column("kind").to_pylist(), b.column("term").to_pylist(), strict=True)):
-                if kind == DOCS:
-                    ids = array("ids", r)
-                    docs = _Shard(ids, array("places", r), array("digests", r), np.ones(len(ids), bool), lists)
-                elif kind == GONE:
-                    docs.live[array("places", r)] = False
-                elif kind == ALLOWED:
-                    allowed.append(array("ids", r))
-                else:
-                    lists.append((term, *[array(c, r) for c in ("places", "tfs", "block_ends", "block_tf", "block_dl")]))
-        if docs is None:
-            continue  # ids that a filter allows, of a shard without documents
-        if filtered:
-            docs.live &= np.isin(docs.ids, np.concatenate(allowed)) if allowed else False
-        yield docs
-
-
-def _unpacked(index: Lexicon) -> DataFrame:
-    """Live documents as their terms and counts, from the lists."""
-
-    def go(batches):
-        for s in _shards(batches, False):
-            sizes = [len(x[1]) for x in s.lists]
-            places = np.concatenate([x[1] for x in s.lists]) if s.lists else np.zeros(0, np.int32)
-            tfs = np.concatenate([x[2] for x in s.lists]) if s.lists else np.zeros(0, np.int32)
-            which = np.repeat(np.arange(len(sizes)), sizes)
-            kept = s.live[places]
-            places, tfs, which = places[kept], tfs[kept], which[kept]
-            order = np.argsort(places, kind="stable")
-            count = np.bincount(places, minlength=len(s.ids))[s.live]
-            offsets = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
-            terms = pa.array([x[0] for x in s.lists], pa.string()).take(pa.array(which[order]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.ids[s.live]), pa.array(s.digests[s.live]), pa.array(s.dl[s.live].astype(np.int32)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tfs[order].astype(np.int32)))],
-                names=["doc_id", "digest", "dl", "terms", "tfs"],
-            )
-
-    return _by_shard(index, index.lists()).mapInArrow(go, DOC)
+def _shards(batches, filtered: bool = False, wanted: pa.Array | None = None):
+    """Shards of batches of _beside, with the lists of some terms, or of all."""
+    for b in batches:
+        for r in range(len(b)):
+            array = lambda name, i=r, held=b: held.column(name)[i].values
+            numbers = lambda name: array(name).to_numpy(zero_copy_only=False)
+            ids, dl, terms, ends, places, tfs = numbers("ids"), numbers("dls"), array("terms"), numbers("ends"), numbers("places"), numbers("tfs")
+            live = np.ones(len(ids), bool)
+            if array("gone") is not None:
+                live[numbers("gone")] = False
+            if filtered:
+                live &= np.isin(ids, numbers("allowed")) if array("allowed") is not None else False
+            at = np.arange(len(terms)) if wanted is None else np.flatnonzero(pc.is_in(terms, value_set=wanted).to_numpy(zero_copy_only=False))
+            begins = np.append(0, ends[:-1])
+            lists = [(t, places[i:j], tfs[i:j], *_blocks(places[i:j], tfs[i:j], dl)) for t, i, j in zip(terms.take(pa.array(at)).to_pylist(), begins[at].tolist(), ends[at].tolist(), strict=True)]
+            yield _Shard(ids, dl, numbers("digests"), live, lists)
+
+
+def _blocks(places: np.ndarray, tfs: np.ndarray, dl: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the blocks of a list end, the greatest count and the least length of each."""
+    edge = np.flatnonzero(np.diff(places // RANGE, prepend=-1))
+    return np.append(edge[1:], len(places)), np.maximum.reduceat(tfs, edge), np.minimum.reduceat(dl[places], edge)
 
 
 def postings(index: Lexicon, terms: DataFrame | None = None) -> DataFrame:
     """term, doc_id, tf, dl of live documents; of some terms (term) only, if given."""
-    lists = index.lists() if terms is None else index.lists().join(terms, "term", "left_semi")
+    each = index.analysed().select("doc_id", F.col("dl").cast("bigint").alias("dl"), F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    each = each.select(F.col("x.terms").alias("term"), "doc_id", F.col("x.tfs").cast("bigint").alias("tf"), "dl")
+    return each if terms is None else each.join(small(terms.select("term").distinct()), "term", "left_semi")
 
-    def go(batches):
-        for s in _shards(batches, False):
-            for i in range(0, len(s.lists), 1000):
-                some = s.lists[i : i + 1000]
-                sizes = [len(x[1]) for x in some]
-                places, tfs = (np.concatenate([x[c] for x in some]) for c in (1, 2))
-                kept = s.live[places]
-                at = places[kept]
-                terms = pa.array([x[0] for x in some], pa.string()).take(pa.array(np.repeat(np.arange(len(some)), sizes)[kept]))
-                yield pa.RecordBatch.from_arrays([terms, pa.array(s.ids[at]), pa.array(tfs[kept].astype(np.int64)), pa.array(s.dl[at].astype(np.int64))], names=["term", "doc_id", "tf", "dl"])
 
-    return _by_shard(index, lists).mapInArrow(go, "term string, doc_id bigint, tf bigint, dl bigint")
+def counts(index: Lexicon, terms: list[str]) -> DataFrame:
+    """term, n: how many live documents have each of some terms; those that none has are absent."""
+    wanted = pa.array(terms, pa.string())
+    gone = bool(index.meta["gone"])
+    columns = ["segment", "shard", "terms", "ends", *(["places"] if gone else [])]
+
+    def go(batches):
+        total = np.zeros(len(terms), np.int64)
+        for b in batches:
+            for r in range(len(b)):
+                ends = b.column("ends")[r].values.to_numpy()
+                found = pc.index_in(b.column("terms")[r].values, value_set=wanted)
+                at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                begins, n = np.append(0, ends[:-1])[at], ends[at]
+                if gone and b.column("gone")[r].is_valid:
+                    places = b.column("places")[r].values.to_numpy()
+                    lost = np.append(0, np.cumsum(np.isin(places, b.column("gone")[r].values.to_numpy())))
+                    n = n - (lost[ends[at]] - lost[begins])
+                total[found.take(pa.array(at)).to_numpy()] += n - begins
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([wanted.take(pa.array(some)), pa.array(total[some])], names=["term", "n"])
+
+    return _beside(index, None, *columns).mapInArrow(go, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def terms_of_documents(index: Lexicon) -> DataFrame:
     """doc_id, terms, tfs of live documents."""
-    return _unpacked(index).select("doc_id", "terms", "tfs")
+    return index.analysed().select("doc_id", "terms", "tfs")
 
 
 # ---- search
@@ -532,14 +494,11 @@ def search(index: Lexicon, queries: DataFrame, k: int = 10, allowed: DataFrame |
     before ties are broken by doc_id; documents without any term of the query are absent. Query ids are distinct."""
     if stemmed is not None and stemmed != index.meta["stemmed"]:
         raise ValueError(f"the index is {'' if index.meta['stemmed'] else 'not '}stemmed")
-    spark = index.spark
     asked = materialize(_asked(queries, index.meta["stemmed"]), "asked")
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("terms")).first()
     count = max(1, -(-(11 * (size["terms"] or 0)) // (10 * BLOCK_TERMS)))
     parts = [asked] if count == 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == i) for i in range(count)]
-    # Parquet skips row groups by each of a few terms: its filters nest one deeper for each value.
-    with set_conf(spark, spark__sql__parquet__pushdown__inFilterThreshold=str(LISTED)):
-        found = reduce(DataFrame.unionByName, [materialize(_searched(index, p, k, allowed), "hits") for p in parts])
+    found = reduce(DataFrame.unionByName, [materialize(_searched(index, p, k, allowed), "hits") for p in parts])
     ranking = top_k(found.where("doc_id is not null").select("query_id", "doc_id", "score"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
     stats = found.where("doc_id is null").groupBy("query_id").agg(F.sum("blocks").alias("blocks"), F.sum("blocks_read").alias("blocks_read"))
     return Hits(ranking, stats)
@@ -553,25 +512,15 @@ def _searched(index: Lexicon, asked: DataFrame, k: int, allowed: DataFrame | Non
     terms = sorted({t for ts in of for t in ts})
     if not terms:
         return index.spark.createDataFrame([], schema)
-    if len(terms) <= LISTED:
-        lists = index.lists().where(F.col("term").isin(terms))
-    else:
-        named = asked.select(F.explode("terms").alias("term")).distinct()
-        lists = index.lists().join(F.broadcast(named) if len(terms) <= BROADCAST_ROWS else named, "term", "left_semi")
-    df = lists.groupBy("term").agg(F.sum("n").alias("n"))
-    if index.meta["gone"]:
-        lost = lists.join(_lost(index).withColumnRenamed("places", "lost"), ["segment", "shard"])
-        lost = lost.select("term", F.size(F.array_intersect("places", "lost")).cast("bigint").alias("n")).groupBy("term").agg((-F.sum("n")).alias("n"))
-        df = df.unionByName(lost).groupBy("term").agg(F.sum("n").alias("n")).where("n > 0")
     n, avgdl = float(index.meta["rows"]), index.meta["tokens"] / max(index.meta["rows"], 1) or 1.0
-    idf = {r["term"]: float(np.log(1 + (n - r["n"] + 0.5) / (r["n"] + 0.5))) for r in df.toLocalIterator()}
+    idf = {r["term"]: float(np.log(1 + (n - r["n"] + 0.5) / (r["n"] + 0.5))) for r in counts(index, terms).toLocalIterator()}
     number = {t: i for i, t in enumerate(terms)}
     numbers = [[number[t] for t in ts if t in idf] for ts in of]
-    filtered = allowed is not None
+    filtered, wanted = allowed is not None, pa.array([t for t in terms if t in idf], pa.string())
 
     def go(batches):
         top, read, total = _Top(len(ids), k), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for s in _shards(batches, filtered):
+        for s in _shards(batches, filtered, wanted):
             _score(s, _weighed(s, number, idf, avgdl), numbers, top, read, total)
         names = ["query_id", "doc_id", "score", "blocks", "blocks_read"]
         none = lambda n, *kinds: [pa.nulls(n, t) for t in kinds]
@@ -580,4 +529,4 @@ def _searched(index: Lexicon, asked: DataFrame, k: int, allowed: DataFrame | Non
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(docs), pa.int64()), pa.array(docs), pa.array(scores / 1e6), *none(len(docs), pa.int64(), pa.int64())], names=names)
         yield pa.RecordBatch.from_arrays([pa.array(ids), *none(len(ids), pa.int64(), pa.float64()), pa.array(total), pa.array(read)], names=names)
 
-    return _by_shard(index, lists, allowed).mapInArrow(go, schema)
+    return _beside(index, allowed).mapInArrow(trimmed(go), schema)

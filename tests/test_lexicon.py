@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakelens.operators import lexicon, retrieval
+from lakelens.plans import textual
 from lakelens.storage import new_path
 
 
@@ -121,3 +122,28 @@ def test_two_writers_of_a_version(spark):
     with pytest.raises(lexicon.Conflict):
         lexicon.change(index, frame(spark, {3: "c"}))
     assert lexicon.open_lexicon(spark, index.path).meta["rows"] == 2
+
+
+def test_a_search_shuffles_no_lists(spark, small_shards):
+    index = lexicon.create(frame(spark, texts(700)), "doc_id", F.col("text"), new_path(spark, "t"))
+    held = lexicon._beside(index)
+    assert held.count() == 7 and "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    n = {r["term"]: r["n"] for r in lexicon.counts(index, ["w1", "w2", "nowhere"]).collect()}
+    want = lexicon.postings(index, spark.createDataFrame([("w1",), ("w2",), ("nowhere",)], "term string")).groupBy("term").count()
+    assert n and n == {r["term"]: r["count"] for r in want.collect()}
+
+
+def test_texts_come_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    lexicon.create(frame(spark, {1: "a b", 2: None}), "doc_id", F.col("text"), new_path(spark, "t"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_bags_come_from_the_index_without_a_shuffle(spark):
+    docs = {1: "the W1 w22, w1; Zz 9", 2: None, 3: "..", 4: "q" * 70 + " a"}
+    index = lexicon.create(frame(spark, docs), "doc_id", F.col("text"), new_path(spark, "t"))
+    bags = textual.bag_vectors(lexicon.terms_of_documents(index))
+    assert "Exchange" not in bags._jdf.queryExecution().executedPlan().toString()
+    direct = frame(spark, docs).select("doc_id", textual.bag_vector(F.col("text")).alias("v")).where("v is not null")
+    assert {r["vec_id"]: r["embedding"] for r in bags.collect()} == {r["doc_id"]: r["v"] for r in direct.collect()} and direct.count() == 2
