@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 #: Bytes of the queries that go to every task at once, as doubles.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Scores that a task holds at once.
-CELLS = 1 << 21
+CELLS = 1 << 18
 NONE = np.iinfo(np.int64).min
 
 
