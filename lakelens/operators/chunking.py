@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, paragraphs, raw_sentences
+from ..llm.common import small_batches, trimmed
 
 # The chunk policy.
 TARGET, CAP, OVERLAP, SAFETY, LEAST_BUDGET = 400, 512, 50, 8, 32
+#: Texts that a task cuts at once.
+CUT_ROWS = 100
 _SENTENCE = re.compile(r"(?<=[.!?])\s|(?<=[.!?][\"')\]])\s")
 _WORD = re.compile(r"\S+\s*")
 
@@ -116,7 +119,7 @@ def chunk_table(sections: DataFrame, chunker: Chunker | None = None) -> DataFram
     schema = pa.schema([("chunk_id", pa.string()), ("project_id", pa.int64()), ("source", pa.string()), ("section", pa.string()), ("n_tokens", pa.int32()), ("text", pa.string())])
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, CUT_ROWS) for x in batches for i in range(0, len(x), CUT_ROWS)):
             ids, headers, sources, names, texts = (b.column(i).to_pylist() for i in range(5))
             cut = [c.chunks(text, f"{header} | {name}", whole=source == "objective") for header, source, name, text in zip(headers, sources, names, texts, strict=True)]
             at = [i for i, chunks in enumerate(cut) for _ in chunks]
@@ -125,7 +128,8 @@ def chunk_table(sections: DataFrame, chunker: Chunker | None = None) -> DataFram
             cols = [keys, [ids[i] for i in at], [sources[i] for i in at], [names[i] for i in at], [c.n(x) for x in flat], flat]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return sections.select(F.col("project_id").cast("bigint"), "header", "source", "section", "text").mapInArrow(run, "chunk_id string, project_id bigint, source string, section string, n_tokens int, text string")
+    small_batches(sections.sparkSession)
+    return sections.select(F.col("project_id").cast("bigint"), "header", "source", "section", "text").mapInArrow(trimmed(run), "chunk_id string, project_id bigint, source string, section string, n_tokens int, text string")
 
 
 def report_sections(projects: DataFrame, reports: DataFrame) -> DataFrame:

@@ -153,3 +153,10 @@ def test_bank_report(spark, tmp_path):
     assert runs.journal(spark, str(tmp_path / "none")).collect() == []
     m = spark.createDataFrame([("a", 1, 5, 1, 1.0, 1.0, 0.9), ("b", 1, 5, 1, 1.0, 0.5, 0.4), ("a", 2, 5, 0, 0.0, 0.0, 0.0), ("b", 2, 5, 0, 0.0, 0.0, 0.0)], "condition string, query_id int, k int, hit int, recall double, mrr double, ndcg double")
     assert "| a | b | 5 | 1 | 1 | 0 |" in runs.retrieval_report(m, "Retrieval")
+
+
+def test_sections_come_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(i, "h", "report", "s", f"a {i}.\nb") for i in range(2 * chunking.CUT_ROWS + 1)]
+    cut = chunking.chunk_table(spark.createDataFrame(rows, "project_id bigint, header string, source string, section string, text string").coalesce(1))
+    assert cut.count() == len(rows) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
