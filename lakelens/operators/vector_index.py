@@ -128,6 +128,15 @@ def open_index(spark: SparkSession, path: str, source: DataFrame | None = None,
     return CellIndex(spark.read.parquet(f"{path}/vectors"), centroids, meta)
 
 
+def nearest_cells(rows: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """For each row the numbers of the `probes` cells that score highest, in no order."""
+    out = np.empty((len(rows), probes), np.int32)
+    for i in range(0, len(rows), 1024):
+        scores = rows[i : i + 1024] @ centroids.T
+        out[i : i + 1024] = np.argpartition(-scores, probes - 1, axis=1)[:, :probes]
+    return out
+
+
 def ordered_cells(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """queries with cells: the numbers of the `probes` cells that score highest, best first."""
 
@@ -148,17 +157,19 @@ def ordered_cells(queries: DataFrame, centroids: np.ndarray, probes: int) -> Dat
 
 def _within(index: CellIndex, vectors: DataFrame, queries: DataFrame, probes: int, k: int, exclude_self: bool) -> DataFrame | None:
     """query_id, vec_id, score: each task's best rows of each query among the cells that it probes; queries are a block."""
-    block = scan.block_of(ordered_cells(queries, index.centroids, probes), "cells")
+    block = scan.block_of(queries.where(F.size("query") == index.centroids.shape[1]))
     if block is None:
         return None
-    ids, matrix = block.ids, block.vectors
-    cells = np.array(block.more["cells"], np.int32).reshape(len(ids), probes)
-    asked = np.unique(cells)
+    ids, matrix, centroids = block.ids, block.vectors, index.centroids
+    asked = np.unique(nearest_cells(matrix, centroids, probes))
     held = vectors.where(F.col("cell").isin(asked.tolist())) if len(asked) <= min(LISTED, len(index.centroids) // 2) else vectors
 
     def go(batches):
-        order = np.argsort(cells.ravel(), kind="stable")
-        sorted_cells, askers = cells.ravel()[order], order // probes
+        # Each task finds the cells again: they are many times what the queries are.
+        cells = nearest_cells(matrix, centroids, probes).ravel()
+        order = np.argsort(cells, kind="stable")
+        sorted_cells, askers = cells[order], (order // probes).astype(np.int32)
+        del cells, order
         best = scan.Best(len(ids), k)
         for b in batches:
             cell = b.column("cell").to_numpy()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakelens.operators import retrieval, vector_index
@@ -125,3 +126,19 @@ def test_bitmaps_hold_ids_and_filter_without_a_shuffle(spark):
     assert both.n == len([i for i in range(50_000) if i % 2 and i % 3 == 0])
     assert idsets.members(spark.range(30), "id", both).count() == 5
     assert idsets.members(rows, "id", idsets.gathered(rows.where("false"), "id")).count() == 0
+
+
+def test_cells_of_queries_stay_in_tasks(spark, monkeypatch):
+    sent, block_of = [], vector_index.scan.block_of
+    monkeypatch.setattr(vector_index.scan, "block_of", lambda q, *more: (sent.append(more), block_of(q, *more))[1])
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(400)], "vec_id bigint, embedding array<double>")
+    index = vector_index.store(v, new_path(spark, "t"), cells=20)
+    q = v.where("vec_id < 5").toDF("query_id", "query").unionByName(spark.createDataFrame([(900, [1.0] * 9)], "query_id bigint, query array<double>"))
+    found = vector_index.search(index, q, 3, 4)
+    assert {r["query_id"] for r in found.ranking.collect()} == set(range(5)) and sent and not any(sent)
+
+
+def test_scores_at_once_are_few():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["vec_id"])
+    assert max(len(p) for p in vector_index.scan.pieces(batch, 5000)) * 5000 <= 1 << 18 and vector_index.scan.BLOCK_BYTES <= 8 << 20
