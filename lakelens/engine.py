@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import token_estimate
-from .operators import guard, retrieval, scoped
+from .operators import guard, lexicon, retrieval, scoped
+from .storage import new_path
 
 
 @dataclass
@@ -35,8 +36,7 @@ class Engine:
         self.spark, self.docs, self.embed, self.score = spark, docs, embed, rerank
         self.write_sql, self.narrow, self.facts, self.guarded, self.stemmed = write_sql, narrow, facts, guarded or {}, stemmed
         docs.createOrReplaceTempView("corpus")
-        terms, lengths = retrieval.postings(docs, "id", F.col("text"), stemmed)
-        self.terms, self.lengths = terms.persist(), lengths.persist()
+        self.index = lexicon.create(docs, "id", F.col("text"), new_path(spark, "lexicon"), stemmed)
         self.vectors = docs.select(F.col("id").alias("vec_id"), embed(F.col("text")).alias("embedding")).where("embedding is not null").persist() if embed else None
 
     def _query(self, text: str) -> DataFrame:
@@ -48,7 +48,7 @@ class Engine:
             raise ValueError(f"unknown retriever {retriever}: {', '.join(retrieval.RETRIEVERS)}")
         q, deep = self._query(text), max(100, k)
         within = lambda name: None if ids is None else ids.select(F.col("id").alias(name))
-        lexical = retrieval.bm25(self.terms, self.lengths, q, deep, allowed=within("doc_id"), stemmed=self.stemmed).select("query_id", F.col("doc_id").alias("id"), "rank")
+        lexical = lexicon.search(self.index, q, deep, within("doc_id")).ranking.select("query_id", F.col("doc_id").alias("id"), "rank")
         if retriever == "lexical" or self.vectors is None:
             return lexical.where(F.col("rank") <= k)
         vectors = q.select("query_id", self.embed(F.col("query")).alias("query"))

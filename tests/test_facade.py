@@ -138,3 +138,9 @@ def test_more_commands(spark, tmp_path, capsys):
     assert main(["journal-stats", at("journal.jsonl")]) == 0 and "candidates tried" in said()
     assert main(["run-report", at("nothing")]) == 0 and "## Passed" in said()
     assert main(["latest", at("nothing")]) == 0
+
+
+def test_engine_searches_a_stored_index(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue fox fox"), (3, None)], "id bigint, text string")
+    engine = Engine(spark, docs, stemmed=False)
+    assert engine.index.meta["rows"] == 3 and [(r["id"], r["rank"]) for r in engine.ranking("fox", 5, "lexical").orderBy("rank").collect()] == [(2, 1), (1, 2)]
