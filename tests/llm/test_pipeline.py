@@ -4,7 +4,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from lakelens.llm import decontaminate, language_id, mixing, ngram_jaccard
+from lakelens.llm import common, decontaminate, language_id, mixing, ngram_jaccard
 from lakelens.llm.common import read
 
 from test_models import SOUNDS
@@ -115,3 +115,8 @@ def test_stages_on_awkward_rows(spark, folder):
     assert all((r["__id"], r["mix_copy"], r["__s"]) == (1, 3, "s") for r in mixed)
     stored = corpus_pipeline.store_tokens(spark, awkward, path).collect()
     assert len(stored) == len(base)
+
+
+def test_the_driver_collects_between_tables(spark):
+    common._collected[0] = -common.COLLECT_S
+    assert common.materialize(spark.range(3), "collected").count() == 3 and common._collected[0] > 0
