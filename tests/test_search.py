@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lakelens.functions import text as tx
 from lakelens.functions.stem import porter
 from lakelens.functions.text import STOP_WORDS
 from lakelens.operators import chunking, lexicon, quantiles, runs, similarity
@@ -50,6 +51,35 @@ def test_pairs_of_two_sides_and_nothing(spark):
     assert similarity.jaccard_pairs(none, None, 0.5).collect() == [] and similarity.jaccard_pairs(none, frame(b), 0.5).collect() == []
 
 
+@pytest.mark.parametrize("t", [0.3, 0.45, 0.8, 1.0])
+def test_a_small_left_side_goes_to_the_right(spark, monkeypatch, t):
+    """Nothing of the right side travels, and the pairs are those of the join by buckets."""
+    rng = random.Random(int(t * 100))
+    vocabulary = [f"w{i}" for i in range(90)]
+    a, b = sets(rng, 40, vocabulary, 40), {100 + i: s for i, s in sets(rng, 400, [*vocabulary, *[f"x{i}" for i in range(60)]], 50).items()}
+    b |= {600 + i: s for i, s in a.items()} | {700: [], 701: [f"z{i}" for i in range(3000)]}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id bigint, items array<string>").repartition(3)
+    want = {(x, y): s for x in a for y in b if (s := close(a[x], b[y], t)) is not None}
+    left, right = frame(a), similarity.materialize(frame(b), "right")
+    for pairs in (similarity.PAIRS, 1):
+        monkeypatch.setattr(similarity, "PAIRS", pairs)
+        found = similarity.jaccard_pairs(left, right, t)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+        assert len(rows) == len(want) and {(r["a"], r["b"]): r["similarity"] for r in rows} == pytest.approx(want)
+    monkeypatch.setattr(similarity, "HELD_ITEMS", 0)
+    assert {(r["a"], r["b"]): r["similarity"] for r in similarity.jaccard_pairs(left, right, t).collect()} == pytest.approx(want)
+
+
+def test_trigram_codes_are_one_for_each_trigram(spark):
+    texts = ["", None, "ab", "abc", "Abc  abc\tABC", "ééé\u00a0 \U0001f600\U0001f601\U0001f600\U0001f601", "naïve\x00 aaaa", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = df.select("id", tx.trigrams(F.col("text")).alias("t"), tx.trigram_codes(F.col("text")).alias("c")).collect()
+    for x in rows:
+        assert len(x["t"]) == len(x["c"]) == len(set(x["c"]))
+        assert all(len(set(x["t"]) & set(y["t"])) == len(set(x["c"]) & set(y["c"])) for y in rows)
+
+
 def test_wide_sets_meet_few(spark):
     """Sets of thousands of items, of which random ones share a third, are told apart before anything travels for a pair."""
     rng = random.Random(6)
