@@ -342,13 +342,13 @@ WITH n AS (SELECT user_id, ts, event_type, sum(CASE WHEN event_type = 'click' TH
 SELECT user_id, count(*) AS n_steps, round(sum(greatest(coalesce(epoch_us(z) - epoch_us(lo), 0), 0) / 1e6), 3) AS active, round((epoch_us(max(hi)) - epoch_us(min(lo))) / 1e6, 3) AS span FROM s GROUP BY 1
 """)
 def steps_streamed(spark, d):
-    """The same steps, assembled by a stream that keeps the open step of each user, from the table in several files."""
+    """The same steps, assembled by a stream that keeps the open step of each user, from the table in files by time."""
     from ..storage import new_path
     from ..streaming import steps
 
     e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_type")
     path, end = new_path(spark, "events"), new_path(spark, "events-end")
-    e.repartitionByRange(4, "ts").write.parquet(path)
+    e.repartitionByRange("ts").write.parquet(path)
     spark.range(1).select(F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit("end").alias("event_type")).write.parquet(end)
     source, closing = (spark.readStream.schema(e.schema).parquet(p) for p in (path, end))
     found = steps.run_steps(spark, source, closing, "user_id", "ts", F.col("event_type") == "click", F.col("event_type") != "error").where("key is not null")

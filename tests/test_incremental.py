@@ -3,11 +3,12 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lakelens.operators import bankfile, embedding, records, runs
-from lakelens.storage import new_path
+from lakelens.storage import new_path, set_conf
 from lakelens.streaming import steps, streams
 
 
@@ -58,6 +59,61 @@ def test_streamed_steps_equal_batch_steps(spark):
     assert split.where("key is not null").count() >= len(found)
 
 
+def test_keys_of_a_stream_share_state(spark):
+    """Six thousand keys in state are a few rows for each bucket, not some for each key and event."""
+    path, end = new_path(spark, "in"), new_path(spark, "end")
+    spark.range(18000).select((F.col("id") % 6000).cast("string").alias("who"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 2 == 0).alias("o")).write.parquet(path)
+    spark.range(1).select(F.lit(None).cast("string").alias("who"), F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit(True).alias("o")).write.parquet(end)
+    source, closing = (spark.readStream.schema("who string, ts timestamp, o boolean").parquet(p) for p in (path, end))
+    with set_conf(spark, spark__sql__streaming__stateStore__providerClass=steps.PROVIDER):
+        found = steps.stream_steps(source.unionByName(closing), "who", "ts", F.col("o"), F.lit(True))
+        run = found.writeStream.format("parquet").option("path", new_path(spark, "out")).option("checkpointLocation", new_path(spark, "kept")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    held = [o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]]
+    assert 0 < max(held) < 6000
+
+
+def test_a_stream_that_goes_on_leaves_out_late_events_only(spark):
+    path, sink, kept = (new_path(spark, n) for n in ("in", "out", "kept"))
+    for seconds in ([0, 10, 100_000], [5, 99_500, 200_000], [7_000_000_000]):
+        spark.createDataFrame([("a" if s < 1_000_000 else None, s) for s in seconds], "who string, s bigint").select("who", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+        with set_conf(spark, spark__sql__streaming__stateStore__providerClass=steps.PROVIDER):
+            found = steps.stream_steps(spark.readStream.schema("who string, ts timestamp").parquet(path), "who", "ts", F.lit(True), F.lit(True))
+            found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(steps.STEP).parquet(sink).where("key is not null").orderBy("first").collect()
+    assert [(r["step"], r["first"] // 1_000_000) for r in got] == [(1, 0), (2, 10), (3, 99_500), (4, 100_000), (5, 200_000)]
+
+
+def test_steps_assembled_in_several_rounds_equal_a_loop():
+    rng = random.Random(8)
+    never = pa.Table.from_pylist([], steps._STEP)
+    for idle in (50, steps.IDLE_MS):
+        waiting, held, got, want, loop = [], never, [], [], {}
+        for passed in (0, 300, 301, 700, 1500):
+            fresh = [{"key": rng.choice(["a", "b", "ü", None]), "at": rng.randint(passed * 1000, 1_600_000), "opens": rng.random() < 0.3, "ends": rng.random() < 0.6} for _ in range(40)]
+            fresh += [dict(e, opens=not e["opens"]) for e in fresh[:5]]
+            waiting += fresh
+            ready = sorted((e["at"], e["opens"], e["ends"], e["key"]) for e in waiting if e["at"] // 1000 < passed and e["key"] is not None)
+            ready += sorted((e["at"], e["opens"], e["ends"], e["key"]) for e in waiting if e["at"] // 1000 < passed and e["key"] is None)
+            over, held, later, wake = steps.assemble(held, pa.Table.from_pylist(waiting, steps._EVENT), passed, idle)
+            waiting = [e for e in waiting if e["at"] // 1000 >= passed]
+            for at, opens, ends, key in ready:
+                step = loop.get(key)
+                if opens or step is None:
+                    want += [(key, *step)] if step else []
+                    loop[key] = (step[0] + 1 if step else int(opens), at, at, at if ends else None)
+                else:
+                    loop[key] = (step[0], step[1], at, at if ends else step[3])
+            busy = {e["key"] for e in waiting}
+            for key in [k for k, x in loop.items() if x[2] // 1000 + idle < passed and k not in busy]:
+                want.append((key, *loop.pop(key)))
+            got += [tuple(r.values()) for r in over.to_pylist()]
+            assert sorted(map(str, later.to_pylist())) == sorted(map(str, waiting))
+            assert {r["key"]: tuple(r.values())[1:] for r in held.to_pylist()} == loop
+            assert wake == min([x[2] // 1000 + idle + 1 for k, x in loop.items() if k not in busy] + [e["at"] // 1000 + 1 for e in waiting], default=None)
+        assert got and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_batches_rewrite_only_their_buckets(spark):
     source, target, kept = (new_path(spark, n) for n in ("in", "out", "checkpoint"))
     write = lambda rows: spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(source)
