@@ -1,4 +1,6 @@
+import gc
 import random
+import time
 import zlib
 
 import corpus_pipeline
@@ -120,3 +122,20 @@ def test_stages_on_awkward_rows(spark, folder):
 def test_the_driver_collects_between_tables(spark):
     common._collected[0] = -common.COLLECT_S
     assert common.materialize(spark.range(3), "collected").count() == 3 and common._collected[0] > 0
+
+
+def test_the_driver_hands_memory_back(spark):
+    """What a collection frees goes back to the system, rather than staying with the heap."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kind = jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+    most = lambda: jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind).getVMOption("MaxHeapFreeRatio").getValue()
+    before, heap = most(), jvm.java.lang.Runtime.getRuntime()
+    held = [array(jvm.long, 13 << 20) for _ in range(10)]
+    assert heap.totalMemory() > 1000 << 20
+    del held
+    gc.collect()
+    time.sleep(1)  # until the JVM is told
+    common._collected[0] = -common.COLLECT_S
+    common.materialize(spark.range(3), "handed-back")
+    assert heap.freeMemory() < 0.5 * heap.totalMemory() and most() == before
+    assert common._trim_jvm(spark)
