@@ -94,8 +94,13 @@ class Lexicon:
 # ---- segments
 
 
+def _lower(text: str) -> str:
+    """Lower case as functions.text.lower has it, as far as tokens tell: a dotted capital I is one character."""
+    return text.replace("\u0130", "i").lower()
+
+
 def tokens(text: str | None, stemmed: bool) -> list[str]:
-    words = _TOKEN.findall((text or "").lower())
+    words = _TOKEN.findall(_lower(text or ""))
     return [porter(w) for w in words if w not in _STOP] if stemmed else words
 
 
@@ -116,7 +121,7 @@ def analysed(docs: DataFrame, doc_id: str, text: Column, stemmed: bool) -> DataF
         for b in (x.slice(i, ANALYSED) for x in batches for i in range(0, len(x), ANALYSED)):
             dls, terms, tfs, ends = [], [], [], [0]
             for t in b.column("text").to_pylist():
-                words = _TOKEN.findall(t.lower())
+                words = _TOKEN.findall(_lower(t))
                 if stemmed:
                     words = [stems.get(w) or stems.setdefault(w, porter(w)) for w in words if w not in _STOP]
                     if len(stems) > 200_000:

@@ -47,6 +47,18 @@ def test_cases_over_inline_records(spark, duck, name):
     same(f(spark, FOLDER), duck, sql)
 
 
+def test_near_duplicate_flags_with_shared_ids_and_odd_characters(spark, tmp_path):
+    """Items 10,000 apart share ids with the batch's second half; capitals, white space and blanks as SQL takes them."""
+    odd = ["a\u000bb   c", "Straße İstanbul ΟΣ ende", "\u00a0nbsp words here\u00a0", "\u2003em space\u3000", "ΑΣ ΟΔΟΣ ΣΣΣ words alpha", "x\u0085y zz", "tail newline\n", "ab", "", None]
+    texts = odd + [None if x is None else x.lower() + " " for x in odd]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [(i, x) for i, x in enumerate(texts)])
+    con.execute(f"INSERT INTO benchmark SELECT 10000 * k + item_id, text FROM (SELECT * FROM '{FOLDER}/benchmark.parquet' WHERE item_id < 8), range(3) r(k)")
+    con.execute(f"COPY benchmark TO '{tmp_path}/benchmark.parquet' (FORMAT parquet)")
+    same(catalog.queries()["near_duplicate_flags"](spark, str(tmp_path)), con, SQL["near_duplicate_flags"])
+
+
 def same(df, duck, sql):
     names = sorted(df.columns)
     got = sorted([plain(r[c]) for c in names] for r in df.collect())
