@@ -11,6 +11,7 @@ from lakelens.functions import text as tx
 from lakelens.functions.stem import porter
 from lakelens.functions.text import STOP_WORDS
 from lakelens.operators import chunking, lexicon, quantiles, runs, similarity
+from lakelens.storage import set_conf
 
 
 def sets(rng, n, vocabulary, most):
@@ -71,6 +72,32 @@ def test_a_small_left_side_goes_to_the_right(spark, monkeypatch, t):
     assert {(r["a"], r["b"]): r["similarity"] for r in similarity.jaccard_pairs(left, right, t).collect()} == pytest.approx(want)
 
 
+def test_pairs_in_steps(spark, monkeypatch):
+    """The same pairs when buckets, found pairs and comparisons all go in steps, and blocks and heads are of few sets and items."""
+    rng = random.Random(9)
+    held = sets(rng, 90, [f"w{i}" for i in range(120)], 60)
+    want = {(a, b): s for a in held for b in held if a < b and (s := close(held[a], held[b], 0.5)) is not None}
+    tags, written = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df, tag, path=None: tags.append(tag) or written(df, tag, path))
+    for name, value in (("BUCKETS", 6), ("BLOCK", 2), ("HEADS", 2), ("STEPS", 3), ("PAIRS", 64)):
+        monkeypatch.setattr(similarity, name, value)
+    monkeypatch.setattr(similarity, "_steps", lambda number, total, most: [(i, min(i + 2, number)) for i in range(0, number, 2)])
+    df = spark.createDataFrame(list(held.items()), "id bigint, items array<string>")
+    rows = similarity.jaccard_pairs(df, None, 0.5).collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]): r["similarity"] for r in rows} == pytest.approx(want)
+    assert [tags.count(x) for x in ("met", "pairs")] == [3, 2] and tags.count("scored") > 1
+
+
+def test_sets_travel_for_many_pairs_at_once(spark):
+    """Of near copies, which all pair with each other, the shuffle takes the sets some times, not once for each pair."""
+    copies = spark.range(100).select("id", F.expr("transform(sequence(0, 1999), i -> xxhash64(if(i < 40, id * 40 + i, 1000000 + i)))").alias("items"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    with set_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        before = shuffled()
+        assert similarity.jaccard_pairs(copies, None, 0.5).count() == 4950
+        assert shuffled() - before < 20 * 100 * 2000 * 8  # once for each pair would be 99 times as much as the sets
+
+
 def test_trigram_codes_are_one_for_each_trigram(spark):
     texts = ["", None, "ab", "abc", "Abc  abc\tABC", "ééé\u00a0 \U0001f600\U0001f601\U0001f600\U0001f601", "naïve\x00 aaaa", "x" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
